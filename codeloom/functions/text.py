@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters that cleaning deletes (C0 and C1 controls, DEL, BOM).
 DELETED = r"[\x00-\x1F\x7F-\x9F\uFEFF]"
@@ -19,15 +20,15 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # without compatibility forms, common typographic marks, Cyrillic, kana, CJK
 # ideographs and Hangul syllables. Texts made of these need no normalising.
 NFKC_STABLE = (
-    r"\x00-\x7F¡-§©«®°±¶·»¿"
-    r"À-ıĴ-ľŁ-ňŊ-ž"
-    r"Ѐ-҂Ҋ-ӿ"
-    r"‐‒-‖‘-‣€"
-    r"、-〕ぁ-ゖァ-ヾ一-鿿가-힣"
+    r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF"
+    r"\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
+    r"\u0400-\u0482\u048A-\u04FF"
+    r"\u2010\u2012-\u2016\u2018-\u2023\u20AC"
+    r"\u3001-\u3015\u3041-\u3096\u30A1-\u30FE\u4E00-\u9FFF\uAC00-\uD7A3"
 )
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
     return pc.utf8_normalize(text, form="NFKC")
 

@@ -40,7 +40,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list
     per_file = lines.groupBy("name").agg(
         F.min_by("value", "place").alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
     )
-    header = F.when(F.col("utf8"), F.col("header")).otherwise(F.decode(F.col("header").cast("binary"), F.lit(LATIN1)))
+    header = F.when(F.col("utf8"), F.col("header")).otherwise(F.decode(F.col("header").cast("binary"), LATIN1))
     found = per_file.select("name", file_stem(F.col("name")).alias("stem"), header.alias("header"), "utf8")
     return [
         FileHead(r["name"], r["stem"], tuple(next(csv.reader([r["header"]]), [])), UTF8 if r["utf8"] else LATIN1)
