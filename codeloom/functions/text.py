@@ -11,41 +11,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The characters that cleaning deletes (C0 and C1 controls, DEL, BOM).
-DELETED = r"[\x00-\x1F\x7F-\x9F\uFEFF]"
+DELETED = r"[\x00-\x1F\x7F-\x9F\x{FEFF}]"
 
 # The ASCII punctuation characters.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-# Characters that NFKC leaves alone next to any other of them: ASCII, Latin letters
-# without compatibility forms, common typographic marks, Cyrillic, kana, CJK
-# ideographs and Hangul syllables. Texts made of these need no normalising.
-NFKC_STABLE = (
-    r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF"
-    r"\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
-    r"\u0400-\u0482\u048A-\u04FF"
-    r"\u2010\u2012-\u2016\u2018-\u2023\u20AC"
-    r"\u3001-\u3015\u3041-\u3096\u30A1-\u30FE\u4E00-\u9FFF\uAC00-\uD7A3"
-)
+# ASCII and the Latin letters up to U+0131: NFKC leaves such texts alone. The class is
+# kept to two ranges, which the Java matcher tests much faster than a longer list.
+PLAIN = r"\x00-\x7F\x{C0}-\x{131}"
+
+# All white space, for the Arrow text kernels.
+_SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 @F.arrow_udf(T.StringType())
-def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+def _clean_any(text: pa.Array) -> pa.Array:
+    kept = pc.replace_substring_regex(text, DELETED, "")
+    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_normalize(kept, form="NFKC"), _SPACES, " "), " ")
 
 
-def nfkc(text: Column) -> Column:
-    """Unicode NFKC. Only rows that can change are handed to the Arrow worker."""
-    may_change = text.rlike(f"[^{NFKC_STABLE}]")
-    return F.coalesce(_nfkc(F.when(may_change, text)), text)
+def _clean_plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(text, DELETED, ""), " {2,}", " "))
 
 
 def clean(text: Column) -> Column:
-    """Delete control characters, normalise, squeeze white space; null becomes ``""``.
+    """Delete control characters, normalise (NFKC), squeeze white space; null becomes ``""``.
 
     Tabs and line breaks are control characters: they are deleted, not replaced.
+    Texts of plain characters stay in the JVM; the Arrow kernels, which can normalise,
+    only get the others.
     """
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), DELETED, "")
-    return F.trim(F.regexp_replace(nfkc(kept), r"(?U)\s+", " "))
+    other = F.when(text.rlike(f"[^{PLAIN}]"), text)
+    return F.coalesce(_clean_any(other), _clean_plain(text), F.lit(""))
 
 
 def clean_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:

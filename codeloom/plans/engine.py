@@ -20,7 +20,7 @@ from codeloom.schema import (
     require_positive, require_rows, validate,
 )
 from codeloom.sources.catalogue import read_catalogues
-from codeloom.sources.index_files import read_index, write_index
+from codeloom.sources.index_files import check_target, read_index, write_index
 
 
 @dataclass
@@ -109,10 +109,11 @@ def build_index(
         raise InvalidInput("meta must be a dict of column name to type name")
     rows, files = read_catalogues(spark, raw_dir, list(meta or {}), only)
     names = [r["classifier"] for r in files.where("ok").select("classifier").toLocalIterator()]
+    check_target(spark, out_dir, names, overwrite)
     before, after = Observation(), Observation()
     kept = sanitise_catalogue(rows.observe(before, F.count(F.lit(1)).alias("n")))
     kept = kept.observe(after, F.count(F.lit(1)).alias("n"))
-    write_index(with_vectors(add_uuid(kept), vectoriser, "text", "embeddings"), out_dir, vectoriser, names, meta, overwrite)
+    write_index(with_vectors(add_uuid(kept), vectoriser, "text", "embeddings"), out_dir, vectoriser, names, meta)
     read, left = before.get["n"], after.get["n"]
     if left == 0:
         raise InvalidInput(f"no documents with an id and a text in {raw_dir}")

@@ -20,7 +20,7 @@ from codeloom.operators.translate import add_description, last_entry_wins
 from codeloom.operators.vectorise import WordPresence, mean_pool, with_vectors
 from codeloom.plans.engine import Engine, build_index, load_engine
 from codeloom.plans.survey import code_vectors
-from codeloom.session import new_folder
+from codeloom.session import new_folder, write_stage
 from codeloom.sources.catalogue import described_rows
 from codeloom.sources.index_files import index_stats
 from codeloom.sources.survey_files import write_coded
@@ -119,9 +119,10 @@ def classify_texts(spark, sf_dir):
     """Clean, embed and search the conversation texts in the documents."""
     vectoriser = WordPresence(VOCABULARY)
     documents = clean_columns(table(spark, sf_dir, "documents"), ["text"])
-    catalogue = with_vectors(documents, vectoriser, "text", "embeddings").select(
+    # Written once, as an index is: it is measured and then read for the search.
+    catalogue = write_stage(with_vectors(documents, vectoriser, "text", "embeddings").select(
         text_of("doc_id").alias("id"), "text", text_of("doc_id").alias("uuid"), "embeddings"
-    )
+    ))
     asked = table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("query")
     )

@@ -49,19 +49,23 @@ def index_stats(vectors: DataFrame, by: str = "classifier") -> DataFrame:
     return stats.select(by, shape.alias("vector_shape"), "num_vectors")
 
 
+def check_target(spark: SparkSession, path: str, names: Iterable[str], overwrite: bool) -> None:
+    """Catalogues that are stored already may only be written with ``overwrite``."""
+    there = sorted(set(names) & set(index_names(spark, path)))
+    if there and not overwrite:
+        raise IndexProblem(f"{path} already holds {there}; pass overwrite=True to replace")
+
+
 def write_index(
-    vectors: DataFrame, path: str, vectoriser, names: Iterable[str], meta: dict[str, str] | None = None,
-    overwrite: bool = False,
+    vectors: DataFrame, path: str, vectoriser, names: Iterable[str], meta: dict[str, str] | None = None
 ) -> None:
     """Write the rows of the catalogues ``names`` and their metadata.
 
-    Catalogues that are already there are an error unless ``overwrite``; others in the
-    folder are left alone. Row ids become fixed here: read the index back to use it.
+    Each replaces what is stored under its name; others in the folder are left alone.
+    Row ids become fixed here: read the index back to use it.
     """
-    spark, names = vectors.sparkSession, list(names)
-    there = sorted(set(names) & set(index_names(spark, path)))
-    if there and not overwrite:
-        raise IndexProblem(f"{path} already holds {there}; pass overwrite=True to replace")
+    names = list(names)
+    spark = vectors.sparkSession
     target = f"{path}/vectors"
     (vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("classifier").parquet(target))
