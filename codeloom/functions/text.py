@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,29 +20,22 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # kept to two ranges, which the Java matcher tests much faster than a longer list.
 PLAIN = r"\x00-\x7F\x{C0}-\x{131}"
 
-# All white space, for the Arrow text kernels.
-_SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-
 
 @F.arrow_udf(T.StringType())
-def _clean_any(text: pa.Array) -> pa.Array:
-    kept = pc.replace_substring_regex(text, DELETED, "")
-    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_normalize(kept, form="NFKC"), _SPACES, " "), " ")
-
-
-def _clean_plain(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, DELETED, ""), " {2,}", " "))
+def _nfkc(text: pa.Array) -> pa.Array:
+    normal = (None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist())
+    return pa.array(normal, type=pa.string())
 
 
 def clean(text: Column) -> Column:
     """Delete control characters, normalise (NFKC), squeeze white space; null becomes ``""``.
 
     Tabs and line breaks are control characters: they are deleted, not replaced.
-    Texts of plain characters stay in the JVM; the Arrow kernels, which can normalise,
-    only get the others.
+    Only texts with other than plain characters are handed to Python to be normalised.
     """
-    other = F.when(text.rlike(f"[^{PLAIN}]"), text)
-    return F.coalesce(_clean_any(other), _clean_plain(text), F.lit(""))
+    kept = F.regexp_replace(text, DELETED, "")
+    normal = F.coalesce(_nfkc(F.when(text.rlike(f"[^{PLAIN}]"), kept)), kept, F.lit(""))
+    return F.trim(F.regexp_replace(normal, r"(?U)\s+", " "))
 
 
 def clean_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:

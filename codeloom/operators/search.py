@@ -69,16 +69,21 @@ def best_rows(queries: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray
     positions = np.empty((len(queries), k), dtype=np.int64)
     best = np.empty((len(queries), k))
     for lo in range(0, len(queries), step):
-        scores = np.round(queries[lo : lo + step] @ docs.T, SCORE_DIGITS) + 0.0
+        scores = queries[lo : lo + step] @ docs.T
+        # Whole units of the last digit: equal scores become equal numbers.
+        np.rint(np.multiply(scores, 10.0**SCORE_DIGITS, out=scores), out=scores)
         worst_kept = np.partition(scores, len(docs) - k, axis=1)[:, len(docs) - k, None]
-        above, level = scores > worst_kept, scores == worst_kept
-        room = k - above.sum(axis=1, keepdims=True)
-        chosen = above | (level & (np.cumsum(level, axis=1) <= room))
+        chosen = scores >= worst_kept
+        tied = np.flatnonzero(np.count_nonzero(chosen, axis=1) > k)
+        if len(tied):
+            above, level = scores[tied] > worst_kept[tied], scores[tied] == worst_kept[tied]
+            room = k - np.count_nonzero(above, axis=1)[:, None]
+            chosen[tied] = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= room))
         found = np.nonzero(chosen)[1].reshape(-1, k)
         kept = np.take_along_axis(scores, found, axis=1)
         order = np.argsort(-kept, axis=1, kind="stable")
         positions[lo : lo + step] = np.take_along_axis(found, order, axis=1)
-        best[lo : lo + step] = np.take_along_axis(kept, order, axis=1)
+        best[lo : lo + step] = np.take_along_axis(kept, order, axis=1) / 10.0**SCORE_DIGITS + 0.0
     return positions, best
 
 

@@ -124,15 +124,17 @@ def with_vectors(df: DataFrame, vectoriser, text: str = "text", out: str = "embe
     return df.withColumn(out, _vector_column(vectoriser, text))
 
 
-def mean_pool(tokens: DataFrame, by: list[str], dim: int, vector: str = "embedding", mask: str = "mask",
-              out: str = "embedding") -> DataFrame:
+def mean_pool(
+    tokens: DataFrame, by: list[str], vector: str = "embedding", mask: str = "mask", out: str = "embedding"
+) -> DataFrame:
     """Masked mean of token vectors per group: sum(vector * mask) / max(sum(mask), floor).
 
-    One running sum per dimension, so every task first adds up its own rows and a
-    large group reaches the shuffle as one row per task.
+    The sums are kept per group and dimension, so every task first adds up its own rows
+    and a large group reaches the shuffle as one row per task and dimension.
     """
     weight = F.col(mask).cast("double")
-    sums = [F.sum(F.get(F.col(vector), F.lit(i)).cast("double") * weight).alias(f"_s{i}") for i in range(dim)]
-    total = F.greatest(F.col("_weight"), F.lit(MASK_FLOOR))
-    summed = tokens.groupBy(*by).agg(F.sum(weight).alias("_weight"), *sums)
-    return summed.select(*by, F.array(*[F.col(f"_s{i}") / total for i in range(dim)]).alias(out))
+    cells = tokens.select(*by, weight.alias("_weight"), F.posexplode(vector).alias("_dim", "_x"))
+    total = F.greatest(F.sum("_weight"), F.lit(MASK_FLOOR))
+    means = cells.groupBy(*by, "_dim").agg((F.sum(F.col("_x").cast("double") * F.col("_weight")) / total).alias("_mean"))
+    ordered = F.sort_array(F.collect_list(F.struct("_dim", "_mean")))
+    return means.groupBy(*by).agg(F.transform(ordered, lambda c: c["_mean"]).alias(out))

@@ -36,7 +36,6 @@ VOCABULARY = (
     "der die das und ein nicht mit den von zu "
     "el los las de por con se para"
 ).split()
-VECTOR_DIM = 64
 CHUNK = 100
 
 
@@ -153,7 +152,7 @@ def l2_normalise_vectors(spark, sf_dir):
 @query
 def mean_pool_tokens(spark, sf_dir):
     tokens = table(spark, sf_dir, "embeddings").withColumn("mask", (F.col("vec_id") % 3 > 0).cast("int"))
-    return _by_dimension(mean_pool(tokens, ["label"], VECTOR_DIM), "label", F.col("embedding"))
+    return _by_dimension(mean_pool(tokens, ["label"]), "label", F.col("embedding"))
 
 
 @query
