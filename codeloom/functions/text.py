@@ -34,7 +34,9 @@ def clean(text: Column) -> Column:
     Only texts with other than plain characters are handed to Python to be normalised.
     """
     kept = F.regexp_replace(text, DELETED, "")
-    normal = F.coalesce(_nfkc(F.when(text.rlike(f"[^{PLAIN}]"), kept)), kept, F.lit(""))
+    # Non-deterministic only for the optimiser: a filter on the result is not to clean twice.
+    normalise = _nfkc.asNondeterministic()
+    normal = F.coalesce(normalise(F.when(text.rlike(f"[^{PLAIN}]"), kept)), kept, F.lit(""))
     return F.trim(F.regexp_replace(normal, r"(?U)\s+", " "))
 
 

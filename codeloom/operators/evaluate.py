@@ -21,26 +21,30 @@ def hit_columns(codes: Column, truth: Column) -> dict[str, Column]:
     }
 
 
-def judge_cases(cases: DataFrame, found: DataFrame, truth: str = "ground_truth", key: str = "query_id") -> DataFrame:
-    """Every case with its best code, best score and hits; cases without results are misses.
+def judge(found: DataFrame, truth: str = "ground_truth") -> DataFrame:
+    """Best code, best score and hits of rows that carry their own truth and ``hits``.
 
-    ``found`` is a search result with a ``hits`` column; ``truth`` a code or an array of codes.
+    ``truth`` is a code or an array of codes. Rows without results are misses.
     """
     accepted = F.col(truth)
-    if not cases.schema[truth].dataType.typeName() == "array":
+    if found.schema[truth].dataType.typeName() != "array":
         accepted = F.array(accepted.cast("string"))
     codes = F.coalesce(F.transform("hits", lambda h: h["doc_id"]), F.array().cast("array<string>"))
-    top = F.get(F.col("hits"), F.lit(0))
-    judged = cases.join(found.select(key, "hits"), key, "left").withColumn("_codes", codes)
-    return judged.select(
-        *cases.columns,
+    best = F.get(F.col("hits"), F.lit(0))
+    return found.withColumn("_codes", codes).select(
+        *[c for c in found.columns if c != "hits"],
         F.array_join(accepted, "|").alias("correct_code"),
         F.coalesce(F.get(F.col("_codes"), F.lit(0)), F.lit("")).alias("top1_code"),
-        F.round(F.coalesce(top["score"], F.lit(0.0)), 4).alias("top1_score"),
+        F.round(F.coalesce(best["score"], F.lit(0.0)), 4).alias("top1_score"),
         *[c.alias(n) for n, c in hit_columns(F.col("_codes"), accepted).items()],
     )
 
 
+def judge_cases(cases: DataFrame, found: DataFrame, truth: str = "ground_truth", key: str = "query_id") -> DataFrame:
+    """``judge`` for results that were found apart from the cases; ``key`` is unique in both."""
+    return judge(cases.join(found.select(key, "hits"), key, "left"), truth)
+
+
 def difficulty_class(note: Column) -> Column:
     return F.substring(note, 1, 1)
 

@@ -39,14 +39,17 @@ def drop_empty_queries(df: DataFrame, text: str = "query") -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: list[str | Column], name: str = "ordinal") -> DataFrame:
-    """Number all rows from 0 in the given order.
+    """Number all rows from 0 in the given order; equal rows keep the order they come in.
 
     The rows are range-partitioned and sorted, and written once with their place in
     the partition. Only the partition sizes, one row each, are then summed up in
-    one task; no task ever sees the whole table.
+    one task; no task ever sees the whole table. The arrival number as the last sort
+    key lets a value that many rows share be cut over several partitions.
     """
+    by = [*order, "_arrival"]
+    arrived = df.withColumn("_arrival", F.monotonically_increasing_id())
     placed = write_stage(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        arrived.repartitionByRange(*by).sortWithinPartitions(*by).drop("_arrival").withColumns(
             {"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}
         ),
         "numbered",

@@ -193,14 +193,16 @@ def _search_broadcast(
     kind = _hit_type(docs, carried)
     shelf = make_shelf(docs.toArrow(), tie, normalise)
     shelf = shelf._replace(rows=shelf.rows.select(carried))
-    shared = queries.sparkSession.sparkContext.broadcast(shelf)
+    shared = queries.sparkSession.sparkContext.broadcast(tuple(shelf))
 
     @F.arrow_udf(kind)
     def hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for keys, vectors in batches:
-            yield hits_of(keys, vectors, shared.value, k)
+            yield hits_of(keys, vectors, Shelf(*shared.value), k)
 
-    return queries.withColumn("hits", hits(by, F.col(vector)))
+    # Declared non-deterministic, so that the optimiser does not score a second time when
+    # it derives a filter from an explode or pushes one down.
+    return queries.withColumn("hits", hits.asNondeterministic()(by, F.col(vector)))
 
 
 def _search_blocks(
@@ -215,7 +217,13 @@ def _search_blocks(
         size = F.sum(F.size(vec).cast("long") * 4)
         return df.where(F.col(vec).isNotNull()).groupBy("_by").agg(F.ceil(size / block_bytes).alias(name))
 
-    grid = write_stage(blocks(rows, vector, "_q_blocks").join(blocks(docs, "_vector", "_d_blocks"), "_by"), "grid")
+    # At least as many pairs of blocks as the cluster can work on at once.
+    enough = F.ceil(F.lit(spark.sparkContext.defaultParallelism) / F.col("_d_blocks"))
+    grid = write_stage(
+        blocks(rows, vector, "_q_blocks").join(blocks(docs, "_vector", "_d_blocks"), "_by")
+        .withColumn("_q_blocks", F.greatest("_q_blocks", enough)),
+        "grid",
+    )
     total = grid.agg(F.count("*"), F.sum(F.col("_q_blocks") * F.col("_d_blocks"))).first()
     small_grid = F.broadcast(grid) if total[0] <= GRID_ROWS else grid
     tasks = int(min(max(total[1] or 1, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000))

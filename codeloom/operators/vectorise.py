@@ -104,6 +104,7 @@ def _vector_column(vectoriser, text: str):
 
     batch = getattr(vectoriser, "batch_size", Vectoriser.batch_size)
     embed_text = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    embed_text = embed_text.asNondeterministic()  # keeps the optimiser from embedding twice
     return F.when(F.col(text).isNotNull(), embed_text(F.coalesce(F.col(text), F.lit(""))))
 
 

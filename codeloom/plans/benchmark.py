@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.evaluate import accuracy, judge_cases, macro_accuracy
+from codeloom.functions.text import clean
+from codeloom.operators.evaluate import accuracy, judge, macro_accuracy
 from codeloom.plans.engine import Engine
 
 # Fixed value: number of ranked codes a case is judged on.
@@ -13,16 +14,16 @@ RANKED = 3
 
 
 def run_benchmark(cases: DataFrame, engine: Engine, truth: str = "ground_truth") -> DataFrame:
-    """Judged cases. ``cases`` has ``classifier, id_registro, literal, difficulty`` and the truth."""
-    keyed = cases.withColumn("case_id", F.concat_ws("/", "classifier", "id_registro"))
-    queries = keyed.select(F.col("case_id").alias("id"), F.col("literal").alias("query"), "classifier")
-    if engine.by is None:
-        queries = queries.drop("classifier")
-    found = engine.classify(queries, RANKED).select(
-        F.col("input_id").alias("case_id"),
-        F.transform("response", lambda r: F.struct(r["label"].alias("doc_id"), r["score"].alias("score"))).alias("hits"),
-    )
-    return judge_cases(keyed, found, truth, "case_id")
+    """Judged cases. ``cases`` has ``classifier, id_registro, literal, difficulty`` and the truth.
+
+    Every case takes its truth through the search, so nothing is joined afterwards and
+    repeated case ids do no harm. Cases without text get no results and count as misses.
+    """
+    text = F.nullif(clean(F.col("literal")), F.lit(""))
+    queries = cases.select(F.col("id_registro").alias("id"), text.alias("query"), *[
+        c for c in cases.columns if c not in {"id_registro", "literal"}
+    ])
+    return judge(engine.hits(queries, RANKED), truth)
 
 
 def accuracy_report(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -55,9 +55,13 @@ class Engine:
         require_rows(checked, "the query table")
         return run_hook(self.hooks, "search_preprocess", checked, SEARCH_INPUT)
 
+    def hits(self, queries: DataFrame, n_results: int = 10) -> DataFrame:
+        """One row per query ``id, query``, with its other columns and an array of hits."""
+        return self._hits(self._prepared(queries, n_results), n_results)
+
     def search(self, queries: DataFrame, n_results: int = 10) -> DataFrame:
         """One row per hit for queries ``id, query``."""
-        found = flatten_hits(self._hits(self._prepared(queries, n_results), n_results))
+        found = flatten_hits(self.hits(queries, n_results))
         return run_hook(self.hooks, "search_postprocess", validate(found, SEARCH_OUTPUT), SEARCH_OUTPUT)
 
     def classify(self, queries: DataFrame, n_results: int = 10) -> DataFrame:
