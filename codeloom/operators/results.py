@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.hierarchy import group_prefix, hits_consensus, is_ambiguous, suggested_root
 from codeloom.functions.text import strip_punctuation
+from codeloom.operators.joins import lookup_join
 from codeloom.schema import REVERSE_OUTPUT, SEARCH_OUTPUT, added_columns
 
 
@@ -26,7 +27,7 @@ def drop_duplicate_docs(results: DataFrame) -> DataFrame:
 
 
 def rerank_from_zero(results: DataFrame) -> DataFrame:
-    """Number each query's rows 0, 1, 2, … in the order of their ranks."""
+    """Number each query's rows 0, 1, 2 and so on in the order of their ranks."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy("rank", "doc_id"))
     return results.withColumn("rank", place - 1)
 
@@ -45,12 +46,21 @@ def drop_duplicate_hits(found: DataFrame, rerank: bool = False) -> DataFrame:
 def add_definitions(results: DataFrame, definitions: DataFrame) -> DataFrame:
     """Add ``id_definition`` by document code; null where ``doc_id, definition`` has none."""
     known = definitions.select("doc_id", F.col("definition").alias("id_definition"))
-    return results.join(known, "doc_id", "left").select(*results.columns, "id_definition")
+    return lookup_join(results, known, ["doc_id"]).select(*results.columns, "id_definition")
 
 
 def block_rows(df: DataFrame, blocked: DataFrame, key: str = "doc_id") -> DataFrame:
     """Leave out the rows whose ``key`` is on the block list."""
-    return df.join(blocked.select(key), key, "left_anti").select(*df.columns)
+    return lookup_join(df, blocked.select(key).distinct(), [key], "left_anti").select(*df.columns)
+
+
+def sort_results(results: DataFrame) -> DataFrame:
+    """Search results by query and rank, for reports; other steps need no order."""
+    return results.orderBy("query_id", "rank")
+
+
+def sort_reverse_results(results: DataFrame) -> DataFrame:
+    return results.orderBy("id", "doc_id")
 
 
 def punctuation_free(queries: DataFrame, column: str = "query") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import classifier_base, code_key
+from codeloom.operators.joins import lookup_join
 
 # Fixed value: the language looked up when the one asked for has no entry.
 DEFAULT_LANG = "es"
@@ -43,15 +44,12 @@ def add_description(
     choices = [in_lang(DEFAULT_LANG), F.min_by("text", "lang")]
     if isinstance(lang, str):
         folded = entries.groupBy("_base", "_key").agg(F.coalesce(in_lang(lang), *choices).alias(out))
-        return keyed.join(folded, ["_base", "_key"], "left").select(*df.columns, out)
+        return lookup_join(keyed, folded, ["_base", "_key"]).select(*df.columns, out)
     folded = entries.groupBy("_base", "_key").agg(F.coalesce(*choices).alias("_other"))
     exact = entries.select("_base", "_key", F.col("lang").alias("_lang"), F.col("text").alias("_exact"))
-    return (
-        keyed.withColumn("_lang", lang)
-        .join(exact, ["_base", "_key", "_lang"], "left")
-        .join(folded, ["_base", "_key"], "left")
-        .select(*df.columns, F.coalesce("_exact", "_other").alias(out))
-    )
+    with_exact = lookup_join(keyed.withColumn("_lang", lang), exact, ["_base", "_key", "_lang"])
+    described = lookup_join(with_exact, folded, ["_base", "_key"])
+    return described.select(*df.columns, F.coalesce("_exact", "_other").alias(out))
 
 
 def translate_catalogue(catalogue: DataFrame, dictionary: DataFrame, lang: str, classifier: Column) -> DataFrame:

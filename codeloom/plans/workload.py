@@ -12,19 +12,22 @@ from codeloom.functions.progress import chunk_count, percent_done
 from codeloom.functions.text import clean_columns, code_key
 from codeloom.functions.vectors import l2_normalise
 from codeloom.operators import results as R
-from codeloom.operators.evaluate import accuracy, judge_cases, macro_accuracy
+from codeloom.operators.evaluate import accuracy, difficulty_class, judge_cases, macro_accuracy
+from codeloom.operators.hooks import chain
 from codeloom.operators.reverse import reverse_search
 from codeloom.operators.rows import auto_id, drop_empty_queries, number_rows, removed_rows
 from codeloom.operators.search import flatten_hits, search_hits
 from codeloom.operators.translate import add_description, last_entry_wins
 from codeloom.operators.vectorise import WordPresence, mean_pool, with_vectors
+from codeloom.plans.benchmark import run_benchmark
 from codeloom.plans.engine import Engine, build_index, load_engine
-from codeloom.plans.survey import code_vectors
+from codeloom.plans.survey import code_survey, code_vectors
 from codeloom.session import new_folder, write_stage
 from codeloom.sources.catalogue import described_rows
 from codeloom.sources.index_files import index_stats
-from codeloom.sources.survey_files import write_coded
-from codeloom.streaming.incremental import code_new_files
+from codeloom.sources.survey_files import read_surveys, write_coded
+from codeloom.streaming.incremental import batch_progress, code_new_files
+from codeloom.streaming.status import COMPLETED, FAILED, PENDING, PROCESSING, latest_status
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,19 +116,53 @@ def search_by_catalogue(spark, sf_dir):
     return flatten_hits(found).select("classifier", "query_id", "doc_id", "rank", six("score"))
 
 
-@query
-def classify_texts(spark, sf_dir):
-    """Clean, embed and search the conversation texts in the documents."""
+def document_engine(spark: SparkSession, sf_dir: str, code: str = "doc_id", **hooks) -> Engine:
+    """The documents as a catalogue of word-presence vectors; ``code`` is their id column."""
     vectoriser = WordPresence(VOCABULARY)
     documents = clean_columns(table(spark, sf_dir, "documents"), ["text"])
+    catalogue = with_vectors(documents, vectoriser, "text", "embeddings").select(
+        text_of(code).alias("id"), "text", F.lpad(text_of("doc_id"), 12, "0").alias("uuid"), "embeddings"
+    )
     # Written once, as an index is: it is measured and then read for the search.
-    catalogue = write_stage(with_vectors(documents, vectoriser, "text", "embeddings").select(
-        text_of("doc_id").alias("id"), "text", text_of("doc_id").alias("uuid"), "embeddings"
-    ))
-    asked = table(spark, sf_dir, "conversations").select(
+    return Engine(write_stage(catalogue), vectoriser, hooks=hooks)
+
+
+def asked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("query")
     )
-    return _response_text(Engine(catalogue, vectoriser).classify(asked, 3))
+
+
+@query
+def classify_texts(spark, sf_dir):
+    """Clean, embed and search the conversation texts in the documents."""
+    return _response_text(document_engine(spark, sf_dir).classify(asked_texts(spark, sf_dir), 3))
+
+
+@query
+def search_with_hooks(spark, sf_dir):
+    """Punctuation goes before the search; after it sources appear once, ranked anew and defined."""
+    definitions = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("src"), F.col("r_regionkey")).alias("doc_id"), F.col("r_name").alias("definition")
+    )
+    engine = document_engine(spark, sf_dir, "source")
+    engine.hooks["search_preprocess"] = R.punctuation_free
+    engine.hooks["search_postprocess"] = chain(
+        R.drop_duplicate_docs, R.rerank_from_zero, lambda df: R.add_definitions(df, definitions)
+    )
+    found = engine.search(asked_texts(spark, sf_dir), 10)
+    return found.select("query_id", "query_text", "doc_id", "rank", six("score"), "id_definition")
+
+
+@query
+def embed_texts(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    found = Engine(table(spark, sf_dir, "documents"), WordPresence(VOCABULARY)).embed(items)
+    return found.select("id", "text", _bits("embedding").alias("presence"))
+
+
+def _bits(vector: str) -> Column:
+    return F.array_join(F.transform(vector, lambda x: x.cast("int").cast("string")), "")
 
 
 def _response_text(nested: DataFrame) -> DataFrame:
@@ -158,8 +195,7 @@ def mean_pool_tokens(spark, sf_dir):
 @query
 def onehot_presence(spark, sf_dir):
     marked = with_vectors(table(spark, sf_dir, "documents"), WordPresence(VOCABULARY))
-    bits = F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), "")
-    return marked.select("doc_id", bits.alias("presence"))
+    return marked.select("doc_id", _bits("embedding").alias("presence"))
 
 
 @query
@@ -176,8 +212,7 @@ def index_round_trip(spark, sf_dir):
     vectoriser = WordPresence(VOCABULARY)
     build_index(spark, raw, out, vectoriser, {"lang": "str"})
     loaded = load_engine(spark, out, vectoriser).catalogue
-    bits = F.array_join(F.transform("embeddings", lambda x: x.cast("int").cast("string")), "")
-    return loaded.select("id", "text", "lang", bits.alias("presence"))
+    return loaded.select("id", "text", "lang", _bits("embeddings").alias("presence"))
 
 
 # --- reverse search -------------------------------------------------------------------
@@ -380,20 +415,65 @@ def code_survey_wide(spark, sf_dir):
     return code_vectors(survey, catalogue, vector="_vector", classifier="vec_es", dictionary=dictionary, lang="en")
 
 
-@query
-def stream_code_files(spark, sf_dir):
-    """The same coding, as a stream over the files of the folder."""
+def _stream(spark: SparkSession, sf_dir: str) -> str:
+    """Code the vectors as a stream over the files of the folder; returns where the output is."""
     catalogue, dictionary = _survey_parts(spark, sf_dir)
 
     def code(rows: DataFrame) -> DataFrame:
         survey = rows.select("vec_id", F.col("embedding").alias("_vector"))
         return code_vectors(survey, catalogue, vector="_vector", classifier="vec_es", dictionary=dictionary, lang="en")
 
-    coded = code_new_files(
-        spark, sf_dir, table(spark, sf_dir, "embeddings").schema, code, new_folder(spark, "stream"),
+    out = new_folder(spark, "stream")
+    code_new_files(
+        spark, sf_dir, table(spark, sf_dir, "embeddings").schema, code, out,
         file_format="parquet", classifier="vec_es", options={"pathGlobFilter": "embeddings.parquet"},
     )
-    return spark.read.parquet(coded).drop("batch_id")
+    return out
+
+
+@query
+def stream_code_files(spark, sf_dir):
+    return spark.read.parquet(f"{_stream(spark, sf_dir)}/coded").drop("batch_id")
+
+
+@query
+def stream_progress(spark, sf_dir):
+    return batch_progress(spark.read.parquet(f"{_stream(spark, sf_dir)}/status"))
+
+
+@query
+def latest_job_status(spark, sf_dir):
+    """The events read as a status log: one job per user."""
+    states = {"signup": PENDING, "view": PROCESSING, "click": PROCESSING, "purchase": COMPLETED, "error": FAILED}
+    state = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in states.items()])
+    log = table(spark, sf_dir, "events").select(
+        text_of("user_id").alias("job_id"), state.alias("status"), F.col("value").alias("progress"),
+        F.when(state == FAILED, F.col("props")).alias("error"), F.col("ts").alias("at"),
+    )
+    return latest_status(log).select(
+        "job_id", "status", "progress", "error",
+        *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("created_at", "completed_at")],
+    )
+
+
+@query
+def code_survey_file(spark, sf_dir):
+    """A survey written and read as CSV, and its texts coded by the documents."""
+    folder = new_folder(spark, "survey")
+    write_coded(
+        table(spark, sf_dir, "conversations").select(
+            F.concat_ws("-", "conv_id", "turn").alias("id_registro"), "role", F.col("text").alias("literal")
+        ),
+        folder,
+    )
+    dictionary = table(spark, sf_dir, "documents").select(
+        F.lit("docs").alias("classifier"), "lang", text_of("doc_id").alias("code"), F.concat_ws("/", "lang", "source").alias("text")
+    )
+    engine = document_engine(spark, sf_dir)
+    return code_survey(
+        read_surveys(spark, folder), engine.catalogue, engine.vectoriser, classifier="docs_es",
+        dictionary=dictionary.where("lang <> 'en'"), lang="fr",
+    )
 
 
 # --- accuracy -------------------------------------------------------------------------
@@ -431,6 +511,18 @@ def accuracy_macro(spark, sf_dir):
     return _rounded(macro_accuracy(accuracy(_judged(spark, sf_dir), ["label"])))
 
 
+@query
+def accuracy_by_difficulty(spark, sf_dir):
+    """Conversation texts as benchmark cases for the documents' sources, by the role's first letter."""
+    cases = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id_registro"), F.col("text").alias("literal"),
+        F.concat(F.lit("src"), F.col("conv_id") % 20).alias("ground_truth"),
+        difficulty_class(F.col("role")).alias("difficulty"),
+    )
+    judged = run_benchmark(cases, document_engine(spark, sf_dir, "source"))
+    return _rounded(accuracy(judged, ["difficulty"]))
+
+
 # --- hooks ----------------------------------------------------------------------------
 
 

@@ -106,6 +106,41 @@ folded AS (
   SELECT code, coalesce(max(CASE WHEN lang = 'es' THEN text END), arg_min(text, lang)) AS other FROM entries GROUP BY code
 )"""
 
+WIDE = ", ".join(
+    f"max(CASE WHEN rank = {k} THEN doc_id END) AS codigo_{k}, max(CASE WHEN rank = {k} THEN description END) AS descripcion_{k}, "
+    f"round(max(CASE WHEN rank = {k} THEN score END), 4) AS prob_{k}"
+    for k in (1, 2, 3)
+)
+NO_PUNCTUATION = r"""translate(text, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', '')"""
+
+
+def text_ranked(code: str, asked: str) -> str:
+    """CTEs up to ``ranked``: every conversation text's documents in rank order."""
+    vector = f"list_transform({VOCABULARY_SQL}, lambda w: CASE WHEN list_contains(words, w) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    return f"""WITH docs AS (
+  SELECT {code} AS id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS uuid, {CLEAN.format("text")} AS text FROM documents
+),
+doc_words AS (SELECT *, {WORDS.format("text")} AS words FROM docs),
+doc_vectors AS (SELECT id, uuid, text, {vector} AS v FROM doc_words),
+asked AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, {asked} AS text FROM conversations),
+asked_words AS (SELECT *, {WORDS.format("text")} AS words FROM asked),
+asked_vectors AS (SELECT id, text, {vector} AS v FROM asked_words),
+norms AS (SELECT *, greatest(sqrt(list_sum(v)), 1e-12) AS norm FROM asked_vectors),
+units AS (SELECT id, text, list_transform(v, lambda x: x / norm) AS unit FROM norms),
+places AS (SELECT *, row_number() OVER (ORDER BY id, text, uuid) AS place FROM doc_vectors),
+scored AS (
+  SELECT q.id AS query_id, q.text AS query_text, d.place, round(list_inner_product(q.unit, d.v), 9) AS score
+  FROM units q, places d
+),
+best AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS INTEGER) AS rank FROM scored
+),
+ranked AS (
+  SELECT query_id, query_text, rank, score, d.id AS doc_id, d.text AS doc_text
+  FROM best JOIN places d ON best.place = d.place WHERE rank <= 10
+)"""
+
+
 SURVEY = f"""{BY_CODE},
 dictionary AS (
   SELECT lower(code) AS code, CASE label % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'es' ELSE 'pt' END AS lang, label, vec
@@ -121,10 +156,7 @@ translated AS (
 ),
 wide AS (
   SELECT query_vec AS vec_id, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi,
-         {", ".join(
-             f"max(CASE WHEN rank = {k} THEN doc_id END) AS codigo_{k}, "
-             f"max(CASE WHEN rank = {k} THEN description END) AS descripcion_{k}, "
-             f"round(max(CASE WHEN rank = {k} THEN score END), 4) AS prob_{k}" for k in (1, 2, 3))}
+         {WIDE}
   FROM translated GROUP BY query_vec
 ),
 flags AS (
@@ -184,34 +216,12 @@ SQL: dict[str, str] = {
 SELECT query_id, doc_id, doc_text, rank, round(score, 6) AS score, doc_label AS label FROM ranked WHERE rank <= 10""",
     "search_by_catalogue": ranked("vec", same="q.label % 2 = d.label % 2", by="CAST(q.label % 2 AS VARCHAR) AS classifier,")
     + " SELECT classifier, query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10",
-    "classify_texts": f"""WITH docs AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, {WORDS.format(CLEAN.format("text"))} AS words FROM documents
-),
-asked AS (
-  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, {CLEAN.format("text")} AS text FROM conversations
-),
-doc_vectors AS (
-  SELECT id, list_transform({VOCABULARY_SQL}, lambda w: CASE WHEN list_contains(words, w) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS v
-  FROM docs
-),
-asked_words AS (SELECT id, {WORDS.format("text")} AS words FROM asked WHERE text <> ''),
-query_vectors AS (
-  SELECT id, list_transform({VOCABULARY_SQL}, lambda w: CASE WHEN list_contains(words, w) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS v
-  FROM asked_words
-),
-norms AS (SELECT *, greatest(sqrt(list_sum(v)), 1e-12) AS norm FROM query_vectors),
-ranked AS (
-  SELECT q.id AS query_id, d.id AS doc_id, round(list_inner_product(list_transform(q.v, lambda x: x / q.norm), d.v), 9) AS score
-  FROM norms q, doc_vectors d
-),
-top AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ranked
-),
+    "classify_texts": f"""{text_ranked("CAST(doc_id AS VARCHAR)", CLEAN.format("text"))},
 groups AS (
   SELECT query_id, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi, max(CASE WHEN rank = 1 THEN doc_id END) AS top_code,
          max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2,
          string_agg(CAST(rank AS VARCHAR) || ':' || doc_id || ':' || CAST(CAST(score AS DECIMAL(12,4)) AS VARCHAR), '|' ORDER BY rank) AS response
-  FROM top WHERE rank <= 3 GROUP BY query_id
+  FROM ranked WHERE rank <= 3 AND query_text <> '' GROUP BY query_id
 ),
 flags AS (
   SELECT *, coalesce((s1 - s2) / (s1 + 1e-9) < 0.05, FALSE) AS is_ambiguous, {PREFIX.format(lo="lo", hi="hi")} AS prefix
@@ -220,6 +230,63 @@ flags AS (
 SELECT query_id AS input_id, response, is_ambiguous,
        CASE WHEN (is_ambiguous OR n > 1) AND NOT (length(prefix) > 0 AND length(prefix) >= length(top_code)) THEN prefix END AS suggested_root
 FROM flags""",
+    "search_with_hooks": f"""{text_ranked("source", NO_PUNCTUATION)},
+firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS place FROM ranked WHERE rank <= 10
+)
+SELECT query_id, query_text, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS INTEGER) AS rank,
+       round(score, 6) AS score, r_name AS id_definition
+FROM firsts LEFT JOIN region ON doc_id = 'src' || CAST(r_regionkey AS VARCHAR) WHERE place = 1""",
+    "embed_texts": f"""WITH tokens AS (SELECT CAST(item_id AS VARCHAR) AS id, text, {WORDS.format("text")} AS words FROM benchmark)
+SELECT id, text, {PRESENCE} AS presence FROM tokens""",
+    "code_survey_file": f"""{text_ranked("CAST(doc_id AS VARCHAR)", CLEAN.format("text"))},
+described AS (
+  SELECT r.*, CASE WHEN d.lang <> 'en' THEN d.lang || '/' || d.source ELSE r.doc_text END AS description
+  FROM ranked r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.doc_id WHERE r.rank <= 3
+),
+wide AS (
+  SELECT query_id, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi, {WIDE}
+  FROM described GROUP BY query_id
+),
+flags AS (
+  SELECT *, coalesce((prob_1 - prob_2) / (prob_1 + 1e-9) < 0.05, FALSE) AS es_ambiguo, {PREFIX.format(lo="lo", hi="hi")} AS prefix
+  FROM wide
+)
+SELECT query_id AS id_registro, role, text AS literal,
+       codigo_1, descripcion_1, prob_1, codigo_2, descripcion_2, prob_2, codigo_3, descripcion_3, prob_3, es_ambiguo,
+       CASE WHEN (es_ambiguo OR n > 1) AND NOT (length(prefix) > 0 AND length(prefix) >= length(codigo_1))
+            THEN prefix ELSE '' END AS raiz_comun
+FROM flags JOIN conversations ON query_id = CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)""",
+    "accuracy_by_difficulty": f"""{text_ranked("source", CLEAN.format("text"))},
+codes AS (
+  SELECT query_id, list(doc_id ORDER BY rank) AS codes, max(CASE WHEN rank = 1 THEN score END) AS best
+  FROM ranked WHERE rank <= 3 GROUP BY query_id
+),
+judged AS (
+  SELECT substr(role, 1, 1) AS difficulty, codes[1] = 'src' || CAST(conv_id % 20 AS VARCHAR) AS hit_top1,
+         list_contains(codes, 'src' || CAST(conv_id % 20 AS VARCHAR)) AS hit_top3, round(best, 4) AS top1_score
+  FROM conversations JOIN codes ON query_id = CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)
+)
+SELECT difficulty, count(*) AS total_cases, round(avg(CAST(hit_top1 AS DOUBLE)), 6) AS top1_acc,
+       round(avg(CAST(hit_top3 AS DOUBLE)), 6) AS top3_acc, round(avg(top1_score), 6) AS mean_score
+FROM judged GROUP BY difficulty""",
+    "stream_progress": """SELECT 'coding' AS job_id, CAST(1 AS BIGINT) AS processed_chunks, count(*) AS processed_rows,
+       count(*) AS total_rows FROM embeddings""",
+    "latest_job_status": """WITH log AS (
+  SELECT CAST(user_id AS VARCHAR) AS job_id, value, props, ts,
+         CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED'
+              ELSE 'PROCESSING' END AS status
+  FROM events
+),
+latest AS (
+  SELECT job_id, arg_max(status, ts) AS status, arg_max(value, ts) AS progress,
+         arg_max(props, ts) FILTER (WHERE status = 'FAILED') AS error, min(ts) AS created_at,
+         max(ts) FILTER (WHERE status IN ('COMPLETED', 'FAILED')) AS completed_at
+  FROM log GROUP BY job_id
+)
+SELECT job_id, status, CASE WHEN status = 'COMPLETED' THEN 100.0 ELSE progress END AS progress, error,
+       epoch_us(created_at) AS created_at, epoch_us(completed_at) AS completed_at
+FROM latest""",
     "l2_normalise_vectors": """WITH scaled AS (
   SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS v FROM embeddings
 ),
