@@ -48,43 +48,75 @@ class Shelf(NamedTuple):
 
 
 def as_matrix(vectors: pa.Array) -> np.ndarray:
-    """An Arrow list column without nulls as a float64 matrix."""
+    """An Arrow list column without nulls as a matrix of its own float type."""
     if len(vectors) == 0:
         return np.zeros((0, 0))
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
     if len(flat) % len(vectors) or len(set(np.diff(vectors.offsets.to_numpy()))) > 1:
         raise ValueError("vectors differ in length")
     return flat.reshape(len(vectors), -1)
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    matrix = matrix.astype(np.float64)
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return matrix / np.maximum(norms, NORM_FLOOR)
 
 
 def best_rows(queries: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and scores of the k best ``docs`` per query; ties go to the lower position."""
+    """Positions and scores of the k best ``docs`` per unit query; ties go to the lower position.
+
+    A product in single precision finds the rows that can be among the best, within
+    the bound of its rounding error; only those are scored in double precision. Queries
+    with many rows that close together are scored in double precision throughout.
+    """
     k = min(k, len(docs))
     step = max(1, CELLS // max(1, len(docs)))
+    few = 4 * k + 64
+    coarse_docs, coarse_queries = docs.astype(np.float32, copy=False), queries.astype(np.float32)
+    longest = np.sqrt(np.einsum("ij,ij->i", docs, docs, dtype=np.float64).max())
+    if not (np.isfinite(longest) and np.isfinite(coarse_queries).all()):
+        raise ValueError("vectors must not hold nulls, NaN or infinite values")
+    slack = 2 * (docs.shape[1] + 4) * float(np.finfo(np.float32).eps) * longest + 10.0**-SCORE_DIGITS
     positions = np.empty((len(queries), k), dtype=np.int64)
     best = np.empty((len(queries), k))
+    exact_docs = None
     for lo in range(0, len(queries), step):
-        scores = queries[lo : lo + step] @ docs.T
-        # Whole units of the last digit: equal scores become equal numbers.
-        np.rint(np.multiply(scores, 10.0**SCORE_DIGITS, out=scores), out=scores)
-        worst_kept = np.partition(scores, len(docs) - k, axis=1)[:, len(docs) - k, None]
-        chosen = scores >= worst_kept
-        tied = np.flatnonzero(np.count_nonzero(chosen, axis=1) > k)
-        if len(tied):
-            above, level = scores[tied] > worst_kept[tied], scores[tied] == worst_kept[tied]
-            room = k - np.count_nonzero(above, axis=1)[:, None]
-            chosen[tied] = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= room))
-        found = np.nonzero(chosen)[1].reshape(-1, k)
-        kept = np.take_along_axis(scores, found, axis=1)
-        order = np.argsort(-kept, axis=1, kind="stable")
-        positions[lo : lo + step] = np.take_along_axis(found, order, axis=1)
-        best[lo : lo + step] = np.take_along_axis(kept, order, axis=1) / 10.0**SCORE_DIGITS + 0.0
-    return positions, best
+        own = queries[lo : lo + step]
+        coarse = coarse_queries[lo : lo + step] @ coarse_docs.T
+        edge = np.partition(coarse, len(docs) - k, axis=1)[:, len(docs) - k, None]
+        near = coarse >= edge - np.float32(slack)
+        close = np.count_nonzero(near, axis=1) > few
+        if close.any():
+            exact_docs = docs.astype(np.float64, copy=False) if exact_docs is None else exact_docs
+            at = np.flatnonzero(close)
+            positions[lo + at], best[lo + at] = _best_exact(own[at], exact_docs, k)
+            near[at] = False
+        row, pos = np.nonzero(near)
+        score = _digits(np.einsum("ij,ij->i", own[row], docs[pos].astype(np.float64)))
+        order = np.lexsort((pos, -score, row))
+        row, pos, score = row[order], pos[order], score[order]
+        at = np.flatnonzero(~close)
+        first = np.searchsorted(row, at)[:, None] + np.arange(k)
+        positions[lo + at], best[lo + at] = pos[first], score[first]
+    return positions, best / 10.0**SCORE_DIGITS + 0.0
+
+
+def _digits(scores: np.ndarray) -> np.ndarray:
+    """Scores in whole units of the last digit, so that equal ones are equal numbers."""
+    return np.rint(np.multiply(scores, 10.0**SCORE_DIGITS, out=scores), out=scores)
+
+
+def _best_exact(queries: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    scores = _digits(queries @ docs.T)
+    worst_kept = np.partition(scores, len(docs) - k, axis=1)[:, len(docs) - k, None]
+    above, level = scores > worst_kept, scores == worst_kept
+    room = k - np.count_nonzero(above, axis=1)[:, None]
+    chosen = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= room))
+    found = np.nonzero(chosen)[1].reshape(-1, k)
+    kept = np.take_along_axis(scores, found, axis=1)
+    order = np.argsort(-kept, axis=1, kind="stable")
+    return np.take_along_axis(found, order, axis=1), np.take_along_axis(kept, order, axis=1)
 
 
 def make_shelf(table: pa.Table, tie: list[str], normalise: bool) -> Shelf:
@@ -117,9 +149,11 @@ def hits_of(keys: pa.Array, vectors: pa.Array, shelf: Shelf, k: int) -> pa.Array
         queries = as_matrix(vectors.take(pa.array(at)))
         if queries.shape[1] != shelf.matrix.shape[1]:
             raise ValueError(f"query vectors have {queries.shape[1]} values, catalogue {shelf.matrix.shape[1]}")
-        positions, best = best_rows(unit_rows(queries), shelf.matrix[start:stop], k)
-        found[at, : positions.shape[1]] = positions + start
-        scores[at, : positions.shape[1]] = best
+        # Survey answers repeat: every different vector of a batch is scored once.
+        different, place = np.unique(queries, axis=0, return_inverse=True)
+        positions, best = best_rows(unit_rows(different), shelf.matrix[start:stop], k)
+        found[at, : positions.shape[1]] = positions[place] + start
+        scores[at, : positions.shape[1]] = best[place]
     filled = found >= 0
     ranks = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), found.shape)
     taken = shelf.rows.take(pa.array(found[filled])).combine_chunks()
@@ -217,8 +251,8 @@ def _search_blocks(
         size = F.sum(F.size(vec).cast("long") * 4)
         return df.where(F.col(vec).isNotNull()).groupBy("_by").agg(F.ceil(size / block_bytes).alias(name))
 
-    # At least as many pairs of blocks as the cluster can work on at once.
-    enough = F.ceil(F.lit(spark.sparkContext.defaultParallelism) / F.col("_d_blocks"))
+    # Several pairs of blocks for each task that the cluster can run at once.
+    enough = F.ceil(F.lit(4 * spark.sparkContext.defaultParallelism) / F.col("_d_blocks"))
     grid = write_stage(
         blocks(rows, vector, "_q_blocks").join(blocks(docs, "_vector", "_d_blocks"), "_by")
         .withColumn("_q_blocks", F.greatest("_q_blocks", enough)),

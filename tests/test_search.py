@@ -114,3 +114,28 @@ def test_vectors_of_different_length_fail(spark):
     q = spark.createDataFrame([("q", [0.5, 0.05])], "query_id string, v array<float>")
     with pytest.raises(ValueError):
         S.search_hits(q, d, 1, vector="v").collect()
+
+
+@pytest.mark.parametrize("shape", ["dense", "close", "copies"])
+def test_kernel_is_exact(shape):
+    rng = np.random.default_rng(3)
+    docs = rng.normal(size=(3000, 16))
+    if shape == "close":  # closer together than single precision can tell
+        docs = docs[:1] + rng.normal(size=(3000, 16)) * 1e-7
+    if shape == "copies":
+        docs = docs[rng.integers(0, 40, 3000)]
+    queries = S.unit_rows(rng.normal(size=(50, 16)))
+    for k in (1, 10, 3000, 5000):
+        positions, scores = S.best_rows(queries, docs, k)
+        whole = np.rint(queries @ docs.T * 1e9)
+        expected = np.argsort(-whole, axis=1, kind="stable")[:, :k]
+        assert (positions == expected).all()
+        assert np.allclose(scores, np.take_along_axis(whole, expected, axis=1) / 1e9, atol=1e-12)
+
+
+def test_values_must_be_finite(spark):
+    q = spark.createDataFrame([("q", [0.5, 0.05])], "query_id string, v array<float>")
+    for bad in (float("nan"), float("inf"), None):
+        d = spark.createDataFrame([("a", [1.0, bad]), ("b", [1.0, 2.0])], "id string, embeddings array<float>")
+        with pytest.raises(Exception, match="must not hold"):
+            S.search_hits(q, d, 1, vector="v").collect()
