@@ -207,16 +207,17 @@ def search_hits(
     carried = ["doc_id", *[out.get(c, c) for c in wanted]]
     shelf_columns = list(dict.fromkeys([*carried, *tie]))
     back = {v: k for k, v in out.items()}
+    own_catalogue = (F.col(by) if by else F.lit("")).cast("string")
     docs = catalogue.where(F.col("embeddings").isNotNull()).select(
-        (F.col(by) if by else F.lit("")).cast("string").alias("_by"),
+        own_catalogue.alias("_by"),
         F.col("embeddings").alias("_vector"),
         *[F.col(back.get(c, c)).alias(c) for c in shelf_columns],
     )
-    query_by = (F.col(by) if by else F.lit("")).cast("string")
+    docs = docs.where(F.col("_by").isNotNull())
     if catalogue_bytes(docs) <= broadcast_bytes:
-        return _search_broadcast(queries, docs, n_results, query_by, vector, tie, carried, normalise_docs)
+        return _search_broadcast(queries, docs, n_results, own_catalogue, vector, tie, carried, normalise_docs)
     return _search_blocks(
-        queries, docs, n_results, query_by, vector, tie, carried, shelf_columns, normalise_docs, block_bytes
+        queries, docs, n_results, own_catalogue, vector, tie, carried, shelf_columns, normalise_docs, block_bytes
     )
 
 

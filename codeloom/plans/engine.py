@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.errors import InvalidInput
@@ -20,7 +20,7 @@ from codeloom.schema import (
     require_positive, require_rows, validate,
 )
 from codeloom.sources.catalogue import read_catalogues
-from codeloom.sources.index_files import check_target, read_index, write_index
+from codeloom.sources.index_files import check_target, read_index, read_metadata, write_index
 
 
 @dataclass
@@ -107,21 +107,21 @@ def build_index(
     spark: SparkSession, raw_dir: str, out_dir: str, vectoriser, meta: dict[str, str] | None = None,
     only: str | None = None, overwrite: bool = False,
 ) -> BuildReport:
-    """Read, clean, embed and store every catalogue of a folder, in one pass over its rows."""
+    """Read, clean, embed and store every catalogue of a folder."""
     check_vectoriser(vectoriser)
     if meta is not None and not isinstance(meta, dict):
         raise InvalidInput("meta must be a dict of column name to type name")
     rows, files = read_catalogues(spark, raw_dir, list(meta or {}), only)
     names = [r["classifier"] for r in files.where("ok").select("classifier").toLocalIterator()]
     check_target(spark, out_dir, names, overwrite)
-    before, after = Observation(), Observation()
-    kept = sanitise_catalogue(rows.observe(before, F.count(F.lit(1)).alias("n")))
-    kept = kept.observe(after, F.count(F.lit(1)).alias("n"))
-    write_index(with_vectors(add_uuid(kept), vectoriser, "text", "embeddings"), out_dir, vectoriser, names, meta)
-    read, left = before.get["n"], after.get["n"]
-    if left == 0:
+    vectors = with_vectors(add_uuid(sanitise_catalogue(rows)), vectoriser, "text", "embeddings")
+    write_index(vectors, out_dir, vectoriser, names, meta)
+    stored = read_metadata(spark, out_dir).where(F.col("classifier").isin(names))
+    kept = stored.agg(F.sum("num_vectors")).first()[0]
+    if not kept:
         raise InvalidInput(f"no documents with an id and a text in {raw_dir}")
-    return BuildReport(files, read, read - left)
+    read = rows.count()
+    return BuildReport(files, read, read - kept)
 
 
 def load_engine(

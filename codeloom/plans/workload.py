@@ -300,14 +300,13 @@ def auto_ids(spark, sf_dir):
 @query
 def job_progress(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id")
-    total = documents.agg(F.count("*").alias("total_rows"))
+    total = F.lit(documents.count())
     per_chunk = number_rows(documents, ["doc_id"]).groupBy(F.floor(F.col("ordinal") / CHUNK).alias("chunk")).agg(
         F.count("*").alias("chunk_rows")
     )
-    # ``total`` is a single row.
-    return per_chunk.join(F.broadcast(total)).select(
-        "chunk", "chunk_rows", chunk_count(F.col("total_rows"), CHUNK).alias("total_chunks"),
-        F.round(percent_done(F.col("chunk"), F.col("total_rows"), CHUNK), 6).alias("progress"),
+    return per_chunk.select(
+        "chunk", "chunk_rows", chunk_count(total, CHUNK).alias("total_chunks"),
+        F.round(percent_done(F.col("chunk"), total, CHUNK), 6).alias("progress"),
     )
 
 

@@ -30,9 +30,14 @@ def _read(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
         return None
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame | None:
+    """One row per stored catalogue, or None where there is no index."""
+    return _read(spark, f"{path}/metadata", "json")
+
+
 def index_names(spark: SparkSession, path: str) -> list[str]:
     """Names of the catalogues stored below ``path``."""
-    stored = _read(spark, f"{path}/metadata", "json")
+    stored = read_metadata(spark, path)
     if stored is None:
         return []
     return [r["classifier"] for r in stored.select("classifier").distinct().orderBy("classifier").toLocalIterator()]
@@ -89,7 +94,7 @@ def read_index(
     With ``only``, just that catalogue's folder is read.
     """
     check_vectoriser(vectoriser)
-    stored = _read(spark, f"{path}/metadata", "json")
+    stored = read_metadata(spark, path)
     vectors = _read(spark, f"{path}/vectors", "parquet")
     if stored is None:
         raise IndexProblem(f"{path} has no metadata")
