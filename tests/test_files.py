@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.errors import HookFailed, IndexProblem, InvalidInput
 from codeloom.operators.hooks import chain
+from codeloom.operators.joins import BROADCAST_BYTES, lookup_join
 from codeloom.operators.results import drop_duplicate_docs, punctuation_free, rerank_from_zero
 from codeloom.operators.translate import add_description
 from codeloom.operators.vectorise import LoadedOnWorker, WordPresence, with_vectors
@@ -78,6 +79,22 @@ def test_dictionaries_and_lookup(spark, raw):
     assert {(r["code"], r["lang"]): r["description"] for r in fixed} == expected | {("01", "fr"): "Other bread"}
 
 
+def test_large_lookup_tables_are_shuffled(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(50)] + [(9, 99), (None, 1)], "k int, v int")
+    lookup = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k int, name string")
+    for how in ("left", "left_anti"):
+        small, large = (lookup_join(rows, lookup, ["k"], how, limit) for limit in (BROADCAST_BYTES, 0))
+        assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    assert lookup_join(rows, lookup, ["k"]).count() == 52
+
+
+def test_line_ends_and_missing_fields(spark, tmp_path):
+    (tmp_path / "a_es.csv").write_bytes(b'id,text\r\n01,Uno\r\n02,"Dos\r\ntres"\r\n03\r\n04,Cuatro,more\r\n')
+    rows, _ = read_catalogues(spark, str(tmp_path))
+    got = {r["id"]: r["text"] for r in rows.collect()}
+    assert got["01"] == "Uno" and got["02"].split() == ["Dos", "tres"] and got["03"] is None and got["04"] == "Cuatro"
+
+
 def test_any_language_is_the_first_by_name(spark):
     words = spark.createDataFrame([("c", "pt", "1", "um"), ("c", "en", "1", "one")], "classifier string, lang string, code string, text string")
     asked = spark.createDataFrame([("c_es", "1")], "classifier string, doc_id string")
