@@ -11,7 +11,7 @@ Two plans give the same rows:
   matrix and each batch of queries is scored where it lies - no shuffle;
 * otherwise both sides are cut into blocks of bounded size. Every pair of blocks
   is scored by one task, which passes on only the best k per query, and these are
-  merged per query.
+  merged per query. The catalogue's other columns join the final k.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.errors import InvalidInput
 from codeloom.functions.vectors import NORM_FLOOR
+from codeloom.operators.rows import number_rows
 from codeloom.schema import require_positive
 from codeloom.session import write_stage
 
@@ -35,6 +37,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
 # Score cells held at once by one task.
 CELLS = 4_000_000
+# Catalogue columns given out at once, at most (unless one query's hits are larger).
+HITS_BYTES = 64 * 1024 * 1024
 # Grids of this many catalogues are small enough to broadcast.
 GRID_ROWS = 10_000
 
@@ -130,6 +134,17 @@ def make_shelf(table: pa.Table, tie: list[str], normalise: bool) -> Shelf:
     return Shelf(unit_rows(matrix) if normalise else matrix, rows, spans)
 
 
+def widest_row(rows: pa.Table) -> int:
+    """Bytes of the columns' longest values together."""
+    widths = [8]
+    for column in rows.columns:
+        if pa.types.is_string(column.type):
+            widths.append(pc.max(pc.binary_length(column)).as_py() or 0)
+        else:
+            widths.append(column.nbytes // max(1, len(column)) + 1)
+    return sum(widths)
+
+
 def hits_type(rows: pa.Schema) -> pa.DataType:
     fields = [pa.field("rank", pa.int32()), pa.field("score", pa.float64()), *rows]
     return pa.list_(pa.field("element", pa.struct(fields)))
@@ -216,9 +231,7 @@ def search_hits(
     docs = docs.where(F.col("_by").isNotNull())
     if catalogue_bytes(docs) <= broadcast_bytes:
         return _search_broadcast(queries, docs, n_results, own_catalogue, vector, tie, carried, normalise_docs)
-    return _search_blocks(
-        queries, docs, n_results, own_catalogue, vector, tie, carried, shelf_columns, normalise_docs, block_bytes
-    )
+    return _search_blocks(queries, docs, n_results, own_catalogue, vector, tie, carried, normalise_docs, block_bytes)
 
 
 def _search_broadcast(
@@ -228,12 +241,14 @@ def _search_broadcast(
     kind = _hit_type(docs, carried)
     shelf = make_shelf(docs.toArrow(), tie, normalise)
     shelf = shelf._replace(rows=shelf.rows.select(carried))
+    piece = max(1, HITS_BYTES // (k * max(1, widest_row(shelf.rows))))
     shared = queries.sparkSession.sparkContext.broadcast(tuple(shelf))
 
     @F.arrow_udf(kind)
     def hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for keys, vectors in batches:
-            yield hits_of(keys, vectors, Shelf(*shared.value), k)
+            for lo in range(0, len(vectors), piece):
+                yield hits_of(keys.slice(lo, piece), vectors.slice(lo, piece), Shelf(*shared.value), k)
 
     # Declared non-deterministic, so that the optimiser does not score a second time when
     # it derives a filter from an explode or pushes one down.
@@ -242,11 +257,13 @@ def _search_broadcast(
 
 def _search_blocks(
     queries: DataFrame, docs: DataFrame, k: int, by: Column, vector: str, tie: list[str],
-    carried: list[str], shelf_columns: list[str], normalise: bool, block_bytes: int,
+    carried: list[str], normalise: bool, block_bytes: int,
 ) -> DataFrame:
     spark = queries.sparkSession
     rows = write_stage(queries.withColumns({"_row": F.monotonically_increasing_id(), "_by": by}), "queries")
-    docs = write_stage(docs.withColumn("_doc", F.monotonically_increasing_id()), "catalogue")
+    # The place in tie order stands for the document until the best k are known, so the
+    # blocks hold vectors and numbers only, however long the documents' texts are.
+    docs = number_rows(docs, [F.col(c).asc_nulls_last() for c in ["_by", *tie]], "_place")
 
     def blocks(df: DataFrame, vec: str, name: str) -> DataFrame:
         size = F.sum(F.size(vec).cast("long") * 4)
@@ -263,7 +280,7 @@ def _search_blocks(
     small_grid = F.broadcast(grid) if total[0] <= GRID_ROWS else grid
     tasks = int(min(max(total[1] or 1, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000))
 
-    # A row's block follows from its row number, so equal rows spread over all blocks.
+    # A row's block follows from its own number, so equal rows spread over all blocks.
     def cell(own: str, key: str, blocks_of: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(blocks_of)).alias(own)
 
@@ -279,39 +296,35 @@ def _search_blocks(
     )
     right = (
         docs.join(small_grid, "_by")
-        .select("_by", "_vector", *shelf_columns, cell("_d", "_doc", "_d_blocks"), every("_q", "_q_blocks"))
+        .select("_by", "_place", "_vector", cell("_d", "_place", "_d_blocks"), every("_q", "_q_blocks"))
         .repartition(tasks, *pair)
     )
-    kind = _hit_type(docs, shelf_columns)
 
     def score(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        shelf = make_shelf(theirs.select(["_by", "_vector", *shelf_columns]), tie, normalise)
+        shelf = make_shelf(theirs.select(["_by", "_vector", "_place"]), ["_place"], normalise)
         mine = mine.combine_chunks()
         hits = hits_of(mine["_by"].combine_chunks(), mine["_vector"].combine_chunks(), shelf, k)
         return pa.table({"_row": mine["_row"], "hits": hits})
 
-    partial = (
-        left.groupBy(*pair).cogroup(right.groupBy(*pair))
-        .applyInArrow(score, T.StructType([T.StructField("_row", T.LongType()), T.StructField("hits", kind)]))
+    partial = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(
+        score, "_row long, hits array<struct<rank: int, score: double, _place: long>>"
     )
-
-    def sortable(h: Column) -> Column:
-        return F.struct((-h["score"]).alias("down"), *[h[c].alias(f"t{i}") for i, c in enumerate(tie)], h.alias("hit"))
-
-    def ranked(x: Column, i: Column) -> Column:
-        h = x["hit"]
-        return F.struct(
-            (i + 1).cast("int").alias("rank"), h["score"].alias("score"), *[h[c].alias(c) for c in carried]
-        )
-
     # One query has at most k hits per catalogue block, so these lists stay short.
-    merged = partial.groupBy("_row").agg(F.flatten(F.collect_list("hits")).alias("all")).select(
-        "_row",
-        F.transform(F.slice(F.array_sort(F.transform("all", sortable)), 1, k), ranked).alias("hits"),
+    best_first = F.transform(
+        F.flatten(F.collect_list("hits")), lambda h: F.struct((-h["score"]).alias("down"), h["_place"].alias("_place"))
     )
-    nothing = F.array().cast(_hit_type(docs, carried))
+    best = partial.groupBy("_row").agg(F.slice(F.array_sort(best_first), 1, k).alias("best"))
+    chosen = best.select("_row", F.posexplode("best").alias("_at", "_hit")).select(
+        "_row", (F.col("_at") + 1).alias("rank"), (-F.col("_hit.down")).alias("score"), "_hit._place"
+    )
+    # The documents come from a table in storage, so adaptive execution can split the
+    # shuffle at one that is among the best of very many queries.
+    kind = _hit_type(docs, carried)
+    entry = F.struct("rank", "score", *carried)
+    hits = F.array_sort(F.collect_list(entry), lambda a, b: a["rank"] - b["rank"]).cast(kind)
+    merged = chosen.join(docs.select("_place", *carried), "_place").groupBy("_row").agg(hits.alias("hits"))
     return rows.join(merged, "_row", "left").select(
-        *queries.columns, F.coalesce("hits", nothing).alias("hits")
+        *queries.columns, F.coalesce("hits", F.array().cast(kind)).alias("hits")
     )
 
 

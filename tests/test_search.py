@@ -56,6 +56,24 @@ def test_blocks_give_the_same_rows(tables, block_bytes):
     assert rows(small) == rows(large)
 
 
+def test_missing_texts_rank_last_in_both_plans(spark):
+    docs = [("a", None, "u1"), ("a", "x", "u2"), ("a", None, None), ("a", "", "u0")]
+    d = spark.createDataFrame([(*r, [1.0, 0.0]) for r in docs], "id string, text string, uuid string, embeddings array<float>")
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, v array<float>")
+    for limit in (S.BROADCAST_BYTES, 0):
+        hits = S.search_hits(q, d.withColumn("mark", F.col("uuid")), 4, vector="v", broadcast_bytes=limit).first()["hits"]
+        assert [(h["doc_text"], h["mark"]) for h in hits] == [("", "u0"), ("x", "u2"), (None, "u1"), (None, None)]
+
+
+def test_long_texts_come_out_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(S, "HITS_BYTES", 5000)
+    d = spark.createDataFrame([(f"{i}", "t" * 400 + str(i), [float(i), 1.0]) for i in range(9)], "id string, text string, embeddings array<float>")
+    q = spark.range(100).select(F.col("id").cast("string").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("v"))
+    found = S.search_hits(q.coalesce(1), d, 3, vector="v").collect()
+    assert len(found) == 100 and {tuple(h["doc_id"] for h in r["hits"]) for r in found} == {("8", "7", "6")}
+    assert all(h["doc_text"].endswith(h["doc_id"]) for r in found for h in r["hits"])
+
+
 def test_repeated_queries_keep_their_rows(tables):
     _, _, q, d = tables
     twice = q.union(q).union(q)
