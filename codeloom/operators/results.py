@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,11 @@ from codeloom.operators.joins import lookup_join
 from codeloom.schema import REVERSE_OUTPUT, SEARCH_OUTPUT, added_columns
 
 
+Keys = Sequence[str]
+# What tells queries apart; where several catalogues are searched, their column comes first.
+QUERY: Keys = ("query_id",)
+
+
 def _replace(hit: Column, fields: list[str], **changed: Column) -> Column:
     return F.struct(*[changed.get(f, hit[f]).alias(f) for f in fields])
 
@@ -20,15 +27,15 @@ def _hit_fields(found: DataFrame) -> list[str]:
     return [f.name for f in found.schema["hits"].dataType.elementType.fields]
 
 
-def drop_duplicate_docs(results: DataFrame) -> DataFrame:
+def drop_duplicate_docs(results: DataFrame, keys: Keys = QUERY) -> DataFrame:
     """Keep the best-ranked row of each document in each query's results."""
-    place = W.partitionBy("query_id", "doc_id").orderBy("rank")
+    place = W.partitionBy(*keys, "doc_id").orderBy("rank")
     return results.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
 
 
-def rerank_from_zero(results: DataFrame) -> DataFrame:
+def rerank_from_zero(results: DataFrame, keys: Keys = QUERY) -> DataFrame:
     """Number each query's rows 0, 1, 2 and so on in the order of their ranks."""
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank", "doc_id"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("rank", "doc_id"))
     return results.withColumn("rank", place - 1)
 
 
@@ -71,7 +78,7 @@ def upper_case(queries: DataFrame, column: str = "query") -> DataFrame:
     return queries.withColumn(column, F.upper(column))
 
 
-def nest_hits(found: DataFrame) -> DataFrame:
+def nest_hits(found: DataFrame, keys: Keys = QUERY) -> DataFrame:
     """One row per query: its ranked results, whether they are ambiguous, and the common root.
 
     Works row by row on the ``hits`` column, so nothing is grouped.
@@ -86,20 +93,24 @@ def nest_hits(found: DataFrame) -> DataFrame:
 
     ambiguous, root = hits_consensus(F.col("hits"))
     return found.where(F.size("hits") > 0).select(
-        F.col("query_id").alias("input_id"), F.transform("hits", entry).alias("response"),
+        *_input_keys(keys), F.transform("hits", entry).alias("response"),
         ambiguous.alias("is_ambiguous"), root.alias("suggested_root"),
     )
 
 
-def nest_results(results: DataFrame) -> DataFrame:
+def _input_keys(keys: Keys) -> list[Column]:
+    return [F.col(k).alias("input_id") if k == "query_id" else F.col(k) for k in keys]
+
+
+def nest_results(results: DataFrame, keys: Keys = QUERY) -> DataFrame:
     """``nest_hits`` for flat rows, as they are after a hook.
 
     Groups by query id; a query has no more rows than the search was asked for.
     """
-    extra = added_columns(results, SEARCH_OUTPUT)
+    extra = added_columns(results, SEARCH_OUTPUT, also=keys)
     entry = F.struct("rank", "doc_id", "doc_text", "score", *extra)
-    grouped = results.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("hits"))
-    return nest_hits(grouped)
+    grouped = results.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("hits"))
+    return nest_hits(grouped, keys)
 
 
 def nest_reverse_results(results: DataFrame) -> DataFrame:
@@ -115,7 +126,7 @@ def nest_reverse_results(results: DataFrame) -> DataFrame:
     )
 
 
-def results_consensus(results: DataFrame) -> DataFrame:
+def results_consensus(results: DataFrame, keys: Keys = QUERY) -> DataFrame:
     """Ambiguity and suggested root per query, from flat rows ranked from 1.
 
     Every aggregate is combined in the map tasks; no list of rows is built.
@@ -124,7 +135,7 @@ def results_consensus(results: DataFrame) -> DataFrame:
     def at_rank(rank: int, column: str) -> Column:
         return F.max(F.when(F.col("rank") == rank, F.col(column)))
 
-    grouped = results.groupBy("query_id").agg(
+    grouped = results.groupBy(*keys).agg(
         F.count("*").alias("n_codes"), group_prefix(F.col("doc_id")).alias("common_prefix"),
         at_rank(1, "doc_id").alias("top_code"), at_rank(1, "score").alias("first_score"),
         at_rank(2, "score").alias("second_score"),

@@ -67,12 +67,12 @@ class Engine:
     def classify(self, queries: DataFrame, n_results: int = 10) -> DataFrame:
         """One row per non-empty query, with its ranked results, ambiguity and root."""
         cleaned = drop_empty_queries(validate(queries, SEARCH_INPUT))
-        if "search_postprocess" in self.hooks:
-            if cleaned.isEmpty():
-                return nest_hits(self._hits(cleaned, n_results))
-            return nest_results(self.search(cleaned, n_results))
+        keys = [*([self.by] if self.by else []), "query_id"]
+        if "search_postprocess" in self.hooks and not cleaned.isEmpty():
+            return nest_results(self.search(cleaned, n_results), keys)
+        require_positive("n_results", n_results)
         prepared = run_hook(self.hooks, "search_preprocess", cleaned, SEARCH_INPUT)
-        return nest_hits(self._hits(prepared, n_results))
+        return nest_hits(self._hits(prepared, n_results), keys)
 
     def reverse_search(self, queries: DataFrame, max_n_results: int = 100, partial_match: bool = False) -> DataFrame:
         """Documents for the codes of queries ``id, doc_id``."""

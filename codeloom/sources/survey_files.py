@@ -21,7 +21,11 @@ def survey_columns(columns: list[str]) -> tuple[str | None, str]:
 
 
 def read_surveys(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
-    """All survey files of a folder, all columns strings; they may differ in columns."""
+    """All survey files of a folder, all columns strings; they may differ in columns.
+
+    Reads every line once beforehand, for headers and encodings. Where these are known
+    and the same for all files, ``read_strings`` reads the folder without that.
+    """
     files = list_files(spark, folder)
     parts = [df.drop("_stem", "_place") for _, df in read_groups(spark, folder, files, multi_line)]
     names = list(dict.fromkeys(c for p in parts for c in p.columns))

@@ -215,6 +215,10 @@ def test_several_catalogues_at_once(spark, index):
     engine = load_engine(spark, index, WordPresence(WORDS))
     asked = spark.createDataFrame([("1", "pan", "food_es"), ("1", "pan", "kids_es")], "id string, query string, classifier string")
     found = {(r["classifier"], r["doc_id"]) for r in engine.search(asked, 10).collect()}
+    nested = {r["classifier"]: len(r["response"]) for r in engine.classify(asked, 10).collect()}
+    engine.hooks["search_postprocess"] = lambda df: rerank_from_zero(df, ["classifier", "query_id"])
+    again = {r["classifier"]: [e["rank"] for e in r["response"]] for r in engine.classify(asked, 10).collect()}
+    assert nested == {"food_es": 3, "kids_es": 1} and again == {"food_es": [0, 1, 2], "kids_es": [0]}
     assert found == {("food_es", "01"), ("food_es", "0111"), ("food_es", "011"), ("kids_es", "9")}
 
 
