@@ -113,15 +113,15 @@ def nest_results(results: DataFrame, keys: Keys = QUERY) -> DataFrame:
     return nest_hits(grouped, keys)
 
 
-def nest_reverse_results(results: DataFrame) -> DataFrame:
+def nest_reverse_results(results: DataFrame, keys: Keys = ("id",)) -> DataFrame:
     """One row per query id: its documents in code order.
 
     For results cut to a number of rows per query; a search for all matches (-1)
     can give a query any number of rows and is better left flat.
     """
-    extra = added_columns(results, REVERSE_OUTPUT)
+    extra = added_columns(results, REVERSE_OUTPUT, also=keys)
     entry = F.struct(F.col("doc_id").alias("label"), F.col("doc_text").alias("description"), *extra)
-    return results.groupBy(F.col("id").alias("input_id")).agg(
+    return results.groupBy(*[F.col(k).alias("input_id") if k == "id" else F.col(k) for k in keys]).agg(
         F.sort_array(F.collect_list(entry)).alias("response")
     )
 

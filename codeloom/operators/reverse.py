@@ -25,10 +25,13 @@ def reverse_search(
     max_n_results: int = 100,
     partial_match: bool = False,
     *,
+    by: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows ``id, doc_id, doc_text, <metadata>`` of ``catalogue`` for each query code.
 
+    With ``by`` both sides carry that column and a query only sees its own catalogue.
+
     A document matches when its id equals the code, or with ``partial_match`` when it
     starts with the code. Each query id gets its first ``max_n_results`` documents in
     the order of id, text and uuid; -1 returns all of them.
@@ -38,7 +41,9 @@ def reverse_search(
     ``max_n_results`` documents to any query, so surplus ones go before the join.
     """
     require_positive("max_n_results", max_n_results, unlimited=True)
-    asked = validate(queries, REVERSE_INPUT).select("id", F.col("doc_id").alias("_code"))
+    own = [by] if by else []
+    on = ["_code", *own]
+    asked = validate(queries, REVERSE_INPUT).select("id", F.col("doc_id").alias("_code"), *own)
     stats = asked.agg(
         F.count("*").alias("n"),
         F.sum(F.octet_length("id") + F.octet_length("_code") + 16).alias("bytes"),
@@ -47,10 +52,10 @@ def reverse_search(
     if stats["n"] == 0:
         raise InvalidInput("the reverse search has no queries")
 
-    meta = [c for c in catalogue.columns if c not in {"id", "text", "uuid", "embeddings"}]
+    meta = [c for c in catalogue.columns if c not in {"id", "text", "uuid", "embeddings", by}]
     last = ["uuid"] if "uuid" in catalogue.columns else []
     docs = catalogue.where(F.col("id").isNotNull()).select(
-        F.col("id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("doc_text"), *meta, *last
+        F.col("id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("doc_text"), *own, *meta, *last
     )
     order = ["doc_id", "doc_text", *last]
     if partial_match:
@@ -64,16 +69,16 @@ def reverse_search(
     limited = max_n_results != -1
     if (stats["bytes"] or 0) <= broadcast_bytes:
         # Few queries: documents nobody asks for go first, and nothing shuffles for the joins.
-        docs = docs.join(F.broadcast(asked.select("_code").distinct()), "_code", "left_semi")
+        docs = docs.join(F.broadcast(asked.select(*on).distinct()), on, "left_semi")
         if limited:
-            docs = _first_rows(docs, ["_code"], order, max_n_results)
-        found = docs.join(F.broadcast(asked), "_code")
+            docs = _first_rows(docs, on, order, max_n_results)
+        found = docs.join(F.broadcast(asked), on)
     else:
         # Both sides large: a plain shuffle join, which adaptive execution splits at hot
         # codes. It can do so only when both inputs are read straight into the join.
         if limited:
-            docs = write_stage(_first_rows(docs, ["_code"], order, max_n_results), "reverse")
-        found = docs.join(asked, "_code")
+            docs = write_stage(_first_rows(docs, on, order, max_n_results), "reverse")
+        found = docs.join(asked, on)
     if limited:
-        found = _first_rows(found, ["id"], order, max_n_results)
-    return found.select("id", "doc_id", "doc_text", *meta)
+        found = _first_rows(found, ["id", *own], order, max_n_results)
+    return found.select("id", "doc_id", "doc_text", *own, *meta)

@@ -78,14 +78,15 @@ class Engine:
         """Documents for the codes of queries ``id, doc_id``."""
         require_positive("max_n_results", max_n_results, unlimited=True)
         prepared = run_hook(self.hooks, "reverse_search_preprocess", validate(queries, REVERSE_INPUT), REVERSE_INPUT)
-        found = reverse_search(prepared, self.catalogue, max_n_results, partial_match)
+        found = reverse_search(prepared, self.catalogue, max_n_results, partial_match, by=self.by)
         return run_hook(self.hooks, "reverse_search_postprocess", validate(found, REVERSE_OUTPUT), REVERSE_OUTPUT)
 
     def reverse_classify(self, queries: DataFrame, max_n_results: int = 100, partial_match: bool = False) -> DataFrame:
         """The documents of ``reverse_search`` as one list per query."""
         if max_n_results == -1:
             raise InvalidInput("lists need a limit; use reverse_search for all matches")
-        return nest_reverse_results(self.reverse_search(queries, max_n_results, partial_match))
+        keys = [*([self.by] if self.by else []), "id"]
+        return nest_reverse_results(self.reverse_search(queries, max_n_results, partial_match), keys)
 
     def embed(self, texts: DataFrame) -> DataFrame:
         """``id, text, embedding`` for a table ``id, text``."""

@@ -260,6 +260,22 @@ def reverse_prefix_shuffled(spark, sf_dir):
     return reverse_search(*_brands(spark, sf_dir), 100, True, broadcast_bytes=0)
 
 
+@query
+def reverse_by_catalogue(spark, sf_dir):
+    """Part types are the catalogues; every supplier asks in one of them."""
+    types = ("ECONOMY", "SMALL", "STANDARD", "MEDIUM", "LARGE", "PROMO")
+    chosen = F.element_at(F.array(*[F.lit(t) for t in types]), (F.col("s_suppkey") % len(types) + 1).cast("int"))
+    asked = table(spark, sf_dir, "supplier").select(
+        text_of("s_suppkey").alias("id"), F.concat(F.lit("Brand#"), F.col("s_nationkey") + 1).alias("doc_id"),
+        chosen.alias("classifier"),
+    )
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("id"), F.col("p_name").alias("text"), text_of("p_partkey").alias("uuid"),
+        F.col("p_type").alias("classifier"), "p_partkey",
+    )
+    return reverse_search(asked, parts, 100, True, by="classifier")
+
+
 @query
 def reverse_nested(spark, sf_dir):
     nested = R.nest_reverse_results(reverse_search(*_brands(spark, sf_dir), 20, True))

@@ -316,6 +316,17 @@ SELECT id, text, lang, {PRESENCE} AS presence FROM tokens""",
     "reverse_prefix": BRANDS.format(match=STARTS, limit="place <= 100"),
     "reverse_prefix_all": BRANDS.format(match=STARTS, limit="TRUE"),
     "reverse_prefix_shuffled": BRANDS.format(match=STARTS, limit="place <= 100"),
+    "reverse_by_catalogue": """WITH asked AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS id, 'Brand#' || CAST(s_nationkey + 1 AS VARCHAR) AS code,
+         ['ECONOMY', 'SMALL', 'STANDARD', 'MEDIUM', 'LARGE', 'PROMO'][s_suppkey % 6 + 1] AS classifier
+  FROM supplier
+),
+found AS (
+  SELECT a.id, p.p_brand AS doc_id, p.p_name AS doc_text, a.classifier, p.p_partkey,
+         row_number() OVER (PARTITION BY a.id ORDER BY p.p_brand, p.p_name, CAST(p.p_partkey AS VARCHAR)) AS place
+  FROM asked a JOIN part p ON starts_with(p.p_brand, a.code) AND p.p_type = a.classifier
+)
+SELECT id, doc_id, doc_text, classifier, p_partkey FROM found WHERE place <= 100""",
     "reverse_nested": f"""SELECT id AS input_id,
        string_agg(doc_id || ':' || doc_text || ':' || CAST(p_partkey AS VARCHAR), '|' ORDER BY doc_id, doc_text, p_partkey) AS response
 FROM ({BRANDS.format(match=STARTS, limit="place <= 20")}) GROUP BY id""",

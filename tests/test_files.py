@@ -222,6 +222,16 @@ def test_several_catalogues_at_once(spark, index):
     assert found == {("food_es", "01"), ("food_es", "0111"), ("food_es", "011"), ("kids_es", "9")}
 
 
+def test_reverse_search_in_own_catalogue(spark, index):
+    engine = load_engine(spark, index, WordPresence(WORDS))
+    asked = spark.createDataFrame([("1", "", "food_es"), ("1", "9", "kids_es"), ("2", "9", "food_es")], "id string, doc_id string, classifier string")
+    rows = engine.reverse_search(asked, 2, partial_match=True).collect()
+    assert sorted((r["id"], r["classifier"], r["doc_id"], r["colour"]) for r in rows) == [
+        ("1", "food_es", "01", "white"), ("1", "food_es", "011", "white"), ("1", "kids_es", "9", "red")]
+    nested = engine.reverse_classify(asked, 2, partial_match=True).collect()
+    assert {r["classifier"]: len(r["response"]) for r in nested} == {"food_es": 2, "kids_es": 1}
+
+
 def test_reverse_and_embed_with_hooks(spark, index):
     hooks = {
         "reverse_search_postprocess": lambda df: df.withColumn("n", F.length("doc_id")),
