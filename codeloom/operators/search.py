@@ -187,62 +187,81 @@ def _hit_type(catalogue: DataFrame, columns: list[str]) -> T.ArrayType:
 
 def catalogue_bytes(catalogue: DataFrame) -> int:
     """Size of the vectors and the columns that travel with them."""
-    size = F.size("_vector") * 4
+    wide = isinstance(catalogue.schema["_vector"].dataType.elementType, T.DoubleType)
+    size = F.size("_vector") * (8 if wide else 4)
     for c in catalogue.columns:
         if c != "_vector":
             size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8
     return catalogue.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
-def search_hits(
-    queries: DataFrame,
-    catalogue: DataFrame,
-    n_results: int = 10,
-    *,
-    by: str | None = None,
-    vector: str = "embedding",
-    columns: list[str] | None = None,
-    normalise_docs: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """``queries`` with a ``hits`` column.
+class Searcher:
+    """A catalogue made ready for any number of searches.
 
     ``catalogue`` has ``id``, ``embeddings`` and any of ``text``, ``uuid`` and metadata;
     ``id`` and ``text`` come out as ``doc_id`` and ``doc_text``. ``columns`` names the
     catalogue columns to bring along besides ``id`` (default: all but uuid). With ``by``
     both sides carry that column and a query only sees its own catalogue.
     """
+
+    def __init__(
+        self,
+        catalogue: DataFrame,
+        *,
+        by: str | None = None,
+        columns: list[str] | None = None,
+        normalise_docs: bool = False,
+        broadcast_bytes: int = BROADCAST_BYTES,
+        block_bytes: int = BLOCK_BYTES,
+    ):
+        out = {"id": "doc_id", "text": "doc_text"}
+        back = {v: k for k, v in out.items()}
+        if columns is None:
+            columns = [c for c in catalogue.columns if c not in {"id", "uuid", "embeddings", by}]
+        tie = ["doc_id"] + [out.get(c, c) for c in ("text", "uuid") if c in catalogue.columns]
+        self.carried = ["doc_id", *[out.get(c, c) for c in columns]]
+        self.by = (F.col(by) if by else F.lit("")).cast("string")
+        self.normalise, self.block_bytes = normalise_docs, block_bytes
+        docs = catalogue.where(F.col("embeddings").isNotNull()).select(
+            self.by.alias("_by"),
+            F.col("embeddings").alias("_vector"),
+            *[F.col(back.get(c, c)).alias(c) for c in dict.fromkeys([*self.carried, *tie])],
+        ).where(F.col("_by").isNotNull())
+        self.kind = _hit_type(docs, self.carried)
+        self.shared = None
+        if catalogue_bytes(docs) <= broadcast_bytes:
+            shelf = make_shelf(docs.toArrow(), tie, normalise_docs)
+            shelf = shelf._replace(rows=shelf.rows.select(self.carried))
+            self.widest = widest_row(shelf.rows)
+            self.shared = catalogue.sparkSession.sparkContext.broadcast(tuple(shelf))
+        else:
+            # The place in tie order stands for the document until the best k are known, so
+            # blocks hold vectors and numbers only, however long the documents' texts are.
+            self.docs = number_rows(docs, [F.col(c).asc_nulls_last() for c in ["_by", *tie]], "_place")
+
+    def hits(self, queries: DataFrame, n_results: int = 10, vector: str = "embedding") -> DataFrame:
+        """``queries`` with a ``hits`` column."""
+        require_positive("n_results", n_results)
+        if self.shared is None:
+            return _search_blocks(
+                queries, self.docs, n_results, self.by, vector, self.carried, self.kind, self.normalise, self.block_bytes
+            )
+        return _search_broadcast(queries, self.shared, n_results, self.by, vector, self.widest, self.kind)
+
+
+def search_hits(
+    queries: DataFrame, catalogue: DataFrame | Searcher, n_results: int = 10, *, vector: str = "embedding", **how
+) -> DataFrame:
+    """One search; ``how`` and ``catalogue`` as for ``Searcher``, which may be given itself."""
     require_positive("n_results", n_results)
-    wanted = columns if columns is not None else [
-        c for c in catalogue.columns if c not in {"id", "uuid", "embeddings", by}
-    ]
-    out = {"id": "doc_id", "text": "doc_text"}
-    tie = ["doc_id"] + [out.get(c, c) for c in ("text", "uuid") if c in catalogue.columns]
-    carried = ["doc_id", *[out.get(c, c) for c in wanted]]
-    shelf_columns = list(dict.fromkeys([*carried, *tie]))
-    back = {v: k for k, v in out.items()}
-    own_catalogue = (F.col(by) if by else F.lit("")).cast("string")
-    docs = catalogue.where(F.col("embeddings").isNotNull()).select(
-        own_catalogue.alias("_by"),
-        F.col("embeddings").alias("_vector"),
-        *[F.col(back.get(c, c)).alias(c) for c in shelf_columns],
-    )
-    docs = docs.where(F.col("_by").isNotNull())
-    if catalogue_bytes(docs) <= broadcast_bytes:
-        return _search_broadcast(queries, docs, n_results, own_catalogue, vector, tie, carried, normalise_docs)
-    return _search_blocks(queries, docs, n_results, own_catalogue, vector, tie, carried, normalise_docs, block_bytes)
+    ready = catalogue if isinstance(catalogue, Searcher) else Searcher(catalogue, **how)
+    return ready.hits(queries, n_results, vector)
 
 
 def _search_broadcast(
-    queries: DataFrame, docs: DataFrame, k: int, by: Column, vector: str, tie: list[str],
-    carried: list[str], normalise: bool,
+    queries: DataFrame, shared, k: int, by: Column, vector: str, widest: int, kind: T.ArrayType
 ) -> DataFrame:
-    kind = _hit_type(docs, carried)
-    shelf = make_shelf(docs.toArrow(), tie, normalise)
-    shelf = shelf._replace(rows=shelf.rows.select(carried))
-    piece = max(1, HITS_BYTES // (k * max(1, widest_row(shelf.rows))))
-    shared = queries.sparkSession.sparkContext.broadcast(tuple(shelf))
+    piece = max(1, HITS_BYTES // (k * max(1, widest)))
 
     @F.arrow_udf(kind)
     def hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -256,14 +275,11 @@ def _search_broadcast(
 
 
 def _search_blocks(
-    queries: DataFrame, docs: DataFrame, k: int, by: Column, vector: str, tie: list[str],
-    carried: list[str], normalise: bool, block_bytes: int,
+    queries: DataFrame, docs: DataFrame, k: int, by: Column, vector: str, carried: list[str],
+    kind: T.ArrayType, normalise: bool, block_bytes: int,
 ) -> DataFrame:
     spark = queries.sparkSession
     rows = write_stage(queries.withColumns({"_row": F.monotonically_increasing_id(), "_by": by}), "queries")
-    # The place in tie order stands for the document until the best k are known, so the
-    # blocks hold vectors and numbers only, however long the documents' texts are.
-    docs = number_rows(docs, [F.col(c).asc_nulls_last() for c in ["_by", *tie]], "_place")
 
     def blocks(df: DataFrame, vec: str, name: str) -> DataFrame:
         size = F.sum(F.size(vec).cast("long") * 4)
@@ -319,7 +335,6 @@ def _search_blocks(
     )
     # The documents come from a table in storage, so adaptive execution can split the
     # shuffle at one that is among the best of very many queries.
-    kind = _hit_type(docs, carried)
     entry = F.struct("rank", "score", *carried)
     hits = F.array_sort(F.collect_list(entry), lambda a, b: a["rank"] - b["rank"]).cast(kind)
     merged = chosen.join(docs.select("_place", *carried), "_place").groupBy("_row").agg(hits.alias("hits"))

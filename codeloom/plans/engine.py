@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from codeloom.operators.hooks import Hook, check_hooks, run_hook
 from codeloom.operators.results import nest_hits, nest_results, nest_reverse_results
 from codeloom.operators.reverse import reverse_search
 from codeloom.operators.rows import add_uuid, drop_empty_queries, sanitise_catalogue
-from codeloom.operators.search import flatten_hits, search_hits
+from codeloom.operators.search import Searcher, flatten_hits
 from codeloom.operators.vectorise import check_vectoriser, with_vectors
 from codeloom.schema import (
     EMBED_INPUT, EMBED_OUTPUT, REVERSE_INPUT, REVERSE_OUTPUT, SEARCH_INPUT, SEARCH_OUTPUT,
@@ -41,13 +42,15 @@ class Engine:
         check_vectoriser(self.vectoriser)
         self.hooks = check_hooks(self.hooks)
 
+    @cached_property
+    def searcher(self) -> Searcher:
+        """The catalogue made ready, once, for all searches of this engine."""
+        return Searcher(self.catalogue, by=self.by, normalise_docs=self.normalise_docs)
+
     def _hits(self, queries: DataFrame, n_results: int) -> DataFrame:
         named = queries.withColumnsRenamed({"id": "query_id", "query": "query_text"})
-        found = search_hits(
-            with_vectors(named, self.vectoriser, "query_text", "_query_vector"), self.catalogue, n_results,
-            by=self.by, vector="_query_vector", normalise_docs=self.normalise_docs,
-        )
-        return found.drop("_query_vector")
+        embedded = with_vectors(named, self.vectoriser, "query_text", "_query_vector")
+        return self.searcher.hits(embedded, n_results, "_query_vector").drop("_query_vector")
 
     def _prepared(self, queries: DataFrame, n_results: int) -> DataFrame:
         require_positive("n_results", n_results)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.hierarchy import hits_consensus
 from codeloom.functions.text import clean
-from codeloom.operators.search import BROADCAST_BYTES, search_hits
+from codeloom.operators.search import BROADCAST_BYTES, Searcher
 from codeloom.operators.translate import DEFAULT_LANG, translate_catalogue
 from codeloom.operators.vectorise import with_vectors
 from codeloom.sources.survey_files import survey_columns
@@ -32,35 +32,32 @@ def coded_columns(hits: Column) -> dict[str, Column]:
     return out
 
 
-def code_vectors(
-    df: DataFrame, catalogue: DataFrame, *, vector: str, classifier: str | None = None,
-    dictionary: DataFrame | None = None, lang: str = DEFAULT_LANG, broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
+def survey_searcher(
+    catalogue: DataFrame, *, classifier: str = "", dictionary: DataFrame | None = None, lang: str = DEFAULT_LANG,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> Searcher:
+    """A catalogue with its descriptions in ``lang``, ready to code any number of tables.
+
+    Translations are put on the catalogue, once, and not on each of the results.
+    """
+    if dictionary is not None:
+        catalogue = translate_catalogue(catalogue, dictionary, lang, F.lit(classifier))
+    return Searcher(catalogue, columns=["text"], broadcast_bytes=broadcast_bytes)
+
+
+def code_vectors(df: DataFrame, searcher: Searcher, vector: str = "embedding") -> DataFrame:
     """The coding step for rows that already carry a vector, which is dropped afterwards.
 
     Every row keeps its own result, whether or not ids repeat: the result is worked out
-    beside the row, so nothing is grouped or joined back. Translations are put on the
-    catalogue first, not on each of the results.
+    beside the row, so nothing is grouped or joined back.
     """
-    if dictionary is not None:
-        name = F.lit(classifier or "")
-        catalogue = translate_catalogue(catalogue, dictionary, lang, name)
-    found = search_hits(
-        df, catalogue, TOP, vector=vector, columns=["text"], broadcast_bytes=broadcast_bytes
-    )
+    found = searcher.hits(df, TOP, vector)
     return found.withColumns(coded_columns(F.col("hits"))).drop("hits", vector)
 
 
-def code_survey(
-    df: DataFrame, catalogue: DataFrame, vectoriser, *, classifier: str | None = None,
-    dictionary: DataFrame | None = None, lang: str = DEFAULT_LANG, broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
+def code_survey(df: DataFrame, searcher: Searcher, vectoriser) -> DataFrame:
     """All columns of a survey table and the coded ones. Rows without text get blanks."""
     _, text = survey_columns(df.columns)
     cleaned = F.nullif(clean(F.col(f"`{text}`").cast("string")), F.lit(""))
-    with_text = df.withColumn("_text", F.when(F.col(f"`{text}`").isNotNull(), cleaned))
-    embedded = with_vectors(with_text, vectoriser, "_text", "_vector").drop("_text")
-    return code_vectors(
-        embedded, catalogue, vector="_vector", classifier=classifier, dictionary=dictionary, lang=lang,
-        broadcast_bytes=broadcast_bytes,
-    )
+    embedded = with_vectors(df.withColumn("_text", cleaned), vectoriser, "_text", "_vector").drop("_text")
+    return code_vectors(embedded, searcher, "_vector")

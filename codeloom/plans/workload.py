@@ -21,7 +21,7 @@ from codeloom.operators.translate import add_description, last_entry_wins
 from codeloom.operators.vectorise import WordPresence, mean_pool, with_vectors
 from codeloom.plans.benchmark import run_benchmark
 from codeloom.plans.engine import Engine, build_index, load_engine
-from codeloom.plans.survey import code_survey, code_vectors
+from codeloom.plans.survey import code_survey, code_vectors, survey_searcher
 from codeloom.session import new_folder, write_stage
 from codeloom.sources.catalogue import described_rows
 from codeloom.sources.index_files import index_stats
@@ -426,17 +426,17 @@ def _survey_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 @query
 def code_survey_wide(spark, sf_dir):
     catalogue, dictionary = _survey_parts(spark, sf_dir)
-    survey = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("_vector"))
-    return code_vectors(survey, catalogue, vector="_vector", classifier="vec_es", dictionary=dictionary, lang="en")
+    searcher = survey_searcher(catalogue, classifier="vec_es", dictionary=dictionary, lang="en")
+    return code_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), searcher)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> str:
     """Code the vectors as a stream over the files of the folder; returns where the output is."""
     catalogue, dictionary = _survey_parts(spark, sf_dir)
+    searcher = survey_searcher(catalogue, classifier="vec_es", dictionary=dictionary, lang="en")
 
     def code(rows: DataFrame) -> DataFrame:
-        survey = rows.select("vec_id", F.col("embedding").alias("_vector"))
-        return code_vectors(survey, catalogue, vector="_vector", classifier="vec_es", dictionary=dictionary, lang="en")
+        return code_vectors(rows.select("vec_id", "embedding"), searcher)
 
     out = new_folder(spark, "stream")
     code_new_files(
@@ -485,10 +485,10 @@ def code_survey_file(spark, sf_dir):
         F.lit("docs").alias("classifier"), "lang", text_of("doc_id").alias("code"), F.concat_ws("/", "lang", "source").alias("text")
     )
     engine = document_engine(spark, sf_dir)
-    return code_survey(
-        read_surveys(spark, folder), engine.catalogue, engine.vectoriser, classifier="docs_es",
-        dictionary=dictionary.where("lang <> 'en'"), lang="fr",
+    searcher = survey_searcher(
+        engine.catalogue, classifier="docs_es", dictionary=dictionary.where("lang <> 'en'"), lang="fr"
     )
+    return code_survey(read_surveys(spark, folder), searcher, engine.vectoriser)
 
 
 # --- accuracy -------------------------------------------------------------------------

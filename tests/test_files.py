@@ -12,7 +12,7 @@ from codeloom.operators.translate import add_description
 from codeloom.operators.vectorise import LoadedOnWorker, WordPresence, with_vectors
 from codeloom.plans.benchmark import accuracy_report, run_benchmark
 from codeloom.plans.engine import Engine, build_index, load_engine
-from codeloom.plans.survey import code_survey
+from codeloom.plans.survey import code_survey, survey_searcher
 from codeloom.sources.catalogue import read_benchmarks, read_catalogues, read_dictionaries, write_clean_catalogue
 from codeloom.sources.csv_files import list_files
 from codeloom.sources.index_files import index_names
@@ -269,8 +269,10 @@ def test_survey_batch_stream_and_sink(spark, raw, index, tmp_path):
     catalogue = load_engine(spark, index, WordPresence(WORDS), only="food_es").catalogue
     words = read_dictionaries(spark, str(raw))
 
+    searcher = survey_searcher(catalogue, classifier="food_es", dictionary=words, lang="en")
+
     def code(df):
-        return code_survey(df, catalogue, WordPresence(WORDS), classifier="food_es", dictionary=words, lang="en")
+        return code_survey(df, searcher, WordPresence(WORDS))
 
     survey = read_surveys(spark, str(folder))
     coded = code(survey)
@@ -281,7 +283,8 @@ def test_survey_batch_stream_and_sink(spark, raw, index, tmp_path):
     assert (rows["4"]["codigo_1"], rows["4"]["descripcion_1"], rows["4"]["raiz_comun"]) == ("011", "Leche, de\nvaca", "01")
     for blank in ("5", "6"):
         assert (rows[blank]["codigo_1"], rows[blank]["prob_1"], rows[blank]["es_ambiguo"], rows[blank]["raiz_comun"]) == ("", None, None, "")
-    large = code_survey(survey, catalogue, WordPresence(WORDS), classifier="food_es", dictionary=words, lang="en", broadcast_bytes=0)
+    blocks = survey_searcher(catalogue, classifier="food_es", dictionary=words, lang="en", broadcast_bytes=0)
+    large = code_survey(survey, blocks, WordPresence(WORDS))
     assert sorted(map(str, large.collect())) == sorted(map(str, coded.collect()))
 
     out = str(tmp_path / "out")
