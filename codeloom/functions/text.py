@@ -40,6 +40,14 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(normal, r"(?U)\s+", " "))
 
 
+def has_text(text: Column) -> Column:
+    """Whether anything is left of the text after cleaning, without cleaning it; false for null.
+
+    Normalising never removes a character and only turns white space into white space.
+    """
+    return F.coalesce(text.rlike(r"(?U)[^\s\x00-\x1F\x7F-\x9F\x{FEFF}]"), F.lit(False))
+
+
 def clean_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Clean those of ``columns`` that ``df`` has, as strings."""
     return df.withColumns({c: clean(F.col(c).cast("string")) for c in columns if c in df.columns})

@@ -6,26 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import clean, clean_columns
+from codeloom.functions.text import clean, clean_columns, has_text
 from codeloom.session import write_stage
 
 
 def sanitise_catalogue(df: DataFrame) -> DataFrame:
-    """Rows with an id and a text, both cleaned; rows that end up empty are left out."""
-    return clean_columns(df.dropna(subset=["id", "text"]), ["id", "text"]).where("id <> '' AND text <> ''")
+    """Rows with an id and a text, both cleaned; rows that would end up empty are left out."""
+    return clean_columns(df.where(has_text(F.col("id")) & has_text(F.col("text"))), ["id", "text"])
 
 
 def removed_rows(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """How many rows ``sanitise_catalogue`` keeps and removes, in one pass."""
     missing = F.col("id").isNull() | F.col("text").isNull()
-    blank = ~missing & ((clean(F.col("id")) == "") | (clean(F.col("text")) == ""))
-    flags = df.select(*(by or []), missing.alias("_missing"), blank.alias("_blank"))
-    return flags.groupBy(*(by or [])).agg(
+    kept = has_text(F.col("id")) & has_text(F.col("text"))
+    return df.groupBy(*(by or [])).agg(
         F.count("*").alias("total_rows"),
-        F.count_if("_missing").alias("missing_rows"),
-        F.count_if("_blank").alias("blank_rows"),
-        F.count_if(~F.col("_missing") & ~F.col("_blank")).alias("kept_rows"),
-    ).withColumn("removed_rows", F.col("total_rows") - F.col("kept_rows"))
+        F.count_if(missing).alias("missing_rows"),
+        F.count_if(~missing & ~kept).alias("blank_rows"),
+        F.count_if(kept).alias("kept_rows"),
+        F.count_if(~kept).alias("removed_rows"),
+    )
 
 
 def add_uuid(df: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def add_uuid(df: DataFrame) -> DataFrame:
 
 def drop_empty_queries(df: DataFrame, text: str = "query") -> DataFrame:
     """Queries with their text cleaned; those without any text left are dropped."""
-    return df.withColumn(text, clean(F.col(text))).where(F.col(text) != "")
+    return df.where(has_text(F.col(text))).withColumn(text, clean(F.col(text)))
 
 
 def number_rows(df: DataFrame, order: list[str | Column], name: str = "ordinal") -> DataFrame:

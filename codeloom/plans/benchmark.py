@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import clean
+from codeloom.functions.text import clean, has_text
 from codeloom.operators.evaluate import accuracy, judge, macro_accuracy
 from codeloom.plans.engine import Engine
 
@@ -19,7 +19,7 @@ def run_benchmark(cases: DataFrame, engine: Engine, truth: str = "ground_truth")
     Every case takes its truth through the search, so nothing is joined afterwards and
     repeated case ids do no harm. Cases without text get no results and count as misses.
     """
-    text = F.nullif(clean(F.col("literal")), F.lit(""))
+    text = F.when(has_text(F.col("literal")), clean(F.col("literal")))
     queries = cases.select(F.col("id_registro").alias("id"), text.alias("query"), *[
         c for c in cases.columns if c not in {"id_registro", "literal"}
     ])

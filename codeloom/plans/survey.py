@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.hierarchy import hits_consensus
-from codeloom.functions.text import clean
+from codeloom.functions.text import clean, has_text
 from codeloom.operators.search import BROADCAST_BYTES, Searcher
 from codeloom.operators.translate import DEFAULT_LANG, translate_catalogue
 from codeloom.operators.vectorise import with_vectors
@@ -58,6 +58,6 @@ def code_vectors(df: DataFrame, searcher: Searcher, vector: str = "embedding") -
 def code_survey(df: DataFrame, searcher: Searcher, vectoriser) -> DataFrame:
     """All columns of a survey table and the coded ones. Rows without text get blanks."""
     _, text = survey_columns(df.columns)
-    cleaned = F.nullif(clean(F.col(f"`{text}`").cast("string")), F.lit(""))
-    embedded = with_vectors(df.withColumn("_text", cleaned), vectoriser, "_text", "_vector").drop("_text")
+    raw = F.col(f"`{text}`").cast("string")
+    embedded = with_vectors(df.withColumn("_text", F.when(has_text(raw), clean(raw))), vectoriser, "_text", "_vector").drop("_text")
     return code_vectors(embedded, searcher, "_vector")

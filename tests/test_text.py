@@ -66,7 +66,17 @@ def test_clean_agrees_with_unicodedata(spark):
         samples.append(text)
 
     collect()
-    assert cleaned(spark, samples) == [expected_clean(t) for t in samples]
+    expected = [expected_clean(t) for t in samples]
+    assert cleaned(spark, samples) == expected
+    rows = spark.createDataFrame(list(enumerate(samples)), "n int, text string")
+    assert [r[0] for r in rows.orderBy("n").select(X.has_text(F.col("text"))).collect()] == [t != "" for t in expected]
+
+
+def test_normalising_never_empties_a_character():
+    whitespace = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        normal = unicodedata.normalize("NFKC", c)
+        assert normal and (c in whitespace or not all(n.isspace() for n in normal)), hex(ord(c))
 
 
 def test_punctuation_and_case(spark):
