@@ -20,7 +20,7 @@ from codeloom.operators.search import flatten_hits, search_hits
 from codeloom.operators.translate import add_description, last_entry_wins
 from codeloom.operators.vectorise import WordPresence, mean_pool, with_vectors
 from codeloom.plans.benchmark import run_benchmark
-from codeloom.plans.engine import Engine, build_index, load_engine
+from codeloom.plans.engine import Engine, build_index, load_engine, reverse_queries
 from codeloom.plans.survey import code_survey, code_vectors, survey_searcher
 from codeloom.session import new_folder, write_stage
 from codeloom.sources.catalogue import described_rows
@@ -107,6 +107,32 @@ def search_with_metadata(spark, sf_dir):
     return flatten_hits(found).select("query_id", "doc_id", "doc_text", "rank", six("score"), "label")
 
 
+def _long_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector catalogue with vectors of different lengths."""
+    factor = F.col("label") + 1
+    longer = F.transform("embeddings", lambda x: (x * factor).cast("float"))
+    return vector_catalogue(spark, sf_dir, "vec_id", "label").withColumn("embeddings", longer)
+
+
+def _top_long(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    found = search_hits(
+        vector_queries(spark, sf_dir), _long_vectors(spark, sf_dir), 10, vector="_query_vector", columns=[], **how
+    )
+    return flatten_hits(found.drop("_query_vector")).select("query_id", "doc_id", "rank", six("score"))
+
+
+@query
+def search_long_documents(spark, sf_dir):
+    """Catalogue vectors as stored: longer ones score higher."""
+    return _top_long(spark, sf_dir)
+
+
+@query
+def search_unit_documents(spark, sf_dir):
+    """The same vectors brought to unit length for the search."""
+    return _top_long(spark, sf_dir, normalise_docs=True)
+
+
 @query
 def search_by_catalogue(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").withColumn("classifier", (F.col("label") % 2).cast("string"))
@@ -173,6 +199,23 @@ def _response_text(nested: DataFrame) -> DataFrame:
     return nested.withColumn("response", F.array_join(F.transform("response", one), "|"))
 
 
+class TransformOnly:
+    """A user's vectoriser: anything with ``transform``. Runs in Python, batch by batch."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.inner = WordPresence(vocabulary)
+
+    def transform(self, texts):
+        return self.inner.transform(texts)
+
+
+@query
+def embed_texts_in_batches(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = Engine(documents, TransformOnly(VOCABULARY)).embed(documents)
+    return found.select("id", _bits("embedding").alias("presence"))
+
+
 # --- vectors --------------------------------------------------------------------------
 
 
@@ -276,6 +319,13 @@ def reverse_by_catalogue(spark, sf_dir):
     return reverse_search(asked, parts, 100, True, by="classifier")
 
 
+@query
+def reverse_without_secrets(spark, sf_dir):
+    """Queries for two brands that may not be looked up are dropped before the search."""
+    asked, parts = _brands(spark, sf_dir)
+    return reverse_search(reverse_queries(asked, "id", "doc_id", secret=["Brand#1", "Brand#7"]), parts, 100)
+
+
 @query
 def reverse_nested(spark, sf_dir):
     nested = R.nest_reverse_results(reverse_search(*_brands(spark, sf_dir), 20, True))

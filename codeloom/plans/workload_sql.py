@@ -209,11 +209,30 @@ FROM firsts WHERE place = 1"""
 
 TOP10 = f"{BY_VEC} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10"
 
+
+
+def long_vectors(doc: str) -> str:
+    return f"""WITH {UNITS},
+longer AS (
+  SELECT vec, CAST(list_transform(v, lambda x: CAST(x * (label + 1) AS FLOAT)) AS DOUBLE[]) AS v FROM vectors
+),
+lengths AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM longer),
+scored AS (
+  SELECT q.vec AS query_id, d.vec AS doc_id, round(list_inner_product(q.unit, {doc}), 9) AS score FROM units q, lengths d
+),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10"""
+
+
 SQL: dict[str, str] = {
     "search_topk": TOP10,
     "search_topk_blocks": TOP10,
     "search_with_metadata": f"""{BY_VEC}
 SELECT query_id, doc_id, doc_text, rank, round(score, 6) AS score, doc_label AS label FROM ranked WHERE rank <= 10""",
+    "search_long_documents": long_vectors("d.v"),
+    "search_unit_documents": long_vectors("list_transform(d.v, lambda x: x / greatest(d.norm, 1e-12))"),
     "search_by_catalogue": ranked("vec", same="q.label % 2 = d.label % 2", by="CAST(q.label % 2 AS VARCHAR) AS classifier,")
     + " SELECT classifier, query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10",
     "classify_texts": f"""{text_ranked("CAST(doc_id AS VARCHAR)", CLEAN.format("text"))},
@@ -239,6 +258,8 @@ SELECT query_id, query_text, doc_id, CAST(row_number() OVER (PARTITION BY query_
 FROM firsts LEFT JOIN region ON doc_id = 'src' || CAST(r_regionkey AS VARCHAR) WHERE place = 1""",
     "embed_texts": f"""WITH tokens AS (SELECT CAST(item_id AS VARCHAR) AS id, text, {WORDS.format("text")} AS words FROM benchmark)
 SELECT id, text, {PRESENCE} AS presence FROM tokens""",
+    "embed_texts_in_batches": f"""WITH tokens AS (SELECT CAST(doc_id AS VARCHAR) AS id, {WORDS.format("text")} AS words FROM documents)
+SELECT id, {PRESENCE} AS presence FROM tokens""",
     "code_survey_file": f"""{text_ranked("CAST(doc_id AS VARCHAR)", CLEAN.format("text"))},
 described AS (
   SELECT r.*, CASE WHEN d.lang <> 'en' THEN d.lang || '/' || d.source ELSE r.doc_text END AS description
@@ -327,6 +348,7 @@ found AS (
   FROM asked a JOIN part p ON starts_with(p.p_brand, a.code) AND p.p_type = a.classifier
 )
 SELECT id, doc_id, doc_text, classifier, p_partkey FROM found WHERE place <= 100""",
+    "reverse_without_secrets": BRANDS.format(match=EXACT + " AND a.code NOT IN ('Brand#1', 'Brand#7')", limit="place <= 100"),
     "reverse_nested": f"""SELECT id AS input_id,
        string_agg(doc_id || ':' || doc_text || ':' || CAST(p_partkey AS VARCHAR), '|' ORDER BY doc_id, doc_text, p_partkey) AS response
 FROM ({BRANDS.format(match=STARTS, limit="place <= 20")}) GROUP BY id""",
