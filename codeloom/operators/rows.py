@@ -38,16 +38,22 @@ def drop_empty_queries(df: DataFrame, text: str = "query") -> DataFrame:
     return df.where(has_text(F.col(text))).withColumn(text, clean(F.col(text)))
 
 
-def number_rows(df: DataFrame, order: list[str | Column], name: str = "ordinal") -> DataFrame:
+def number_rows(
+    df: DataFrame, order: list[str | Column], name: str = "ordinal", stored: bool = False
+) -> DataFrame:
     """Number all rows from 0 in the given order; equal rows keep the order they come in.
 
     The rows are range-partitioned and sorted, and written once with their place in
     the partition. Only the partition sizes, one row each, are then summed up in
     one task; no task ever sees the whole table. The arrival number as the last sort
-    key lets a value that many rows share be cut over several partitions.
+    key lets a value that many rows share be cut over several partitions. It must not
+    change when a task is run again, so it is written out first, unless the rows are
+    ``stored``: read from files in the same order each time.
     """
-    by = [*order, "_arrival"]
     arrived = df.withColumn("_arrival", F.monotonically_increasing_id())
+    if not stored:
+        arrived = write_stage(arrived, "arrived")
+    by = [*order, "_arrival"]
     placed = write_stage(
         arrived.repartitionByRange(*by).sortWithinPartitions(*by).drop("_arrival").withColumns(
             {"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}
@@ -63,7 +69,7 @@ def number_rows(df: DataFrame, order: list[str | Column], name: str = "ordinal")
     )
 
 
-def auto_id(df: DataFrame, order: list[str | Column], name: str = "id") -> DataFrame:
+def auto_id(df: DataFrame, order: list[str | Column], name: str = "id", stored: bool = False) -> DataFrame:
     """``r_<ordinal>`` ids for tables that come without one."""
-    numbered = number_rows(df, order, "_ordinal")
+    numbered = number_rows(df, order, "_ordinal", stored)
     return numbered.withColumn(name, F.concat(F.lit("r_"), F.col("_ordinal"))).drop("_ordinal")

@@ -360,14 +360,14 @@ def clean_catalogue(spark, sf_dir):
 
 @query
 def auto_ids(spark, sf_dir):
-    return auto_id(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"], "row_id")
+    return auto_id(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"], "row_id", stored=True)
 
 
 @query
 def job_progress(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id")
     total = F.lit(documents.count())
-    per_chunk = number_rows(documents, ["doc_id"]).groupBy(F.floor(F.col("ordinal") / CHUNK).alias("chunk")).agg(
+    per_chunk = number_rows(documents, ["doc_id"], stored=True).groupBy(F.floor(F.col("ordinal") / CHUNK).alias("chunk")).agg(
         F.count("*").alias("chunk_rows")
     )
     return per_chunk.select(
