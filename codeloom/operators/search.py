@@ -287,14 +287,17 @@ def _search_blocks(
 
     # Several pairs of blocks for each task that the cluster can run at once.
     enough = F.ceil(F.lit(4 * spark.sparkContext.defaultParallelism) / F.col("_d_blocks"))
-    grid = write_stage(
-        blocks(rows, vector, "_q_blocks").join(blocks(docs, "_vector", "_d_blocks"), "_by")
-        .withColumn("_q_blocks", F.greatest("_q_blocks", enough)),
-        "grid",
-    )
-    total = grid.agg(F.count("*"), F.sum(F.col("_q_blocks") * F.col("_d_blocks"))).first()
-    small_grid = F.broadcast(grid) if total[0] <= GRID_ROWS else grid
-    tasks = int(min(max(total[1] or 1, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000))
+    grid = blocks(rows, vector, "_q_blocks").join(blocks(docs, "_vector", "_d_blocks"), "_by")
+    grid = grid.withColumn("_q_blocks", F.greatest("_q_blocks", enough))
+    # One row per catalogue.
+    known = grid.limit(GRID_ROWS + 1).collect()
+    if len(known) <= GRID_ROWS:
+        grid = F.broadcast(spark.createDataFrame(known, grid.schema))
+        pairs = sum(r["_q_blocks"] * r["_d_blocks"] for r in known)
+    else:
+        grid = write_stage(grid, "grid")
+        pairs = grid.agg(F.sum(F.col("_q_blocks") * F.col("_d_blocks"))).first()[0]
+    tasks = int(min(max(pairs, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000))
 
     # A row's block follows from its own number, so equal rows spread over all blocks.
     def cell(own: str, key: str, blocks_of: str) -> Column:
@@ -306,12 +309,12 @@ def _search_blocks(
     pair = ["_by", "_q", "_d"]
     left = (
         rows.where(F.col(vector).isNotNull())
-        .join(small_grid, "_by")
+        .join(grid, "_by")
         .select("_by", "_row", F.col(vector).alias("_vector"), cell("_q", "_row", "_q_blocks"), every("_d", "_d_blocks"))
         .repartition(tasks, *pair)
     )
     right = (
-        docs.join(small_grid, "_by")
+        docs.join(grid, "_by")
         .select("_by", "_place", "_vector", cell("_d", "_place", "_d_blocks"), every("_q", "_q_blocks"))
         .repartition(tasks, *pair)
     )

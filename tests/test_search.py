@@ -97,6 +97,25 @@ def test_catalogues_are_kept_apart(spark, tables):
         assert all(r["hits"] == [] for r in found.where("classifier = 'unknown'").collect())
 
 
+def test_many_catalogues(spark, tables, monkeypatch):
+    _, _, q, d = tables
+    named = d.withColumn("classifier", F.substring("id", 2, 1))
+    asked = q.select("query_id", "v", F.explode(F.array(*[F.lit(str(i)) for i in range(10)])).alias("classifier"))
+    rows = lambda df: sorted(map(str, df.select("query_id", "classifier", "hits").collect()))
+    small = rows(S.search_hits(asked, named, 3, by="classifier", vector="v"))
+    monkeypatch.setattr(S, "GRID_ROWS", 0)
+    assert rows(S.search_hits(asked, named, 3, by="classifier", vector="v", broadcast_bytes=0, block_bytes=50)) == small
+
+
+def test_one_searcher_for_many_searches(tables):
+    queries, docs, q, d = tables
+    for limit in (S.BROADCAST_BYTES, 0):
+        searcher = S.Searcher(d, broadcast_bytes=limit)
+        for k in (1, 4):
+            found = collect(searcher.hits(q, k, "v"))
+            assert {n: [i for i, _ in h] for n, h in found.items()} == {n: [i for i, _ in h] for n, h in brute(queries, docs, k).items()}
+
+
 def test_flat_rows_and_order(tables):
     _, _, q, d = tables
     flat = S.flatten_hits(S.search_hits(q, d.withColumn("colour", F.lit("red")), 10, vector="v"), ("v",))
