@@ -29,6 +29,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Paths of the tables written by this session and not yet released.
+_stages: list[str] = []
+
+
 def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -39,4 +43,17 @@ def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    _stages.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Free the space of all tables written by ``write_stage``, once their results are stored.
+
+    Each is overwritten by an empty table. Results that still read one become empty.
+    """
+    released = 0
+    while _stages:
+        spark.range(0).write.mode("overwrite").parquet(_stages.pop())
+        released += 1
+    return released

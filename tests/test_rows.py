@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom import session
+from codeloom.errors import InvalidInput
 from codeloom.operators.rows import auto_id, number_rows
 
 
@@ -23,3 +25,26 @@ def test_auto_ids(spark):
 
 def test_empty_table(spark):
     assert number_rows(spark.createDataFrame([], "v int"), ["v"]).collect() == []
+
+
+def test_stages_are_in_the_shared_folder_and_can_be_released(spark):
+    staged = session.write_stage(spark.range(10))
+    path = session._stages[-1]
+    assert path.startswith(session.shared_dir(spark)) and staged.count() == 10
+    assert session.release_stages(spark) >= 1 and not session._stages
+    assert spark.read.parquet(path).count() == 0
+
+
+class Cluster:
+    """As much of a session as ``shared_dir`` looks at."""
+
+    def __init__(self, folder, master):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app"})
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert session.shared_dir(Cluster("hdfs:///x/", "yarn")) == "hdfs:///x"
+    assert session.shared_dir(Cluster(None, "local[2]")).endswith("codeloom-app")
+    with pytest.raises(InvalidInput):
+        session.shared_dir(Cluster(None, "yarn"))
