@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The characters that cleaning deletes (C0 and C1 controls, DEL, BOM).
-DELETED = r"[\x00-\x1F\x7F-\x9F\x{FEFF}]"
+DELETED = r"\x00-\x1F\x7F-\x9F\x{FEFF}"
 
 # The ASCII punctuation characters.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -33,11 +33,15 @@ def clean(text: Column) -> Column:
     Tabs and line breaks are control characters: they are deleted, not replaced.
     Only texts with other than plain characters are handed to Python to be normalised.
     """
-    kept = F.regexp_replace(text, DELETED, "")
     # Non-deterministic only for the optimiser: a filter on the result is not to clean twice.
     normalise = _nfkc.asNondeterministic()
-    normal = F.coalesce(normalise(F.when(text.rlike(f"[^{PLAIN}]"), kept)), kept, F.lit(""))
-    return F.trim(F.regexp_replace(normal, r"(?U)\s+", " "))
+    other = F.when(text.rlike(f"[^{PLAIN}]"), F.regexp_replace(text, f"[{DELETED}]", ""))
+    normal = F.regexp_replace(normalise(other), r"(?U)\s+", " ")
+    # The only white space left in plain texts is the blank, and there are seldom two in a
+    # row. The one-element array lets the shortened text be looked at without a second pass.
+    kept = F.array(F.regexp_replace(text, f"[{DELETED}]", ""))
+    plain = F.transform(kept, lambda t: F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
+    return F.trim(F.coalesce(normal, F.get(plain, F.lit(0)), F.lit("")))
 
 
 def has_text(text: Column) -> Column:
@@ -45,7 +49,7 @@ def has_text(text: Column) -> Column:
 
     Normalising never removes a character and only turns white space into white space.
     """
-    return F.coalesce(text.rlike(r"(?U)[^\s\x00-\x1F\x7F-\x9F\x{FEFF}]"), F.lit(False))
+    return F.coalesce(text.rlike(rf"(?U)[^\s{DELETED}]"), F.lit(False))
 
 
 def clean_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
