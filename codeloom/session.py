@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.errors import InvalidInput
 
+# Names the folder where ``spark.checkpoint.dir`` is unset; can be set while a session runs.
+STAGE_SETTING = "codeloom.stage.dir"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may run without it; it then gets one folder of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise InvalidInput("set spark.checkpoint.dir to a folder shared by all executors")
-    return os.path.join(tempfile.gettempdir(), f"codeloom-{spark.sparkContext.applicationId}")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or else what ``STAGE_SETTING`` names."""
+    for name in ("spark.checkpoint.dir", STAGE_SETTING):
+        configured = spark.conf.get(name, None)
+        if configured:
+            return configured.rstrip("/")
+    raise InvalidInput(f"set spark.checkpoint.dir or {STAGE_SETTING} to a folder shared by all executors")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -29,31 +26,34 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-# Paths of the tables written by this session and not yet released.
-_stages: list[str] = []
+class Stages:
+    """The tables that one searcher or job has written, so that they can be freed with it."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def release(self, spark: SparkSession) -> int:
+        """Free their space once the results are stored; results that still read one become empty.
 
+        Each is overwritten by an empty table. Tables of other jobs stay.
+        """
+        released = len(self.paths)
+        while self.paths:
+            spark.range(0).write.mode("overwrite").parquet(self.paths.pop())
+        return released
 
-def write_stage(df: DataFrame, name: str = "stage") -> DataFrame:
+
+def write_stage(df: DataFrame, name: str = "stage", stages: Stages | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Generated keys and block numbers are frozen by the write, so a task that is
     retried after an executor is lost sees the same rows as the first attempt,
-    and later steps read only the columns they need.
+    and later steps read only the columns they need. With ``stages`` the table
+    is freed by that object's ``release``.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    _stages.append(path)
+    if stages is not None:
+        stages.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def release_stages(spark: SparkSession) -> int:
-    """Free the space of all tables written by ``write_stage``, once their results are stored.
-
-    Each is overwritten by an empty table. Results that still read one become empty.
-    """
-    released = 0
-    while _stages:
-        spark.range(0).write.mode("overwrite").parquet(_stages.pop())
-        released += 1
-    return released

@@ -27,24 +27,26 @@ def test_empty_table(spark):
     assert number_rows(spark.createDataFrame([], "v int"), ["v"]).collect() == []
 
 
-def test_stages_are_in_the_shared_folder_and_can_be_released(spark):
-    staged = session.write_stage(spark.range(10))
-    path = session._stages[-1]
+def test_a_job_frees_its_own_stages_only(spark):
+    mine, other = session.Stages(), session.Stages()
+    staged = session.write_stage(spark.range(10), stages=mine)
+    kept = session.write_stage(spark.range(7), stages=other)
+    path = mine.paths[0]
     assert path.startswith(session.shared_dir(spark)) and staged.count() == 10
-    assert session.release_stages(spark) >= 1 and not session._stages
-    assert spark.read.parquet(path).count() == 0
+    assert mine.release(spark) == 1 and not mine.paths
+    assert spark.read.parquet(path).count() == 0 and kept.count() == 7
+    assert spark.read.parquet(other.paths[0]).count() == 7
 
 
 class Cluster:
     """As much of a session as ``shared_dir`` looks at."""
 
-    def __init__(self, folder, master):
-        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app"})
+    def __init__(self, **conf):
+        self.conf = conf
 
 
-def test_a_cluster_needs_a_shared_folder():
-    assert session.shared_dir(Cluster("hdfs:///x/", "yarn")) == "hdfs:///x"
-    assert session.shared_dir(Cluster(None, "local[2]")).endswith("codeloom-app")
+def test_the_shared_folder_is_named_by_the_caller():
+    assert session.shared_dir(Cluster(**{"spark.checkpoint.dir": "hdfs:///x/"})) == "hdfs:///x"
+    assert session.shared_dir(Cluster(**{session.STAGE_SETTING: "/y"})) == "/y"
     with pytest.raises(InvalidInput):
-        session.shared_dir(Cluster(None, "yarn"))
+        session.shared_dir(Cluster())
