@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codeloom.errors import InvalidInput
 
 # Names the folder where ``spark.checkpoint.dir`` is unset; can be set while a session runs.
-STAGE_SETTING = "codeloom.stage.dir"
+STAGE_SETTING = "spark.codeloom.stageDir"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("codeloom.stage.dir", str(tmp_path_factory.mktemp("stages")))
+        .config("spark.codeloom.stageDir", str(tmp_path_factory.mktemp("stages")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
