@@ -77,8 +77,8 @@ class Piece(NamedTuple):
         return len(self.offsets) - 1
 
 
-def pieces(texts: pa.Array | pa.ChunkedArray, most: int = PIECE_BYTES) -> Iterator[Piece]:
-    """The texts in order, cut so that each piece has ``most`` bytes or is one text."""
+def pieces(texts: pa.Array | pa.ChunkedArray, most: int = PIECE_BYTES, texts_most: int = 1 << 20) -> Iterator[Piece]:
+    """The texts in order, cut so that each piece has ``most`` bytes or is one text, and ``texts_most`` texts at most."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
@@ -88,6 +88,7 @@ def pieces(texts: pa.Array | pa.ChunkedArray, most: int = PIECE_BYTES) -> Iterat
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        hi = min(hi, lo + texts_most, len(texts))
         yield Piece(lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 
@@ -176,3 +177,8 @@ def shingles(words: Tokens, n: int, size: int = 5) -> tuple[np.ndarray, np.ndarr
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
     return doc[new], hashes[new]
+
+
+def sample_below(rows: int, most: int) -> int:
+    """The limit for 63-bit hashes below which about ``most`` of ``rows`` rows lie."""
+    return (1 << 63) - 1 if rows <= most else (1 << 63) // rows * most

@@ -1,0 +1,230 @@
+"""Main text of web pages by container paths that the pages of a host agree on.
+
+Every page scores its containers: text counts for its container and, less, for what that
+lies in; links, menus, adverts and the like count nothing. The best container's path of
+generalised tags (tag and classes, without digits) is the page's vote. Spark adds up the
+votes by host, and the pages are read again at their host's winning path. A page without
+that path falls back on its own best container.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html import unescape
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from codeloom.operators.joins import lookup_join
+from codeloom.session import write_stage
+
+LOOKUP_BYTES = 16 << 20
+DECAY = 0.7  # of text for the container one level up
+FAVOUR = 1.5  # for containers that say they hold the article
+
+# HTML element kinds.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp svg math".split())
+BLOCK = frozenset(
+    "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody "
+    "td tfoot th thead tr ul".split()
+)
+DROPPED = frozenset("nav header footer aside form button select dialog menu head object audio video canvas label fieldset".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+# Words in a class or id that tell what is not the article, and what is.
+BOILERPLATE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
+    "notices alert comment comments reply replies respond disqus discussion sidebar aside menu nav navbar navigation breadcrumb "
+    "breadcrumbs footer header masthead topbar share sharing social related recommended newsletter subscribe subscription popup modal "
+    "overlay widget widgets toolbar pagination pager login signup search form hidden".split()
+)
+ARTICLE = frozenset("article content main post entry story body text".split())
+CLOSES_P = BLOCK - {"br", "body", "html"}
+SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_WORD = re.compile(r"[A-Za-z]+")
+
+
+class Node:
+    """An element; ``parts`` holds texts and child elements in order."""
+
+    __slots__ = ("tag", "path", "parts", "up", "drop", "favour", "score")
+
+    def __init__(self, tag: str, attributes: str, up: Node | None):
+        self.tag, self.up, self.parts, self.score = tag, up, [], 0.0
+        kept = up is not None and up.drop
+        names = ""
+        self.favour = tag in ("article", "main")
+        if attributes and not attributes.isspace():
+            found = {m[0].lower(): m[1] or m[2] or m[3] for m in reversed(_ATTRIBUTE.findall(attributes))}
+            words = [w.lower() for a in ("class", "id") for w in _WORD.findall(found.get(a, ""))]
+            names = "." + "-".join(sorted({w.lower() for w in _WORD.findall(found.get("class", ""))})) if found.get("class") else ""
+            style = found.get("style", "").replace(" ", "").lower()
+            holder = tag in ("html", "body", "main", "article")
+            kept |= found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+            kept |= "display:none" in style or "visibility:hidden" in style or (not holder and not BOILERPLATE.isdisjoint(words))
+            self.favour |= not ARTICLE.isdisjoint(words) or found.get("role") in ("main", "article")
+        self.drop = kept or tag in DROPPED or tag in RAW
+        self.path = (up.path + "/" if up else "") + tag + names
+
+
+def parse(html: str) -> Node:
+    """The element tree; raw elements and comments are left out, and ends that HTML leaves out are put in."""
+    root = node = Node("html", "", None)
+    at, size = 0, len(html)
+    while at < size:
+        m = _TAG.search(html, at)
+        if m is None:
+            node.parts.append(html[at:])
+            break
+        if m.start() > at:
+            node.parts.append(html[at : m.start()])
+        at = m.end()
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            back = node
+            while back is not None and back.tag != tag:
+                back = back.up
+            if back is not None and back.up is not None:
+                node = back.up
+            elif tag == "p":
+                node.parts.append(Node("p", "", node))
+            continue
+        if tag == "html":
+            continue
+        if tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            at = end.end() if end else size
+            continue
+        if tag in CLOSES_P:
+            back = node
+            while back is not None and back.tag != "p" and back.tag not in ("td", "th", "button", "object", "table"):
+                back = back.up
+            if back is not None and back.tag == "p":
+                node = back.up
+        if tag in SAME:
+            back = node
+            while back is not None and back.tag not in STOPS[tag]:
+                if back.tag in SAME[tag]:
+                    node = back.up
+                    break
+                back = back.up
+        fresh = Node(tag, m[3], node)
+        node.parts.append(fresh)
+        if tag not in VOID and not m[3].endswith("/"):
+            node = fresh
+        elif tag not in VOID and m[3].endswith("/") and tag not in ("path", "g", "rect"):
+            node = fresh  # a slash does not close an HTML element
+    return root
+
+
+def _nodes(root: Node) -> Iterator[Node]:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo.extend(reversed([x for x in node.parts if isinstance(x, Node)]))
+
+
+def _letters(text: str) -> int:
+    return len(text) - text.count(" ") - text.count("\n")
+
+
+def best_container(root: Node) -> Node | None:
+    """The container with the highest score; the outer one on a tie. None if there is no text outside dropped parts."""
+    for node in _nodes(root):
+        if node.drop:
+            continue
+        inline, holder = node, None
+        while inline is not None:
+            if inline.tag == "a":
+                holder = None
+                break
+            if holder is None and inline.tag in BLOCK and inline.tag not in ("p", "li", "td", "th", "tr", "br", "dd", "dt", "pre", "blockquote") and inline.tag[0:1] + inline.tag[1:].strip("123456") != "h":
+                holder = inline
+            inline = inline.up
+        if holder is None:
+            continue
+        weight = sum(_letters(x) for x in node.parts if isinstance(x, str))
+        while holder is not None and weight > 0.5:
+            holder.score += weight * (FAVOUR if holder.favour else 1)
+            weight *= DECAY
+            holder = holder.up
+    best = None
+    for node in _nodes(root):
+        if node.score > 0 and not node.drop and (best is None or node.score > best.score):
+            best = node
+    return best
+
+
+def text_of(node: Node) -> str:
+    """Blocks in page order, white space squeezed, joined by a space; dropped parts are left out."""
+    out: list[str] = []
+    todo: list[Node | str] = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x is node or not x.drop:
+            if x.tag in BLOCK:
+                out.append(" ")
+                todo.append(" ")
+            todo.extend(reversed(x.parts))
+    return " ".join(unescape("".join(out)).split())
+
+
+def extract(html: str | None, path: str | None) -> str:
+    """The text at ``path``, or of the page's best container where there is none."""
+    root = parse(html or "")
+    found = [n for n in _nodes(root) if n.path == path and not n.drop] if path else []
+    if found:
+        return " ".join(t for t in map(text_of, found) if t)
+    best = best_container(root)
+    return text_of(best) if best is not None else ""
+
+
+def host_of(url: Column) -> Column:
+    """The host in lower case; empty for null or odd addresses."""
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+
+
+def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        best = [best_container(parse(x.as_py() or "")) for x in batch["html"]]
+        told = pa.array([b.path if b is not None else None for b in best], pa.string())
+        score = pa.array([b.score if b is not None else 0.0 for b in best], pa.float64())
+        yield pa.record_batch([batch["host"], told, score], names=["host", "path", "score"])
+
+
+def host_paths(pages: DataFrame) -> DataFrame:
+    """``host, path``: the container path with the most votes of the host's pages; by score, then by name on a tie."""
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html")
+    votes = rows.mapInArrow(_vote, "host string, path string, score double").where("path is not null")
+    counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score", 3).cast("decimal(30,3)")).alias("score"))
+    return counted.groupBy("host").agg(F.max_by("path", F.struct("n", "score", "path")).alias("path"))
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
+    """``page_id, url, text, n_chars`` per row of ``pages`` (``page_id``, ``url``, ``html``; other columns are ignored).
+
+    Null or empty html, and pages without text outside of dropped parts, give an empty text. Pages without a
+    host vote together. Repeated rows come out as often as they came in.
+    """
+    paths = write_stage(host_paths(pages), "paths")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    rows = lookup_join(rows, paths, ["host"], "left", LOOKUP_BYTES).select("page_id", "url", "html", "path")
+
+    @F.arrow_udf("string")
+    def read(html: pa.Array, path: pa.Array) -> pa.Array:
+        return pa.array([extract(h.as_py(), p.as_py()) for h, p in zip(html, path)], pa.string())
+
+    told = rows.select("page_id", "url", read.asNondeterministic()(F.col("html"), F.col("path")).alias("text"))
+    return told.withColumn("n_chars", F.length("text").cast("long"))

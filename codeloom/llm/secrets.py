@@ -1,0 +1,169 @@
+"""Secret scans with an incremental ledger of blobs, with DataFrame functions only.
+
+Texts are content-addressed: a blob is the SHA-256 of a text, whatever path or version of
+a path it came from. The ledger has a row ``blob, rule_version, spans`` for every blob that
+a version of the rules has seen. A scan reads only the pairs of blob and rule version that
+are not in the ledger, and findings are joined back to all paths that have the blob.
+
+Spans are code points, end exclusive. Spark's regular expressions give matches
+without places, so the places follow from the texts between the matches.
+"""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from codeloom.operators.joins import lookup_join
+from codeloom.session import write_stage
+
+LOOKUP_BYTES = 16 << 20
+SPAN = "array<struct<start: bigint, place: int, end: bigint, kind: string>>"
+REDACTED = "[REDACTED]"
+
+
+class Rule(NamedTuple):
+    """A kind of secret. Only texts with ``hint`` are searched; matches whose ``group`` is shorter than ``least`` are dropped."""
+
+    kind: str
+    pattern: str
+    hint: str
+    group: int = 0
+    least: int = 1
+
+
+# The base kinds, in the order in which they are listed.
+BASE = (
+    Rule(
+        "assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", 2, 6,
+    ),
+    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16}", 0, 20),
+    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{24}", 0, 24),
+)
+# Tokens of well-known issuers.
+ISSUED = (
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_[A-Za-z0-9]{36}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}", r"AIza"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{8}"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+)
+RULE_VERSIONS = {"base-1": BASE, "issued-1": ISSUED}
+_PLACE = {rule.kind: i for i, rule in enumerate([*BASE, *ISSUED])}
+
+
+def rule_spans(text: Column, rule: Rule) -> Column:
+    """The spans of one kind: leftmost matches that do not overlap, without those too short."""
+    pattern = F.lit(rule.pattern)
+    matches = F.regexp_extract_all(text, pattern, F.lit(0))
+    checked = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
+    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), matches.alias("hit"), checked.alias("value"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
+
+    def step(state: Column, part: Column) -> Column:
+        begin = state["at"] + F.length(part["gap"])
+        end = begin + F.coalesce(F.length(part["hit"]), F.lit(0))
+        span = F.struct(begin.alias("start"), F.lit(_PLACE[rule.kind]).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+        spans = F.when(F.length(part["value"]) >= rule.least, F.array_append(state["spans"], span)).otherwise(state["spans"])
+        return F.struct(end.alias("at"), spans.cast(SPAN).alias("spans"))
+
+    found = F.aggregate(parts, start, step, lambda state: state["spans"])
+    return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(SPAN))
+
+
+def blob_id(text: Column) -> Column:
+    """The content address; a null text is an empty one."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """New ledger rows: every blob of ``docs`` with every rule version that the ledger does not have for it."""
+    blobs = docs.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    if ledger is not None:
+        known = ledger.groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))
+        known = write_stage(known.where(F.size("seen") > 0), "seen")
+        blobs = lookup_join(blobs, known, ["blob"], "left", LOOKUP_BYTES)
+    else:
+        blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
+    asked = F.filter(
+        F.array(*[F.lit(v) for v in RULE_VERSIONS]), lambda v: ~F.coalesce(F.array_contains(F.col("seen"), v), F.lit(False))
+    )
+    blobs = blobs.withColumn("asked", asked).where(F.size("asked") > 0)
+    # One text per blob; copies are combined in the map tasks already.
+    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
+    found = [
+        F.when(
+            F.array_contains("asked", version),
+            F.struct(F.lit(version).alias("rule_version"), F.array_sort(F.concat(*[rule_spans(F.col("text"), r) for r in rules])).alias("spans")),
+        )
+        for version, rules in RULE_VERSIONS.items()
+    ]
+    rows = blobs.select("blob", F.explode(F.array_compact(F.array(*found))).alias("row"))
+    return rows.select("blob", "row.rule_version", "row.spans")
+
+
+def update_ledger(docs: DataFrame, path: str, fresh: bool = False) -> DataFrame:
+    """Scan what the ledger at ``path`` has not seen, add it there, and return the whole ledger.
+
+    ``fresh`` starts a ledger. Rows are only ever added; a write that is repeated adds nothing new.
+    """
+    spark = docs.sparkSession
+    new = scan_unseen(docs, None if fresh else spark.read.parquet(path))
+    new.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def blob_spans(ledger: DataFrame) -> DataFrame:
+    """``blob, spans`` of all rule versions, for blobs with a finding; sorted by start and kind."""
+    hits = ledger.where((F.size("spans") > 0) & F.col("rule_version").isin(list(RULE_VERSIONS)))
+    return hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+
+
+def _found(docs: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """``doc`` (all columns of the row) and its spans."""
+    if ledger is None:
+        ledger = write_stage(scan_unseen(docs), "ledger")
+    spans = write_stage(blob_spans(ledger), "findings")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = lookup_join(docs.select(whole, blob_id(F.col("text")).alias("blob")), spans, ["blob"], "left", LOOKUP_BYTES)
+    return rows.select("doc", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def _told(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def find_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob`` per row of ``docs``, the ledger's or freshly scanned.
+
+    Null and empty texts have no spans. Repeated rows and copies share their blob's findings.
+    """
+    found = _found(docs.select("doc_id", "text"), ledger)
+    base = F.filter("spans", lambda s: s["place"] < len(BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    return found.select(
+        F.col("doc.doc_id").alias("doc_id"), *counts, F.sha2(_told(base), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"), "blob"
+    )
+
+
+def redact_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """``docs`` with every span, or run of spans that overlap, replaced in ``text``; ``n_chars`` follows if present."""
+    found = _found(docs, ledger)
+    text = F.col("doc.text")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(state: Column, span: Column) -> Column:
+        gap = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
+        fresh = span["start"] >= state["at"]
+        out = F.when(fresh, F.concat(state["out"], gap, F.lit(REDACTED))).otherwise(state["out"])
+        return F.struct(out.alias("out"), F.greatest(state["at"], span["end"]).alias("at"))
+
+    rest = lambda state: F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
+    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(text)
+    rows = found.select("doc", clean.alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
