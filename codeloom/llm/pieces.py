@@ -29,6 +29,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 GROUP_BYTES = 6 << 20
+UNITS = 1 << 14  # that go through the tokenizers at once
 # Spaces against all other bytes.
 _SPACES = np.full(256, 2, np.uint8)
 _SPACES[0x20] = 1
@@ -213,13 +214,18 @@ class Coder:
         _, at, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         different = pa.concat_arrays(spans).take(pa.array(at))
         told = pc.replace_substring(different, " ", MARK).to_pylist()
-        found = [e.ids for e in self.units.encode_batch_fast(told, add_special_tokens=False)]
         # Every unit starts with a space, which SentencePiece puts in front by itself.
-        own = self.check.encode(pc.utf8_slice_codeunits(different, 1).to_pylist(), num_threads=threads)
-        # A unit of one space alone is the prefix of nothing: SentencePiece gives no ids for an empty text.
-        wrong = np.fromiter((x != y and u != MARK for x, y, u in zip(found, own, told)), bool, len(found))
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum()))
+        bare = pc.utf8_slice_codeunits(different, 1).to_pylist()
+        sizes, flats, wrongs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
+        for lo in range(0, len(told), UNITS):
+            part = told[lo : lo + UNITS]
+            found = [e.ids for e in self.units.encode_batch_fast(part, add_special_tokens=False)]
+            own = self.check.encode(bare[lo : lo + UNITS], num_threads=threads)
+            # A unit of one space alone is the prefix of nothing: SentencePiece gives no ids for an empty text.
+            wrongs.append(np.fromiter((x != y and u != MARK for x, y, u in zip(found, own, part)), bool, len(part)))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(part)))
+            flats.append(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
+        size, flat, wrong = np.concatenate(sizes), np.concatenate(flats), np.concatenate(wrongs)
         begin = np.cumsum(size) - size
         long = size[place]
         ends = np.cumsum(long)
