@@ -12,9 +12,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = (1 << 20) - 4096
 # A text longer than a piece is hashed in cuts of this size.
-CUT_BYTES = 2 << 20
+CUT_BYTES = PIECE_BYTES
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

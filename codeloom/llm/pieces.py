@@ -28,7 +28,7 @@ MARK = "▁"
 # Kinds of pieces and of models in the SentencePiece format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 5 << 20
 UNITS = 1 << 14  # that go through the tokenizers at once
 # Spaces against all other bytes.
 _SPACES = np.full(256, 2, np.uint8)
@@ -212,24 +212,25 @@ class Coder:
         if not hashes:
             return pa.array([[]] * len(texts), pa.list_(pa.int32())), np.ones(len(texts), bool)
         _, at, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        different = pa.concat_arrays(spans).take(pa.array(at))
-        told = pc.replace_substring(different, " ", MARK).to_pylist()
-        # Every unit starts with a space, which SentencePiece puts in front by itself.
-        bare = pc.utf8_slice_codeunits(different, 1).to_pylist()
+        different, place = pa.concat_arrays(spans).take(pa.array(at)), place.astype(np.int32)
+        del hashes, spans, at
         sizes, flats, wrongs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
-        for lo in range(0, len(told), UNITS):
-            part = told[lo : lo + UNITS]
+        for lo in range(0, len(different), UNITS):
+            lot = different.slice(lo, UNITS)
+            part = pc.replace_substring(lot, " ", MARK).to_pylist()
             found = [e.ids for e in self.units.encode_batch_fast(part, add_special_tokens=False)]
-            own = self.check.encode(bare[lo : lo + UNITS], num_threads=threads)
+            # Every unit starts with a space, which SentencePiece puts in front by itself.
+            own = self.check.encode(pc.utf8_slice_codeunits(lot, 1).to_pylist(), num_threads=threads)
             # A unit of one space alone is the prefix of nothing: SentencePiece gives no ids for an empty text.
             wrongs.append(np.fromiter((x != y and u != MARK for x, y, u in zip(found, own, part)), bool, len(part)))
             sizes.append(np.fromiter(map(len, found), np.int64, len(part)))
             flats.append(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
         size, flat, wrong = np.concatenate(sizes), np.concatenate(flats), np.concatenate(wrongs)
-        begin = np.cumsum(size) - size
-        long = size[place]
-        ends = np.cumsum(long)
-        ids = flat[np.repeat(begin[place] - (ends - long), long) + np.arange(ends[-1] if len(ends) else 0)]
+        begin, long = (np.cumsum(size) - size).astype(np.int32), size[place].astype(np.int32)
+        ends = np.cumsum(long, dtype=np.int32)  # a group's tokens are fewer than its bytes
+        ids = np.repeat(begin[place] - (ends - long), long)
+        ids += np.arange(len(ids), dtype=np.int32)
+        ids = flat[ids]
         owner = np.concatenate(owners)
         by_text = np.bincount(owner, weights=long, minlength=len(texts)).astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(by_text)]).astype(np.int32)
@@ -289,6 +290,7 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> Data
                 yield pa.StructArray.from_arrays(
                     [ids, pa.array(parity), pa.array(back, pa.bool_())], names=["ids", "parity", "round_trip"]
                 )
+                pa.default_memory_pool().release_unused()
 
     encode.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     told = F.arrow_udf(encode, "struct<ids: array<int>, parity: boolean, round_trip: boolean>").asNondeterministic()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.arrays import WORD_CLASSES, Piece, Prefix, mix, per_doc, pieces, tokens, windows
+from codeloom.llm.arrays import CUT_BYTES, WORD_CLASSES, Piece, Prefix, mix, per_doc, pieces, tokens, windows
 from codeloom.session import write_stage
 
 WINDOW = 8
@@ -113,7 +113,7 @@ def _lines(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     lo = 0
     while lo < len(start):
         base = int(start[lo])
-        hi = max(lo + 1, int(np.searchsorted(end, base + (2 << 20), "right")))
+        hi = max(lo + 1, int(np.searchsorted(end, base + CUT_BYTES, "right")))
         sums = Prefix(data[base : int(end[hi - 1])])
         out[lo:hi] = sums.of(start[lo:hi] - base, end[lo:hi] - base) + (end - start)[lo:hi].astype(np.uint64)
         lo = hi

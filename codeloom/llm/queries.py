@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.ann import nearest_vectors
-from codeloom.llm.html import extract_pages
+from codeloom.llm.web import extract_pages
 from codeloom.llm.importance import resample
 from codeloom.llm.jaccard import jaccard_components
 from codeloom.llm.langid import language_report
 from codeloom.llm.mixing import mix_report
 from codeloom.llm.pieces import encode_documents
 from codeloom.llm.quality import rate_quality
-from codeloom.llm.secrets import find_secrets
+from codeloom.llm.ledger import find_secrets
 from codeloom.llm.toxicity import rate_toxicity, train_chain
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"

@@ -11,7 +11,7 @@ from codeloom.llm.jaccard import keep_one
 from codeloom.llm.langid import keep_identified
 from codeloom.llm.mixing import mix_documents
 from codeloom.llm.pieces import encode_documents
-from codeloom.llm.secrets import redact_secrets
+from codeloom.llm.ledger import redact_secrets
 from codeloom.session import STAGE_SETTING, write_stage
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
