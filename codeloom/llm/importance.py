@@ -96,7 +96,7 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None,
         for batch in batches:
             for piece in pieces(batch["text"]):
                 doc, bucket = _grams(piece)
-                weight = np.bincount(doc, weights=table[bucket], minlength=piece.n)
+                weight = np.bincount(doc, weights=table[bucket], minlength=piece.n).astype(np.float64)
                 own = batch.slice(piece.first, piece.n)
                 yield pa.record_batch([own["doc_id"], own["noise"], pa.array(weight)], names=["doc_id", "noise", "log_weight"])
 

@@ -46,7 +46,11 @@ CLOSES_P = BLOCK - {"br", "body", "html"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# Possessive, so that a tag without an end costs one look; one with an open quote ends at the next >.
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+(?=>)|[^>]*+)>""", re.S
+)
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[A-Za-z]+")
 
@@ -79,9 +83,9 @@ def parse(html: str) -> Node:
     root = node = Node("html", "", None)
     at, size = 0, len(html)
     while at < size:
-        m = _TAG.search(html, at)
-        if m is None:
-            node.parts.append(html[at:])
+        m = _TAG.search(html, at) if html.find(">", at) >= 0 else None
+        if m is None:  # a tag or comment that the page's end cuts off is no text
+            node.parts.append(_OPEN.split(html[at:], maxsplit=1)[0])
             break
         if m.start() > at:
             node.parts.append(html[at : m.start()])
