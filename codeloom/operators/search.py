@@ -2,8 +2,9 @@
 
 Every query row gets a ``hits`` column: its best catalogue rows in rank order, as
 an array of structs. Scores are the dot product of the unit-length query with the
-catalogue vector, rounded to ``SCORE_DIGITS``; equal scores rank in the order of
-the catalogue row (id, text, uuid), so results do not depend on the plan.
+catalogue vector, as they are. For ranking they are compared in steps of 1e-9 of the
+catalogue's largest vector, so scaling a catalogue never changes ranks; equal ones rank in the
+order of the catalogue row (id, text, uuid), so results do not depend on the plan.
 
 Two plans give the same rows:
 
@@ -49,6 +50,7 @@ class Shelf(NamedTuple):
     matrix: np.ndarray
     rows: pa.Table
     spans: dict
+    unit: float = 1.0
 
 
 def as_matrix(vectors: pa.Array) -> np.ndarray:
@@ -67,7 +69,12 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.maximum(norms, NORM_FLOOR)
 
 
-def best_rows(queries: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def power_near(norm: float) -> float:
+    """The power of two nearest to a length: the unit in which scores are compared."""
+    return 2.0 ** round(np.log2(norm)) if norm > 0 and np.isfinite(norm) else 1.0
+
+
+def best_rows(queries: np.ndarray, docs: np.ndarray, k: int, unit: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Positions and scores of the k best ``docs`` per unit query; ties go to the lower position.
 
     A product in single precision finds the rows that can be among the best, within
@@ -77,13 +84,13 @@ def best_rows(queries: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray
     k = min(k, len(docs))
     step = max(1, CELLS // max(1, len(docs)))
     few = 4 * k + 64
+    docs = docs / docs.dtype.type(unit)  # a power of two, so nothing is lost
     coarse_docs, coarse_queries = docs.astype(np.float32, copy=False), queries.astype(np.float32)
     longest = np.sqrt(np.einsum("ij,ij->i", docs, docs, dtype=np.float64).max())
     if not (np.isfinite(longest) and np.isfinite(coarse_queries).all()):
         raise ValueError("vectors must not hold nulls, NaN or infinite values")
     slack = 2 * (docs.shape[1] + 4) * float(np.finfo(np.float32).eps) * longest + 10.0**-SCORE_DIGITS
     positions = np.empty((len(queries), k), dtype=np.int64)
-    best = np.empty((len(queries), k))
     exact_docs = None
     for lo in range(0, len(queries), step):
         own = queries[lo : lo + step]
@@ -94,44 +101,50 @@ def best_rows(queries: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray
         if close.any():
             exact_docs = docs.astype(np.float64, copy=False) if exact_docs is None else exact_docs
             at = np.flatnonzero(close)
-            positions[lo + at], best[lo + at] = _best_exact(own[at], exact_docs, k)
+            positions[lo + at] = _best_exact(own[at], exact_docs, k)
             near[at] = False
         row, pos = np.nonzero(near)
-        score = _digits(np.einsum("ij,ij->i", own[row], docs[pos].astype(np.float64)))
-        order = np.lexsort((pos, -score, row))
-        row, pos, score = row[order], pos[order], score[order]
+        level = _levels(np.einsum("ij,ij->i", own[row], docs[pos].astype(np.float64)))
+        order = np.lexsort((pos, -level, row))
+        row, pos = row[order], pos[order]
         at = np.flatnonzero(~close)
-        first = np.searchsorted(row, at)[:, None] + np.arange(k)
-        positions[lo + at], best[lo + at] = pos[first], score[first]
-    return positions, best / 10.0**SCORE_DIGITS + 0.0
+        positions[lo + at] = pos[np.searchsorted(row, at)[:, None] + np.arange(k)]
+    # Whichever way a row was found, its score is added up in the one order.
+    best = np.empty((len(queries), k))
+    lot = max(1, CELLS // max(1, k * docs.shape[1]))
+    for lo in range(0, len(queries), lot):
+        chosen = docs[positions[lo : lo + lot]].astype(np.float64)
+        best[lo : lo + lot] = (queries[lo : lo + lot, None, :] * chosen).sum(axis=2)
+    return positions, best * unit
 
 
-def _digits(scores: np.ndarray) -> np.ndarray:
-    """Scores in whole units of the last digit, so that equal ones are equal numbers."""
+def _levels(scores: np.ndarray) -> np.ndarray:
+    """Scores in whole steps, so that equal ones are equal numbers."""
     return np.rint(np.multiply(scores, 10.0**SCORE_DIGITS, out=scores), out=scores)
 
 
-def _best_exact(queries: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    scores = _digits(queries @ docs.T)
+def _best_exact(queries: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
+    scores = _levels(queries @ docs.T)
     worst_kept = np.partition(scores, len(docs) - k, axis=1)[:, len(docs) - k, None]
     above, level = scores > worst_kept, scores == worst_kept
     room = k - np.count_nonzero(above, axis=1)[:, None]
     chosen = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= room))
     found = np.nonzero(chosen)[1].reshape(-1, k)
     kept = np.take_along_axis(scores, found, axis=1)
-    order = np.argsort(-kept, axis=1, kind="stable")
-    return np.take_along_axis(found, order, axis=1), np.take_along_axis(kept, order, axis=1)
+    return np.take_along_axis(found, np.argsort(-kept, axis=1, kind="stable"), axis=1)
 
 
-def make_shelf(table: pa.Table, tie: list[str], normalise: bool) -> Shelf:
-    """Order collected catalogue rows and stack their vectors."""
+def make_shelf(table: pa.Table, tie: list[str], normalise: bool, unit: float | None = None) -> Shelf:
+    """Order collected catalogue rows and stack their vectors; ``unit`` is that of the whole catalogue, if these are a part."""
     table = table.sort_by([(c, "ascending") for c in ["_by", *tie]]).combine_chunks()
     matrix = as_matrix(table["_vector"].combine_chunks()) if len(table) else np.zeros((0, 0))
     keys = np.asarray(table["_by"].to_pylist(), dtype=object)
     starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
     spans = {keys[a]: (a, b) for a, b in zip(starts, [*starts[1:], len(keys)])}
     rows = table.drop_columns(["_by", "_vector"])
-    return Shelf(unit_rows(matrix) if normalise else matrix, rows, spans)
+    matrix = unit_rows(matrix) if normalise else matrix
+    longest = np.sqrt(np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64).max()) if matrix.size else 0.0
+    return Shelf(matrix, rows, spans, power_near(longest) if unit is None else unit)
 
 
 def widest_row(rows: pa.Table) -> int:
@@ -166,7 +179,7 @@ def hits_of(keys: pa.Array, vectors: pa.Array, shelf: Shelf, k: int) -> pa.Array
             raise ValueError(f"query vectors have {queries.shape[1]} values, catalogue {shelf.matrix.shape[1]}")
         # Survey answers repeat: every different vector of a batch is scored once.
         different, place = np.unique(queries, axis=0, return_inverse=True)
-        positions, best = best_rows(unit_rows(different), shelf.matrix[start:stop], k)
+        positions, best = best_rows(unit_rows(different), shelf.matrix[start:stop], k, shelf.unit)
         found[at, : positions.shape[1]] = positions[place] + start
         scores[at, : positions.shape[1]] = best[place]
     filled = found >= 0
@@ -319,8 +332,12 @@ def _search_blocks(
         .repartition(tasks, *pair)
     )
 
+    squares = F.aggregate("_vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    longest = 1.0 if normalise else docs.agg(F.sqrt(F.max(squares))).first()[0]
+    unit = power_near(longest or 0.0)
+
     def score(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        shelf = make_shelf(theirs.select(["_by", "_vector", "_place"]), ["_place"], normalise)
+        shelf = make_shelf(theirs.select(["_by", "_vector", "_place"]), ["_place"], normalise, unit)
         mine = mine.combine_chunks()
         hits = hits_of(mine["_by"].combine_chunks(), mine["_vector"].combine_chunks(), shelf, k)
         return pa.table({"_row": mine["_row"], "hits": hits})
@@ -330,11 +347,12 @@ def _search_blocks(
     )
     # One query has at most k hits per catalogue block, so these lists stay short.
     best_first = F.transform(
-        F.flatten(F.collect_list("hits")), lambda h: F.struct((-h["score"]).alias("down"), h["_place"].alias("_place"))
+        F.flatten(F.collect_list("hits")),
+        lambda h: F.struct((-F.rint(h["score"] / unit * 10.0**SCORE_DIGITS)).alias("down"), h["_place"].alias("_place"), h["score"].alias("score")),
     )
     best = partial.groupBy("_row").agg(F.slice(F.array_sort(best_first), 1, k).alias("best"))
     chosen = best.select("_row", F.posexplode("best").alias("_at", "_hit")).select(
-        "_row", (F.col("_at") + 1).alias("rank"), (-F.col("_hit.down")).alias("score"), "_hit._place"
+        "_row", (F.col("_at") + 1).alias("rank"), F.col("_hit.score").alias("score"), "_hit._place"
     )
     # The documents come from a table in storage, so adaptive execution can split the
     # shuffle at one that is among the best of very many queries.

@@ -68,14 +68,16 @@ class Engine:
         return run_hook(self.hooks, "search_postprocess", validate(found, SEARCH_OUTPUT), SEARCH_OUTPUT)
 
     def classify(self, queries: DataFrame, n_results: int = 10) -> DataFrame:
-        """One row per non-empty query, with its ranked results, ambiguity and root."""
+        """One row per non-empty query, with its ranked results, ambiguity and root; hooks run in any case."""
         cleaned = drop_empty_queries(validate(queries, SEARCH_INPUT))
         keys = [*([self.by] if self.by else []), "query_id"]
-        if "search_postprocess" in self.hooks and not cleaned.isEmpty():
-            return nest_results(self.search(cleaned, n_results), keys)
         require_positive("n_results", n_results)
         prepared = run_hook(self.hooks, "search_preprocess", cleaned, SEARCH_INPUT)
-        return nest_hits(self._hits(prepared, n_results), keys)
+        found = self._hits(prepared, n_results)
+        if "search_postprocess" not in self.hooks:
+            return nest_hits(found, keys)
+        rows = validate(flatten_hits(found), SEARCH_OUTPUT)
+        return nest_results(run_hook(self.hooks, "search_postprocess", rows, SEARCH_OUTPUT), keys)
 
     def reverse_search(self, queries: DataFrame, max_n_results: int = 100, partial_match: bool = False) -> DataFrame:
         """Documents for the codes of queries ``id, doc_id``."""

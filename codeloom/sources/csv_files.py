@@ -15,6 +15,9 @@ from codeloom.errors import InvalidInput
 from codeloom.functions.text import file_stem
 
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
+# Spark reads no Windows-1252, but Latin-1 differs from it in these characters only: controls there, text here.
+_CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+_WINDOWS = _CONTROLS.encode("latin-1").decode("cp1252")
 
 
 class FileHead(NamedTuple):
@@ -30,7 +33,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list
     """Header and encoding of every file in the folder.
 
     The lines are checked where they lie: a file all of whose lines are valid UTF-8 is
-    read as such, any other as Latin-1. One row per file comes back.
+    read as such, any other as Windows-1252. One row per file comes back.
     """
     lines = spark.read.option("pathGlobFilter", pattern).text(folder).select(
         F.col("_metadata.file_name").alias("name"),
@@ -40,7 +43,8 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list
     per_file = lines.groupBy("name").agg(
         F.min_by("value", "place").alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
     )
-    header = F.when(F.col("utf8"), F.col("header")).otherwise(F.decode(F.col("header").cast("binary"), LATIN1))
+    told = F.translate(F.decode(F.col("header").cast("binary"), LATIN1), _CONTROLS, _WINDOWS)
+    header = F.when(F.col("utf8"), F.col("header")).otherwise(told)
     found = per_file.select("name", file_stem(F.col("name")).alias("stem"), header.alias("header"), "utf8")
     return [
         FileHead(r["name"], r["stem"], tuple(next(csv.reader([r["header"]]), [])), UTF8 if r["utf8"] else LATIN1)
@@ -54,11 +58,15 @@ def read_strings(
     """CSV files that share one header, as strings.
 
     Quoted line breaks need ``multi_line``, which reads a file in one task; turn it off
-    for large files without them, so that Spark can split these.
+    for large files without them, so that Spark can split these. Text read as Latin-1 is
+    taken for Windows-1252, which has letters and signs in place of its control characters.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.read.schema(schema).option("header", True).option("encoding", encoding)
-    return reader.option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(paths)
+    rows = reader.option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(paths)
+    if encoding != LATIN1:
+        return rows
+    return rows.withColumns({c: F.translate(F.col(f"`{c}`"), _CONTROLS, _WINDOWS) for c in schema.names})
 
 
 def read_groups(

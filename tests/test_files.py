@@ -14,7 +14,7 @@ from codeloom.plans.benchmark import accuracy_report, run_benchmark
 from codeloom.plans.engine import Engine, build_index, load_engine
 from codeloom.plans.survey import code_survey, survey_searcher
 from codeloom.sources.catalogue import read_benchmarks, read_catalogues, read_dictionaries, write_clean_catalogue
-from codeloom.sources.csv_files import list_files
+from codeloom.sources.csv_files import list_files, read_strings
 from codeloom.sources.index_files import index_names
 from codeloom.sources.survey_files import read_surveys, survey_columns, write_coded, write_report
 from codeloom.streaming.incremental import batch_progress, code_new_files
@@ -344,3 +344,10 @@ def test_benchmark(spark, index, tmp_path):
     write_report(per, overall, str(tmp_path / "report"))
     lines = "".join(p.read_text() for p in (tmp_path / "report").glob("part-*")).splitlines()
     assert lines[2:] == ["| food_es | 3 | 33.3% | 66.7% |", "| kids_es | 2 | 50.0% | 50.0% |", "| All | 5 | 41.7% | 58.3% |"]
+
+
+def test_windows_1252_characters_are_kept(spark, tmp_path):
+    (tmp_path / "w_es.csv").write_bytes("id,text\n1,precio \u20ac \u201cpan\u201d ni\u00f1o\n".encode("cp1252"))
+    (head,) = list_files(spark, str(tmp_path))
+    row = read_strings(spark, str(tmp_path), head.columns, head.encoding).first()
+    assert row["text"] == "precio \u20ac \u201cpan\u201d ni\u00f1o"

@@ -63,3 +63,12 @@ def test_secret_codes_and_block_list(spark, tables):
     assert kept.where("doc_id = '000'").isEmpty() and kept.count() == q.count() - 2
     blocked = spark.createDataFrame([("00",)], "doc_id string")
     assert sorted(r["doc_id"] for r in block_rows(q, blocked).collect()) == sorted(c for c in ["01", "000", "", "nothing", "0", "000", "011"])
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 25, 0])
+def test_limits_beyond_the_window_threshold(spark, broadcast_bytes):
+    docs = spark.createDataFrame([(f"{i:05d}", "t") for i in range(4000)], "id string, text string")
+    asked = spark.createDataFrame([("all", ""), ("some", "00"), (None, "01")], "id string, doc_id string")
+    found = V.reverse_search(asked, docs, 1500, partial_match=True, broadcast_bytes=broadcast_bytes).collect()
+    of = lambda name: sorted(r["doc_id"] for r in found if r["id"] == name)
+    assert of("all") == [f"{i:05d}" for i in range(1500)] and of("some") == [f"{i:05d}" for i in range(1000)]

@@ -167,7 +167,7 @@ def test_kernel_is_exact(shape):
         whole = np.rint(queries @ docs.T * 1e9)
         expected = np.argsort(-whole, axis=1, kind="stable")[:, :k]
         assert (positions == expected).all()
-        assert np.allclose(scores, np.take_along_axis(whole, expected, axis=1) / 1e9, atol=1e-12)
+        assert np.allclose(scores, np.take_along_axis(queries @ docs.T, expected, axis=1), rtol=0, atol=1e-12)
 
 
 def test_values_must_be_finite(spark):
@@ -176,3 +176,12 @@ def test_values_must_be_finite(spark):
         d = spark.createDataFrame([("a", [1.0, bad]), ("b", [1.0, 2.0])], "id string, embeddings array<float>")
         with pytest.raises(Exception, match="must not hold"):
             S.search_hits(q, d, 1, vector="v").collect()
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 26, 0])
+def test_small_vectors_rank_as_large_ones(spark, broadcast_bytes):
+    docs = [("a", [1e-10, 0.0]), ("b", [4e-10, 0.0]), ("c", [0.0, 1e-10])]
+    catalogue = spark.createDataFrame(docs, "id string, embeddings array<double>")
+    queries = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    rows = S.search_hits(queries, catalogue, 3, broadcast_bytes=broadcast_bytes).first()["hits"]
+    assert [(h["doc_id"], h["score"]) for h in rows] == [("b", 4e-10), ("a", 1e-10), ("c", 0.0)]
