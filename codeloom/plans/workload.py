@@ -83,7 +83,8 @@ def top(spark: SparkSession, sf_dir: str, n: int, code: str = "vec_id", columns:
 
 
 def six(column: str) -> Column:
-    return F.round(column, 6).alias(column)
+    # The SQL compares scores at nine digits, so these are cut there before they are shortened.
+    return F.round(F.rint(F.col(column) * 1e9) / 1e9, 6).alias(column)
 
 
 # --- search ---------------------------------------------------------------------------
