@@ -83,7 +83,11 @@ def top(spark: SparkSession, sf_dir: str, n: int, code: str = "vec_id", columns:
 
 
 def six(column: str) -> Column:
-    # The SQL compares scores at nine digits, so these are cut there before they are shortened.
+    return F.round(column, 6).alias(column)
+
+
+def six_score(column: str) -> Column:
+    """The SQL compares scores at nine digits, so these are cut there before they are shortened."""
     return F.round(F.rint(F.col(column) * 1e9) / 1e9, 6).alias(column)
 
 
@@ -92,20 +96,20 @@ def six(column: str) -> Column:
 
 @query
 def search_topk(spark, sf_dir):
-    return flatten_hits(top(spark, sf_dir, 10)).select("query_id", "doc_id", "rank", six("score"))
+    return flatten_hits(top(spark, sf_dir, 10)).select("query_id", "doc_id", "rank", six_score("score"))
 
 
 @query
 def search_topk_blocks(spark, sf_dir):
     """The plan for catalogues too large to broadcast."""
     found = top(spark, sf_dir, 10, broadcast_bytes=0)
-    return flatten_hits(found).select("query_id", "doc_id", "rank", six("score"))
+    return flatten_hits(found).select("query_id", "doc_id", "rank", six_score("score"))
 
 
 @query
 def search_with_metadata(spark, sf_dir):
     found = top(spark, sf_dir, 10, columns=("text", "label"))
-    return flatten_hits(found).select("query_id", "doc_id", "doc_text", "rank", six("score"), "label")
+    return flatten_hits(found).select("query_id", "doc_id", "doc_text", "rank", six_score("score"), "label")
 
 
 def _long_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +123,7 @@ def _top_long(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     found = search_hits(
         vector_queries(spark, sf_dir), _long_vectors(spark, sf_dir), 10, vector="_query_vector", columns=[], **how
     )
-    return flatten_hits(found.drop("_query_vector")).select("query_id", "doc_id", "rank", six("score"))
+    return flatten_hits(found.drop("_query_vector")).select("query_id", "doc_id", "rank", six_score("score"))
 
 
 @query
@@ -140,7 +144,7 @@ def search_by_catalogue(spark, sf_dir):
     queries = vectors.select(text_of("vec_id").alias("query_id"), "classifier", F.col("embedding").alias("_query_vector"))
     docs = vectors.select(text_of("vec_id").alias("id"), "classifier", F.col("embedding").alias("embeddings"))
     found = search_hits(queries, docs, 10, by="classifier", vector="_query_vector").drop("_query_vector")
-    return flatten_hits(found).select("classifier", "query_id", "doc_id", "rank", six("score"))
+    return flatten_hits(found).select("classifier", "query_id", "doc_id", "rank", six_score("score"))
 
 
 def document_engine(spark: SparkSession, sf_dir: str, code: str = "doc_id", **hooks) -> Engine:
@@ -178,7 +182,7 @@ def search_with_hooks(spark, sf_dir):
         R.drop_duplicate_docs, R.rerank_from_zero, lambda df: R.add_definitions(df, definitions)
     )
     found = engine.search(asked_texts(spark, sf_dir), 10)
-    return found.select("query_id", "query_text", "doc_id", "rank", six("score"), "id_definition")
+    return found.select("query_id", "query_text", "doc_id", "rank", six_score("score"), "id_definition")
 
 
 @query
@@ -406,7 +410,7 @@ def _consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ambiguity(spark, sf_dir):
-    return _consensus(spark, sf_dir).select("query_id", six("first_score"), six("second_score"), "is_ambiguous")
+    return _consensus(spark, sf_dir).select("query_id", six_score("first_score"), six_score("second_score"), "is_ambiguous")
 
 
 @query
@@ -595,20 +599,20 @@ def accuracy_by_difficulty(spark, sf_dir):
 @query
 def dedup_results(spark, sf_dir):
     flat = flatten_hits(top(spark, sf_dir, 10, "label"))
-    return R.drop_duplicate_docs(flat).select("query_id", "doc_id", "rank", six("score"))
+    return R.drop_duplicate_docs(flat).select("query_id", "doc_id", "rank", six_score("score"))
 
 
 @query
 def dedup_rerank(spark, sf_dir):
     flat = flatten_hits(top(spark, sf_dir, 10, "label"))
-    return R.rerank_from_zero(R.drop_duplicate_docs(flat)).select("query_id", "doc_id", "rank", six("score"))
+    return R.rerank_from_zero(R.drop_duplicate_docs(flat)).select("query_id", "doc_id", "rank", six_score("score"))
 
 
 @query
 def dedup_rerank_hits(spark, sf_dir):
     """The same without a shuffle, on the hits column."""
     found = R.drop_duplicate_hits(top(spark, sf_dir, 10, "label"), rerank=True)
-    return flatten_hits(found).select("query_id", "doc_id", "rank", six("score"))
+    return flatten_hits(found).select("query_id", "doc_id", "rank", six_score("score"))
 
 
 @query
@@ -617,11 +621,11 @@ def inject_definitions(spark, sf_dir):
         text_of("r_regionkey").alias("doc_id"), F.col("r_name").alias("definition")
     )
     flat = flatten_hits(top(spark, sf_dir, 5, "label"))
-    return R.add_definitions(flat, definitions).select("query_id", "doc_id", "rank", six("score"), "id_definition")
+    return R.add_definitions(flat, definitions).select("query_id", "doc_id", "rank", six_score("score"), "id_definition")
 
 
 @query
 def block_documents(spark, sf_dir):
     blocked = table(spark, sf_dir, "labels").where("toxic = 1").select(text_of("doc_id").alias("doc_id"))
     flat = flatten_hits(top(spark, sf_dir, 10))
-    return R.block_rows(flat, blocked).select("query_id", "doc_id", "rank", six("score"))
+    return R.block_rows(flat, blocked).select("query_id", "doc_id", "rank", six_score("score"))
