@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.hierarchy import group_prefix, hits_consensus, is_ambiguous, suggested_root
 from codeloom.functions.text import strip_punctuation
 from codeloom.operators.joins import lookup_join
-from codeloom.schema import REVERSE_OUTPUT, SEARCH_OUTPUT, added_columns
+from codeloom.schema import REVERSE_OUTPUT, SEARCH_OUTPUT, added_columns, named
 
 
 Keys = Sequence[str]
@@ -108,7 +108,7 @@ def nest_results(results: DataFrame, keys: Keys = QUERY) -> DataFrame:
     Groups by query id; a query has no more rows than the search was asked for.
     """
     extra = added_columns(results, SEARCH_OUTPUT, also=keys)
-    entry = F.struct("rank", "doc_id", "doc_text", "score", *extra)
+    entry = F.struct("rank", "doc_id", "doc_text", "score", *[named(c) for c in extra])
     grouped = results.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("hits"))
     return nest_hits(grouped, keys)
 
@@ -120,7 +120,7 @@ def nest_reverse_results(results: DataFrame, keys: Keys = ("id",)) -> DataFrame:
     can give a query any number of rows and is better left flat.
     """
     extra = added_columns(results, REVERSE_OUTPUT, also=keys)
-    entry = F.struct(F.col("doc_id").alias("label"), F.col("doc_text").alias("description"), *extra)
+    entry = F.struct(F.col("doc_id").alias("label"), F.col("doc_text").alias("description"), *[named(c) for c in extra])
     return results.groupBy(*[F.col(k).alias("input_id") if k == "id" else F.col(k) for k in keys]).agg(
         F.sort_array(F.collect_list(entry)).alias("response")
     )

@@ -17,7 +17,7 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 PARTS = 64
 
 
-def _first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows per key, chosen in two steps, so that no key meets in one task before it is cut.
 
     Spark cuts within the map tasks by itself up to a threshold; above it the first rows of
@@ -85,14 +85,14 @@ def reverse_search(
         # Few queries: documents nobody asks for go first, and nothing shuffles for the joins.
         docs = docs.join(F.broadcast(asked.select(*on).distinct()), on, "left_semi")
         if limited:
-            docs = _first_rows(docs, on, order, max_n_results)
+            docs = first_rows(docs, on, order, max_n_results)
         found = docs.join(F.broadcast(asked), on)
     else:
         # Both sides large: a plain shuffle join, which adaptive execution splits at hot
         # codes. It can do so only when both inputs are read straight into the join.
         if limited:
-            docs = write_stage(_first_rows(docs, on, order, max_n_results), "reverse")
+            docs = write_stage(first_rows(docs, on, order, max_n_results), "reverse")
         found = docs.join(asked, on)
     if limited:
-        found = _first_rows(found, ["id", *own], order, max_n_results)
+        found = first_rows(found, ["id", *own], order, max_n_results)
     return found.select("id", "doc_id", "doc_text", *own, *meta)

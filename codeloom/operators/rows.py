@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import clean, clean_columns, has_text
+from codeloom.schema import named
 from codeloom.session import write_stage
 
 
@@ -65,7 +66,7 @@ def number_rows(
     starts = sizes.select("_part", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     # One row per partition of the table: bounded by the number of tasks.
     return placed.join(F.broadcast(starts), "_part").select(
-        *df.columns, (F.col("_start") + F.col("_place") - F.col("_first")).alias(name)
+        *[named(c) for c in df.columns], (F.col("_start") + F.col("_place") - F.col("_first")).alias(name)
     )
 
 

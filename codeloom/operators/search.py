@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from codeloom.errors import InvalidInput
 from codeloom.functions.vectors import NORM_FLOOR
 from codeloom.operators.rows import number_rows
-from codeloom.schema import require_positive
+from codeloom.schema import named, require_positive
 from codeloom.session import write_stage
 
 SCORE_DIGITS = 9
@@ -79,7 +79,8 @@ def best_rows(queries: np.ndarray, docs: np.ndarray, k: int, unit: float = 1.0)
 
     A product in single precision finds the rows that can be among the best, within
     the bound of its rounding error; only those are scored in double precision. Queries
-    with many rows that close together are scored in double precision throughout.
+    with many rows that close together are scored in double precision throughout, and
+    once most queries of a piece are such ones, so are those of the next pieces.
     """
     k = min(k, len(docs))
     step = max(1, CELLS // max(1, len(docs)))
@@ -91,9 +92,12 @@ def best_rows(queries: np.ndarray, docs: np.ndarray, k: int, unit: float = 1.0)
         raise ValueError("vectors must not hold nulls, NaN or infinite values")
     slack = 2 * (docs.shape[1] + 4) * float(np.finfo(np.float32).eps) * longest + 10.0**-SCORE_DIGITS
     positions = np.empty((len(queries), k), dtype=np.int64)
-    exact_docs = None
+    exact_docs, crowded = None, False
     for lo in range(0, len(queries), step):
         own = queries[lo : lo + step]
+        if crowded:
+            positions[lo : lo + step] = _best_exact(own, exact_docs, k)
+            continue
         coarse = coarse_queries[lo : lo + step] @ coarse_docs.T
         edge = np.partition(coarse, len(docs) - k, axis=1)[:, len(docs) - k, None]
         near = coarse >= edge - np.float32(slack)
@@ -103,6 +107,7 @@ def best_rows(queries: np.ndarray, docs: np.ndarray, k: int, unit: float = 1.0)
             at = np.flatnonzero(close)
             positions[lo + at] = _best_exact(own[at], exact_docs, k)
             near[at] = False
+            crowded = 2 * len(at) > len(own)
         row, pos = np.nonzero(near)
         level = _levels(np.einsum("ij,ij->i", own[row], docs[pos].astype(np.float64)))
         order = np.lexsort((pos, -level, row))
@@ -204,7 +209,7 @@ def catalogue_bytes(catalogue: DataFrame) -> int:
     size = F.size("_vector") * (8 if wide else 4)
     for c in catalogue.columns:
         if c != "_vector":
-            size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8
+            size = size + F.coalesce(F.octet_length(named(c).cast("string")), F.lit(0)) + 8
     return catalogue.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
@@ -238,7 +243,7 @@ class Searcher:
         docs = catalogue.where(F.col("embeddings").isNotNull()).select(
             self.by.alias("_by"),
             F.col("embeddings").alias("_vector"),
-            *[F.col(back.get(c, c)).alias(c) for c in dict.fromkeys([*self.carried, *tie])],
+            *[named(back.get(c, c)).alias(c) for c in dict.fromkeys([*self.carried, *tie])],
         ).where(F.col("_by").isNotNull())
         self.kind = _hit_type(docs, self.carried)
         self.shared = None
@@ -246,6 +251,7 @@ class Searcher:
             shelf = make_shelf(docs.toArrow(), tie, normalise_docs)
             shelf = shelf._replace(rows=shelf.rows.select(self.carried))
             self.widest = widest_row(shelf.rows)
+            self.longest = max((b - a for a, b in shelf.spans.values()), default=1)
             self.shared = catalogue.sparkSession.sparkContext.broadcast(tuple(shelf))
         else:
             # The place in tie order stands for the document until the best k are known, so
@@ -259,7 +265,8 @@ class Searcher:
             return _search_blocks(
                 queries, self.docs, n_results, self.by, vector, self.carried, self.kind, self.normalise, self.block_bytes
             )
-        return _search_broadcast(queries, self.shared, n_results, self.by, vector, self.widest, self.kind)
+        k = min(n_results, self.longest)
+        return _search_broadcast(queries, self.shared, k, self.by, vector, self.widest, self.kind)
 
 
 def search_hits(
@@ -294,13 +301,16 @@ def _search_blocks(
     spark = queries.sparkSession
     rows = write_stage(queries.withColumns({"_row": F.monotonically_increasing_id(), "_by": by}), "queries")
 
-    def blocks(df: DataFrame, vec: str, name: str) -> DataFrame:
-        size = F.sum(F.size(vec).cast("long") * 4)
+    def blocks(df: DataFrame, vec: str, name: str, found: int = 0) -> DataFrame:
+        wide = isinstance(df.schema[vec].dataType.elementType, T.DoubleType)
+        row = F.size(vec).cast("long") * (8 if wide else 4)
+        # A task also holds place and score of the best rows of each of its queries.
+        size = F.sum(F.greatest(row, F.lit(16) * F.least(F.lit(found), F.ceil(F.lit(block_bytes) / F.greatest(row, F.lit(1))))))
         return df.where(F.col(vec).isNotNull()).groupBy("_by").agg(F.ceil(size / block_bytes).alias(name))
 
     # Several pairs of blocks for each task that the cluster can run at once.
     enough = F.ceil(F.lit(4 * spark.sparkContext.defaultParallelism) / F.col("_d_blocks"))
-    grid = blocks(rows, vector, "_q_blocks").join(blocks(docs, "_vector", "_d_blocks"), "_by")
+    grid = blocks(rows, vector, "_q_blocks", k).join(blocks(docs, "_vector", "_d_blocks"), "_by")
     grid = grid.withColumn("_q_blocks", F.greatest("_q_blocks", enough))
     # One row per catalogue.
     known = grid.limit(GRID_ROWS + 1).collect()
@@ -356,11 +366,11 @@ def _search_blocks(
     )
     # The documents come from a table in storage, so adaptive execution can split the
     # shuffle at one that is among the best of very many queries.
-    entry = F.struct("rank", "score", *carried)
+    entry = F.struct("rank", "score", *[named(c) for c in carried])
     hits = F.array_sort(F.collect_list(entry), lambda a, b: a["rank"] - b["rank"]).cast(kind)
-    merged = chosen.join(docs.select("_place", *carried), "_place").groupBy("_row").agg(hits.alias("hits"))
+    merged = chosen.join(docs.select("_place", *[named(c) for c in carried]), "_place").groupBy("_row").agg(hits.alias("hits"))
     return rows.join(merged, "_row", "left").select(
-        *queries.columns, F.coalesce("hits", F.array().cast(kind)).alias("hits")
+        *[named(c) for c in queries.columns], F.coalesce("hits", F.array().cast(kind)).alias("hits")
     )
 
 
@@ -373,6 +383,7 @@ def flatten_hits(found: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     clash = set(keep) & set(fields)
     if clash:
         raise InvalidInput(f"columns {sorted(clash)} exist on both the queries and the catalogue")
-    return found.select(*keep, F.explode("hits").alias("_hit")).select(
-        *keep, *[F.col("_hit")[c].alias(c) for c in order]
+    kept = [named(c) for c in keep]
+    return found.select(*kept, F.explode("hits").alias("_hit")).select(
+        *kept, *[F.col("_hit")[c].alias(c) for c in order]
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import classifier_base, code_key
 from codeloom.operators.joins import lookup_join
+from codeloom.session import write_stage
 
 # Fixed value: the language looked up when the one asked for has no entry.
 DEFAULT_LANG = "es"
@@ -31,12 +32,14 @@ def add_description(
     Tried in turn: the language asked for, the default language, then the
     alphabetically first language that has the code. ``dictionary`` has one row per
     ``classifier, lang, code``, with codes as ``code_key`` makes them. It is folded to
-    one row per code, so each row of ``df`` is joined once whatever the fallback.
+    one row per code, so each row of ``df`` is joined once whatever the fallback. It is
+    written out first, since it is measured and then joined.
     """
     base = classifier_base(classifier if classifier is not None else F.col("classifier"))
     key = code_key(code if code is not None else F.col("doc_id"))
     keyed = df.withColumns({"_base": base, "_key": key})
     entries = dictionary.select(F.col("classifier").alias("_base"), F.col("code").alias("_key"), "lang", "text")
+    entries = write_stage(entries, "dictionary")
 
     def in_lang(wanted: str) -> Column:
         return F.max(F.when(F.col("lang") == wanted, F.col("text")))

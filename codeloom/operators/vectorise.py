@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,12 +131,13 @@ def mean_pool(
 ) -> DataFrame:
     """Masked mean of token vectors per group: sum(vector * mask) / max(sum(mask), floor).
 
-    The sums are kept per group and dimension, so every task first adds up its own rows
-    and a large group reaches the shuffle as one row per task and dimension.
+    Rows without vector or mask are left out, values that are null count as 0. Every task
+    adds up its own rows, so a large group reaches the shuffle as one vector per task.
     """
     weight = F.col(mask).cast("double")
-    cells = tokens.select(*by, weight.alias("_weight"), F.posexplode(vector).alias("_dim", "_x"))
-    total = F.greatest(F.sum("_weight"), F.lit(MASK_FLOOR))
-    means = cells.groupBy(*by, "_dim").agg((F.sum(F.col("_x").cast("double") * F.col("_weight")) / total).alias("_mean"))
-    ordered = F.sort_array(F.collect_list(F.struct("_dim", "_mean")))
-    return means.groupBy(*by).agg(F.transform(ordered, lambda c: c["_mean"]).alias(out))
+    weighted = F.transform(vector, lambda x: F.coalesce(x.cast("double") * F.col("_weight"), F.lit(0.0)))
+    rows = tokens.withColumn("_weight", weight).where(F.col(vector).isNotNull() & F.col("_weight").isNotNull())
+    sums = rows.select(*by, "_weight", array_to_vector(weighted).alias("_weighted")).groupBy(*by).agg(
+        Summarizer.sum(F.col("_weighted")).alias("_sum"), F.greatest(F.sum("_weight"), F.lit(MASK_FLOOR)).alias("_total")
+    )
+    return sums.select(*by, F.transform(vector_to_array("_sum"), lambda x: x / F.col("_total")).alias(out))

@@ -6,14 +6,15 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.errors import InvalidInput
 from codeloom.operators.hooks import Hook, check_hooks, run_hook
-from codeloom.operators.results import nest_hits, nest_results, nest_reverse_results
-from codeloom.operators.reverse import reverse_search
-from codeloom.operators.rows import add_uuid, drop_empty_queries, sanitise_catalogue
+from codeloom.operators.results import nest_results, nest_reverse_results
+from codeloom.operators.reverse import first_rows, reverse_search
+from codeloom.operators.rows import add_uuid, drop_empty_queries, removed_rows, sanitise_catalogue
 from codeloom.operators.search import Searcher, flatten_hits
 from codeloom.operators.vectorise import check_vectoriser, with_vectors
 from codeloom.schema import (
@@ -21,7 +22,7 @@ from codeloom.schema import (
     require_positive, require_rows, validate,
 )
 from codeloom.sources.catalogue import read_catalogues
-from codeloom.sources.index_files import check_target, read_index, read_metadata, write_index
+from codeloom.sources.index_files import check_target, empty_catalogues, read_index, write_index
 
 
 @dataclass
@@ -29,7 +30,8 @@ class Engine:
     """An index with its vectoriser. Hooks may be given here or set later; they are not stored.
 
     ``catalogue`` has ``id, text, uuid, embeddings`` and metadata columns. With ``by``
-    (usually ``classifier``) it holds several catalogues and queries name theirs.
+    (usually ``classifier``) it holds several catalogues and queries name theirs. ``spread``
+    deals the query rows to that many tasks first: for query tables that come in few partitions.
     """
 
     catalogue: DataFrame
@@ -37,6 +39,7 @@ class Engine:
     by: str | None = None
     hooks: dict[str, Hook] = field(default_factory=dict)
     normalise_docs: bool = False
+    spread: int | None = None
 
     def __post_init__(self) -> None:
         check_vectoriser(self.vectoriser)
@@ -49,6 +52,7 @@ class Engine:
 
     def _hits(self, queries: DataFrame, n_results: int) -> DataFrame:
         named = queries.withColumnsRenamed({"id": "query_id", "query": "query_text"})
+        named = named.repartition(self.spread) if self.spread else named
         embedded = with_vectors(named, self.vectoriser, "query_text", "_query_vector")
         return self.searcher.hits(embedded, n_results, "_query_vector").drop("_query_vector")
 
@@ -68,16 +72,19 @@ class Engine:
         return run_hook(self.hooks, "search_postprocess", validate(found, SEARCH_OUTPUT), SEARCH_OUTPUT)
 
     def classify(self, queries: DataFrame, n_results: int = 10) -> DataFrame:
-        """One row per non-empty query, with its ranked results, ambiguity and root; hooks run in any case."""
+        """One row per query id that has results: these in rank order, ambiguity and root.
+
+        Texts that share an id are one query, and its response holds the first ``n_results``
+        of their rows by rank, code, text and score, as hooks leave them. Hooks run in any case.
+        """
         cleaned = drop_empty_queries(validate(queries, SEARCH_INPUT))
         keys = [*([self.by] if self.by else []), "query_id"]
         require_positive("n_results", n_results)
         prepared = run_hook(self.hooks, "search_preprocess", cleaned, SEARCH_INPUT)
         found = self._hits(prepared, n_results)
-        if "search_postprocess" not in self.hooks:
-            return nest_hits(found, keys)
         rows = validate(flatten_hits(found), SEARCH_OUTPUT)
-        return nest_results(run_hook(self.hooks, "search_postprocess", rows, SEARCH_OUTPUT), keys)
+        rows = run_hook(self.hooks, "search_postprocess", rows, SEARCH_OUTPUT)
+        return nest_results(first_rows(rows, keys, ["rank", "doc_id", "doc_text", "score"], n_results), keys)
 
     def reverse_search(self, queries: DataFrame, max_n_results: int = 100, partial_match: bool = False) -> DataFrame:
         """Documents for the codes of queries ``id, doc_id``."""
@@ -113,21 +120,55 @@ def build_index(
     spark: SparkSession, raw_dir: str, out_dir: str, vectoriser, meta: dict[str, str] | None = None,
     only: str | None = None, overwrite: bool = False,
 ) -> BuildReport:
-    """Read, clean, embed and store every catalogue of a folder."""
+    """Read, clean, embed and store every catalogue of a folder.
+
+    A catalogue that fails is reported in ``files`` and the others are stored. With ``overwrite``
+    one without a usable row replaces what was stored under its name by nothing.
+    """
     check_vectoriser(vectoriser)
     if meta is not None and not isinstance(meta, dict):
         raise InvalidInput("meta must be a dict of column name to type name")
     rows, files = read_catalogues(spark, raw_dir, list(meta or {}), only)
     names = [r["classifier"] for r in files.where("ok").select("classifier").toLocalIterator()]
     check_target(spark, out_dir, names, overwrite)
-    vectors = with_vectors(add_uuid(sanitise_catalogue(rows)), vectoriser, "text", "embeddings")
-    write_index(vectors, out_dir, vectoriser, names, meta)
-    stored = read_metadata(spark, out_dir).where(F.col("classifier").isin(names))
-    kept = stored.agg(F.sum("num_vectors")).first()[0]
-    if not kept:
+    # One row per catalogue.
+    counts = {r["classifier"]: r for r in removed_rows(rows, ["classifier"]).toLocalIterator()}
+    full = [name for name in names if name in counts and counts[name]["kept_rows"]]
+    empty_catalogues(spark, out_dir, set(names) - set(full))
+    if not full:
         raise InvalidInput(f"no documents with an id and a text in {raw_dir}")
-    read = rows.count()
-    return BuildReport(files, read, read - kept)
+    vectors = with_vectors(add_uuid(sanitise_catalogue(rows)), vectoriser, "text", "embeddings")
+    failed = _write_each(vectors, out_dir, vectoriser, full, meta)
+    if failed:
+        report = spark.createDataFrame(list(failed.items()), "classifier string, _fault string")
+        fault = F.col("_fault").isNotNull()
+        files = files.join(F.broadcast(report), "classifier", "left").withColumns(
+            {"ok": F.col("ok") & ~fault, "message": F.coalesce("_fault", "message")}
+        ).drop("_fault")
+    read = sum(r["total_rows"] for r in counts.values())
+    return BuildReport(files, read, read - sum(counts[n]["kept_rows"] for n in full if n not in failed))
+
+
+def _write_each(
+    vectors: DataFrame, out_dir: str, vectoriser, names: list[str], meta: dict[str, str] | None
+) -> dict[str, str]:
+    """Write the catalogues in one job; if that fails, one by one, so that a fault stops its own catalogue only.
+
+    Returns what stopped which; if all were stopped, the first fault is raised.
+    """
+    try:
+        write_index(vectors, out_dir, vectoriser, names, meta)
+        return {}
+    except PySparkException as first:
+        failed = {}
+        for name in names:
+            try:
+                write_index(vectors.where(F.col("classifier") == name), out_dir, vectoriser, [name], meta)
+            except PySparkException as e:
+                failed[name] = str(e)
+        if len(failed) == len(names):
+            raise first
+        return failed
 
 
 def load_engine(

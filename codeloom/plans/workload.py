@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ from codeloom.plans.benchmark import run_benchmark
 from codeloom.plans.engine import Engine, build_index, load_engine, reverse_queries
 from codeloom.plans.survey import code_survey, code_vectors, survey_searcher
 from codeloom.session import new_folder, write_stage
-from codeloom.sources.catalogue import described_rows
+from codeloom.sources.catalogue import described_rows, read_dictionaries
 from codeloom.sources.index_files import index_stats
 from codeloom.sources.survey_files import read_surveys, write_coded
 from codeloom.streaming.incremental import batch_progress, code_new_files
@@ -106,6 +107,19 @@ def search_topk_blocks(spark, sf_dir):
     return flatten_hits(found).select("query_id", "doc_id", "rank", six_score("score"))
 
 
+@query
+def search_scaled_documents(spark, sf_dir):
+    """Tiny catalogue vectors rank as they do at full size, in both plans."""
+    small = F.transform("embeddings", lambda x: x.cast("double") * 1e-9)
+    docs = vector_catalogue(spark, sf_dir).withColumn("embeddings", small)
+    parts = []
+    for plan, size in (("broadcast", 1 << 30), ("blocks", 0)):
+        found = search_hits(vector_queries(spark, sf_dir), docs, 10, vector="_query_vector", columns=[], broadcast_bytes=size)
+        parts.append(flatten_hits(found.drop("_query_vector")).select(F.lit(plan).alias("plan"), "query_id", "doc_id", "rank", "score"))
+    scaled = parts[0].unionByName(parts[1]).withColumn("score", F.col("score") * 1e9)
+    return scaled.withColumn("score", six_score("score"))
+
+
 @query
 def search_with_metadata(spark, sf_dir):
     found = top(spark, sf_dir, 10, columns=("text", "label"))
@@ -155,7 +169,8 @@ def document_engine(spark: SparkSession, sf_dir: str, code: str = "doc_id", **ho
         text_of(code).alias("id"), "text", F.lpad(text_of("doc_id"), 12, "0").alias("uuid"), "embeddings"
     )
     # Written once, as an index is: it is measured and then read for the search.
-    return Engine(write_stage(catalogue), vectoriser, hooks=hooks)
+    # The queries come in few partitions, and each is held against all documents.
+    return Engine(write_stage(catalogue), vectoriser, hooks=hooks, spread=spark.sparkContext.defaultParallelism)
 
 
 def asked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +185,15 @@ def classify_texts(spark, sf_dir):
     return _response_text(document_engine(spark, sf_dir).classify(asked_texts(spark, sf_dir), 3))
 
 
+@query
+def classify_with_hooks(spark, sf_dir):
+    """All turns of a conversation are one query; a hook adds a column to the rows of its response."""
+    engine = document_engine(spark, sf_dir)
+    engine.hooks["search_postprocess"] = lambda df: df.withColumn("doc_chars", F.length("doc_text"))
+    asked = table(spark, sf_dir, "conversations").select(text_of("conv_id").alias("id"), F.col("text").alias("query"))
+    return _response_text(engine.classify(asked, 3), "doc_chars")
+
+
 @query
 def search_with_hooks(spark, sf_dir):
     """Punctuation goes before the search; after it sources appear once, ranked anew and defined."""
@@ -196,14 +220,26 @@ def _bits(vector: str) -> Column:
     return F.array_join(F.transform(vector, lambda x: x.cast("int").cast("string")), "")
 
 
-def _response_text(nested: DataFrame) -> DataFrame:
+def _response_text(nested: DataFrame, *more: str) -> DataFrame:
     """The nested list as text, so that it can be compared."""
     def one(r: Column) -> Column:
-        return F.concat_ws(":", r["rank"].cast("string"), r["label"], r["score"].cast("decimal(12,4)").cast("string"))
+        return F.concat_ws(":", r["rank"].cast("string"), r["label"], r["score"].cast("decimal(12,4)").cast("string"), *[r[c].cast("string") for c in more])
 
     return nested.withColumn("response", F.array_join(F.transform("response", one), "|"))
 
 
+@query
+def embed_with_hooks(spark, sf_dir):
+    """Punctuation goes before the embedding; after it the words found are counted."""
+    engine = Engine(table(spark, sf_dir, "documents"), WordPresence(VOCABULARY))
+    engine.hooks["embed_preprocess"] = lambda df: R.punctuation_free(df, "text")
+    engine.hooks["embed_postprocess"] = lambda df: df.withColumn(
+        "n_words", F.aggregate("embedding", F.lit(0), lambda n, x: n + x.cast("int"))
+    )
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return engine.embed(items).select("id", "text", _bits("embedding").alias("presence"), "n_words")
+
+
 class TransformOnly:
     """A user's vectoriser: anything with ``transform``. Runs in Python, batch by batch."""
 
@@ -308,6 +344,28 @@ def reverse_prefix_shuffled(spark, sf_dir):
     return reverse_search(*_brands(spark, sf_dir), 100, True, broadcast_bytes=0)
 
 
+@query
+def reverse_prefix_2000(spark, sf_dir):
+    return reverse_search(*_brands(spark, sf_dir), 2000, True)
+
+
+@query
+def reverse_empty_prefix(spark, sf_dir):
+    """The empty code, which every part starts with."""
+    asked, parts = _brands(spark, sf_dir)
+    return reverse_search(asked.where("id = '1'").withColumn("doc_id", F.lit("")), parts, 1500, True)
+
+
+@query
+def reverse_with_hooks(spark, sf_dir):
+    """Hooks drop two brands before the search and add a column after it."""
+    asked, parts = _brands(spark, sf_dir)
+    engine = Engine(parts, WordPresence(VOCABULARY))
+    engine.hooks["reverse_search_preprocess"] = lambda df: reverse_queries(df, "id", "doc_id", ["Brand#1", "Brand#7"])
+    engine.hooks["reverse_search_postprocess"] = lambda df: df.withColumn("upper_text", F.upper("doc_text"))
+    return engine.reverse_search(asked, 100)
+
+
 @query
 def reverse_by_catalogue(spark, sf_dir):
     """Part types are the catalogues; every supplier asks in one of them."""
@@ -346,6 +404,14 @@ def clean_documents(spark, sf_dir):
     return clean_columns(table(spark, sf_dir, "documents"), ["text"]).select("doc_id", "text")
 
 
+@query
+def clean_wide_letters(spark, sf_dir):
+    """Texts in full-width letters, which normalising turns into the plain ones."""
+    letters = string.ascii_letters
+    wide = F.translate("text", letters, "".join(chr(ord(c) + 0xFEE0) for c in letters))
+    return clean_columns(table(spark, sf_dir, "documents").withColumn("text", wide), ["text"]).select("doc_id", "text")
+
+
 def _with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a raw catalogue in which some texts are missing or blank."""
     rest = F.col("doc_id") % 5
@@ -448,6 +514,19 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_entry_wins(entries, F.col("doc_id"))
 
 
+@query
+def dictionary_files(spark, sf_dir):
+    """Descriptions written and read as a dictionary folder; files without a language are Spanish."""
+    folder = new_folder(spark, "dictionary")
+    write_coded(
+        table(spark, sf_dir, "documents").select(
+            F.concat(F.lit(" D"), "doc_id").alias("id"), F.concat_ws("/", F.lit(" "), "lang", F.col("source")).alias("text")
+        ),
+        folder,
+    )
+    return read_dictionaries(spark, folder).select("lang", "code", "text")
+
+
 @query
 def lookup_with_fallback(spark, sf_dir):
     """Each row asks in its own language."""

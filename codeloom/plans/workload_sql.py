@@ -229,6 +229,7 @@ SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <
 SQL: dict[str, str] = {
     "search_topk": TOP10,
     "search_topk_blocks": TOP10,
+    "search_scaled_documents": f"SELECT plan, query_id, doc_id, rank, score FROM ({TOP10}) CROSS JOIN (VALUES ('broadcast'), ('blocks')) plans(plan)",
     "search_with_metadata": f"""{BY_VEC}
 SELECT query_id, doc_id, doc_text, rank, round(score, 6) AS score, doc_label AS label FROM ranked WHERE rank <= 10""",
     "search_long_documents": long_vectors("d.v"),
@@ -248,6 +249,26 @@ flags AS (
 )
 SELECT query_id AS input_id, response, is_ambiguous,
        CASE WHEN (is_ambiguous OR n > 1) AND NOT (length(prefix) > 0 AND length(prefix) >= length(top_code)) THEN prefix END AS suggested_root
+FROM flags""",
+    "classify_with_hooks": f"""{text_ranked("CAST(doc_id AS VARCHAR)", CLEAN.format("text"))},
+placed AS (
+  SELECT *, split_part(query_id, '-', 1) AS input_id,
+         row_number() OVER (PARTITION BY split_part(query_id, '-', 1) ORDER BY rank, doc_id, doc_text, score) AS place
+  FROM ranked WHERE rank <= 3 AND query_text <> ''
+),
+groups AS (
+  SELECT input_id, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi, max(CASE WHEN place = 1 THEN doc_id END) AS top_code,
+         max(CASE WHEN place = 1 THEN score END) AS s1, max(CASE WHEN place = 2 THEN score END) AS s2,
+         string_agg(CAST(rank AS VARCHAR) || ':' || doc_id || ':' || CAST(CAST(score AS DECIMAL(12,4)) AS VARCHAR)
+                    || ':' || CAST(length(doc_text) AS VARCHAR), '|' ORDER BY place) AS response
+  FROM placed WHERE place <= 3 GROUP BY input_id
+),
+flags AS (
+  SELECT *, coalesce((s1 - s2) / (s1 + 1e-9) < 0.05, FALSE) AS is_ambiguous, {PREFIX.format(lo="lo", hi="hi")} AS prefix
+  FROM groups
+)
+SELECT input_id, response, is_ambiguous,
+       CASE WHEN (is_ambiguous OR n > 1) AND NOT (length(prefix) > 0 AND length(prefix) >= length(top_code)) THEN prefix END AS suggested_root
 FROM flags""",
     "search_with_hooks": f"""{text_ranked("source", NO_PUNCTUATION)},
 firsts AS (
@@ -258,6 +279,10 @@ SELECT query_id, query_text, doc_id, CAST(row_number() OVER (PARTITION BY query_
 FROM firsts LEFT JOIN region ON doc_id = 'src' || CAST(r_regionkey AS VARCHAR) WHERE place = 1""",
     "embed_texts": f"""WITH tokens AS (SELECT CAST(item_id AS VARCHAR) AS id, text, {WORDS.format("text")} AS words FROM benchmark)
 SELECT id, text, {PRESENCE} AS presence FROM tokens""",
+    "embed_with_hooks": f"""WITH plain AS (SELECT CAST(item_id AS VARCHAR) AS id, {NO_PUNCTUATION} AS text FROM benchmark),
+tokens AS (SELECT id, text, {WORDS.format("text")} AS words FROM plain),
+marked AS (SELECT id, text, {PRESENCE} AS presence FROM tokens)
+SELECT id, text, presence, CAST(length(replace(presence, '0', '')) AS INTEGER) AS n_words FROM marked""",
     "embed_texts_in_batches": f"""WITH tokens AS (SELECT CAST(doc_id AS VARCHAR) AS id, {WORDS.format("text")} AS words FROM documents)
 SELECT id, {PRESENCE} AS presence FROM tokens""",
     "code_survey_file": f"""{text_ranked("CAST(doc_id AS VARCHAR)", CLEAN.format("text"))},
@@ -291,7 +316,8 @@ judged AS (
 SELECT difficulty, count(*) AS total_cases, round(avg(CAST(hit_top1 AS DOUBLE)), 6) AS top1_acc,
        round(avg(CAST(hit_top3 AS DOUBLE)), 6) AS top3_acc, round(avg(top1_score), 6) AS mean_score
 FROM judged GROUP BY difficulty""",
-    "stream_progress": """SELECT 'coding' AS job_id, CAST(1 AS BIGINT) AS processed_chunks, count(*) AS processed_rows,
+    "stream_progress": """SELECT 'coding' AS job_id, CAST(1 AS BIGINT) AS processed_chunks, CAST(1 AS BIGINT) AS total_chunks, 100.0::DOUBLE AS progress,
+       count(*) AS processed_rows,
        count(*) AS total_rows FROM embeddings""",
     "latest_job_status": """WITH log AS (
   SELECT CAST(user_id AS VARCHAR) AS job_id, value, props, ts,
@@ -337,6 +363,10 @@ SELECT id, text, lang, {PRESENCE} AS presence FROM tokens""",
     "reverse_prefix": BRANDS.format(match=STARTS, limit="place <= 100"),
     "reverse_prefix_all": BRANDS.format(match=STARTS, limit="TRUE"),
     "reverse_prefix_shuffled": BRANDS.format(match=STARTS, limit="place <= 100"),
+    "reverse_prefix_2000": BRANDS.format(match=STARTS, limit="place <= 2000"),
+    "reverse_empty_prefix": BRANDS.format(match="a.id = '1'", limit="place <= 1500"),
+    "reverse_with_hooks": "SELECT *, upper(doc_text) AS upper_text FROM ("
+    + BRANDS.format(match=EXACT + " AND a.code NOT IN ('Brand#1', 'Brand#7')", limit="place <= 100") + ")",
     "reverse_by_catalogue": """WITH asked AS (
   SELECT CAST(s_suppkey AS VARCHAR) AS id, 'Brand#' || CAST(s_nationkey + 1 AS VARCHAR) AS code,
          ['ECONOMY', 'SMALL', 'STANDARD', 'MEDIUM', 'LARGE', 'PROMO'][s_suppkey % 6 + 1] AS classifier
@@ -353,6 +383,7 @@ SELECT id, doc_id, doc_text, classifier, p_partkey FROM found WHERE place <= 100
        string_agg(doc_id || ':' || doc_text || ':' || CAST(p_partkey AS VARCHAR), '|' ORDER BY doc_id, doc_text, p_partkey) AS response
 FROM ({BRANDS.format(match=STARTS, limit="place <= 20")}) GROUP BY id""",
     "clean_documents": f"SELECT doc_id, {CLEAN.format('text')} AS text FROM documents",
+    "clean_wide_letters": f"SELECT doc_id, {CLEAN.format('text')} AS text FROM documents",
     "sanitize_report": f"""{GAPS},
 flags AS (
   SELECT lang, text IS NULL AS missing, text IS NOT NULL AND {CLEAN.format("coalesce(text, '')")} = '' AS blank FROM raw
@@ -388,6 +419,7 @@ SELECT query_id, round(s1, 6) AS first_score, round(s2, 6) AS second_score, is_a
     "nested_flat_results": NESTED,
     "dictionary_last_wins": """SELECT source AS classifier, lang, CAST(doc_id % 50 AS VARCHAR) AS code, arg_max(text, doc_id) AS text
 FROM documents GROUP BY 1, 2, 3""",
+    "dictionary_files": """SELECT 'es' AS lang, 'd' || CAST(doc_id AS VARCHAR) AS code, '/' || lang || '/' || source AS text FROM documents""",
     "lookup_with_fallback": f"""WITH {DICTIONARY},
 asked AS (
   SELECT doc_id, 'c' || CAST(doc_id % 60 AS VARCHAR) AS code, CASE WHEN quality = 1 THEN 'fr' ELSE 'pt' END AS lang FROM labels

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,11 @@ EMBED_OUTPUT = Contract(
 )
 
 
+def named(column: str) -> Column:
+    """A top-level column by its name, which may hold dots and backticks."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def _is_vector(kind: T.DataType) -> bool:
     return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))
 
@@ -78,7 +83,7 @@ def validate(df: DataFrame, contract: Contract) -> DataFrame:
             message = F.lit(f"{contract.name}: {name} must not be negative")
             column = F.when(column >= 0, column).otherwise(F.raise_error(message).cast(kind))
         selected.append(column.alias(name))
-    return df.select(*selected, *[F.col(c) for c in added_columns(df, contract)])
+    return df.select(*selected, *[named(c) for c in added_columns(df, contract)])
 
 
 def added_columns(df: DataFrame, contract: Contract, also: Iterable[str] = ()) -> list[str]:

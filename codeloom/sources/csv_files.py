@@ -21,33 +21,39 @@ _WINDOWS = _CONTROLS.encode("latin-1").decode("cp1252")
 
 
 class FileHead(NamedTuple):
-    """One CSV file: its name, its column names and its encoding."""
+    """One CSV file: its name, column names and encoding, and whether it must be read whole."""
 
     name: str
     stem: str
     columns: tuple[str, ...]
     encoding: str
+    whole: bool
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[FileHead]:
     """Header and encoding of every file in the folder.
 
     The lines are checked where they lie: a file all of whose lines are valid UTF-8 is
-    read as such, any other as Windows-1252. One row per file comes back.
+    read as such, any other as Windows-1252. A file can hold quoted line breaks, and must then
+    be read whole, only if some line has an odd number of quotes (or nothing but blanks, which
+    counts as a row there only). One row per file comes back.
     """
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    blank = (F.col("value") != "") & (F.trim("value") == "")
     lines = spark.read.option("pathGlobFilter", pattern).text(folder).select(
         F.col("_metadata.file_name").alias("name"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
         "value",
     )
     per_file = lines.groupBy("name").agg(
-        F.min_by("value", "place").alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+        F.min_by("value", "place").alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_or((quotes % 2 == 1) | blank).alias("whole"),
     )
     told = F.translate(F.decode(F.col("header").cast("binary"), LATIN1), _CONTROLS, _WINDOWS)
     header = F.when(F.col("utf8"), F.col("header")).otherwise(told)
-    found = per_file.select("name", file_stem(F.col("name")).alias("stem"), header.alias("header"), "utf8")
+    found = per_file.select("name", file_stem(F.col("name")).alias("stem"), header.alias("header"), "utf8", "whole")
     return [
-        FileHead(r["name"], r["stem"], tuple(next(csv.reader([r["header"]]), [])), UTF8 if r["utf8"] else LATIN1)
+        FileHead(r["name"], r["stem"], tuple(next(csv.reader([r["header"]]), [])), UTF8 if r["utf8"] else LATIN1, r["whole"])
         for r in found.orderBy("name").toLocalIterator()
     ]
 
@@ -70,27 +76,29 @@ def read_strings(
 
 
 def read_groups(
-    spark: SparkSession, folder: str, files: list[FileHead], multi_line: bool = True
+    spark: SparkSession, folder: str, files: list[FileHead], multi_line: bool | None = None
 ) -> list[tuple[tuple[str, ...], DataFrame]]:
     """One DataFrame per header among ``files``, each with a ``_stem`` and a ``_place`` column.
 
-    ``_place`` grows in row order within a file.
+    ``_place`` grows in row order within a file. Unless ``multi_line`` says otherwise, files without
+    quoted line breaks are split over tasks.
     """
     if not files:
         raise InvalidInput(f"no readable files in {folder}")
     groups: dict[tuple, list[str]] = {}
     for f in files:
-        groups.setdefault((f.columns, f.encoding), []).append(f"{folder.rstrip('/')}/{f.name}")
+        whole = f.whole if multi_line is None else multi_line
+        groups.setdefault((f.columns, f.encoding, whole), []).append(f"{folder.rstrip('/')}/{f.name}")
     return [
         (
             columns,
-            read_strings(spark, paths, columns, encoding, multi_line).select(
+            read_strings(spark, paths, columns, encoding, whole).select(
                 *[F.col(f"`{c}`") for c in columns],
                 file_stem(F.col("_metadata.file_name")).alias("_stem"),
                 F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_place"),
             ),
         )
-        for (columns, encoding), paths in groups.items()
+        for (columns, encoding, whole), paths in groups.items()
     ]
 
 

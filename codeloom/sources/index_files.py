@@ -26,8 +26,10 @@ def _read(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
         return spark.read.option("basePath", path).parquet(path).withColumn(
             "classifier", F.col("classifier").cast("string")
         )
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}:
+            return None
+        raise
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame | None:
@@ -55,8 +57,15 @@ def index_stats(vectors: DataFrame, by: str = "classifier") -> DataFrame:
 
 
 def check_target(spark: SparkSession, path: str, names: Iterable[str], overwrite: bool) -> None:
-    """Catalogues that are stored already may only be written with ``overwrite``."""
-    there = sorted(set(names) & set(index_names(spark, path)))
+    """Catalogues that are stored already may only be written with ``overwrite``.
+
+    Vectors count too: a write that broke off leaves them without metadata.
+    """
+    there = set(index_names(spark, path))
+    vectors = _read(spark, f"{path}/vectors", "parquet")
+    if vectors is not None:
+        there |= {r["classifier"] for r in vectors.select("classifier").distinct().toLocalIterator()}
+    there = sorted(there & set(names))
     if there and not overwrite:
         raise IndexProblem(f"{path} already holds {there}; pass overwrite=True to replace")
 
@@ -86,6 +95,23 @@ def write_index(
         .option("partitionOverwriteMode", "dynamic").partitionBy("name").json(f"{path}/metadata"))
 
 
+def _folder(name: str) -> str:
+    """A partition value as Spark spells it in a folder's name."""
+    return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in name)
+
+
+def empty_catalogues(spark: SparkSession, path: str, names: Iterable[str]) -> None:
+    """Replace the stored catalogues among ``names`` by nothing: a rebuild that leaves them without rows."""
+    stored = _read(spark, f"{path}/vectors", "parquet")
+    if stored is None:
+        return
+    kind = stored.drop("classifier").schema
+    known = {r["classifier"] for r in stored.select("classifier").distinct().toLocalIterator()}
+    for name in sorted(known & set(names)):
+        spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{path}/vectors/classifier={_folder(name)}")
+        spark.createDataFrame([], METADATA_SCHEMA).write.mode("overwrite").json(f"{path}/metadata/name={_folder(name)}")
+
+
 def read_index(
     spark: SparkSession, path: str, vectoriser, only: str | None = None
 ) -> tuple[DataFrame, DataFrame]:

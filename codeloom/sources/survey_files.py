@@ -20,7 +20,7 @@ def survey_columns(columns: list[str]) -> tuple[str | None, str]:
     return row_id, named or other
 
 
-def read_surveys(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
+def read_surveys(spark: SparkSession, folder: str, multi_line: bool | None = None) -> DataFrame:
     """All survey files of a folder, all columns strings; they may differ in columns.
 
     Reads every line once beforehand, for headers and encodings. Where these are known

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.streaming.status import COMPLETED, FAILED, PENDING, PROCESSING, append_status
+from codeloom.functions.progress import chunk_count, percent_done
+from codeloom.streaming.status import COMPLETED, FAILED, PENDING, PROCESSING, append_status, last_written
 
 
 def code_new_files(
@@ -29,24 +30,39 @@ def code_new_files(
 
     ``code`` is the batch job (a function of the rows), so stream and batch agree. Each
     micro-batch replaces its own ``batch_id`` folder: one that is repeated after a
-    failure does not add rows twice. Run it again to pick up later files.
+    failure does not add rows twice. Run it again to pick up later files. CSV files whose
+    header differs from ``schema`` stop the job.
+
+    A chunk of the job's status is a micro-batch, and progress follows the files in the
+    folder. A job that finds no file, or no row in the files it reads, ends as failed.
     """
     reader = spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if file_format == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
+        reader = reader.options(header=True, multiLine=True, escape='"', enforceSchema=False)
     rows = reader.options(**(options or {})).load(source)
     coded, status = f"{out_dir}/coded", f"{out_dir}/status"
     about = {"job_id": job_id, "classifier": classifier, "filename": source}
     append_status(spark, status, **about, status=PENDING, progress=0.0, message="queued")
+    found = {k: v for k, v in (options or {}).items() if k in {"pathGlobFilter", "recursiveFileLookup"}}
+    # Listed only: no column of the files is asked for.
+    files = spark.read.format("binaryFile").options(**found).load(source).count()
+    if not files:
+        append_status(spark, status, **about, status=FAILED, error="no files", message="nothing to code")
+        return coded
+    rows_of: dict[int, int] = {}
 
     def code_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         target = f"{coded}/batch_id={batch_id}"
         code(batch).write.mode("overwrite").parquet(target)
-        written = session.read.parquet(target).count()
+        written = rows_of[batch_id] = session.read.parquet(target).count()  # from the footers
+        unit = F.lit(files), files_per_batch
+        told = session.range(1).select(
+            F.greatest(chunk_count(*unit), F.lit(batch_id + 1)).alias("chunks"), percent_done(F.lit(batch_id), *unit).alias("progress")
+        ).first()
         append_status(
             session, status, **about, status=PROCESSING, processed_chunks=batch_id + 1,
-            processed_rows=written, message=f"batch {batch_id}",
+            total_chunks=told["chunks"], progress=told["progress"], processed_rows=written, message=f"batch {batch_id}",
         )
 
     query = (
@@ -58,14 +74,17 @@ def code_new_files(
     except Exception as e:
         append_status(spark, status, **about, status=FAILED, error=str(e), message="stopped by an error")
         raise
+    if rows_of and not sum(rows_of.values()):
+        append_status(spark, status, **about, status=FAILED, error="no rows", message="the files are empty")
+        return coded
     append_status(spark, status, **about, status=COMPLETED, output_file=coded, message="all files coded")
     return coded
 
 
 def batch_progress(log: DataFrame) -> DataFrame:
-    """Rows coded per micro-batch and in total so far; one row per batch, last write wins."""
+    """Rows coded per micro-batch and in total so far, with the progress told then; one row per batch, last write wins."""
     batches = log.where(F.col("status") == PROCESSING).groupBy("job_id", "processed_chunks").agg(
-        F.max_by("processed_rows", "at").alias("processed_rows")
+        *[F.max_by(c, last_written(log)).alias(c) for c in ("total_chunks", "progress", "processed_rows")]
     )
     so_far = W.partitionBy("job_id").orderBy("processed_chunks").rowsBetween(W.unboundedPreceding, 0)
     return batches.withColumn("total_rows", F.sum("processed_rows").over(so_far))
