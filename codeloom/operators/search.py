@@ -213,13 +213,20 @@ def catalogue_bytes(catalogue: DataFrame) -> int:
     return catalogue.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
+def longest_vector(catalogue: DataFrame) -> float:
+    squares = F.aggregate("_vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    return catalogue.agg(F.sqrt(F.max(squares)).alias("length")).first()["length"] or 0.0
+
+
 class Searcher:
     """A catalogue made ready for any number of searches.
 
     ``catalogue`` has ``id``, ``embeddings`` and any of ``text``, ``uuid`` and metadata;
     ``id`` and ``text`` come out as ``doc_id`` and ``doc_text``. ``columns`` names the
     catalogue columns to bring along besides ``id`` (default: all but uuid). With ``by``
-    both sides carry that column and a query only sees its own catalogue.
+    both sides carry that column and a query only sees its own catalogue. A catalogue that
+    is ``stored``, read from files in the same order each time, need not be written for its
+    rows to be numbered.
     """
 
     def __init__(
@@ -231,6 +238,7 @@ class Searcher:
         normalise_docs: bool = False,
         broadcast_bytes: int = BROADCAST_BYTES,
         block_bytes: int = BLOCK_BYTES,
+        stored: bool = False,
     ):
         out = {"id": "doc_id", "text": "doc_text"}
         back = {v: k for k, v in out.items()}
@@ -256,14 +264,16 @@ class Searcher:
         else:
             # The place in tie order stands for the document until the best k are known, so
             # blocks hold vectors and numbers only, however long the documents' texts are.
-            self.docs = number_rows(docs, [F.col(c).asc_nulls_last() for c in ["_by", *tie]], "_place")
+            order = [F.col(c).asc_nulls_last() for c in ["_by", *tie]]
+            self.docs = number_rows(docs, order, "_place", stored)
+            self.unit = power_near(1.0 if normalise_docs else longest_vector(self.docs))
 
     def hits(self, queries: DataFrame, n_results: int = 10, vector: str = "embedding") -> DataFrame:
         """``queries`` with a ``hits`` column."""
         require_positive("n_results", n_results)
         if self.shared is None:
             return _search_blocks(
-                queries, self.docs, n_results, self.by, vector, self.carried, self.kind, self.normalise, self.block_bytes
+                queries, self.docs, n_results, self.by, vector, self.carried, self.kind, self.normalise, self.unit, self.block_bytes
             )
         k = min(n_results, self.longest)
         return _search_broadcast(queries, self.shared, k, self.by, vector, self.widest, self.kind)
@@ -296,7 +306,7 @@ def _search_broadcast(
 
 def _search_blocks(
     queries: DataFrame, docs: DataFrame, k: int, by: Column, vector: str, carried: list[str],
-    kind: T.ArrayType, normalise: bool, block_bytes: int,
+    kind: T.ArrayType, normalise: bool, unit: float, block_bytes: int,
 ) -> DataFrame:
     spark = queries.sparkSession
     rows = write_stage(queries.withColumns({"_row": F.monotonically_increasing_id(), "_by": by}), "queries")
@@ -342,10 +352,6 @@ def _search_blocks(
         .repartition(tasks, *pair)
     )
 
-    squares = F.aggregate("_vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
-    longest = 1.0 if normalise else docs.agg(F.sqrt(F.max(squares))).first()[0]
-    unit = power_near(longest or 0.0)
-
     def score(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         shelf = make_shelf(theirs.select(["_by", "_vector", "_place"]), ["_place"], normalise, unit)
         mine = mine.combine_chunks()

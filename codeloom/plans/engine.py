@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,10 @@ from codeloom.sources.catalogue import read_catalogues
 from codeloom.sources.index_files import check_target, empty_catalogues, read_index, write_index
 
 
+# How a failed Spark job shows in the driver.
+FAULTS = (PySparkException, Py4JJavaError)
+
+
 @dataclass
 class Engine:
     """An index with its vectoriser. Hooks may be given here or set later; they are not stored.
@@ -129,16 +134,16 @@ def build_index(
     if meta is not None and not isinstance(meta, dict):
         raise InvalidInput("meta must be a dict of column name to type name")
     rows, files = read_catalogues(spark, raw_dir, list(meta or {}), only)
-    names = [r["classifier"] for r in files.where("ok").select("classifier").toLocalIterator()]
+    # Files and counts have one row per catalogue.
+    names = [r["classifier"] for r in files.where("ok").collect()]
     check_target(spark, out_dir, names, overwrite)
-    # One row per catalogue.
-    counts = {r["classifier"]: r for r in removed_rows(rows, ["classifier"]).toLocalIterator()}
+    counts = {r["classifier"]: r for r in removed_rows(rows, ["classifier"]).collect()}
     full = [name for name in names if name in counts and counts[name]["kept_rows"]]
-    empty_catalogues(spark, out_dir, set(names) - set(full))
+    if len(full) < len(names):
+        empty_catalogues(spark, out_dir, set(names) - set(full))
     if not full:
         raise InvalidInput(f"no documents with an id and a text in {raw_dir}")
-    vectors = with_vectors(add_uuid(sanitise_catalogue(rows)), vectoriser, "text", "embeddings")
-    failed = _write_each(vectors, out_dir, vectoriser, full, meta)
+    failed = _write_each(rows, out_dir, vectoriser, full, meta)
     if failed:
         report = spark.createDataFrame(list(failed.items()), "classifier string, _fault string")
         fault = F.col("_fault").isNotNull()
@@ -150,21 +155,26 @@ def build_index(
 
 
 def _write_each(
-    vectors: DataFrame, out_dir: str, vectoriser, names: list[str], meta: dict[str, str] | None
+    rows: DataFrame, out_dir: str, vectoriser, names: list[str], meta: dict[str, str] | None
 ) -> dict[str, str]:
-    """Write the catalogues in one job; if that fails, one by one, so that a fault stops its own catalogue only.
+    """Embed and write the catalogues in one job; if that fails, one by one, so that a fault stops its own catalogue only.
 
     Returns what stopped which; if all were stopped, the first fault is raised.
     """
+
+    def write(part: DataFrame, own: list[str]) -> None:
+        vectors = with_vectors(add_uuid(sanitise_catalogue(part)), vectoriser, "text", "embeddings")
+        write_index(vectors, out_dir, vectoriser, own, meta)
+
     try:
-        write_index(vectors, out_dir, vectoriser, names, meta)
+        write(rows, names)
         return {}
-    except PySparkException as first:
+    except FAULTS as first:
         failed = {}
         for name in names:
             try:
-                write_index(vectors.where(F.col("classifier") == name), out_dir, vectoriser, [name], meta)
-            except PySparkException as e:
+                write(rows.where(F.col("classifier") == name), [name])
+            except FAULTS as e:
                 failed[name] = str(e)
         if len(failed) == len(names):
             raise first

@@ -103,7 +103,7 @@ def search_topk(spark, sf_dir):
 @query
 def search_topk_blocks(spark, sf_dir):
     """The plan for catalogues too large to broadcast."""
-    found = top(spark, sf_dir, 10, broadcast_bytes=0)
+    found = top(spark, sf_dir, 10, broadcast_bytes=0, stored=True)
     return flatten_hits(found).select("query_id", "doc_id", "rank", six_score("score"))
 
 

@@ -64,7 +64,7 @@ def check_target(spark: SparkSession, path: str, names: Iterable[str], overwrite
     there = set(index_names(spark, path))
     vectors = _read(spark, f"{path}/vectors", "parquet")
     if vectors is not None:
-        there |= {r["classifier"] for r in vectors.select("classifier").distinct().toLocalIterator()}
+        there |= {r["classifier"] for r in vectors.select("classifier").distinct().collect()}
     there = sorted(there & set(names))
     if there and not overwrite:
         raise IndexProblem(f"{path} already holds {there}; pass overwrite=True to replace")
@@ -106,7 +106,7 @@ def empty_catalogues(spark: SparkSession, path: str, names: Iterable[str]) -> No
     if stored is None:
         return
     kind = stored.drop("classifier").schema
-    known = {r["classifier"] for r in stored.select("classifier").distinct().toLocalIterator()}
+    known = {r["classifier"] for r in stored.select("classifier").distinct().collect()}
     for name in sorted(known & set(names)):
         spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{path}/vectors/classifier={_folder(name)}")
         spark.createDataFrame([], METADATA_SCHEMA).write.mode("overwrite").json(f"{path}/metadata/name={_folder(name)}")

@@ -9,7 +9,7 @@ from codeloom.operators.hooks import chain
 from codeloom.operators.joins import BROADCAST_BYTES, lookup_join
 from codeloom.operators.results import drop_duplicate_docs, punctuation_free, rerank_from_zero
 from codeloom.operators.translate import add_description
-from codeloom.operators.vectorise import LoadedOnWorker, WordPresence, with_vectors
+from codeloom.operators.vectorise import LoadedOnWorker, WordPresence, mean_pool, with_vectors
 from codeloom.plans.benchmark import accuracy_report, run_benchmark
 from codeloom.plans.engine import Engine, build_index, load_engine
 from codeloom.plans.survey import code_survey, survey_searcher
@@ -351,3 +351,107 @@ def test_windows_1252_characters_are_kept(spark, tmp_path):
     (head,) = list_files(spark, str(tmp_path))
     row = read_strings(spark, str(tmp_path), head.columns, head.encoding).first()
     assert row["text"] == "precio \u20ac \u201cpan\u201d ni\u00f1o"
+
+
+def test_one_response_per_query_id(spark, index):
+    """A hook that changes nothing changes nothing, also for ids that repeat and tables of blanks."""
+    engine = load_engine(spark, index, WordPresence(WORDS), only="food_es")
+    asked = spark.createDataFrame([(1, "pan"), (1, "leche"), (2, "pan"), (3, " ")], "id int, query string")
+    plain = engine.classify(asked, 2)
+    engine.hooks["search_postprocess"] = lambda df: df
+    hooked = engine.classify(asked, 2)
+    assert plain.schema == hooked.schema and sorted(map(str, plain.collect())) == sorted(map(str, hooked.collect()))
+    rows = {r["input_id"]: r["response"] for r in plain.collect()}
+    assert set(rows) == {"1", "2"} and [e["rank"] for e in rows["1"]] == [1, 1]
+    engine.hooks["search_postprocess"] = lambda df: df.withColumn("extra", F.lit(1))
+    blank = engine.classify(asked.where("id = 3"), 2)
+    assert blank.count() == 0 and "extra" in blank.schema["response"].dataType.elementType.names
+
+
+def test_rebuild_replaces_what_was_there(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "index")
+    raw.mkdir()
+    (raw / "x_es.csv").write_text("id,text\n1,pan\n", encoding="utf-8")
+    (raw / "y_es.csv").write_text("id,text\n2,leche\n", encoding="utf-8")
+    build_index(spark, str(raw), out, WordPresence(WORDS))
+    (raw / "x_es.csv").write_text('id,text\n1," "\n', encoding="utf-8")
+    report = build_index(spark, str(raw), out, WordPresence(WORDS), overwrite=True)
+    assert (report.rows_read, report.rows_removed) == (2, 1)
+    assert index_names(spark, out) == ["y_es"]
+    assert [r["id"] for r in load_engine(spark, out, WordPresence(WORDS)).catalogue.collect()] == ["2"]
+
+
+def test_vectors_without_metadata_are_not_overwritten_silently(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "index")
+    raw.mkdir()
+    (raw / "x_es.csv").write_text("id,text\n1,pan\n", encoding="utf-8")
+    vectors = spark.createDataFrame([("x_es", "1", "pan", "u", [1.0])], "classifier string, id string, text string, uuid string, embeddings array<float>")
+    vectors.write.partitionBy("classifier").parquet(out + "/vectors")
+    with pytest.raises(IndexProblem):
+        build_index(spark, str(raw), out, WordPresence(WORDS))
+
+
+class Picky(Plain):
+    """Fails on one text."""
+
+    def transform(self, texts):
+        if any("veneno" in t for t in texts):
+            raise ValueError("no poison")
+        return super().transform(texts)
+
+
+def test_one_catalogue_that_fails_does_not_stop_the_others(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "index")
+    raw.mkdir()
+    (raw / "bad_es.csv").write_text("id,text\n1,veneno\n", encoding="utf-8")
+    (raw / "good_es.csv").write_text("id,text\n2,pan\n", encoding="utf-8")
+    report = build_index(spark, str(raw), out, Picky(WORDS))
+    told = {r["classifier"]: (r["ok"], r["message"]) for r in report.files.collect()}
+    assert told["good_es"] == (True, "") and not told["bad_es"][0] and "no poison" in told["bad_es"][1]
+    assert (report.rows_read, report.rows_removed) == (2, 1) and index_names(spark, out) == ["good_es"]
+
+
+def test_files_are_split_unless_they_hold_line_breaks(spark, tmp_path):
+    lines = "".join(f'{i},"say ""{i}"""\n' for i in range(20000))
+    (tmp_path / "plain.csv").write_text("id,literal\n" + lines, encoding="utf-8")
+    (tmp_path / "broken.csv").write_text('id,literal\n1,"two\nlines"\n', encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = read_surveys(spark, str(tmp_path))
+        assert rows.count() == 20001 and rows.rdd.getNumPartitions() > 4
+        assert {r["literal"] for r in rows.where("id = '1'").collect()} == {'say "1"', "two\nlines"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_stream_with_other_header_or_without_rows_fails(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "none").mkdir()
+    (tmp_path / "in/a.csv").write_text("literal,id\npan,7\n", encoding="utf-8")
+    kind = spark.createDataFrame([], "id string, literal string").schema
+    with pytest.raises(Exception):
+        code_new_files(spark, str(tmp_path / "in"), kind, lambda df: df, str(tmp_path / "out"))
+    (tmp_path / "in/a.csv").write_text("id,literal\n", encoding="utf-8")
+    for source, error in (("in", "no rows"), ("none", "no files")):
+        out = str(tmp_path / f"out-{source}")
+        code_new_files(spark, str(tmp_path / source), kind, lambda df: df, out)
+        status = latest_status(spark.read.parquet(out + "/status")).first()
+        assert (status["status"], status["error"]) == ("FAILED", error)
+
+
+def test_progress_of_a_stream_in_several_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / f"in/{i}.csv").write_text(f"id\n{i}\n", encoding="utf-8")
+    kind, out = spark.createDataFrame([], "id string").schema, str(tmp_path / "out")
+    code_new_files(spark, str(tmp_path / "in"), kind, lambda df: df, out, files_per_batch=1)
+    told = batch_progress(spark.read.parquet(out + "/status")).orderBy("processed_chunks").collect()
+    assert [(r["processed_chunks"], r["total_chunks"], round(r["progress"], 1), r["total_rows"]) for r in told] == [
+        (1, 3, 33.3, 1), (2, 3, 66.7, 2), (3, 3, 100.0, 3)
+    ]
+
+
+def test_pooling_of_masked_groups(spark):
+    rows = [("a", [1.0, 3.0], 1), ("a", [3.0, 5.0], 1), ("a", [9.0, 9.0], 0), ("b", [4.0, 4.0], 0), ("b", None, 1)]
+    tokens = spark.createDataFrame(rows, "k string, embedding array<float>, mask int")
+    assert {r["k"]: r["embedding"] for r in mean_pool(tokens, ["k"]).collect()} == {"a": [2.0, 4.0], "b": [0.0, 0.0]}

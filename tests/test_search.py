@@ -185,3 +185,32 @@ def test_small_vectors_rank_as_large_ones(spark, broadcast_bytes):
     queries = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
     rows = S.search_hits(queries, catalogue, 3, broadcast_bytes=broadcast_bytes).first()["hits"]
     assert [(h["doc_id"], h["score"]) for h in rows] == [("b", 4e-10), ("a", 1e-10), ("c", 0.0)]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 30, 0])
+def test_odd_column_names_and_all_rows(spark, broadcast_bytes):
+    docs = spark.createDataFrame([("a", [1.0, 0.0], 1), ("b", [0.0, 1.0], 2), ("c", [1.0, 1.0], 3)], "id string, embeddings array<double>, `p1.2` int")
+    asked = spark.createDataFrame([("q", [1.0, 0.5], "x"), ("r", None, "y")], "query_id string, `q.1` array<double>, `k.v` string")
+    asked = asked.withColumnRenamed("q.1", "v")
+    found = S.search_hits(asked, docs, 10**9, vector="v", broadcast_bytes=broadcast_bytes).drop("v")
+    rows = S.flatten_hits(found).orderBy("rank").collect()
+    assert [(r["k.v"], r["doc_id"], r["p1.2"]) for r in rows] == [("x", "c", 3), ("x", "a", 1), ("x", "b", 2)]
+
+
+def test_crowded_queries_are_scored_exactly(monkeypatch):
+    monkeypatch.setattr(S, "CELLS", 2000)
+    rng = np.random.default_rng(5)
+    docs, queries = rng.integers(0, 2, (300, 4)).astype(float), S.unit_rows(rng.integers(0, 2, (50, 4)))
+    positions, _ = S.best_rows(queries, docs, 5)
+    for i, q in enumerate(queries):
+        level = np.rint(docs @ q * 1e9)
+        assert positions[i].tolist() == sorted(range(300), key=lambda d: (-level[d], d))[:5]
+
+
+def test_both_plans_give_bit_equal_scores(tables):
+    _, _, q, d = tables
+    bits = []
+    for how in ({}, {"broadcast_bytes": 0, "block_bytes": 512}, {"broadcast_bytes": 0, "block_bytes": 4096, "stored": True}):
+        rows = S.flatten_hits(S.search_hits(q, d, 4, vector="v", **how).drop("v")).collect()
+        bits.append(sorted((r["query_id"], r["rank"], r["doc_id"], r["score"].hex()) for r in rows))
+    assert bits[0] == bits[1] == bits[2]
