@@ -2,15 +2,15 @@
 
 A bounded sample of unit vectors is clustered, and clusters that are too large are split, so lists are
 about even. Every vector goes to its nearest list, and a boundary vector also to the other
-lists that are nearly as near. A query finds its nearest centroids by walking a
-neighbour graph of them, and reads the lists whose distance is within a ratio of the
-nearest one's. Lists are read in blocks, so one of any size is spread over tasks; each
+lists that are nearly as near. A query finds centroids by walking a neighbour graph
+of them, and reads every list whose distance is within a ratio of the nearest one's, however
+many those are. Neighbouring lists share a shelf, to which a vector or query goes once with
+the lists it is meant for. Shelves are read in blocks, so a list of any size is spread over tasks; each
 block passes on the best few of a query, with scores in double precision from the original vectors.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +27,10 @@ LIST_ROWS = 256  # wanted length of a list, as long as there are at most LISTS
 LISTS = 2048
 REPLICAS = 4  # lists that a vector goes to, at most
 BOUNDARY = 1.06  # distance of a further list over the nearest one's, up to which a vector goes there too
-PROBES = 64  # lists that a query reads, at most
 FIRST = 16  # lists that a query reads in any case
 PRUNE = 1.35  # distance of a further list over the nearest one's, up to which a query reads it
-LINKS, BEAM = 24, 96  # neighbours of a centroid in the graph, and how many are kept open in a walk
-BLOCK_ROWS, QUERY_ROWS = 4096, 2048  # of a list and of its queries in one task
+LINKS, BEAM = 24, 96  # neighbours of a centroid in the graph, and how many are kept open in a walk at least
+BLOCK_BYTES, QUERY_ROWS = 8 << 20, 2048  # of a shelf's vectors, and of its queries in one task
 NEAR = 1e-9  # beyond the rounding of a product of unit vectors
 
 
@@ -108,38 +107,56 @@ def link_centroids(centroids: np.ndarray) -> np.ndarray:
     return out
 
 
-def walk(query: np.ndarray, centroids: np.ndarray, links: np.ndarray, wanted: int) -> tuple[list[int], list[float]]:
-    """The nearest centroids and their distances, by best-first search in the graph."""
-    beam = max(BEAM, wanted)
-    seen = np.zeros(len(centroids), bool)
-    start = np.unique(np.linspace(0, len(centroids) - 1, 8).astype(np.int64))
-    seen[start] = True
-    far = np.sqrt(((centroids[start] - query) ** 2).sum(axis=1))
-    todo = list(zip(far.tolist(), start.tolist()))
-    heapq.heapify(todo)
-    best = [(-d, i) for d, i in todo]
-    heapq.heapify(best)
-    while todo:
-        d, at = heapq.heappop(todo)
-        if len(best) >= beam and d > -best[0][0]:
-            break
-        fresh = links[at][~seen[links[at]]]
-        fresh = np.unique(fresh)
-        seen[fresh] = True
-        for far, i in zip(np.sqrt(((centroids[fresh] - query) ** 2).sum(axis=1)).tolist(), fresh.tolist()):
-            if len(best) < beam:
-                heapq.heappush(best, (-far, i))
-            elif far < -best[0][0]:
-                heapq.heapreplace(best, (-far, i))
-            else:
-                continue
-            heapq.heappush(todo, (far, i))
-    order = sorted((-d, i) for d, i in best)[:wanted]
-    return [i for _, i in order], [d for d, _ in order]
-
-
-def top_of_block(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its ``k`` nearest others: places of queries and vectors, and cosines in one fixed order of adding."""
+def walk(query: np.ndarray, centroids: np.ndarray, links: np.ndarray, ratio: float = PRUNE, first: int = FIRST) -> np.ndarray:
+    """The centroids within ``ratio`` of the nearest one's distance, and the ``first`` nearest in any case, by a search in the graph."""
+    far = np.full(len(centroids), np.inf)
+    opened = np.zeros(len(centroids), bool)
+    fresh = np.unique(np.linspace(0, len(centroids) - 1, 8).astype(np.int64))
+    beam = min(max(BEAM, first), len(centroids)) - 1
+    while len(fresh):
+        far[fresh] = np.sqrt(((centroids[fresh] - query) ** 2).sum(axis=1))
+        edge = max(far.min() * ratio, np.partition(far, beam)[beam])
+        todo = np.flatnonzero((far <= edge) & ~opened & (far < np.inf))
+        opened[todo] = True
+        reached = np.zeros(len(centroids), bool)
+        reached[links[todo].ravel()] = True
+        fresh = np.flatnonzero(reached & (far == np.inf))
+    order = np.argsort(far, kind="stable")
+    return order[: max(min(first, int((far < np.inf).sum())), int((far <= far.min() * ratio).sum()))]
+
+
+def shelve(centroids: np.ndarray, shelves: int) -> np.ndarray:
+    """The shelf of each centroid; near ones share a shelf."""
+    return _nearest(centroids, fit_centroids(centroids, shelves))
+
+
+def _bundles(row: np.ndarray, lists: np.ndarray, shelf_of: np.ndarray, n: int) -> pa.ListArray:
+    """For each of ``n`` rows its shelves, each with the row's lists on it."""
+    order = np.lexsort((lists, shelf_of[lists], row))
+    row, lists = row[order], lists[order]
+    shelf = shelf_of[lists]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (shelf[1:] != shelf[:-1])
+    at = np.flatnonzero(new)
+    inner = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), pa.array(lists, pa.int32()))
+    each = pa.StructArray.from_arrays([pa.array(shelf[at], pa.int32()), inner], names=["shelf", "lists"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(n + 1)), pa.int32()), each)
+
+
+def _on(lists: pa.ListArray, own: np.ndarray) -> np.ndarray:
+    """A row for each of ``lists`` with ones at the places in ``own`` of its members."""
+    out = np.zeros((len(lists), len(own)), np.float32)
+    out[lists.value_parent_indices().to_numpy(), np.searchsorted(own, lists.flatten().to_numpy())] = 1
+    return out
+
+
+def top_of_block(
+    q: np.ndarray, q_ids: np.ndarray, q_on: np.ndarray, v: np.ndarray, v_ids: np.ndarray, v_on: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query its ``k`` nearest others that share a list with it.
+
+    These are places of queries and vectors, and cosines in one fixed order of adding.
+    """
     uq, uv = _unit(q), _unit(v)
     out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     step = max(1, 2_000_000 // max(1, len(v)))
@@ -147,6 +164,8 @@ def top_of_block(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndar
     for lo in range(0, len(q), step):
         rough = uq[lo : lo + step] @ uv.T
         rough[q_ids[lo : lo + step, None] == v_ids] = -np.inf
+        if not q_on[lo : lo + step].all():
+            rough[q_on[lo : lo + step] @ v_on.T == 0] = -np.inf
         edge = np.partition(rough, max(0, len(v) - k), axis=1)[:, max(0, len(v) - k), None]
         row, at = np.nonzero((rough >= edge - NEAR) & (rough > -np.inf))
         score = np.empty(len(row))
@@ -182,10 +201,12 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, sample: in
     few = few.sort_by("vec_id").combine_chunks()
     x = _unit(_rows(few["vector"].chunk(0))) if len(few) else np.zeros((1, 1))
     centroids = fit_centroids(x, int(min(LISTS, max(1, (common["n"] or 0) // LIST_ROWS), max(1, len(x) // 4))))
-    shared = spark.sparkContext.broadcast((centroids, link_centroids(centroids)))
+    block_rows = max(1, BLOCK_BYTES // (8 * x.shape[1]))
+    shelf_of = shelve(centroids, max(1, (common["n"] or 0) * REPLICAS // block_rows))
+    shared = spark.sparkContext.broadcast((centroids, link_centroids(centroids), shelf_of))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, _ = shared.value
+        centres, _, shelf = shared.value
         own = (centres * centres).sum(axis=1)
         most = min(REPLICAS, len(centres))
         for batch in batches:
@@ -194,44 +215,45 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, sample: in
             at = np.argpartition(far, most - 1, axis=1)[:, :most]
             near = np.take_along_axis(far, at, axis=1)
             row, pick = np.nonzero(near <= near.min(axis=1, keepdims=True) * BOUNDARY) if len(far) else (np.zeros(0, np.int64),) * 2
-            picked = batch.take(pa.array(row))
-            yield pa.record_batch([pa.array(at[row, pick]), picked["vec_id"], picked["vector"]], names=["list", "vec_id", "vector"])
+            yield pa.record_batch([batch["vec_id"], batch["vector"], _bundles(row, at[row, pick], shelf, len(batch))], names=names)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, links = shared.value
+        centres, links, shelf = shared.value
         for batch in batches:
-            rows, lists = [], []
-            for i, query in enumerate(_unit(_rows(batch["vector"])) if len(batch) else ()):
-                ids, far = walk(query, centres, links, PROBES)
-                chosen = [c for j, (c, d) in enumerate(zip(ids, far)) if j < FIRST or d <= far[0] * PRUNE]
-                lists += chosen
-                rows += [i] * len(chosen)
-            picked = batch.take(pa.array(rows, pa.int64()))
-            yield pa.record_batch([pa.array(lists, pa.int64()), picked["vec_id"], picked["vector"]], names=["list", "vec_id", "vector"])
-
-    ddl = "list bigint, vec_id bigint, vector array<double>"
+            chosen = [walk(query, centres, links) for query in (_unit(_rows(batch["vector"])) if len(batch) else ())]
+            row = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
+            lists = np.concatenate([np.zeros(0, np.int64), *chosen])
+            yield pa.record_batch([batch["vec_id"], batch["vector"], _bundles(row, lists, shelf, len(batch))], names=names)
+
+    names = ["vec_id", "vector", "places"]
+    ddl = "vec_id bigint, vector array<double>, places array<struct<shelf: int, lists: array<int>>>"
     postings = write_stage(rows.select("vec_id", "vector").mapInArrow(place, ddl), "postings")
     asked = write_stage(rows.where("asks").select("vec_id", "vector").mapInArrow(route, ddl), "asked")
-    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")).join(
-        asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("shares")), "list"
-    )
-    sizes = write_stage(sizes, "sizes")  # one row per list, LISTS or little more
+
+    def counted(df: DataFrame, most: int, name: str) -> DataFrame:
+        return df.select(F.explode("places.shelf").alias("shelf")).groupBy("shelf").agg(F.ceil(F.count("*") / most).alias(name))
+
+    sizes = counted(postings, block_rows, "blocks").join(counted(asked, QUERY_ROWS, "shares"), "shelf")
+    sizes = write_stage(sizes, "sizes")  # one row per shelf, of which there are no more than lists
 
     def spread(df: DataFrame, own: str, parts: str, other: str, times: str) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)).alias(other)
         dealt = F.pmod(F.xxhash64("vec_id"), F.col(parts)).alias(own)
-        return df.join(F.broadcast(sizes), "list").select("list", "vec_id", "vector", dealt, every)
+        df = df.select("vec_id", "vector", F.explode("places").alias("place")).select("vec_id", "vector", "place.shelf", "place.lists")
+        return df.join(F.broadcast(sizes), "shelf").select("shelf", "vec_id", "vector", "lists", dealt, every)
 
     held = spread(postings, "block", "blocks", "share", "shares")
     asks = spread(asked, "share", "shares", "block", "blocks")
-    key = ["list", "block", "share"]
+    key = ["shelf", "block", "share"]
 
     def search(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         mine, theirs = mine.combine_chunks(), theirs.combine_chunks()
         if not len(mine) or not len(theirs):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q_ids, v_ids = mine["vec_id"].to_numpy(), theirs["vec_id"].to_numpy()
-        qi, vi, score = top_of_block(_rows(mine["vector"].chunk(0)), q_ids, _rows(theirs["vector"].chunk(0)), v_ids, k)
+        own = np.flatnonzero(shared.value[2] == mine["shelf"][0].as_py())
+        q_on, v_on = _on(mine["lists"].chunk(0), own), _on(theirs["lists"].chunk(0), own)
+        qi, vi, score = top_of_block(_rows(mine["vector"].chunk(0)), q_ids, q_on, _rows(theirs["vector"].chunk(0)), v_ids, v_on, k)
         return pa.table({"query_id": q_ids[qi], "vec_id": v_ids[vi], "score": score})
 
     found = asks.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(search, "query_id bigint, vec_id bigint, score double")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.llm import ann
 from codeloom.llm.ann import nearest_vectors
 from codeloom.llm.components import components
 from codeloom.llm.jaccard import divide_skip, jaccard_components, keep_one
@@ -213,6 +214,23 @@ def test_neighbours_against_brute_force(spark):
     assert hits / total >= 0.9
 
 
+def test_every_list_within_the_ratio_is_read(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)  # 250 lists or more
+    x = np.random.default_rng(8).standard_normal((4000, 64))
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    centroids = ann.fit_centroids(unit, 250)
+    links = ann.link_centroids(centroids)
+    for query in unit[::200]:
+        far = np.sqrt(((centroids - query) ** 2).sum(axis=1))
+        assert set(np.flatnonzero(far <= far.min() * ann.PRUNE)) <= set(ann.walk(query, centroids, links))
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["vec_id"]) for r in nearest_vectors(vectors, F.col("vec_id") % 50 == 0).collect()}
+    score = unit[::50] @ unit.T
+    score[np.arange(80), np.arange(0, 4000, 50)] = -2
+    best = {(50 * q, int(v)) for q, row in enumerate(np.argsort(-score, axis=1)[:, :5]) for v in row}
+    assert len(found) == 400 and len(best & found) >= 396
+
+
 def test_neighbours_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(20)] + [(20, [2.0, 4.0]), (21, [0.0, 0.0]), (22, None), (23, [nan, 1.0]), (24, [1.0, None]), (25, [inf, 1.0])]
