@@ -187,15 +187,17 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, sample: in
 
     ``vectors`` has ``vec_id`` and ``embedding``; other columns are ignored. Rows without id, and vectors that are null, zero
     or hold null or non-finite components, take no part, nor do those of another than the most frequent length. A row with the
-    query's id is the query's own. Repeated rows count once. An empty table gives an empty result.
+    query's id is the query's own. Rows of one id and length count once: with the smallest vector, and as a query if any of them asks.
+    An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), is_query.alias("asks")
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), is_query.alias("asks")
     )
-    lengths = rows.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n"))
-    common = lengths.agg(F.max_by("length", F.struct("n", "length")).alias("length"), F.max("n").alias("n")).first()
-    rows = rows.where(F.size("vector") == (common["length"] or 0))
+    rows = rows.groupBy("vec_id", F.size("vector").alias("length")).agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
+    rows = write_stage(rows, "vectors")
+    common = rows.groupBy("length").agg(F.count("*").alias("n")).agg(F.max_by("length", F.struct("n", "length")).alias("length"), F.max("n").alias("n")).first()
+    rows = rows.where(F.col("length") == (common["length"] or 0)).select("vec_id", F.col("vector").cast("array<double>").alias("vector"), "asks")
     order = F.xxhash64("vec_id").bitwiseAND((1 << 63) - 1)
     few = rows.where(order <= sample_below(common["n"] or 0, sample)).select("vec_id", "vector").toArrow()
     few = few.sort_by("vec_id").combine_chunks()

@@ -231,6 +231,18 @@ def test_every_list_within_the_ratio_is_read(spark, monkeypatch):
     assert len(found) == 400 and len(best & found) >= 396
 
 
+def test_neighbours_of_repeated_rows(spark):
+    x = np.random.default_rng(9).standard_normal((400, 8))
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    once = sorted(map(tuple, nearest_vectors(vectors, F.col("vec_id") % 50 == 0).collect()))
+    copies = vectors.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("vec_id") == 7, 300).otherwise(6))))
+    asks = (F.col("vec_id") % 50 == 0) & (F.col("copy") == 2)
+    assert len(once) == 40 and sorted(map(tuple, nearest_vectors(copies, asks).collect())) == once
+    other = spark.createDataFrame([(7, [-9.0] + [0.0] * 7), (7, [1.0, 2.0])], vectors.schema)
+    found = [nearest_vectors(v, F.col("vec_id") == 7).collect() for v in (vectors.union(other), other.limit(1).union(vectors.where("vec_id <> 7")))]
+    assert sorted(found[0]) == sorted(found[1])
+
+
 def test_neighbours_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(20)] + [(20, [2.0, 4.0]), (21, [0.0, 0.0]), (22, None), (23, [nan, 1.0]), (24, [1.0, None]), (25, [inf, 1.0])]
