@@ -1,10 +1,11 @@
 """Main text of web pages by container paths that the pages of a host agree on.
 
 Every page scores its containers: text counts for its container and, less, for what that
-lies in; links, menus, adverts and the like count nothing. The best container's path of
+lies in; links, menus, adverts and the like count nothing. A name in a class or id does not
+drop what holds an article or most of the page's text; that counts less instead. The best container's path of
 generalised tags (tag and classes, without digits) is the page's vote. Spark adds up the
 votes by host, and the pages are read again at their host's winning path. A page without
-that path falls back on its own best container.
+that path, or without text there, falls back on its own best container.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from codeloom.session import write_stage
 LOOKUP_BYTES = 16 << 20
 DECAY = 0.7  # of text for the container one level up
 FAVOUR = 1.5  # for containers that say they hold the article
+DOUBT = 0.8  # for text in what is named like boilerplate and kept
 
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +43,8 @@ BOILERPLATE = frozenset(
     "breadcrumbs footer header masthead topbar share sharing social related recommended newsletter subscribe subscription popup modal "
     "overlay widget widgets toolbar pagination pager login signup search form hidden".split()
 )
+TALK = frozenset("comment comments reply replies respond disqus discussion".split())  # can be longer than the article
+APART = frozenset("has no with without".split())  # what follows in a name is not the element itself
 ARTICLE = frozenset("article content main post entry story body text".split())
 CLOSES_P = BLOCK - {"br", "body", "html"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -55,25 +59,45 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 _WORD = re.compile(r"[A-Za-z]+")
 
 
+def _named(names: str) -> tuple[bool, bool]:
+    """Whether class and id ``names`` have words of boilerplate, up to a has, no or with in each, and whether only those, or comments."""
+    out = set()
+    for name in names.lower().split():
+        for word in _WORD.findall(name):
+            if word in APART:
+                break
+            out.add(word)
+    return not BOILERPLATE.isdisjoint(out), out <= BOILERPLATE or BOILERPLATE & out <= TALK
+
+
 class Node:
-    """An element; ``parts`` holds texts and child elements in order."""
+    """An element; ``parts`` holds texts and child elements in order; ``named`` and ``sure`` are those of ``_named``."""
 
-    __slots__ = ("tag", "path", "parts", "up", "drop", "favour", "score")
+    __slots__ = ("tag", "path", "parts", "up", "drop", "favour", "score", "named", "sure", "holder", "core", "below", "size", "doubt", "base")
 
     def __init__(self, tag: str, attributes: str, up: Node | None):
         self.tag, self.up, self.parts, self.score = tag, up, [], 0.0
         kept = up is not None and up.drop
         names = ""
+        self.named = self.sure = self.doubt = False
+        self.size = 0
+        self.holder = tag in ("html", "body", "main", "article")
+        self.core = tag in ("article", "main")
         self.favour = tag in ("article", "main")
         if attributes and not attributes.isspace():
             found = {m[0].lower(): m[1] or m[2] or m[3] for m in reversed(_ATTRIBUTE.findall(attributes))}
             words = [w.lower() for a in ("class", "id") for w in _WORD.findall(found.get(a, ""))]
             names = "." + "-".join(sorted({w.lower() for w in _WORD.findall(found.get("class", ""))})) if found.get("class") else ""
             style = found.get("style", "").replace(" ", "").lower()
-            holder = tag in ("html", "body", "main", "article")
             kept |= found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-            kept |= "display:none" in style or "visibility:hidden" in style or (not holder and not BOILERPLATE.isdisjoint(words))
-            self.favour |= not ARTICLE.isdisjoint(words) or found.get("role") in ("main", "article")
+            kept |= "display:none" in style or "visibility:hidden" in style
+            if not BOILERPLATE.isdisjoint(words):
+                self.named, self.sure = _named(found.get("class", "") + " " + found.get("id", ""))
+            if found.get("role") in ("main", "article"):
+                self.holder = self.core = self.favour = True
+            if self.core and tag != "main" and self.named:  # as articles in a list of comments are
+                self.core = not (ARTICLE - {"content", "body", "text"}).isdisjoint(words)
+            self.favour |= not ARTICLE.isdisjoint(words)
         self.drop = kept or tag in DROPPED or tag in RAW
         self.path = (up.path + "/" if up else "") + tag + names
 
@@ -127,6 +151,7 @@ def parse(html: str) -> Node:
             node = fresh
         elif tag not in VOID and m[3].endswith("/") and tag not in ("path", "g", "rect"):
             node = fresh  # a slash does not close an HTML element
+    _settle(root)
     return root
 
 
@@ -142,6 +167,40 @@ def _letters(text: str) -> int:
     return len(text) - text.count(" ") - text.count("\n")
 
 
+def _settle(root: Node) -> None:
+    """Drop what is named like boilerplate, unless it holds an article with text, or most of the text outside links.
+
+    That is the text of the article around it, or else of the page. Adverts and comments can be longer than an article: what has
+    no other names, or lies beside an article, is kept for its text only if less than a tenth is left without it; and not at all if both hold.
+    """
+    order = list(_nodes(root))
+    if not any(n.named for n in order):
+        return
+    for n in reversed(order):
+        within = [x for x in n.parts if isinstance(x, Node)]
+        if not n.drop and n.tag != "a":
+            n.size = sum(_letters(x) for x in n.parts if isinstance(x, str)) + sum(x.size for x in within)
+        n.below = any(x.core for x in within)
+        n.core = n.size > 0 and (n.core or n.below)
+    for n in order:
+        up = n.up
+        base = n.base = root if up is None else None if n.tag == "a" else up.base
+        if up is not None:
+            n.drop |= up.drop
+            n.doubt = up.doubt
+        if n.holder and n.core:
+            n.doubt = False
+            if base is not None:
+                n.base = n
+        elif n.named and not n.holder and not n.drop:
+            most = False
+            if base is not None and n.size:
+                rest = base.size - n.size
+                most = rest * 10 < base.size and not (n.sure and base.below) if n.sure or base.below else rest < n.size
+            n.doubt = n.core or most
+            n.drop = not n.doubt
+
+
 def best_container(root: Node) -> Node | None:
     """The container with the highest score; the outer one on a tie. None if there is no text outside dropped parts."""
     for node in _nodes(root):
@@ -157,7 +216,7 @@ def best_container(root: Node) -> Node | None:
             inline = inline.up
         if holder is None:
             continue
-        weight = sum(_letters(x) for x in node.parts if isinstance(x, str))
+        weight = sum(_letters(x) for x in node.parts if isinstance(x, str)) * (DOUBT if node.doubt else 1)
         while holder is not None and weight > 0.5:
             holder.score += weight * (FAVOUR if holder.favour else 1)
             weight *= DECAY
@@ -186,11 +245,12 @@ def text_of(node: Node) -> str:
 
 
 def extract(html: str | None, path: str | None) -> str:
-    """The text at ``path``, or of the page's best container where there is none."""
+    """The text at ``path``, or of the page's best container where there is no text at it."""
     root = parse(html or "")
     found = [n for n in _nodes(root) if n.path == path and not n.drop] if path else []
-    if found:
-        return " ".join(t for t in map(text_of, found) if t)
+    text = " ".join(t for t in map(text_of, found) if t)
+    if text:
+        return text
     best = best_container(root)
     return text_of(best) if best is not None else ""
 

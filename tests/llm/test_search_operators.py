@@ -177,6 +177,37 @@ def test_pages_by_host_consensus(spark):
     assert extract(None, "html") == "" and extract("<div" * 20000 + "> x", None) == "x" and extract("<p>x<!--y", None) == "x"
 
 
+STORY = "<p>A long story that goes on and on.</p><p>Its second paragraph is here.</p>"
+TOLD = "A long story that goes on and on. Its second paragraph is here."
+
+
+@pytest.mark.parametrize("name", ["class='content has-sidebar'", "class=no-sidebar", "class='with-comments'", "class=nav-fixed", "id=search-results"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main class=search><div class=layout-menu>{}</div></main>", "<div><section class=header-fixed>{}</section></div>"])
+def test_layout_wrappers_keep_the_article(name, inner):
+    side = "<div class=sidebar><p>A side note</p></div><div class=menu><a href=/>A menu of links that is longer than the whole story, by far, so that it has most letters</a></div>"
+    page = f"<body><div class=cookie-notice>We use cookies</div><div {name}>{inner.format(STORY)}{side}</div><div class=comments><p>Nice</p></div></body>"
+    assert extract(page, None) == TOLD
+
+
+def test_names_drop_what_is_not_the_article():
+    talk = "<div id=comments class=comments><article class=comment-body><p>" + "More words than the story has. " * 9 + "</p></article></div>"
+    assert extract(f"<body><div id=content>{STORY}{talk}</div>", None) == TOLD
+    assert extract(f"<div class=related-posts><article><a href=/>Other</a></article></div><div class=page>{STORY}</div>", None) == TOLD
+    for name in ("ad", "ad-box", "comments-area"):
+        assert extract(f"<div class={name}><p>{'More words than the story has. ' * 9}</p></div><article>{STORY}</article>", None) == TOLD
+    assert extract(f"<div class=page>{STORY}<a href=/><div class=ad-box>Buy it</div></a></div>", None) == TOLD
+    assert extract(f"<div class=nav hidden><article>{STORY}</article></div><p>x", None) == "x"
+    assert extract(f"<div class=discussion>{STORY}</div>", None) == TOLD
+    assert extract(f"<div class=sidebar-layout>{STORY}<p class=share>on</p></div><div class=plain><p>Another box</p></div>", None) == TOLD
+
+
+def test_pages_of_two_templates(spark):
+    rows = [(i, "http://host.example/", f"<body><div class=page>{STORY}</div>") for i in range(3)]
+    rows += [(3, "http://host.example/", f"<body><div class=page><a></a></div><div class=other>{STORY}</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r["text"] for r in extract_pages(pages).collect()] == [TOLD] * 4
+
+
 @needs_model
 def test_tokens_equal_sentencepiece_and_decode_to_the_text(spark, odd, none):
     import sentencepiece
