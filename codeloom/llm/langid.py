@@ -128,17 +128,19 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from ``text`` and ``lang`` of at most about ``sample`` rows of ``docs``; None without labelled texts.
+    """A model from ``text`` and ``lang`` of at most about ``sample`` different texts of ``docs``; None without labelled texts.
 
-    Every language gives its share of rows, those with the smallest hash of their text.
+    Every language gives its share of texts, those with the smallest hash. Copies of a text under one language count once.
     """
-    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
+    order = F.xxhash64("text").bitwiseAND((1 << 63) - 1).alias("order")
+    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", order)
+    sizes = {r["lang"]: r["count"] for r in labelled.select("lang", "order").distinct().groupBy("lang").count().collect()}  # one row per language
     if not sizes:
         return None
     quota = max(1, sample // len(sizes))
     limit = F.create_map(*[F.lit(v) for lang, size in sizes.items() for v in (lang, sample_below(size, quota))])
-    few = labelled.where(F.xxhash64("text").bitwiseAND((1 << 63) - 1) <= limit[F.col("lang")])
+    few = labelled.where(F.col("order") <= limit[F.col("lang")])
+    few = few.groupBy("lang", "order").agg(F.min("text").alias("text")).select("lang", "text")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

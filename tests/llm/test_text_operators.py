@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+from codeloom.llm import langid
 from codeloom.llm.importance import kth_largest, resample
 from codeloom.llm.langid import fit_languages, identify_languages, keep_identified, language_report
 from codeloom.llm.mixing import mix_documents, mix_report
@@ -137,6 +138,19 @@ def test_languages_of_held_out_documents(documents):
     assert len(rows) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.9
 
 
+def test_copies_of_a_text_are_learned_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda x, langs: seen.append((x, langs)))
+    rows = [(f"{lang} text number {i} with words", lang) for lang in ("de", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    first = docs.where("lang = 'en'").orderBy(F.xxhash64("text").bitwiseAND((1 << 63) - 1)).first()["text"]
+    copies = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("text") == first, 300).otherwise(2))))
+    for table in (docs, copies):
+        fit_languages(table, sample=40)
+    (x, langs), (y, copied) = seen
+    assert langs == copied and len(langs) < 60 and (x == y).all()
+
+
 def test_languages_of_odd_rows(odd, none):
     found = language_report(odd).collect()
     assert len(found) == len(TEXTS)
