@@ -200,8 +200,8 @@ def language_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without texts of unknown language: no letter, or a score below ``least``."""
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """``docs`` without texts of unknown language, which have no letter, and without scores below ``least``."""
     model = fit_languages(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
     found = identify_languages(inner, model)

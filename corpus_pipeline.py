@@ -18,7 +18,7 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without letters or of unsure language go."""
+    """Documents whose language is told; those without letters go."""
     _name_stage_folder(spark)
     return keep_identified(docs)
 

@@ -151,6 +151,13 @@ def test_copies_of_a_text_are_learned_once(spark, monkeypatch):
     assert langs == copied and len(langs) < 60 and (x == y).all()
 
 
+def test_texts_of_a_close_contest_are_kept(spark, monkeypatch):
+    told = {"lang_pred": F.when(F.col("text") == "12", "und").otherwise("en"), "score": F.lit(0.26)}
+    monkeypatch.setattr(langid, "identify_languages", lambda docs, model: docs.withColumns(told))
+    docs = spark.createDataFrame([(1, "word", "en"), (2, "12", "en")], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in keep_identified(docs).collect()] == [1]
+
+
 def test_languages_of_odd_rows(odd, none):
     found = language_report(odd).collect()
     assert len(found) == len(TEXTS)
