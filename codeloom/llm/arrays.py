@@ -6,6 +6,7 @@ batch. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,11 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = (1 << 20) - 4096
-# A text longer than a piece is hashed in cuts of this size.
-CUT_BYTES = PIECE_BYTES
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _U = np.uint64
 
@@ -39,30 +37,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+_LANE_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], _U)
+# Ranges beyond this many bytes are hashed one by one.
+LANE_BYTES = 64
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, ``n`` of each at least."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            table = np.full(size, base)
-            table[0] = 1
-            _powers[i] = np.multiply.accumulate(table)
-    return _powers
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges of a buffer.
 
-
-class Prefix:
-    """Hashes of any byte ranges of a buffer, from one running sum."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = _power_tables(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+    A range is cut into lanes of eight bytes, each mixed into the state before, so equal bytes in other
+    places or with other lengths give other hashes. Long ranges get a BLAKE2b digest.
+    """
+    size = end - start
+    out = mix(size.astype(_U) * _STEP + _BASE)
+    if not len(out):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left, at = np.flatnonzero((size > 0) & (size <= LANE_BYTES)), 0
+    while len(left):
+        lane = lanes[start[left] + at] & _LANE_MASKS[np.minimum(size[left] - at, 8)]
+        out[left] = mix((out[left] ^ lane) * _BASE + _STEP)
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LANE_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 class Piece(NamedTuple):
@@ -117,7 +117,9 @@ def _runs(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[n
     return start[real], end[real]
 
 
-def tokens(piece: Piece, classes: np.ndarray = WORD_CLASSES, lower: bool = False, prefix: int = 0) -> Tokens:
+def tokens(
+    piece: Piece, classes: np.ndarray = WORD_CLASSES, lower: bool = False, prefix: int = 0, hashed: bool = True
+) -> Tokens:
     """Runs of one byte class, hashed as they are or with A-Z in lower case.
 
     With ``prefix`` the tokens' first so many bytes are hashed too, as ``extra``.
@@ -125,18 +127,10 @@ def tokens(piece: Piece, classes: np.ndarray = WORD_CLASSES, lower: bool = False
     data = LOWER[piece.data] if lower else piece.data
     start, end = _runs(data, piece.offsets, classes)
     doc = np.searchsorted(piece.offsets, start, "right") - 1
-    hashes, extra = np.empty(len(start), _U), np.empty(len(start), _U) if prefix else None
-    lo = 0
-    while lo < len(start):
-        base = int(start[lo])
-        hi = max(lo + 1, int(np.searchsorted(end, base + CUT_BYTES, "right")))
-        sums = Prefix(data[base : int(end[hi - 1])])
-        own, stop = start[lo:hi] - base, end[lo:hi] - base
-        hashes[lo:hi] = sums.of(own, stop)
-        if prefix:
-            extra[lo:hi] = sums.of(own, np.minimum(stop, own + prefix))
-        lo = hi
-    return Tokens(doc, start, end, hashes, extra)
+    if not hashed:
+        return Tokens(doc, start, end, np.zeros(0, _U))
+    extra = hash_ranges(data, start, np.minimum(end, start + prefix)) if prefix else None
+    return Tokens(doc, start, end, hash_ranges(data, start, end), extra)
 
 
 def per_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.arrays import CUT_BYTES, WORD_CLASSES, Piece, Prefix, mix, per_doc, pieces, tokens, windows
+from codeloom.llm.arrays import WORD_CLASSES, Piece, hash_ranges, mix, per_doc, pieces, tokens, windows
 from codeloom.session import write_stage
 
 WINDOW = 8
@@ -94,7 +94,7 @@ def figures(piece: Piece) -> dict[str, np.ndarray]:
     real = worded[end] > worded[start]
     start, end = start[real], end[real]
     doc = np.searchsorted(piece.offsets, start, "right") - 1
-    line = _lines(data, start, end)
+    line = hash_ranges(data, start, end)
     _, once = np.unique(line ^ mix(doc.astype(np.uint64) + np.uint64(7)), return_index=True)
     lines = np.bincount(doc, minlength=n)
     plain = np.concatenate([[0], np.cumsum(_PLAIN[data], dtype=np.int64)])
@@ -108,18 +108,6 @@ def figures(piece: Piece) -> dict[str, np.ndarray]:
     }
 
 
-def _lines(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), np.uint64)
-    lo = 0
-    while lo < len(start):
-        base = int(start[lo])
-        hi = max(lo + 1, int(np.searchsorted(end, base + CUT_BYTES, "right")))
-        sums = Prefix(data[base : int(end[hi - 1])])
-        out[lo:hi] = sums.of(start[lo:hi] - base, end[lo:hi] - base) + (end - start)[lo:hi].astype(np.uint64)
-        lo = hi
-    return out
-
-
 def votes(f: dict[str, np.ndarray]) -> np.ndarray:
     """A row per text, a column per rule: 1 good, -1 bad, 0 abstains. Texts without words get no votes but the last."""
     words = np.maximum(f["n_words"], 1)

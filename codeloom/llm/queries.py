@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.ann import nearest_vectors
-from codeloom.llm.web import extract_pages
+from codeloom.llm.fim import fim_report
 from codeloom.llm.importance import resample
 from codeloom.llm.jaccard import jaccard_components
 from codeloom.llm.langid import language_report
+from codeloom.llm.ledger import find_secrets
 from codeloom.llm.mixing import mix_report
+from codeloom.llm.phrases import contamination_report
 from codeloom.llm.pieces import encode_documents
 from codeloom.llm.quality import rate_quality
-from codeloom.llm.ledger import find_secrets
 from codeloom.llm.toxicity import rate_toxicity, train_chain
+from codeloom.llm.web import extract_pages
+from codeloom.llm.whitening import whitening_report
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -92,3 +95,21 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of each category for every document, from a chain of classifiers."""
     docs = table(spark, sf_dir, "documents")
     return rate_toxicity(docs, train_chain(docs, table(spark, sf_dir, "labels")))
+
+
+@register
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on its first 16 whitened components."""
+    return whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document cut and put together for filling in the middle."""
+    return fim_report(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie within phrases of the benchmark."""
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

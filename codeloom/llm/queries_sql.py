@@ -1,3 +1,82 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+SQL["op12_fill_in_middle"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS k
+  FROM documents
+), drawn AS (
+  SELECT *, len(k) AS n,
+    CAST('0x' || h[1:8] AS UBIGINT) AS h1, CAST('0x' || h[9:16] AS UBIGINT) AS h2,
+    CAST('0x' || h[17:24] AS UBIGINT) AS h3, CAST('0x' || h[25:32] AS UBIGINT) AS h4
+  FROM cut
+), placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, coalesce(array_to_string(list_slice(k, 1, CAST(lo AS BIGINT)), ''), '') AS a,
+    coalesce(array_to_string(list_slice(k, CAST(lo AS BIGINT) + 1, CAST(hi AS BIGINT)), ''), '') AS b,
+    coalesce(array_to_string(list_slice(k, CAST(hi AS BIGINT) + 1, n), ''), '') AS c
+  FROM placed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+    ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+_PHRASE_WORDS = r"""regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+# Starts are looked for where a window's rarest word stands, up to two places off, and held against all its words.
+SQL["op13_decontamination"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_PHRASE_WORDS.format(text="text")} AS w FROM documents
+), items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_PHRASE_WORDS.format(text="text")} AS w FROM benchmark
+), windows AS (
+  SELECT words, row_number() OVER () AS wid, len(words) AS size FROM (
+    SELECT DISTINCT list_slice(w, s, s + 9) AS words
+    FROM (SELECT w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM items WHERE len(w) > 0))
+), owners AS (
+  SELECT DISTINCT item, list_slice(w, s, s + 9) AS words
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM items WHERE len(w) > 0)
+), asked AS (
+  SELECT wid, size, unnest(range(0, size)) AS j, unnest(words) AS word FROM windows
+), said AS MATERIALIZED (
+  SELECT r, p, word FROM (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM docs)
+  WHERE word IN (SELECT word FROM asked)
+), frequent AS (
+  SELECT word, count(*) AS n FROM said GROUP BY word
+), rarest AS (
+  SELECT wid, min_by(j, n * 100 + j) AS j, min_by(word, n * 100 + j) AS word
+  FROM asked JOIN frequent USING (word) GROUP BY wid, size HAVING count(*) = size
+), off AS (
+  SELECT unnest([-2, -1, 0, 1, 2]) AS play
+), starts AS (
+  SELECT DISTINCT wid, r, p - j + play AS s FROM rarest JOIN said USING (word), off WHERE j > 0 OR play = 0
+), met AS (
+  SELECT wid, r, s, size, count(DISTINCT j) AS near, count(DISTINCT j) FILTER (play = 0) AS exact
+  FROM (
+    SELECT wid, r, s, size, j, play, word, s + j + play AS p FROM starts JOIN asked USING (wid), off WHERE j > 0 OR play = 0
+  ) JOIN said USING (r, p, word)
+  GROUP BY wid, r, s, size HAVING count(DISTINCT j) = size
+), hit AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + size)) AS p FROM met WHERE exact = size) GROUP BY r
+), named AS (
+  SELECT r, count(DISTINCT item) FILTER (exact = size) AS n_items, count(DISTINCT item) AS n_near,
+    array_to_string(list_sort(list(DISTINCT item) FILTER (exact = size)), ',') AS told
+  FROM met JOIN windows USING (wid, size) JOIN owners USING (words) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(told, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
