@@ -113,6 +113,24 @@ def nest_results(results: DataFrame, keys: Keys = QUERY) -> DataFrame:
     return nest_hits(grouped, keys)
 
 
+def nest_merged_hits(found: DataFrame, keys: Keys, n_results: int) -> DataFrame:
+    """``nest_results`` from a ``hits`` column: rows that share their keys are one query, with its first ``n_results`` hits.
+
+    One shuffle, of lists that are complete already; nothing is exploded.
+    """
+    kinds = {name: kind for name, kind in SEARCH_OUTPUT.columns}
+    lead = ("rank", "doc_id", "doc_text", "score")
+    own = [c for c in found.columns if c not in {"hits", *SEARCH_OUTPUT.names, *keys}]
+    rest = [f for f in _hit_fields(found) if f not in lead]
+
+    def entry(h: Column) -> Column:
+        return F.struct(*[h[f].cast(kinds[f]).alias(f) for f in lead], *[named(c) for c in own], *[h[f].alias(f) for f in rest])
+
+    entries = found.where(F.size("hits") > 0).select(*[F.col(k) for k in keys], F.transform("hits", entry).alias("hits"))
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, n_results)
+    return nest_hits(entries.groupBy(*keys).agg(merged.alias("hits")), keys)
+
+
 def nest_reverse_results(results: DataFrame, keys: Keys = ("id",)) -> DataFrame:
     """One row per query id: its documents in code order.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import clean, clean_columns, has_text
 from codeloom.schema import named
-from codeloom.session import write_stage
+from codeloom.session import Stages, write_stage
 
 
 def sanitise_catalogue(df: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def drop_empty_queries(df: DataFrame, text: str = "query") -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, order: list[str | Column], name: str = "ordinal", stored: bool = False
+    df: DataFrame, order: list[str | Column], name: str = "ordinal", stored: bool = False, stages: Stages | None = None
 ) -> DataFrame:
     """Number all rows from 0 in the given order; equal rows keep the order they come in.
 
@@ -53,13 +53,14 @@ def number_rows(
     """
     arrived = df.withColumn("_arrival", F.monotonically_increasing_id())
     if not stored:
-        arrived = write_stage(arrived, "arrived")
+        arrived = write_stage(arrived, "arrived", stages)
     by = [*order, "_arrival"]
     placed = write_stage(
         arrived.repartitionByRange(*by).sortWithinPartitions(*by).drop("_arrival").withColumns(
             {"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}
         ),
         "numbered",
+        stages,
     )
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_place").alias("_first"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)

@@ -2,23 +2,22 @@
 
 Every query row gets a ``hits`` column: its best catalogue rows in rank order, as
 an array of structs. Scores are the dot product of the unit-length query with the
-catalogue vector, as they are. For ranking they are compared in steps of 1e-9 of the
-catalogue's largest vector, so scaling a catalogue never changes ranks; equal ones rank in the
+catalogue vector. Ranks follow the correctly rounded dot products with the query as given, each
+by itself: what else is stored changes nothing. Equal ones rank in the
 order of the catalogue row (id, text, uuid), so results do not depend on the plan.
 
-Two plans give the same rows:
+Two plans give the same rows, and neither shuffles a vector:
 
 * the catalogue is small (its size is measured first): it is broadcast as one
-  matrix and each batch of queries is scored where it lies - no shuffle;
-* otherwise both sides are cut into blocks of bounded size. Every pair of blocks
-  is scored by one task, which passes on only the best k per query, and these are
-  merged per query. The catalogue's other columns join the final k.
+  matrix and each batch of queries is scored where it lies;
+* otherwise it is stored once in blocks, and every task streams through those that can hold results
+  of its queries (``operators.blocks``). The catalogue's other columns are broadcast if they
+  are small, and otherwise join the final k.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,127 +28,41 @@ from pyspark.sql import types as T
 
 from codeloom.errors import InvalidInput
 from codeloom.functions.vectors import NORM_FLOOR
+from codeloom.operators.blocks import BLOCK_BYTES, LAST, StoredBlocks, as_matrix, is_wide, lots, open_folder, search_lot, store_blocks
+from codeloom.operators.ranking import Vectors, distinct_rows, lengths, unit_rows
 from codeloom.operators.rows import number_rows
 from codeloom.schema import named, require_positive
-from codeloom.session import write_stage
+from codeloom.session import Stages, shared_dir, write_stage
 
-SCORE_DIGITS = 9
 BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_BYTES = 64 * 1024 * 1024
-# Score cells held at once by one task.
-CELLS = 4_000_000
 # Catalogue columns given out at once, at most (unless one query's hits are larger).
 HITS_BYTES = 64 * 1024 * 1024
-# Grids of this many catalogues are small enough to broadcast.
-GRID_ROWS = 10_000
+# Query tables of fewer bytes for each task that the cluster can run at once are dealt out to that many tasks.
+SPREAD_BYTES = 32 * 1024 * 1024
 
 
-class Shelf(NamedTuple):
-    """Catalogue rows in tie order: their vectors, columns and the span of each catalogue."""
+class Shelf:
+    """Catalogue rows in tie order: the vectors of each catalogue with the place of its first row, and the columns."""
 
-    matrix: np.ndarray
-    rows: pa.Table
-    spans: dict
-    unit: float = 1.0
+    def __init__(self, parts: dict[str, tuple[int, Vectors]], rows: pa.Table):
+        self.parts, self.rows = parts, rows
 
 
-def as_matrix(vectors: pa.Array) -> np.ndarray:
-    """An Arrow list column without nulls as a matrix of its own float type."""
-    if len(vectors) == 0:
-        return np.zeros((0, 0))
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    if len(flat) % len(vectors) or len(set(np.diff(vectors.offsets.to_numpy()))) > 1:
-        raise ValueError("vectors differ in length")
-    return flat.reshape(len(vectors), -1)
-
-
-def unit_rows(matrix: np.ndarray) -> np.ndarray:
-    matrix = matrix.astype(np.float64)
-    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return matrix / np.maximum(norms, NORM_FLOOR)
-
-
-def power_near(norm: float) -> float:
-    """The power of two nearest to a length: the unit in which scores are compared."""
-    return 2.0 ** round(np.log2(norm)) if norm > 0 and np.isfinite(norm) else 1.0
-
-
-def best_rows(queries: np.ndarray, docs: np.ndarray, k: int, unit: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and scores of the k best ``docs`` per unit query; ties go to the lower position.
-
-    A product in single precision finds the rows that can be among the best, within
-    the bound of its rounding error; only those are scored in double precision. Queries
-    with many rows that close together are scored in double precision throughout, and
-    once most queries of a piece are such ones, so are those of the next pieces.
-    """
-    k = min(k, len(docs))
-    step = max(1, CELLS // max(1, len(docs)))
-    few = 4 * k + 64
-    docs = docs / docs.dtype.type(unit)  # a power of two, so nothing is lost
-    coarse_docs, coarse_queries = docs.astype(np.float32, copy=False), queries.astype(np.float32)
-    longest = np.sqrt(np.einsum("ij,ij->i", docs, docs, dtype=np.float64).max())
-    if not (np.isfinite(longest) and np.isfinite(coarse_queries).all()):
-        raise ValueError("vectors must not hold nulls, NaN or infinite values")
-    slack = 2 * (docs.shape[1] + 4) * float(np.finfo(np.float32).eps) * longest + 10.0**-SCORE_DIGITS
-    positions = np.empty((len(queries), k), dtype=np.int64)
-    exact_docs, crowded = None, False
-    for lo in range(0, len(queries), step):
-        own = queries[lo : lo + step]
-        if crowded:
-            positions[lo : lo + step] = _best_exact(own, exact_docs, k)
-            continue
-        coarse = coarse_queries[lo : lo + step] @ coarse_docs.T
-        edge = np.partition(coarse, len(docs) - k, axis=1)[:, len(docs) - k, None]
-        near = coarse >= edge - np.float32(slack)
-        close = np.count_nonzero(near, axis=1) > few
-        if close.any():
-            exact_docs = docs.astype(np.float64, copy=False) if exact_docs is None else exact_docs
-            at = np.flatnonzero(close)
-            positions[lo + at] = _best_exact(own[at], exact_docs, k)
-            near[at] = False
-            crowded = 2 * len(at) > len(own)
-        row, pos = np.nonzero(near)
-        level = _levels(np.einsum("ij,ij->i", own[row], docs[pos].astype(np.float64)))
-        order = np.lexsort((pos, -level, row))
-        row, pos = row[order], pos[order]
-        at = np.flatnonzero(~close)
-        positions[lo + at] = pos[np.searchsorted(row, at)[:, None] + np.arange(k)]
-    # Whichever way a row was found, its score is added up in the one order.
-    best = np.empty((len(queries), k))
-    lot = max(1, CELLS // max(1, k * docs.shape[1]))
-    for lo in range(0, len(queries), lot):
-        chosen = docs[positions[lo : lo + lot]].astype(np.float64)
-        best[lo : lo + lot] = (queries[lo : lo + lot, None, :] * chosen).sum(axis=2)
-    return positions, best * unit
-
-
-def _levels(scores: np.ndarray) -> np.ndarray:
-    """Scores in whole steps, so that equal ones are equal numbers."""
-    return np.rint(np.multiply(scores, 10.0**SCORE_DIGITS, out=scores), out=scores)
-
-
-def _best_exact(queries: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
-    scores = _levels(queries @ docs.T)
-    worst_kept = np.partition(scores, len(docs) - k, axis=1)[:, len(docs) - k, None]
-    above, level = scores > worst_kept, scores == worst_kept
-    room = k - np.count_nonzero(above, axis=1)[:, None]
-    chosen = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= room))
-    found = np.nonzero(chosen)[1].reshape(-1, k)
-    kept = np.take_along_axis(scores, found, axis=1)
-    return np.take_along_axis(found, np.argsort(-kept, axis=1, kind="stable"), axis=1)
-
-
-def make_shelf(table: pa.Table, tie: list[str], normalise: bool, unit: float | None = None) -> Shelf:
-    """Order collected catalogue rows and stack their vectors; ``unit`` is that of the whole catalogue, if these are a part."""
+def make_shelf(table: pa.Table, tie: list[str], normalise: bool) -> Shelf:
+    """Order collected catalogue rows and stack their vectors."""
     table = table.sort_by([(c, "ascending") for c in ["_by", *tie]]).combine_chunks()
-    matrix = as_matrix(table["_vector"].combine_chunks()) if len(table) else np.zeros((0, 0))
-    keys = np.asarray(table["_by"].to_pylist(), dtype=object)
-    starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-    spans = {keys[a]: (a, b) for a, b in zip(starts, [*starts[1:], len(keys)])}
-    rows = table.drop_columns(["_by", "_vector"])
-    matrix = unit_rows(matrix) if normalise else matrix
-    longest = np.sqrt(np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64).max()) if matrix.size else 0.0
-    return Shelf(matrix, rows, spans, power_near(longest) if unit is None else unit)
+    rows, parts = table.drop_columns(["_by", "_vector"]), {}
+    if len(table):
+        matrix = as_matrix(table["_vector"].combine_chunks())
+        matrix = unit_rows(matrix) if normalise else matrix
+        names = table["_by"].combine_chunks().dictionary_encode()
+        code = names.indices.to_numpy()
+        starts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+        parts = {names.dictionary[int(code[a])].as_py(): (a, Vectors(matrix[a:b])) for a, b in zip(starts, starts[1:])}
+        for _, vectors in parts.values():
+            if not np.isfinite(lengths(vectors.matrix)).all():
+                raise ValueError("vectors must not hold nulls, NaN or infinite values")
+    return Shelf(parts, rows)
 
 
 def widest_row(rows: pa.Table) -> int:
@@ -170,26 +83,44 @@ def hits_type(rows: pa.Schema) -> pa.DataType:
 
 def hits_of(keys: pa.Array, vectors: pa.Array, shelf: Shelf, k: int) -> pa.Array:
     """The hits column for one batch; rows without vector or catalogue get an empty list."""
-    kind = hits_type(shelf.rows.schema)
-    k = min(k, max((b - a for a, b in shelf.spans.values()), default=0))
-    found = np.full((len(vectors), k), -1, dtype=np.int64)
+    k = min(k, max((len(v) for _, v in shelf.parts.values()), default=0))
+    found = np.full((len(vectors), k), LAST)
     scores = np.zeros((len(vectors), k))
-    has_vector = vectors.is_valid().to_numpy(zero_copy_only=False)
-    names = np.asarray(keys.to_pylist(), dtype=object)
-    for key in set(names[has_vector]) & shelf.spans.keys():
-        start, stop = shelf.spans[key]
-        at = np.flatnonzero(has_vector & (names == key))
-        queries = as_matrix(vectors.take(pa.array(at)))
-        if queries.shape[1] != shelf.matrix.shape[1]:
-            raise ValueError(f"query vectors have {queries.shape[1]} values, catalogue {shelf.matrix.shape[1]}")
+    for name, at, queries in _by_name(keys, vectors):
+        if name not in shelf.parts:
+            continue
+        start, held = shelf.parts[name]
+        if queries.shape[1] != held.matrix.shape[1]:
+            raise ValueError(f"query vectors have {queries.shape[1]} values, catalogue {held.matrix.shape[1]}")
         # Survey answers repeat: every different vector of a batch is scored once.
-        different, place = np.unique(queries, axis=0, return_inverse=True)
-        positions, best = best_rows(unit_rows(different), shelf.matrix[start:stop], k, shelf.unit)
-        found[at, : positions.shape[1]] = positions[place] + start
-        scores[at, : positions.shape[1]] = best[place]
-    filled = found >= 0
-    ranks = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), found.shape)
-    taken = shelf.rows.take(pa.array(found[filled])).combine_chunks()
+        first, which = distinct_rows(queries)
+        places, dots = held.best(queries[first], k)
+        found[at, : places.shape[1]] = places[which] + start
+        scores[at, : places.shape[1]] = (dots / _norms(queries[first]))[which]
+    return hits_array(found, scores, shelf.rows)
+
+
+def _norms(queries: np.ndarray) -> np.ndarray:
+    return np.maximum(lengths(queries), NORM_FLOOR)[:, None]
+
+
+def _by_name(keys: pa.Array, vectors: pa.Array) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The queries of each catalogue: its name, their places in the batch and their vectors."""
+    names = keys.dictionary_encode()
+    valid = pc.and_(names.is_valid(), vectors.is_valid()).to_numpy(zero_copy_only=False)
+    code = names.indices.fill_null(-1).to_numpy()
+    for i, name in enumerate(names.dictionary.to_pylist()):
+        at = np.flatnonzero(valid & (code == i))
+        if len(at):
+            yield name, at, as_matrix(vectors.take(pa.array(at)))
+
+
+def hits_array(found: np.ndarray, scores: np.ndarray, rows: pa.Table) -> pa.Array:
+    """Hits from places in ``rows``; ``LAST`` stands for none."""
+    kind = hits_type(rows.schema)
+    filled = found != LAST
+    ranks = np.broadcast_to(np.arange(1, found.shape[1] + 1, dtype=np.int32), found.shape)
+    taken = rows.take(pa.array(found[filled])).combine_chunks()
     columns = [pa.array(ranks[filled]), pa.array(scores[filled])]
     columns += [c.combine_chunks() for c in taken.columns]
     structs = pa.StructArray.from_arrays(columns, fields=list(kind.value_type))
@@ -203,19 +134,15 @@ def _hit_type(catalogue: DataFrame, columns: list[str]) -> T.ArrayType:
     return T.ArrayType(T.StructType(fields))
 
 
-def catalogue_bytes(catalogue: DataFrame) -> int:
-    """Size of the vectors and the columns that travel with them."""
-    wide = isinstance(catalogue.schema["_vector"].dataType.elementType, T.DoubleType)
-    size = F.size("_vector") * (8 if wide else 4)
+def catalogue_size(catalogue: DataFrame) -> tuple[int, int, int]:
+    """Rows, bytes of the vectors, and bytes of the columns that travel with them."""
+    vector = F.size("_vector").cast("long") * (8 if is_wide(catalogue, "_vector") else 4)
+    other = F.lit(0)
     for c in catalogue.columns:
         if c != "_vector":
-            size = size + F.coalesce(F.octet_length(named(c).cast("string")), F.lit(0)) + 8
-    return catalogue.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
-
-
-def longest_vector(catalogue: DataFrame) -> float:
-    squares = F.aggregate("_vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
-    return catalogue.agg(F.sqrt(F.max(squares)).alias("length")).first()["length"] or 0.0
+            other = other + F.coalesce(F.octet_length(named(c).cast("string")), F.lit(0)) + 8
+    total = catalogue.agg(F.count("*"), F.coalesce(F.sum(vector), F.lit(0)), F.coalesce(F.sum(other), F.lit(0))).first()
+    return total[0], total[1], total[2]
 
 
 class Searcher:
@@ -224,9 +151,9 @@ class Searcher:
     ``catalogue`` has ``id``, ``embeddings`` and any of ``text``, ``uuid`` and metadata;
     ``id`` and ``text`` come out as ``doc_id`` and ``doc_text``. ``columns`` names the
     catalogue columns to bring along besides ``id`` (default: all but uuid). With ``by``
-    both sides carry that column and a query only sees its own catalogue. A catalogue that
-    is ``stored``, read from files in the same order each time, need not be written for its
-    rows to be numbered.
+    both sides carry that column and a query only sees its own catalogue. ``normalise_docs`` makes its vectors unit-length,
+    in double precision, before anything else. A catalogue that is ``stored``, read from files in the same order each time, need not be
+    written for its rows to be numbered. ``stages`` takes note of what is written, so that it can be freed.
     """
 
     def __init__(
@@ -237,8 +164,10 @@ class Searcher:
         columns: list[str] | None = None,
         normalise_docs: bool = False,
         broadcast_bytes: int = BROADCAST_BYTES,
+        carried_bytes: int = BROADCAST_BYTES,
         block_bytes: int = BLOCK_BYTES,
         stored: bool = False,
+        stages: Stages | None = None,
     ):
         out = {"id": "doc_id", "text": "doc_text"}
         back = {v: k for k, v in out.items()}
@@ -247,36 +176,61 @@ class Searcher:
         tie = ["doc_id"] + [out.get(c, c) for c in ("text", "uuid") if c in catalogue.columns]
         self.carried = ["doc_id", *[out.get(c, c) for c in columns]]
         self.by = (F.col(by) if by else F.lit("")).cast("string")
-        self.normalise, self.block_bytes = normalise_docs, block_bytes
+        self.stages = stages
         docs = catalogue.where(F.col("embeddings").isNotNull()).select(
             self.by.alias("_by"),
             F.col("embeddings").alias("_vector"),
             *[named(back.get(c, c)).alias(c) for c in dict.fromkeys([*self.carried, *tie])],
         ).where(F.col("_by").isNotNull())
         self.kind = _hit_type(docs, self.carried)
-        self.shared = None
-        if catalogue_bytes(docs) <= broadcast_bytes:
+        self.blocks, self.docs, self.shared, self.widest, self.longest = None, None, None, 8, None
+        context = catalogue.sparkSession.sparkContext
+        rows, size, other = catalogue_size(docs)
+        if size + other <= broadcast_bytes:
             shelf = make_shelf(docs.toArrow(), tie, normalise_docs)
-            shelf = shelf._replace(rows=shelf.rows.select(self.carried))
+            shelf.rows = shelf.rows.select(self.carried)
             self.widest = widest_row(shelf.rows)
-            self.longest = max((b - a for a, b in shelf.spans.values()), default=1)
-            self.shared = catalogue.sparkSession.sparkContext.broadcast(tuple(shelf))
-        else:
-            # The place in tie order stands for the document until the best k are known, so
-            # blocks hold vectors and numbers only, however long the documents' texts are.
-            order = [F.col(c).asc_nulls_last() for c in ["_by", *tie]]
-            self.docs = number_rows(docs, order, "_place", stored)
-            self.unit = power_near(1.0 if normalise_docs else longest_vector(self.docs))
-
-    def hits(self, queries: DataFrame, n_results: int = 10, vector: str = "embedding") -> DataFrame:
-        """``queries`` with a ``hits`` column."""
+            self.longest = max((len(v) for _, v in shelf.parts.values()), default=1)
+            self.shared = context.broadcast(shelf)
+            return
+        # The place in tie order stands for the document until the best k are known.
+        open_folder(shared_dir(catalogue.sparkSession))
+        order = [F.col(c).asc_nulls_last() for c in ["_by", *tie]]
+        numbered = number_rows(docs, order, "_place", stored, stages)
+        self.longest = rows
+        self.blocks = store_blocks(
+            numbered.select("_by", "_place", "_vector"), rows, size, normalise=normalise_docs, block_bytes=block_bytes, stages=stages
+        )
+        self.docs = numbered.select("_place", *[named(c) for c in self.carried])
+        if other <= carried_bytes:
+            table = self.docs.toArrow().sort_by("_place").select(self.carried).combine_chunks()
+            self.widest = widest_row(table)
+            self.shared = context.broadcast(table)
+
+    def hits(self, queries: DataFrame, n_results: int = 10, vector: str = "embedding", spread: bool = True) -> DataFrame:
+        """``queries`` with a ``hits`` column; they are dealt out first (``spread_out``) unless the caller has done so."""
         require_positive("n_results", n_results)
-        if self.shared is None:
-            return _search_blocks(
-                queries, self.docs, n_results, self.by, vector, self.carried, self.kind, self.normalise, self.unit, self.block_bytes
-            )
-        k = min(n_results, self.longest)
-        return _search_broadcast(queries, self.shared, k, self.by, vector, self.widest, self.kind)
+        queries, k = spread_out(queries) if spread else queries, min(n_results, max(1, self.longest))
+        if self.blocks is None:
+            return _search_broadcast(queries, self.shared, k, self.by, vector, self.widest, self.kind)
+        if self.shared is not None:
+            return _search_blocks(queries, self.blocks, self.shared, k, self.by, vector, self.widest, self.kind)
+        return self._joined(queries, k, vector)
+
+    def _joined(self, queries: DataFrame, k: int, vector: str) -> DataFrame:
+        """For columns too large to broadcast: the final k of each query join the documents by place."""
+        places = T.ArrayType(T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("_place", T.LongType())]))
+        best = _search_blocks(queries, self.blocks, None, k, self.by, vector, 8, places)
+        rows = write_stage(best.withColumnRenamed("hits", "_best").withColumn("_row", F.monotonically_increasing_id()), "queries", self.stages)
+        chosen = rows.select("_row", F.explode("_best").alias("_hit")).select("_row", "_hit.*")
+        # The documents come from a table in storage, so adaptive execution can split the
+        # shuffle at one that is among the best of very many queries.
+        entry = F.struct("rank", "score", *[named(c) for c in self.carried])
+        hits = F.array_sort(F.collect_list(entry), lambda a, b: a["rank"] - b["rank"]).cast(self.kind)
+        found = chosen.join(self.docs, "_place").groupBy("_row").agg(hits.alias("hits"))
+        return rows.join(found, "_row", "left").select(
+            *[named(c) for c in queries.columns], F.coalesce("hits", F.array().cast(self.kind)).alias("hits")
+        )
 
 
 def search_hits(
@@ -288,6 +242,14 @@ def search_hits(
     return ready.hits(queries, n_results, vector)
 
 
+def spread_out(queries: DataFrame) -> DataFrame:
+    """``queries`` dealt out to all tasks that the cluster can run at once, unless the plan expects so many bytes that it has as many anyway."""
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    expected = queries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = int(str(expected)) <= tasks * SPREAD_BYTES
+    return queries.repartition(tasks) if small and not queries.isStreaming else queries
+
+
 def _search_broadcast(
     queries: DataFrame, shared, k: int, by: Column, vector: str, widest: int, kind: T.ArrayType
 ) -> DataFrame:
@@ -297,7 +259,7 @@ def _search_broadcast(
     def hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for keys, vectors in batches:
             for lo in range(0, len(vectors), piece):
-                yield hits_of(keys.slice(lo, piece), vectors.slice(lo, piece), Shelf(*shared.value), k)
+                yield hits_of(keys.slice(lo, piece), vectors.slice(lo, piece), shared.value, k)
 
     # Declared non-deterministic, so that the optimiser does not score a second time when
     # it derives a filter from an explode or pushes one down.
@@ -305,79 +267,38 @@ def _search_broadcast(
 
 
 def _search_blocks(
-    queries: DataFrame, docs: DataFrame, k: int, by: Column, vector: str, carried: list[str],
-    kind: T.ArrayType, normalise: bool, unit: float, block_bytes: int,
+    queries: DataFrame, path: str, shared, k: int, by: Column, vector: str, widest: int, kind: T.ArrayType
 ) -> DataFrame:
-    spark = queries.sparkSession
-    rows = write_stage(queries.withColumns({"_row": F.monotonically_increasing_id(), "_by": by}), "queries")
-
-    def blocks(df: DataFrame, vec: str, name: str, found: int = 0) -> DataFrame:
-        wide = isinstance(df.schema[vec].dataType.elementType, T.DoubleType)
-        row = F.size(vec).cast("long") * (8 if wide else 4)
-        # A task also holds place and score of the best rows of each of its queries.
-        size = F.sum(F.greatest(row, F.lit(16) * F.least(F.lit(found), F.ceil(F.lit(block_bytes) / F.greatest(row, F.lit(1))))))
-        return df.where(F.col(vec).isNotNull()).groupBy("_by").agg(F.ceil(size / block_bytes).alias(name))
-
-    # Several pairs of blocks for each task that the cluster can run at once.
-    enough = F.ceil(F.lit(4 * spark.sparkContext.defaultParallelism) / F.col("_d_blocks"))
-    grid = blocks(rows, vector, "_q_blocks", k).join(blocks(docs, "_vector", "_d_blocks"), "_by")
-    grid = grid.withColumn("_q_blocks", F.greatest("_q_blocks", enough))
-    # One row per catalogue.
-    known = grid.limit(GRID_ROWS + 1).collect()
-    if len(known) <= GRID_ROWS:
-        grid = F.broadcast(spark.createDataFrame(known, grid.schema))
-        pairs = sum(r["_q_blocks"] * r["_d_blocks"] for r in known)
-    else:
-        grid = write_stage(grid, "grid")
-        pairs = grid.agg(F.sum(F.col("_q_blocks") * F.col("_d_blocks"))).first()[0]
-    tasks = int(min(max(pairs, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000))
-
-    # A row's block follows from its own number, so equal rows spread over all blocks.
-    def cell(own: str, key: str, blocks_of: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.col(blocks_of)).alias(own)
-
-    def every(other: str, blocks_of: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks_of) - 1)).alias(other)
-
-    pair = ["_by", "_q", "_d"]
-    left = (
-        rows.where(F.col(vector).isNotNull())
-        .join(grid, "_by")
-        .select("_by", "_row", F.col(vector).alias("_vector"), cell("_q", "_row", "_q_blocks"), every("_d", "_d_blocks"))
-        .repartition(tasks, *pair)
-    )
-    right = (
-        docs.join(grid, "_by")
-        .select("_by", "_place", "_vector", cell("_d", "_place", "_d_blocks"), every("_q", "_q_blocks"))
-        .repartition(tasks, *pair)
-    )
+    """Hits by streaming through stored blocks, with the columns of the broadcast table or else with places."""
+    piece = max(1, HITS_BYTES // (k * max(1, widest)))
 
-    def score(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        shelf = make_shelf(theirs.select(["_by", "_vector", "_place"]), ["_place"], normalise, unit)
-        mine = mine.combine_chunks()
-        hits = hits_of(mine["_by"].combine_chunks(), mine["_vector"].combine_chunks(), shelf, k)
-        return pa.table({"_row": mine["_row"], "hits": hits})
+    @F.arrow_udf(kind)
+    def hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        stored = StoredBlocks(path)
+        for keys, vectors in lots(batches, k):
+            found, scores = np.full((len(keys), k), LAST), np.zeros((len(keys), k))
+            valid = np.flatnonzero(pc.and_(keys.is_valid(), vectors.is_valid()).to_numpy(zero_copy_only=False))
+            if len(valid):
+                own = as_matrix(vectors.take(pa.array(valid)))
+                names = np.array(keys.take(pa.array(valid)).to_pylist(), dtype=object)
+                code = np.unique(names, return_inverse=True)[1].astype(own.dtype)
+                first, which = distinct_rows(np.column_stack([code, own]))
+                places, dots = search_lot(names[first], own[first], k, stored)
+                found[valid], scores[valid] = places[which], (dots / _norms(own[first]))[which]
+            for lo in range(0, len(keys), piece):
+                at = slice(lo, lo + piece)
+                yield hits_array(found[at], scores[at], shared.value) if shared is not None else _places_array(found[at], scores[at])
 
-    partial = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(
-        score, "_row long, hits array<struct<rank: int, score: double, _place: long>>"
-    )
-    # One query has at most k hits per catalogue block, so these lists stay short.
-    best_first = F.transform(
-        F.flatten(F.collect_list("hits")),
-        lambda h: F.struct((-F.rint(h["score"] / unit * 10.0**SCORE_DIGITS)).alias("down"), h["_place"].alias("_place"), h["score"].alias("score")),
-    )
-    best = partial.groupBy("_row").agg(F.slice(F.array_sort(best_first), 1, k).alias("best"))
-    chosen = best.select("_row", F.posexplode("best").alias("_at", "_hit")).select(
-        "_row", (F.col("_at") + 1).alias("rank"), F.col("_hit.score").alias("score"), "_hit._place"
-    )
-    # The documents come from a table in storage, so adaptive execution can split the
-    # shuffle at one that is among the best of very many queries.
-    entry = F.struct("rank", "score", *[named(c) for c in carried])
-    hits = F.array_sort(F.collect_list(entry), lambda a, b: a["rank"] - b["rank"]).cast(kind)
-    merged = chosen.join(docs.select("_place", *[named(c) for c in carried]), "_place").groupBy("_row").agg(hits.alias("hits"))
-    return rows.join(merged, "_row", "left").select(
-        *[named(c) for c in queries.columns], F.coalesce("hits", F.array().cast(kind)).alias("hits")
-    )
+    return queries.withColumn("hits", hits.asNondeterministic()(by, F.col(vector)))
+
+
+def _places_array(found: np.ndarray, scores: np.ndarray) -> pa.Array:
+    """Hits that hold the documents' places themselves."""
+    filled = found != LAST
+    flat = found[filled]
+    back = np.full(found.shape, LAST)
+    back[filled] = np.arange(len(flat))
+    return hits_array(back, scores, pa.table({"_place": pa.array(flat)}))
 
 
 def flatten_hits(found: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:

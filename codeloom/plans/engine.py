@@ -8,22 +8,22 @@ from functools import cached_property
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.errors import InvalidInput
 from codeloom.operators.hooks import Hook, check_hooks, run_hook
-from codeloom.operators.results import nest_results, nest_reverse_results
+from codeloom.operators.results import nest_merged_hits, nest_results, nest_reverse_results
 from codeloom.operators.reverse import first_rows, reverse_search
-from codeloom.operators.rows import add_uuid, drop_empty_queries, removed_rows, sanitise_catalogue
-from codeloom.operators.search import Searcher, flatten_hits
+from codeloom.operators.rows import add_uuid, drop_empty_queries, sanitise_catalogue
+from codeloom.operators.search import Searcher, flatten_hits, spread_out
 from codeloom.operators.vectorise import check_vectoriser, with_vectors
 from codeloom.schema import (
     EMBED_INPUT, EMBED_OUTPUT, REVERSE_INPUT, REVERSE_OUTPUT, SEARCH_INPUT, SEARCH_OUTPUT,
     require_positive, require_rows, validate,
 )
 from codeloom.sources.catalogue import read_catalogues
-from codeloom.sources.index_files import check_target, empty_catalogues, read_index, write_index
+from codeloom.sources.index_files import Generation, check_target, read_index
 
 
 # How a failed Spark job shows in the driver.
@@ -36,7 +36,7 @@ class Engine:
 
     ``catalogue`` has ``id, text, uuid, embeddings`` and metadata columns. With ``by``
     (usually ``classifier``) it holds several catalogues and queries name theirs. ``spread``
-    deals the query rows to that many tasks first: for query tables that come in few partitions.
+    deals the query rows to that many tasks; without it small tables go to all tasks that can run at once.
     """
 
     catalogue: DataFrame
@@ -57,9 +57,9 @@ class Engine:
 
     def _hits(self, queries: DataFrame, n_results: int) -> DataFrame:
         named = queries.withColumnsRenamed({"id": "query_id", "query": "query_text"})
-        named = named.repartition(self.spread) if self.spread else named
+        named = named.repartition(self.spread) if self.spread else spread_out(named)
         embedded = with_vectors(named, self.vectoriser, "query_text", "_query_vector")
-        return self.searcher.hits(embedded, n_results, "_query_vector").drop("_query_vector")
+        return self.searcher.hits(embedded, n_results, "_query_vector", spread=False).drop("_query_vector")
 
     def _prepared(self, queries: DataFrame, n_results: int) -> DataFrame:
         require_positive("n_results", n_results)
@@ -88,6 +88,8 @@ class Engine:
         prepared = run_hook(self.hooks, "search_preprocess", cleaned, SEARCH_INPUT)
         found = self._hits(prepared, n_results)
         rows = validate(flatten_hits(found), SEARCH_OUTPUT)
+        if "search_postprocess" not in self.hooks:
+            return nest_merged_hits(found, keys, n_results)
         rows = run_hook(self.hooks, "search_postprocess", rows, SEARCH_OUTPUT)
         return nest_results(first_rows(rows, keys, ["rank", "doc_id", "doc_text", "score"], n_results), keys)
 
@@ -128,57 +130,50 @@ def build_index(
     """Read, clean, embed and store every catalogue of a folder.
 
     A catalogue that fails is reported in ``files`` and the others are stored. With ``overwrite``
-    one without a usable row replaces what was stored under its name by nothing.
+    one without a usable row replaces what was stored under its name by nothing. What was stored stays
+    readable until all is written, and after a build that breaks off.
     """
     check_vectoriser(vectoriser)
     if meta is not None and not isinstance(meta, dict):
         raise InvalidInput("meta must be a dict of column name to type name")
     rows, files = read_catalogues(spark, raw_dir, list(meta or {}), only)
-    # Files and counts have one row per catalogue.
+    # One row per catalogue.
     names = [r["classifier"] for r in files.where("ok").collect()]
     check_target(spark, out_dir, names, overwrite)
-    counts = {r["classifier"]: r for r in removed_rows(rows, ["classifier"]).collect()}
-    full = [name for name in names if name in counts and counts[name]["kept_rows"]]
-    if len(full) < len(names):
-        empty_catalogues(spark, out_dir, set(names) - set(full))
-    if not full:
-        raise InvalidInput(f"no documents with an id and a text in {raw_dir}")
-    failed = _write_each(rows, out_dir, vectoriser, full, meta)
-    if failed:
-        report = spark.createDataFrame(list(failed.items()), "classifier string, _fault string")
-        fault = F.col("_fault").isNotNull()
-        files = files.join(F.broadcast(report), "classifier", "left").withColumns(
-            {"ok": F.col("ok") & ~fault, "message": F.coalesce("_fault", "message")}
-        ).drop("_fault")
-    read = sum(r["total_rows"] for r in counts.values())
-    return BuildReport(files, read, read - sum(counts[n]["kept_rows"] for n in full if n not in failed))
-
-
-def _write_each(
-    rows: DataFrame, out_dir: str, vectoriser, names: list[str], meta: dict[str, str] | None
-) -> dict[str, str]:
-    """Embed and write the catalogues in one job; if that fails, one by one, so that a fault stops its own catalogue only.
+    generation = Generation(spark, out_dir, vectoriser, meta)
 
-    Returns what stopped which; if all were stopped, the first fault is raised.
-    """
-
-    def write(part: DataFrame, own: list[str]) -> None:
-        vectors = with_vectors(add_uuid(sanitise_catalogue(part)), vectoriser, "text", "embeddings")
-        write_index(vectors, out_dir, vectoriser, own, meta)
+    def write(part: DataFrame) -> dict[str, int]:
+        """Store what is usable; the write itself counts the rows that it reads and keeps."""
+        seen, kept = Observation(), Observation()
+        clean = sanitise_catalogue(part.observe(seen, F.count("*").alias("rows"))).observe(kept, F.count("*").alias("rows"))
+        generation.write(with_vectors(add_uuid(clean), vectoriser, "text", "embeddings"))
+        return {"read": seen.get["rows"], "kept": kept.get["rows"]}
 
     try:
-        write(rows, names)
-        return {}
+        counts, failed = write(rows), {}
     except FAULTS as first:
-        failed = {}
+        # One by one, so that a fault stops its own catalogue only.
+        counts, failed = {"read": 0, "kept": 0}, {}
         for name in names:
+            part = rows.where(F.col("classifier") == name)
             try:
-                write(rows.where(F.col("classifier") == name), [name])
+                own = write(part)
             except FAULTS as e:
                 failed[name] = str(e)
+                own = {"read": part.count(), "kept": 0}
+            counts = {k: counts[k] + own[k] for k in counts}
         if len(failed) == len(names):
             raise first
-        return failed
+    if not generation.entries:
+        raise InvalidInput(f"no documents with an id and a text in {raw_dir}")
+    generation.publish([name for name in names if name not in failed])
+    if failed:
+        report = spark.createDataFrame(list(failed.items()), "classifier string, _fault string")
+        fault = F.col("_fault").isNotNull()
+        files = files.join(F.broadcast(report), "classifier", "left").withColumns(
+            {"ok": F.col("ok") & ~fault, "message": F.coalesce("_fault", "message")}
+        ).drop("_fault")
+    return BuildReport(files, counts["read"], counts["read"] - counts["kept"])
 
 
 def load_engine(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.hierarchy import hits_consensus
 from codeloom.functions.text import clean, has_text
-from codeloom.operators.search import BROADCAST_BYTES, Searcher
+from codeloom.operators.search import BROADCAST_BYTES, Searcher, spread_out
 from codeloom.operators.translate import DEFAULT_LANG, translate_catalogue
 from codeloom.operators.vectorise import with_vectors
 from codeloom.sources.survey_files import survey_columns
@@ -45,13 +45,13 @@ def survey_searcher(
     return Searcher(catalogue, columns=["text"], broadcast_bytes=broadcast_bytes)
 
 
-def code_vectors(df: DataFrame, searcher: Searcher, vector: str = "embedding") -> DataFrame:
+def code_vectors(df: DataFrame, searcher: Searcher, vector: str = "embedding", spread: bool = True) -> DataFrame:
     """The coding step for rows that already carry a vector, which is dropped afterwards.
 
     Every row keeps its own result, whether or not ids repeat: the result is worked out
     beside the row, so nothing is grouped or joined back.
     """
-    found = searcher.hits(df, TOP, vector)
+    found = searcher.hits(df, TOP, vector, spread)
     return found.withColumns(coded_columns(F.col("hits"))).drop("hits", vector)
 
 
@@ -59,5 +59,5 @@ def code_survey(df: DataFrame, searcher: Searcher, vectoriser) -> DataFrame:
     """All columns of a survey table and the coded ones. Rows without text get blanks."""
     _, text = survey_columns(df.columns)
     raw = F.col(f"`{text}`").cast("string")
-    embedded = with_vectors(df.withColumn("_text", F.when(has_text(raw), clean(raw))), vectoriser, "_text", "_vector").drop("_text")
-    return code_vectors(embedded, searcher, "_vector")
+    embedded = with_vectors(spread_out(df).withColumn("_text", F.when(has_text(raw), clean(raw))), vectoriser, "_text", "_vector").drop("_text")
+    return code_vectors(embedded, searcher, "_vector", spread=False)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.errors import InvalidInput
 from codeloom.functions.text import code_key, stem_parts
 from codeloom.operators.translate import last_entry_wins
-from codeloom.sources.csv_files import list_files, read_groups, union_all
+from codeloom.sources.csv_files import LATIN1, UTF8, CsvFiles
 
 # Column names under which dictionaries keep codes and descriptions.
 CODE_COLUMNS = {"id", "id_clasificacion"}
@@ -28,29 +28,31 @@ def read_catalogues(
     file. Files without the needed columns are reported and left out; the others are read.
     """
     needed = ["id", "text", *meta]
-    files = [f for f in list_files(spark, folder) if only in (None, f.stem)]
-    good = [f for f in files if set(needed) <= set(f.columns)]
-    report = spark.createDataFrame(
-        [
-            (f.stem, f.name, f.encoding, f in good, "" if f in good else
-             "missing columns: " + ", ".join(c for c in needed if c not in f.columns))
-            for f in files
-        ],
-        "classifier string, file string, encoding string, ok boolean, message string",
+    files = CsvFiles(spark, folder)
+    heads = files.heads if only is None else files.heads.where(F.col("stem") == only)
+    missing = F.array_except(F.array(*[F.lit(c) for c in needed]), "columns")
+    report = heads.select(
+        F.col("stem").alias("classifier"), F.col("name").alias("file"),
+        F.when(F.col("utf8"), UTF8).otherwise(LATIN1).alias("encoding"), (F.size(missing) == 0).alias("ok"),
+        F.when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", "))).otherwise("").alias("message"),
     )
-    if not good:
+    good = heads.where(files.with_columns(needed))
+    if good.isEmpty():
         raise InvalidInput(f"no catalogue with columns {needed} in {folder}")
-    rows = [df.select(F.col("_stem").alias("classifier"), *needed) for _, df in read_groups(spark, folder, good)]
-    return union_all(rows), report
+    rows = files.records(good).select(F.col("stem").alias("classifier"), *[F.col("record")[c].alias(c) for c in needed])
+    return rows, report
 
 
-def dictionary_columns(columns: tuple[str, ...]) -> tuple[str, str] | None:
-    """(code, text) column of a dictionary: by name, else the first two; null if there are fewer."""
-    codes = [c for c in columns if c.lower() in CODE_COLUMNS]
-    texts = [c for c in columns if c.lower() in TEXT_COLUMNS]
-    if codes and texts:
-        return codes[-1], texts[-1]
-    return (columns[0], columns[1]) if len(columns) > 1 else None
+def dictionary_columns(columns: Column) -> tuple[Column, Column]:
+    """(code, text) column of a dictionary's header: by name, else the first two; null if there are fewer."""
+
+    def last(names: set[str]) -> Column:
+        return F.try_element_at(F.filter(columns, lambda c: F.lower(c).isin(sorted(names))), F.lit(-1))
+
+    code, text = last(CODE_COLUMNS), last(TEXT_COLUMNS)
+    both, enough = code.isNotNull() & text.isNotNull(), F.size(columns) > 1
+    first = [F.when(enough, F.get(columns, F.lit(i))) for i in (0, 1)]
+    return F.when(both, code).otherwise(first[0]), F.when(both, text).otherwise(first[1])
 
 
 def read_dictionaries(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,31 +60,27 @@ def read_dictionaries(spark: SparkSession, folder: str) -> DataFrame:
 
     A code given twice in a file has the text of its last row.
     """
-    files = [f for f in list_files(spark, folder) if dictionary_columns(f.columns)]
-    parts = []
-    for columns, df in read_groups(spark, folder, files):
-        code, text = dictionary_columns(columns)
-        classifier, lang = stem_parts(F.col("_stem"))
-        parts.append(
-            df.select(
-                classifier.alias("classifier"), lang.alias("lang"),
-                code_key(F.coalesce(F.col(f"`{code}`"), F.lit(""))).alias("code"),
-                F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"(?U)^\s+|\s+$", "").alias("text"),
-                "_place",
-            )
-        )
-    return last_entry_wins(union_all(parts), F.col("_place"))
+    files = CsvFiles(spark, folder)
+    code, text = dictionary_columns(F.col("columns"))
+    heads = files.heads.withColumns({"code_column": code, "text_column": text}).where("code_column is not null")
+    classifier, lang = stem_parts(F.col("stem"))
+    rows = files.records(heads).select(
+        classifier.alias("classifier"), lang.alias("lang"),
+        code_key(F.coalesce(F.try_element_at("record", "code_column"), F.lit(""))).alias("code"),
+        F.regexp_replace(F.coalesce(F.try_element_at("record", "text_column"), F.lit("")), r"(?U)^\s+|\s+$", "").alias("text"),
+        F.col("place").alias("_place"),
+    )
+    return last_entry_wins(rows, F.col("_place"))
 
 
 def read_benchmarks(spark: SparkSession, folder: str) -> DataFrame:
     """``classifier, id_registro, literal, ground_truth, difficulty`` of all benchmark files."""
     needed = ["id_registro", "literal", "ground_truth", "difficulty"]
-    files = [f for f in list_files(spark, folder, f"{BENCHMARK_PREFIX}*.csv") if set(needed) <= set(f.columns)]
-    name = F.regexp_replace("_stem", BENCHMARK_PREFIX, "")
-    return union_all([
-        df.select(F.concat(name, F.lit(BENCHMARK_SUFFIX)).alias("classifier"), *needed)
-        for _, df in read_groups(spark, folder, files)
-    ])
+    files = CsvFiles(spark, folder, f"{BENCHMARK_PREFIX}*.csv")
+    name = F.regexp_replace("stem", BENCHMARK_PREFIX, "")
+    return files.records(files.heads.where(files.with_columns(needed))).select(
+        F.concat(name, F.lit(BENCHMARK_SUFFIX)).alias("classifier"), *[F.col("record")[c].alias(c) for c in needed]
+    )
 
 
 def described_rows(df: DataFrame) -> DataFrame:

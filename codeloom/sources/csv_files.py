@@ -1,106 +1,191 @@
-"""CSV folders: every column a string, columns found by name, encoding chosen per file."""
+"""CSV folders: every column a string, columns found by name, encoding chosen per file.
+
+A row is a record: a map from the column names of its own file's header to its values. So files with any number of
+different headers are one table, and one plan.
+
+Files are read by lines and split over tasks wherever they are long, also within quoted fields. One pass notes,
+for every split, how many quotes it holds: their running sum says whether a split starts within a field. A
+second pass puts lines together to records while it goes through a split; what a split's end cuts off goes to the
+few rows that are put together across splits. Both passes read in bounded pieces, however long a file is.
+"""
 
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterable
-from functools import reduce
-from typing import NamedTuple
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.errors import InvalidInput
 from codeloom.functions.text import file_stem
+from codeloom.operators.joins import lookup_join
+from codeloom.session import Stages, write_stage
 
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 # Spark reads no Windows-1252, but Latin-1 differs from it in these characters only: controls there, text here.
 _CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
 _WINDOWS = _CONTROLS.encode("latin-1").decode("cp1252")
 
+HEAD, MIDDLE, TAIL, WHOLE = 0, 1, 2, 3  # the end, a part, or the start of a record that is cut, or all of one
+_PIECE = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("kind", pa.int32()), ("raw", pa.binary())])
+_PIECE_DDL = "file string, block bigint, at bigint, kind int, raw binary"
+_CSV = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "maxCharsPerColumn": "-1"}
 
-class FileHead(NamedTuple):
-    """One CSV file: its name, column names and encoding, and whether it must be read whole."""
 
-    name: str
-    stem: str
-    columns: tuple[str, ...]
-    encoding: str
-    whole: bool
+def decoded(raw: Column, utf8: Column) -> Column:
+    """Bytes as text: UTF-8, or else Windows-1252."""
+    told = F.translate(F.decode(raw, LATIN1), _CONTROLS, _WINDOWS)
+    return F.when(utf8, F.decode(raw, UTF8)).otherwise(told)
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[FileHead]:
-    """Header and encoding of every file in the folder.
-
-    The lines are checked where they lie: a file all of whose lines are valid UTF-8 is
-    read as such, any other as Windows-1252. A file can hold quoted line breaks, and must then
-    be read whole, only if some line has an odd number of quotes (or nothing but blanks, which
-    counts as a row there only). One row per file comes back.
-    """
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    blank = (F.col("value") != "") & (F.trim("value") == "")
-    lines = spark.read.option("pathGlobFilter", pattern).text(folder).select(
-        F.col("_metadata.file_name").alias("name"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
-        "value",
+def _lines(spark: SparkSession, paths: str | list[str], pattern: str | None) -> DataFrame:
+    """``file, name, block, at, raw, value``: the lines of all files, where each one's split starts, and a number that grows along a split."""
+    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+    return reader.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.col("value").cast("binary").alias("raw"), "value",
     )
-    per_file = lines.groupBy("name").agg(
-        F.min_by("value", "place").alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or((quotes % 2 == 1) | blank).alias("whole"),
-    )
-    told = F.translate(F.decode(F.col("header").cast("binary"), LATIN1), _CONTROLS, _WINDOWS)
-    header = F.when(F.col("utf8"), F.col("header")).otherwise(told)
-    found = per_file.select("name", file_stem(F.col("name")).alias("stem"), header.alias("header"), "utf8", "whole")
-    return [
-        FileHead(r["name"], r["stem"], tuple(next(csv.reader([r["header"]]), [])), UTF8 if r["utf8"] else LATIN1, r["whole"])
-        for r in found.orderBy("name").toLocalIterator()
-    ]
-
-
-def read_strings(
-    spark: SparkSession, paths: str | list[str], columns: Iterable[str], encoding: str = UTF8, multi_line: bool = True
-) -> DataFrame:
-    """CSV files that share one header, as strings.
-
-    Quoted line breaks need ``multi_line``, which reads a file in one task; turn it off
-    for large files without them, so that Spark can split these. Text read as Latin-1 is
-    taken for Windows-1252, which has letters and signs in place of its control characters.
-    """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.read.schema(schema).option("header", True).option("encoding", encoding)
-    rows = reader.option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(paths)
-    if encoding != LATIN1:
-        return rows
-    return rows.withColumns({c: F.translate(F.col(f"`{c}`"), _CONTROLS, _WINDOWS) for c in schema.names})
 
 
-def read_groups(
-    spark: SparkSession, folder: str, files: list[FileHead], multi_line: bool | None = None
-) -> list[tuple[tuple[str, ...], DataFrame]]:
-    """One DataFrame per header among ``files``, each with a ``_stem`` and a ``_place`` column.
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def header_names(lines: pa.Array) -> pa.Array:
+    """The column names of header lines."""
+    return pa.array([next(csv.reader([x]), []) if x is not None else [] for x in lines.to_pylist()], pa.list_(pa.string()))
 
-    ``_place`` grows in row order within a file. Unless ``multi_line`` says otherwise, files without
-    quoted line breaks are split over tasks.
-    """
-    if not files:
-        raise InvalidInput(f"no readable files in {folder}")
-    groups: dict[tuple, list[str]] = {}
-    for f in files:
-        whole = f.whole if multi_line is None else multi_line
-        groups.setdefault((f.columns, f.encoding, whole), []).append(f"{folder.rstrip('/')}/{f.name}")
-    return [
-        (
-            columns,
-            read_strings(spark, paths, columns, encoding, whole).select(
-                *[F.col(f"`{c}`") for c in columns],
-                file_stem(F.col("_metadata.file_name")).alias("_stem"),
-                F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_place"),
-            ),
-        )
-        for (columns, encoding, whole), paths in groups.items()
-    ]
 
+class CsvFiles:
+    """The CSV files of a folder (or of some paths), with what one pass over their lines says of them.
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    ``heads`` has a row per file: ``file, name, stem, columns, utf8``. A file all of whose lines are valid
+    UTF-8 is read as such, any other as Windows-1252. Empty files are not there.
+    """
+
+    def __init__(self, spark: SparkSession, paths: str | list[str], pattern: str | None = "*.csv", stages: Stages | None = None):
+        self.spark, self.paths, self.pattern = spark, paths, pattern
+        lines = _lines(spark, paths, pattern)
+        quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+        filled = F.when(F.col("value") != "", F.col("at"))
+        splits = lines.groupBy("file", "name", "block").agg(
+            F.sum(quotes).alias("quotes"), F.bool_or(quotes % 2 == 1).alias("odd"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+            F.min_by("raw", filled).alias("first"), F.min(filled).alias("first_at"),
+        )
+        self.splits = write_stage(splits, "splits", stages)
+        start = F.when(F.col("first_at").isNotNull(), F.col("block"))
+        files = self.splits.groupBy("file", "name").agg(
+            F.min_by(F.struct("first", F.col("block").alias("head_block"), F.col("first_at").alias("head_at")), start).alias("head"),
+            F.bool_and("utf8").alias("utf8"), F.bool_or("odd").alias("odd"),
+        )
+        header = header_names(decoded(F.col("head.first"), F.col("utf8")))
+        files = files.where("head is not null").select(
+            "file", "name", file_stem(F.col("name")).alias("stem"), header.alias("columns"), "utf8", "odd", "head.head_block", "head.head_at"
+        )
+        self.heads = write_stage(files, "heads", stages)
+
+    def with_columns(self, needed: Iterable[str]) -> Column:
+        """Whether a file's header has all these columns."""
+        return F.size(F.array_except(F.array(*[F.lit(c) for c in needed]).cast("array<string>"), F.col("columns"))) == 0
+
+    def names(self) -> list[str]:
+        """All different column names, as they first come by file name and place."""
+        places = self.heads.select("name", F.posexplode("columns").alias("at", "column"))
+        first = places.groupBy("column").agg(F.min(F.struct("name", "at")).alias("first"))
+        return [r["column"] for r in first.orderBy("first").toLocalIterator()]
+
+    def records(self, chosen: DataFrame | None = None) -> DataFrame:
+        """``name, stem, place, record`` of all rows, and the other columns of ``chosen``: some of ``heads``, perhaps with columns added.
+
+        ``place`` grows in row order within a file. A value that is missing at the end of a row is null, one beyond the header is left
+        out. Line breaks within a field come out as line feeds.
+        """
+        heads = self.heads if chosen is None else chosen
+        # One number for the whole folder; what it bounds is the width of a row.
+        told = heads.agg(F.max(F.size("columns")).alias("width"), F.bool_or("odd").alias("odd")).first()
+        if told["width"] is None:
+            raise InvalidInput(f"no readable files in {self.paths}")
+        kept = [c for c in heads.columns if c not in ("file", "odd", "columns", "utf8", "head_block", "head_at")]
+        rows = lookup_join(self._raw_records(told["odd"]), heads.drop("odd"), ["file"], "inner")
+        rows = rows.where((F.col("block") != F.col("head_block")) | (F.col("at") != F.col("head_at")))
+        fields = ", ".join(f"c{i} string" for i in range(told["width"]))
+        values = F.from_csv(decoded(F.col("raw"), F.col("utf8")), fields, _CSV)
+        parsed = rows.withColumn("values", values)
+        cells = F.slice(F.array(*[F.col("values")[f"c{i}"] for i in range(told["width"])]), 1, F.size("columns"))
+        # A name that a header has twice stands for its last column.
+        pairs = F.map_from_entries(F.filter(F.arrays_zip(F.col("columns").alias("key"), cells.alias("value")), _last_of(F.col("columns"))))
+        return parsed.select(*kept, F.struct("block", "at").alias("place"), pairs.alias("record"))
+
+    def _raw_records(self, odd: bool) -> DataFrame:
+        """``file, block, at, raw``: all records, headers too, as bytes. Files are read in the same order each time, so places stay."""
+        if not odd:
+            return _lines(self.spark, self.paths, self.pattern).where(F.octet_length("raw") > 0).select("file", "block", "at", "raw")
+        pieces = self._pieces()
+        whole = pieces.where(F.col("kind") == WHOLE).select("file", "block", "at", "raw")
+        return whole.unionByName(_joined(pieces.where(F.col("kind") != WHOLE)))
+
+    def _pieces(self) -> DataFrame:
+        """Records and parts of records, from lines in order."""
+        before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+        inside = (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("inside")
+        # Broadcast, as lines must stay in order: a row for each split that starts within a field.
+        starts = self.splits.select("file", "block", inside).where("inside")
+        lines = _lines(self.spark, self.paths, self.pattern).select("file", "block", "at", "raw")
+        told = lines.join(F.broadcast(starts), ["file", "block"], "left").select(
+            "file", "block", "at", "raw", F.coalesce("inside", F.lit(False)).alias("inside")
+        )
+        return told.mapInArrow(_put_together, _PIECE_DDL)
+
+
+def _last_of(columns: Column):
+    def last(pair: Column, place: Column) -> Column:
+        return ~F.array_contains(F.slice(columns, place + 2, F.size(columns)), pair["key"])
+
+    return last
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records, and the parts that a split's start or end cuts off; a split's lines come in order."""
+    split, inside, cut, held, held_at = None, False, False, [], 0
+
+    def part(kind: int) -> tuple:
+        return (*split, held_at, kind, b"\n".join(held))
+
+    for batch in batches:
+        out: list[tuple] = []
+        odd = pc.bit_wise_and(pc.count_substring(batch["raw"], b'"'), 1).to_pylist()
+        columns = [batch[c].to_pylist() for c in ("file", "block", "at", "raw", "inside")]
+        for file, block, at, raw, within, turns in zip(*columns, odd):
+            if split != (file, block):
+                if held:
+                    out.append(part(MIDDLE if cut else TAIL))
+                split, inside, cut, held = (file, block), within, within, []
+            if not held:
+                held_at = at
+                if not inside and not raw:
+                    continue  # an empty line between records
+            held.append(raw)
+            inside ^= bool(turns)
+            if not inside:
+                out.append(part(HEAD if cut else WHOLE))
+                cut, held = False, []
+        if out:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECE)], schema=_PIECE)
+    if held:
+        last = [part(MIDDLE if cut else TAIL)]
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*last), _PIECE)], schema=_PIECE)
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """Records from their parts, two or more for each that a split's end cuts: the start's split and number name the record."""
+    order = W.partitionBy("file").orderBy("block", "at").rowsBetween(W.unboundedPreceding, 0)
+    numbered = parts.withColumn("record", F.sum((F.col("kind") == TAIL).cast("int")).over(order))
+    whole = numbered.groupBy("file", "record").agg(
+        F.array_sort(F.collect_list(F.struct("block", "at", "raw"))).alias("parts")
+    )
+    first = F.col("parts")[0]
+    texts = F.transform("parts", lambda p: F.hex(p["raw"]))
+    return whole.select("file", first["block"].alias("block"), first["at"].alias("at"), F.unhex(F.array_join(texts, "0A")).alias("raw"))

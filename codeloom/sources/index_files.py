@@ -1,7 +1,14 @@
-"""Stored indexes: vectors as Parquet by classifier, one metadata row per classifier."""
+"""Stored indexes: every build writes a new generation, and a small manifest says which ones are current.
+
+``<index>/vectors/generation=<g>/classifier=<name>`` holds the vectors as Parquet and is never changed once
+written. ``<index>/manifest/version=<n>`` is one JSON file with a row per catalogue: its generation and
+metadata. Versions only ever grow; readers follow the last one that is complete. So a build that stops anywhere
+before its manifest is written changes nothing that a reader sees.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -15,34 +22,50 @@ METADATA_SCHEMA = (
     "classifier string, vectoriser_class string, vector_shape int, num_vectors bigint, "
     "created_at double, meta_data map<string,string>"
 )
+MANIFEST_SCHEMA = METADATA_SCHEMA + ", generation string"
 REQUIRED = ("id", "text", "uuid", "embeddings")
 
 
-def _read(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+def _there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A stored table, or None where there is none."""
     try:
-        if kind == "json":
-            return spark.read.schema(METADATA_SCHEMA).json(path)
-        # Catalogue names are strings even when they look like numbers.
-        return spark.read.option("basePath", path).parquet(path).withColumn(
-            "classifier", F.col("classifier").cast("string")
-        )
+        reader = spark.read.option("basePath", path)
+        return reader.schema(schema).json(path) if schema else reader.parquet(path)
     except AnalysisException as e:
         if e.getCondition() in {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}:
             return None
         raise
 
 
+def _manifest(spark: SparkSession, path: str) -> tuple[int, list]:
+    """The last version that is complete, 0 for none, and its rows: one per catalogue."""
+    stored = _there(spark, f"{path}/manifest", MANIFEST_SCHEMA + ", version bigint")  # a key of the folders
+    if stored is None:
+        return 0, []
+    last = stored.agg(F.max("version").alias("version")).first()["version"]
+    if last is None:
+        return 0, []
+    rows = stored.where(F.col("version") == last).drop("version").collect()
+    # A row without a name stands for an index without catalogues.
+    return last, [r for r in rows if r["classifier"] is not None]
+
+
+def _publish(spark: SparkSession, path: str, version: int, rows: list) -> None:
+    """Make ``rows`` the current manifest: one file, which appears whole. A build that was overtaken by another fails here."""
+    rows = rows or [(None,) * 7]
+    table = spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
+    table.write.mode("error").json(f"{path}/manifest/version={version + 1:08d}")
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame | None:
-    """One row per stored catalogue, or None where there is no index."""
-    return _read(spark, f"{path}/metadata", "json")
+    """One row per current catalogue, or None where there is no index."""
+    version, rows = _manifest(spark, path)
+    return spark.createDataFrame(rows, MANIFEST_SCHEMA).drop("generation") if version else None
 
 
 def index_names(spark: SparkSession, path: str) -> list[str]:
     """Names of the catalogues stored below ``path``."""
-    stored = read_metadata(spark, path)
-    if stored is None:
-        return []
-    return [r["classifier"] for r in stored.select("classifier").distinct().orderBy("classifier").toLocalIterator()]
+    return sorted(r["classifier"] for r in _manifest(spark, path)[1])
 
 
 def index_stats(vectors: DataFrame, by: str = "classifier") -> DataFrame:
@@ -57,59 +80,58 @@ def index_stats(vectors: DataFrame, by: str = "classifier") -> DataFrame:
 
 
 def check_target(spark: SparkSession, path: str, names: Iterable[str], overwrite: bool) -> None:
-    """Catalogues that are stored already may only be written with ``overwrite``.
-
-    Vectors count too: a write that broke off leaves them without metadata.
-    """
-    there = set(index_names(spark, path))
-    vectors = _read(spark, f"{path}/vectors", "parquet")
-    if vectors is not None:
-        there |= {r["classifier"] for r in vectors.select("classifier").distinct().collect()}
-    there = sorted(there & set(names))
+    """Catalogues that are stored already may only be written with ``overwrite``."""
+    there = sorted(set(index_names(spark, path)) & set(names))
     if there and not overwrite:
         raise IndexProblem(f"{path} already holds {there}; pass overwrite=True to replace")
 
 
-def write_index(
-    vectors: DataFrame, path: str, vectoriser, names: Iterable[str], meta: dict[str, str] | None = None
-) -> None:
-    """Write the rows of the catalogues ``names`` and their metadata.
+class Generation:
+    """Vectors of one build, which readers see once ``publish`` is called."""
+
+    def __init__(self, spark: SparkSession, path: str, vectoriser, meta: dict[str, str] | None = None):
+        self.spark, self.path, self.vectoriser, self.meta = spark, path, vectoriser, meta or {}
+        self.entries: dict[str, tuple] = {}
+
+    def write(self, vectors: DataFrame) -> list[str]:
+        """Store the rows of some catalogues. Row ids become fixed here. Returns the catalogues that have rows.
+
+        Sizes come from the files just written, not from working the rows out again.
+        """
+        name = uuid.uuid4().hex
+        target = f"{self.path}/vectors/generation={name}"
+        vectors.write.partitionBy("classifier").parquet(target)
+        written = _there(self.spark, target)
+        if written is None:
+            return []
+        made = F.unix_micros(F.current_timestamp()).cast("double") / 1e6
+        rows = index_stats(written.withColumn("classifier", F.col("classifier").cast("string"))).withColumn("made", made).collect()
+        for r in rows:
+            self.entries[r["classifier"]] = (
+                r["classifier"], vectoriser_name(self.vectoriser), r["vector_shape"], r["num_vectors"], r["made"], self.meta, name
+            )
+        return [r["classifier"] for r in rows]
+
+    def publish(self, replaced: Iterable[str]) -> None:
+        """Make this generation current. Catalogues among ``replaced`` without rows in it are gone; all others stay."""
+        version, rows = _manifest(self.spark, self.path)
+        gone = {*replaced, *self.entries}
+        _publish(self.spark, self.path, version, [tuple(r) for r in rows if r["classifier"] not in gone] + list(self.entries.values()))
+
 
-    Each replaces what is stored under its name; others in the folder are left alone.
-    Row ids become fixed here: read the index back to use it.
+def release_generations(spark: SparkSession, path: str) -> int:
+    """Free the space of generations that the current manifest does not name, also those of builds that broke off.
+
+    Not while an index is being built, or while searches still read an older version.
     """
-    names = list(names)
-    spark = vectors.sparkSession
-    target = f"{path}/vectors"
-    (vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("classifier").parquet(target))
-    written = _read(spark, target, "parquet").where(F.col("classifier").isin(names))
-    entries = F.create_map(*[F.lit(x) for pair in (meta or {}).items() for x in pair]) if meta else F.create_map()
-    row = index_stats(written).select(
-        "classifier", F.lit(vectoriser_name(vectoriser)).alias("vectoriser_class"), "vector_shape", "num_vectors",
-        F.unix_micros(F.current_timestamp()).cast("double").alias("_micros"),
-        entries.cast("map<string,string>").alias("meta_data"),
-    ).withColumn("created_at", F.col("_micros") / 1e6).drop("_micros")
-    # The name is kept as a field too, since the partition column is not part of the files.
-    (row.withColumn("name", F.col("classifier")).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("name").json(f"{path}/metadata"))
-
-
-def _folder(name: str) -> str:
-    """A partition value as Spark spells it in a folder's name."""
-    return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in name)
-
-
-def empty_catalogues(spark: SparkSession, path: str, names: Iterable[str]) -> None:
-    """Replace the stored catalogues among ``names`` by nothing: a rebuild that leaves them without rows."""
-    stored = _read(spark, f"{path}/vectors", "parquet")
+    stored = _there(spark, f"{path}/vectors")
     if stored is None:
-        return
-    kind = stored.drop("classifier").schema
-    known = {r["classifier"] for r in stored.select("classifier").distinct().collect()}
-    for name in sorted(known & set(names)):
-        spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{path}/vectors/classifier={_folder(name)}")
-        spark.createDataFrame([], METADATA_SCHEMA).write.mode("overwrite").json(f"{path}/metadata/name={_folder(name)}")
+        return 0
+    current = {r["generation"] for r in _manifest(spark, path)[1]}
+    old = [r["generation"] for r in stored.select("generation").distinct().collect() if r["generation"] not in current]
+    for name in old:
+        spark.range(0).write.mode("overwrite").parquet(f"{path}/vectors/generation={name}")
+    return len(old)
 
 
 def read_index(
@@ -117,31 +139,40 @@ def read_index(
 ) -> tuple[DataFrame, DataFrame]:
     """(vectors, metadata) of a stored index, checked before use.
 
-    With ``only``, just that catalogue's folder is read.
+    Only the generations that the manifest names are read; with ``only``, just that catalogue's folder.
     """
     check_vectoriser(vectoriser)
-    stored = read_metadata(spark, path)
-    vectors = _read(spark, f"{path}/vectors", "parquet")
-    if stored is None:
-        raise IndexProblem(f"{path} has no metadata")
-    if vectors is None:
-        raise IndexProblem(f"{path} has no vectors")
-    if only is not None:
-        stored, vectors = (df.where(F.col("classifier") == only) for df in (stored, vectors))
-    # One row per catalogue.
-    rows = stored.collect()
-    if not rows or vectors.isEmpty():
+    version, rows = _manifest(spark, path)
+    if not version:
+        raise IndexProblem(f"{path} has no manifest")
+    rows = [r for r in rows if only in (None, r["classifier"])]
+    if not rows:
         raise IndexProblem(f"{path} holds no vectors" + (f" for {only}" if only else ""))
     for row in rows:
-        unset = [c for c in stored.columns if row[c] is None]
+        unset = [c for c in row.asDict() if row[c] is None]
         if unset:
             raise IndexProblem(f"metadata of {row['classifier']} lacks {unset}")
         if row["vectoriser_class"] != vectoriser_name(vectoriser):
             raise IndexProblem(
                 f"{row['classifier']} was built by {row['vectoriser_class']}, not {vectoriser_name(vectoriser)}"
             )
+    names: dict[str, list[str]] = {}
+    for row in rows:
+        names.setdefault(row["generation"], []).append(row["classifier"])
     meta = list(dict.fromkeys(c for row in rows for c in row["meta_data"]))
-    missing = [c for c in (*REQUIRED, *meta) if c not in vectors.columns]
-    if missing:
-        raise IndexProblem(f"{path} lacks columns {missing}")
-    return vectors.select("classifier", *REQUIRED, *meta), stored
+    parts = None
+    for generation, own in names.items():
+        folder = f"{path}/vectors/generation={generation}"
+        stored = _there(spark, folder)
+        if stored is None:
+            raise IndexProblem(f"{path} lacks the vectors of {own}")
+        # Catalogue names are strings even when they look like numbers.
+        stored = stored.withColumn("classifier", F.col("classifier").cast("string"))
+        told = {c for row in rows if row["generation"] == generation for c in row["meta_data"]}
+        missing = [c for c in (*REQUIRED, *sorted(told)) if c not in stored.columns]
+        if missing:
+            raise IndexProblem(f"{path} lacks columns {missing}")
+        part = stored.where(F.col("classifier").isin(own))
+        part = part.select("classifier", *REQUIRED, *[F.col(c) if c in stored.columns else F.lit(None).cast("string").alias(c) for c in meta])
+        parts = part if parts is None else parts.unionByName(part)
+    return parts, spark.createDataFrame(rows, MANIFEST_SCHEMA).drop("generation")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.sources.csv_files import list_files, read_groups, union_all
+from codeloom.sources.csv_files import CsvFiles
 
 # Column names that hold the row id and the answer text, by preference.
 ID_COLUMNS = ("id_registro", "id")
@@ -20,19 +20,15 @@ def survey_columns(columns: list[str]) -> tuple[str | None, str]:
     return row_id, named or other
 
 
-def read_surveys(spark: SparkSession, folder: str, multi_line: bool | None = None) -> DataFrame:
-    """All survey files of a folder, all columns strings; they may differ in columns.
+def read_surveys(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None) -> DataFrame:
+    """All survey files of a folder, or of some paths, all columns strings; they may differ in columns and encoding.
 
-    Reads every line once beforehand, for headers and encodings. Where these are known
-    and the same for all files, ``read_strings`` reads the folder without that.
+    Without ``columns`` there are those of any file; a file that lacks one has nulls there.
     """
-    files = list_files(spark, folder)
-    parts = [df.drop("_stem", "_place") for _, df in read_groups(spark, folder, files, multi_line)]
-    names = list(dict.fromkeys(c for p in parts for c in p.columns))
-    return union_all([
-        p.select(*[F.col(f"`{c}`") if c in p.columns else F.lit(None).cast("string").alias(c) for c in names])
-        for p in parts
-    ])
+    files = CsvFiles(spark, paths, "*.csv" if isinstance(paths, str) else None)
+    rows = files.records()
+    names = files.names() if columns is None else columns
+    return rows.select(*[F.try_element_at("record", F.lit(c)).alias(c) for c in names])
 
 
 def write_coded(df: DataFrame, path: str) -> None:

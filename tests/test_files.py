@@ -1,3 +1,6 @@
+import csv
+import io
+import random
 import sys
 
 import pytest
@@ -14,8 +17,8 @@ from codeloom.plans.benchmark import accuracy_report, run_benchmark
 from codeloom.plans.engine import Engine, build_index, load_engine
 from codeloom.plans.survey import code_survey, survey_searcher
 from codeloom.sources.catalogue import read_benchmarks, read_catalogues, read_dictionaries, write_clean_catalogue
-from codeloom.sources.csv_files import list_files, read_strings
-from codeloom.sources.index_files import index_names
+from codeloom.sources.csv_files import CsvFiles
+from codeloom.sources.index_files import Generation, _publish, index_names, release_generations
 from codeloom.sources.survey_files import read_surveys, survey_columns, write_coded, write_report
 from codeloom.streaming.incremental import batch_progress, code_new_files
 from codeloom.streaming.status import append_status, latest_status
@@ -41,12 +44,12 @@ def raw(tmp_path_factory):
 
 
 def test_heads_and_encodings(spark, raw):
-    heads = {f.stem: (f.columns, f.encoding) for f in list_files(spark, str(raw))}
+    heads = {f.stem: (f.columns, f.utf8) for f in CsvFiles(spark, str(raw)).heads.collect()}
     assert heads == {
-        "food_es": (("id", "text", "colour"), "UTF-8"),
-        "food_en": (("descripcion", "ID_clasificacion", "colour"), "UTF-8"),
-        "kids_es": (("colour", "id", "text"), "ISO-8859-1"),
-        "plain": (("code", "words"), "UTF-8"),
+        "food_es": (["id", "text", "colour"], True),
+        "food_en": (["descripcion", "ID_clasificacion", "colour"], True),
+        "kids_es": (["colour", "id", "text"], False),
+        "plain": (["code", "words"], True),
     }
 
 
@@ -348,8 +351,7 @@ def test_benchmark(spark, index, tmp_path):
 
 def test_windows_1252_characters_are_kept(spark, tmp_path):
     (tmp_path / "w_es.csv").write_bytes("id,text\n1,precio \u20ac \u201cpan\u201d ni\u00f1o\n".encode("cp1252"))
-    (head,) = list_files(spark, str(tmp_path))
-    row = read_strings(spark, str(tmp_path), head.columns, head.encoding).first()
+    row = read_surveys(spark, str(tmp_path)).first()
     assert row["text"] == "precio \u20ac \u201cpan\u201d ni\u00f1o"
 
 
@@ -381,14 +383,50 @@ def test_rebuild_replaces_what_was_there(spark, tmp_path):
     assert [r["id"] for r in load_engine(spark, out, WordPresence(WORDS)).catalogue.collect()] == ["2"]
 
 
-def test_vectors_without_metadata_are_not_overwritten_silently(spark, tmp_path):
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("place", ["write", "publish"])
+def test_a_build_that_stops_leaves_the_old_index(spark, tmp_path, monkeypatch, place):
     raw, out = tmp_path / "raw", str(tmp_path / "index")
     raw.mkdir()
     (raw / "x_es.csv").write_text("id,text\n1,pan\n", encoding="utf-8")
-    vectors = spark.createDataFrame([("x_es", "1", "pan", "u", [1.0])], "classifier string, id string, text string, uuid string, embeddings array<float>")
-    vectors.write.partitionBy("classifier").parquet(out + "/vectors")
+    build_index(spark, str(raw), out, WordPresence(WORDS))
+    (raw / "x_es.csv").write_text("id,text\n2,leche\n3,vaca\n", encoding="utf-8")
+    (raw / "new_es.csv").write_text("id,text\n4,pan\n", encoding="utf-8")
+    real = getattr(Generation, place)
+
+    def stop(self, *given):
+        if place == "write":
+            real(self, *given)  # the vectors are there, the manifest is not
+        raise Stopped
+
+    with monkeypatch.context() as m:
+        m.setattr(Generation, place, stop)
+        with pytest.raises(Stopped):
+            build_index(spark, str(raw), out, WordPresence(WORDS), overwrite=True)
+    codes = lambda: sorted(r["id"] for r in load_engine(spark, out, WordPresence(WORDS)).catalogue.collect())
+    assert index_names(spark, out) == ["x_es"] and codes() == ["1"]
+    build_index(spark, str(raw), out, WordPresence(WORDS), overwrite=True)
+    assert index_names(spark, out) == ["new_es", "x_es"] and codes() == ["2", "3", "4"]
+    assert release_generations(spark, out) == 2 and codes() == ["2", "3", "4"]
+
+
+def test_builds_add_catalogues_and_an_overtaken_one_fails(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "index")
+    raw.mkdir()
+    (raw / "1.csv").write_text("id,text,c\n1,pan,red\n", encoding="utf-8")
+    build_index(spark, str(raw), out, WordPresence(WORDS), {"c": "str"})
+    (raw / "1.csv").rename(raw / "2.csv")
+    build_index(spark, str(raw), out, WordPresence(WORDS))
     with pytest.raises(IndexProblem):
         build_index(spark, str(raw), out, WordPresence(WORDS))
+    rows = load_engine(spark, out, WordPresence(WORDS)).catalogue.collect()
+    assert {(r["classifier"], r["c"]) for r in rows} == {("1", "red"), ("2", None)}
+    late = Generation(spark, out, WordPresence(WORDS))
+    with pytest.raises(Exception, match="(?i)exist"):
+        _publish(spark, out, 1, list(late.entries.values()))
 
 
 class Picky(Plain):
@@ -411,23 +449,81 @@ def test_one_catalogue_that_fails_does_not_stop_the_others(spark, tmp_path):
     assert (report.rows_read, report.rows_removed) == (2, 1) and index_names(spark, out) == ["good_es"]
 
 
-def test_files_are_split_unless_they_hold_line_breaks(spark, tmp_path):
-    lines = "".join(f'{i},"say ""{i}"""\n' for i in range(20000))
-    (tmp_path / "plain.csv").write_text("id,literal\n" + lines, encoding="utf-8")
-    (tmp_path / "broken.csv").write_text('id,literal\n1,"two\nlines"\n', encoding="utf-8")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+def plain_rows(text, names):
+    """The rows of CSV text by Python's own reader."""
+    rows = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+    return sorted((tuple((dict(zip(rows[0], r)).get(c) or "").replace("\r\n", "\n") for c in names) for r in rows[1:]))
+
+
+@pytest.mark.parametrize("split", [64, 1000, 1 << 20])
+def test_files_with_line_breaks_are_split(spark, tmp_path, split):
+    rng = random.Random(split)
+    texts = ["plain", 'say ""it""', "two\nlines", "a, b", "\n\n", '""""', "\nx\n", "x" * 300, "many\n" * 60, " ", "nino\n,\n"]
+    lines = "".join(f'{i},"{rng.choice(texts)}",{rng.choice("ab")}\n' + "\n" * rng.choice([0, 0, 1]) for i in range(600))
+    files = {"broken": "id,literal,c\n" + lines, "plain": "c,id\n" + "".join(f"z,{i}\n" for i in range(700, 900)), "open": 'id,c\n950,"not closed\nto the end\n'}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text, encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
     try:
-        rows = read_surveys(spark, str(tmp_path))
-        assert rows.count() == 20001 and rows.rdd.getNumPartitions() > 4
-        assert {r["literal"] for r in rows.where("id = '1'").collect()} == {'say "1"', "two\nlines"}
+        rows = read_surveys(spark, str(tmp_path)).cache()
+        if split < 1 << 20:
+            assert CsvFiles(spark, str(tmp_path)).splits.where("name = 'broken.csv'").count() > 10
+        names = ["id", "literal", "c"]
+        expected = sorted(r for text in files.values() for r in plain_rows(text, names))
+        assert sorted(tuple((r[c] or "").rstrip("\n") if r["id"] == "950" else r[c] or "" for c in names) for r in rows.collect()) == sorted(
+            tuple(v.rstrip("\n") if r[0] == "950" else v for v in r) for r in expected
+        )
+        rows.unpersist()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-def test_stream_with_other_header_or_without_rows_fails(spark, tmp_path):
+def test_a_row_order_that_follows_the_file(spark, tmp_path):
+    (tmp_path / "d_es.csv").write_text("code,words\n" + "".join(f'k{i % 7},"w\n{i}"\n' for i in range(500)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        found = {r["code"]: r["text"] for r in read_dictionaries(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {f"k{k}": f"w\n{max(i for i in range(500) if i % 7 == k)}" for k in range(7)}
+
+
+def test_many_headers_are_one_plan(spark, tmp_path):
+    import itertools
+
+    names = ["id", "literal", "a", "b", "c", "d"]
+    sizes = []
+    for count in (2, 500):
+        folder = tmp_path / str(count)
+        folder.mkdir()
+        for i, order in enumerate(itertools.islice(itertools.permutations(names), count)):
+            values = {c: f"{c}{i}" for c in names}
+            (folder / f"{i}.csv").write_text(",".join(order) + "\n" + ",".join(values[c] for c in order) + "\n", encoding="utf-8")
+        rows = read_surveys(spark, str(folder))
+        assert {(r["id"], r["literal"], r["d"]) for r in rows.collect()} == {(f"id{i}", f"literal{i}", f"d{i}") for i in range(count)}
+        sizes.append(len(rows._jdf.queryExecution().logical().toString().splitlines()))
+    assert sizes[0] == sizes[1]
+
+
+def test_stream_of_files_with_any_header_and_encoding(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("literal,id,more\npan,7,x\n\"dos\nl\u00edneas\",8,y\n", encoding="utf-8")
+    (tmp_path / "in/b.csv").write_bytes("id,literal\n9,ni\u00f1o \u20ac\n".encode("cp1252"))
+    (tmp_path / "in/c.csv").write_text("literal\nno id\n", encoding="utf-8")
+    kind = spark.createDataFrame([], "id int, literal string").schema
+    coded = code_new_files(spark, str(tmp_path / "in"), kind, lambda df: df, str(tmp_path / "out"), files_per_batch=2)
+    batch = read_surveys(spark, str(tmp_path / "in")).selectExpr("cast(id as int) id", "literal")
+    found = spark.read.parquet(coded).select("id", "literal").collect()
+    assert sorted(map(str, found)) == sorted(map(str, batch.collect())) and len(found) == 4
+    assert {r["literal"] for r in found if r["id"] == 9} == {"ni\u00f1o \u20ac"}
+
+
+def test_stream_without_known_columns_or_rows_fails(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "none").mkdir()
-    (tmp_path / "in/a.csv").write_text("literal,id\npan,7\n", encoding="utf-8")
+    (tmp_path / "in/a.csv").write_text("word,number\npan,7\n", encoding="utf-8")
     kind = spark.createDataFrame([], "id string, literal string").schema
     with pytest.raises(Exception):
         code_new_files(spark, str(tmp_path / "in"), kind, lambda df: df, str(tmp_path / "out"))

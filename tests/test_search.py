@@ -1,9 +1,14 @@
+import tracemalloc
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.errors import InvalidInput
+from codeloom.operators import blocks, ranking
 from codeloom.operators import search as S
+from codeloom.operators.ranking import Vectors
 
 
 def brute(queries, docs, k):
@@ -97,14 +102,15 @@ def test_catalogues_are_kept_apart(spark, tables):
         assert all(r["hits"] == [] for r in found.where("classifier = 'unknown'").collect())
 
 
-def test_many_catalogues(spark, tables, monkeypatch):
+def test_many_catalogues(tables):
     _, _, q, d = tables
     named = d.withColumn("classifier", F.substring("id", 2, 1))
     asked = q.select("query_id", "v", F.explode(F.array(*[F.lit(str(i)) for i in range(10)])).alias("classifier"))
     rows = lambda df: sorted(map(str, df.select("query_id", "classifier", "hits").collect()))
     small = rows(S.search_hits(asked, named, 3, by="classifier", vector="v"))
-    monkeypatch.setattr(S, "GRID_ROWS", 0)
-    assert rows(S.search_hits(asked, named, 3, by="classifier", vector="v", broadcast_bytes=0, block_bytes=50)) == small
+    for carried in (0, 1 << 20):
+        how = {"broadcast_bytes": 0, "carried_bytes": carried, "block_bytes": 50}
+        assert rows(S.search_hits(asked, named, 3, by="classifier", vector="v", **how)) == small
 
 
 def test_one_searcher_for_many_searches(tables):
@@ -138,10 +144,20 @@ def test_arguments(tables):
             S.search_hits(q, d, bad, vector="v")
 
 
+def plain_best(queries, docs, k):
+    """Places and scores by exact fractions."""
+    out = []
+    for q in queries:
+        score = [float(sum(Fraction(float(a)) * Fraction(float(b)) for a, b in zip(q, d))) for d in docs]
+        places = sorted(range(len(docs)), key=lambda i: (-score[i], i))[:k]
+        out.append((places, [score[i] for i in places]))
+    return out
+
+
 def test_kernel_ties_go_to_the_first_rows():
     docs = np.ones((1000, 4))
     docs[500] *= 2
-    positions, scores = S.best_rows(np.vstack([np.eye(4), np.zeros((1, 4))]), docs, 3)
+    positions, scores = Vectors(docs).best(np.vstack([np.eye(4), np.zeros((1, 4))]), 3)
     assert positions.tolist() == [[500, 0, 1]] * 4 + [[0, 1, 2]]
     assert scores[0].tolist() == [2.0, 1.0, 1.0]
 
@@ -153,21 +169,38 @@ def test_vectors_of_different_length_fail(spark):
         S.search_hits(q, d, 1, vector="v").collect()
 
 
-@pytest.mark.parametrize("shape", ["dense", "close", "copies"])
-def test_kernel_is_exact(shape):
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+@pytest.mark.parametrize("shape", ["dense", "close", "copies", "whole", "lengths"])
+def test_kernel_is_exact(shape, kind):
     rng = np.random.default_rng(3)
-    docs = rng.normal(size=(3000, 16))
+    docs, queries = rng.normal(size=(200, 7)), rng.normal(size=(12, 7))
     if shape == "close":  # closer together than single precision can tell
-        docs = docs[:1] + rng.normal(size=(3000, 16)) * 1e-7
+        docs = docs[:1] + rng.normal(size=(200, 7)) * 1e-9
     if shape == "copies":
-        docs = docs[rng.integers(0, 40, 3000)]
-    queries = S.unit_rows(rng.normal(size=(50, 16)))
-    for k in (1, 10, 3000, 5000):
-        positions, scores = S.best_rows(queries, docs, k)
-        whole = np.rint(queries @ docs.T * 1e9)
-        expected = np.argsort(-whole, axis=1, kind="stable")[:, :k]
-        assert (positions == expected).all()
-        assert np.allclose(scores, np.take_along_axis(queries @ docs.T, expected, axis=1), rtol=0, atol=1e-12)
+        docs = docs[rng.integers(0, 9, 200)]
+    if shape == "whole":
+        docs, queries = rng.integers(-2, 3, (200, 7)), rng.integers(-2, 3, (12, 7))
+    if shape == "lengths":
+        docs = docs * 10.0 ** rng.integers(-15, 15, (200, 1))
+    docs, queries = docs.astype(kind), queries.astype(kind)
+    for k in (1, 5, 60, 300):
+        places, scores = Vectors(docs).best(queries, k)
+        assert [(p.tolist(), s.tolist()) for p, s in zip(places, scores)] == plain_best(queries, docs, min(k, 200))
+
+
+def test_distinct_rows():
+    rows = np.array([[1.0, 2.0], [3.0, 4.0], [1.0, 2.0], [5.0, 6.0], [3.0, 4.0]])
+    first, which = ranking.distinct_rows(rows)
+    assert first.tolist() == [0, 1, 3] and which.tolist() == [0, 1, 0, 2, 1]
+
+
+@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0, "block_bytes": 64}, {"broadcast_bytes": 0, "carried_bytes": 0}])
+def test_one_long_vector_changes_no_other_rank(spark, how):
+    docs = [("a", "x", [0.1, 0.0]), ("b", "x", [0.9, 0.0]), ("c", "x", [0.5, 0.0]), ("long", "x", [0.0, 1e11]), ("far", "y", [1e11, 1e11])]
+    d = spark.createDataFrame(docs, "id string, classifier string, embeddings array<double>")
+    q = spark.createDataFrame([("q", "x", [1.0, 0.0])], "query_id string, classifier string, v array<double>")
+    hits = S.search_hits(q, d, 4, by="classifier", vector="v", **how).first()["hits"]
+    assert [(h["rank"], h["doc_id"], h["score"]) for h in hits] == [(1, "b", 0.9), (2, "c", 0.5), (3, "a", 0.1), (4, "long", 0.0)]
 
 
 def test_values_must_be_finite(spark):
@@ -198,13 +231,58 @@ def test_odd_column_names_and_all_rows(spark, broadcast_bytes):
 
 
 def test_crowded_queries_are_scored_exactly(monkeypatch):
-    monkeypatch.setattr(S, "CELLS", 2000)
+    monkeypatch.setattr(ranking, "CELLS", 2000)
     rng = np.random.default_rng(5)
-    docs, queries = rng.integers(0, 2, (300, 4)).astype(float), S.unit_rows(rng.integers(0, 2, (50, 4)))
-    positions, _ = S.best_rows(queries, docs, 5)
-    for i, q in enumerate(queries):
-        level = np.rint(docs @ q * 1e9)
-        assert positions[i].tolist() == sorted(range(300), key=lambda d: (-level[d], d))[:5]
+    for factor in (1.0, 1 / 3):
+        docs, queries = rng.integers(0, 2, (300, 4)) * factor, rng.integers(0, 2, (50, 4)) * factor
+        places, _ = Vectors(docs).best(queries, 5)
+        assert [p.tolist() for p in places] == [p for p, _ in plain_best(queries, docs, 5)]
+
+
+def stored(spark, matrix, **how):
+    rows = [("", i, v.tolist()) for i, v in enumerate(matrix)]
+    docs = spark.createDataFrame(rows, "_by string, _place long, _vector array<double>")
+    return blocks.StoredBlocks(blocks.store_blocks(docs, len(rows), 8 * matrix.size, **how))
+
+
+def test_blocks_that_cannot_reach_are_skipped(spark):
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(12, 16)) * 10
+    matrix = middles[rng.integers(0, 12, 6000)] + rng.normal(size=(6000, 16)) * 0.1
+    held = stored(spark, matrix, block_bytes=16 * 8 * 100)
+    sketches = [s for view in held.views() for s in view]
+    assert sum(s.rows for s in sketches) == 6000 and max(s.rows for s in sketches) <= 100 and len(sketches) >= 60
+    tally = {}
+    places, dots = blocks.search_lot(np.array([""] * 3), middles[:3], 10, held, tally)
+    expected = Vectors(matrix).best(middles[:3], 10)
+    assert (places == expected[0]).all() and (dots == expected[1]).all()
+    assert tally["read"] + tally["skipped"] == len(sketches) and tally["skipped"] > tally["read"]
+
+
+def test_many_results_fit_the_memory_of_a_task(spark):
+    rng = np.random.default_rng(10)
+    matrix = rng.normal(size=(3000, 8))
+    held = stored(spark, matrix, block_bytes=8 * 8 * 250)
+    queries = rng.normal(size=(400, 8))
+    import pyarrow as pa
+
+    columns = [(pa.array(["x"] * 400), pa.array(queries.tolist(), pa.list_(pa.float64())))] * 200
+    sizes = [len(n) for n, _ in blocks.lots(iter(columns), 1000)]
+    assert sum(sizes) == 80_000 and max(sizes) * (1000 * 32 + 8 * 8) <= blocks.LOT_BYTES
+    tracemalloc.start()
+    places, dots = blocks.search_lot(np.array([""] * 400), queries, 1000, held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Running results, and the merge of each block's with them, besides the scores of a block.
+    assert peak < 8 * 400 * 1000 * 16 + 64 * ranking.CELLS
+    expected = Vectors(matrix).best(queries, 1000)
+    assert (places == expected[0]).all() and (dots == expected[1]).all()
+
+
+def test_stored_blocks_shuffle_no_vectors(spark, tables):
+    _, _, q, d = tables
+    found = S.Searcher(d, broadcast_bytes=0, block_bytes=400).hits(spark.createDataFrame(q.toArrow()), 3, "v", spread=False)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_both_plans_give_bit_equal_scores(tables):
