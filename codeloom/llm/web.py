@@ -28,14 +28,22 @@ DOUBT = 0.8  # for text in what is named like boilerplate and kept
 
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp svg math".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp".split())
+FOREIGN = frozenset("svg math".split())
+HTML_AGAIN = frozenset("foreignobject desc annotation-xml mtext mi mo mn ms".split())  # within foreign elements
+# HTML elements that end foreign ones they stand in.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing main article section menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody "
     "td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("nav header footer aside form button select dialog menu head object audio video canvas label fieldset".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+DROPPED = frozenset("nav header footer aside button select dialog menu head object audio video canvas label svg math".split())
+FORMS = frozenset("form fieldset".split())  # some hold the whole page
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 # Words in a class or id that tell what is not the article, and what is.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
@@ -47,8 +55,12 @@ TALK = frozenset("comment comments reply replies respond disqus discussion".spli
 APART = frozenset("has no with without".split())  # what follows in a name is not the element itself
 ARTICLE = frozenset("article content main post entry story body text".split())
 CLOSES_P = BLOCK - {"br", "body", "html"}
+KEEPS_P = frozenset("td th button object table".split())
+# Containers of text: blocks, but not those that make up a flow of text.
+HOLDERS = BLOCK - frozenset("p li td th tr br dd dt pre blockquote h1 h2 h3 h4 h5 h6".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+_SCOPED = frozenset().union(*SAME.values(), *STOPS.values())
 
 # Possessive, so that a tag without an end costs one look; one with an open quote ends at the next >.
 _TAG = re.compile(
@@ -70,16 +82,53 @@ def _named(names: str) -> tuple[bool, bool]:
     return not BOILERPLATE.isdisjoint(out), out <= BOILERPLATE or BOILERPLATE & out <= TALK
 
 
+class Paths:
+    """Numbers for container paths: one for each parent path and generalised tag that occurs."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = []
+
+    def number(self, parent: int, step: str) -> int:
+        found = self.known.setdefault((parent, step), len(self.steps))
+        if found == len(self.steps):
+            self.steps.append((parent, step))
+        return found
+
+    def find(self, path: str) -> int | None:
+        at: int | None = -1
+        for step in path.split("/"):
+            at = self.known.get((at, step))
+            if at is None:
+                return None
+        return at
+
+    def spell(self, number: int) -> str:
+        out = []
+        while number >= 0:
+            number, step = self.steps[number]
+            out.append(step)
+        return "/".join(reversed(out))
+
+
 class Node:
-    """An element; ``parts`` holds texts and child elements in order; ``named`` and ``sure`` are those of ``_named``."""
+    """An element; ``parts`` holds texts and child elements in order; ``named`` and ``sure`` are those of ``_named``.
+
+    What the elements around it decide is passed down: whether it lies in a link (``link``) or a foreign element
+    (``foreign``), the container its text counts for (``block``), and the open elements that others end (``paragraph``, ``scope``).
+    """
 
-    __slots__ = ("tag", "path", "parts", "up", "drop", "favour", "score", "named", "sure", "holder", "core", "below", "size", "doubt", "base")
+    __slots__ = (
+        "tag", "path", "parts", "up", "drop", "favour", "score", "named", "sure", "holder", "core", "below", "size", "doubt", "base",
+        "link", "foreign", "block", "paragraph", "scope",
+    )
 
-    def __init__(self, tag: str, attributes: str, up: Node | None):
+    def __init__(self, tag: str, attributes: str, up: Node | None, paths: Paths):
         self.tag, self.up, self.parts, self.score = tag, up, [], 0.0
         kept = up is not None and up.drop
         names = ""
-        self.named = self.sure = self.doubt = False
+        self.named = self.sure = tag in FORMS
+        self.doubt = False
         self.size = 0
         self.holder = tag in ("html", "body", "main", "article")
         self.core = tag in ("article", "main")
@@ -89,23 +138,46 @@ class Node:
             words = [w.lower() for a in ("class", "id") for w in _WORD.findall(found.get(a, ""))]
             names = "." + "-".join(sorted({w.lower() for w in _WORD.findall(found.get("class", ""))})) if found.get("class") else ""
             style = found.get("style", "").replace(" ", "").lower()
-            kept |= found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+            role = found.get("role", "").lower()
+            kept |= role in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
             kept |= "display:none" in style or "visibility:hidden" in style
             if not BOILERPLATE.isdisjoint(words):
-                self.named, self.sure = _named(found.get("class", "") + " " + found.get("id", ""))
-            if found.get("role") in ("main", "article"):
+                named, sure = _named(found.get("class", "") + " " + found.get("id", ""))
+                self.named, self.sure = self.named or named, self.sure or sure
+            if role == "form":
+                self.named = self.sure = True
+            if role in ("main", "article"):
                 self.holder = self.core = self.favour = True
             if self.core and tag != "main" and self.named:  # as articles in a list of comments are
                 self.core = not (ARTICLE - {"content", "body", "text"}).isdisjoint(words)
             self.favour |= not ARTICLE.isdisjoint(words)
         self.drop = kept or tag in DROPPED or tag in RAW
-        self.path = (up.path + "/" if up else "") + tag + names
+        self.path = paths.number(-1 if up is None else up.path, tag + names)
+        self.link = tag == "a" or (up is not None and up.link)
+        self.foreign = (tag in FOREIGN or (up is not None and up.foreign)) and tag not in HTML_AGAIN
+        self.block = self if tag in HOLDERS else up.block if up is not None else None
+        self.paragraph = self if tag == "p" else None if tag in KEEPS_P or up is None else up.paragraph
+        self.scope = up.scope if up is not None else {}
+        if tag in _SCOPED:
+            self.scope = {t: n for t, n in self.scope.items() if tag not in STOPS[t]} | {t: self for t in SAME if tag in SAME[t]}
 
 
-def parse(html: str) -> Node:
+def parse(html: str) -> tuple[Node, Paths]:
     """The element tree; raw elements and comments are left out, and ends that HTML leaves out are put in."""
-    root = node = Node("html", "", None)
+    paths = Paths()
+    root = node = Node("html", "", None, paths)
+    is_open: dict[str, int] = {}
     at, size = 0, len(html)
+
+    def close(upto: Node) -> None:
+        """End the open elements up to and with ``upto``."""
+        nonlocal node
+        while True:
+            done, node = node, node.up
+            is_open[done.tag] -= 1
+            if done is upto:
+                return
+
     while at < size:
         m = _TAG.search(html, at) if html.find(">", at) >= 0 else None
         if m is None:  # a tag or comment that the page's end cuts off is no text
@@ -117,42 +189,38 @@ def parse(html: str) -> Node:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if m[1]:
+        if node.foreign and tag in (("p", "br") if m[1] else BREAKS_OUT):
             back = node
-            while back is not None and back.tag != tag:
+            while back.up.foreign:
                 back = back.up
-            if back is not None and back.up is not None:
-                node = back.up
+            close(back)
+        if m[1]:
+            if is_open.get(tag):
+                back = node
+                while back.tag != tag:
+                    back = back.up
+                close(back)
             elif tag == "p":
-                node.parts.append(Node("p", "", node))
+                node.parts.append(Node("p", "", node, paths))
             continue
         if tag == "html":
             continue
+        empty = tag in VOID or node.foreign and m[3].endswith("/") or tag in FOREIGN and m[3].endswith("/")
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else size
+            end = None if empty else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            at = at if empty else end.end() if end else size
             continue
-        if tag in CLOSES_P:
-            back = node
-            while back is not None and back.tag != "p" and back.tag not in ("td", "th", "button", "object", "table"):
-                back = back.up
-            if back is not None and back.tag == "p":
-                node = back.up
-        if tag in SAME:
-            back = node
-            while back is not None and back.tag not in STOPS[tag]:
-                if back.tag in SAME[tag]:
-                    node = back.up
-                    break
-                back = back.up
-        fresh = Node(tag, m[3], node)
+        if tag in CLOSES_P and node.paragraph is not None:
+            close(node.paragraph)
+        if tag in SAME and tag in node.scope:
+            close(node.scope[tag])
+        fresh = Node(tag, m[3], node, paths)
         node.parts.append(fresh)
-        if tag not in VOID and not m[3].endswith("/"):
+        if not empty:  # a slash does not close an HTML element
             node = fresh
-        elif tag not in VOID and m[3].endswith("/") and tag not in ("path", "g", "rect"):
-            node = fresh  # a slash does not close an HTML element
+            is_open[tag] = is_open.get(tag, 0) + 1
     _settle(root)
-    return root
+    return root, paths
 
 
 def _nodes(root: Node) -> Iterator[Node]:
@@ -204,17 +272,8 @@ def _settle(root: Node) -> None:
 def best_container(root: Node) -> Node | None:
     """The container with the highest score; the outer one on a tie. None if there is no text outside dropped parts."""
     for node in _nodes(root):
-        if node.drop:
-            continue
-        inline, holder = node, None
-        while inline is not None:
-            if inline.tag == "a":
-                holder = None
-                break
-            if holder is None and inline.tag in BLOCK and inline.tag not in ("p", "li", "td", "th", "tr", "br", "dd", "dt", "pre", "blockquote") and inline.tag[0:1] + inline.tag[1:].strip("123456") != "h":
-                holder = inline
-            inline = inline.up
-        if holder is None:
+        holder = node.block
+        if node.drop or node.link or holder is None:
             continue
         weight = sum(_letters(x) for x in node.parts if isinstance(x, str)) * (DOUBT if node.doubt else 1)
         while holder is not None and weight > 0.5:
@@ -246,8 +305,9 @@ def text_of(node: Node) -> str:
 
 def extract(html: str | None, path: str | None) -> str:
     """The text at ``path``, or of the page's best container where there is no text at it."""
-    root = parse(html or "")
-    found = [n for n in _nodes(root) if n.path == path and not n.drop] if path else []
+    root, paths = parse(html or "")
+    asked = paths.find(path) if path else None
+    found = [n for n in _nodes(root) if n.path == asked and not n.drop] if asked is not None else []
     text = " ".join(t for t in map(text_of, found) if t)
     if text:
         return text
@@ -260,12 +320,20 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def best_path(html: str) -> tuple[str | None, float]:
+    """The path and score of a page's best container."""
+    root, paths = parse(html)
+    best = best_container(root)
+    return (paths.spell(best.path), best.score) if best is not None else (None, 0.0)
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        best = [best_container(parse(x.as_py() or "")) for x in batch["html"]]
-        told = pa.array([b.path if b is not None else None for b in best], pa.string())
-        score = pa.array([b.score if b is not None else 0.0 for b in best], pa.float64())
-        yield pa.record_batch([batch["host"], told, score], names=["host", "path", "score"])
+        told = [best_path(x.as_py() or "") for x in batch["html"]]
+        yield pa.record_batch(
+            [batch["host"], pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())],
+            names=["host", "path", "score"],
+        )
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -279,7 +347,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` per row of ``pages`` (``page_id``, ``url``, ``html``; other columns are ignored).
 
-    Null or empty html, and pages without text outside of dropped parts, give an empty text. Pages without a
+    Forms and what is named like boilerplate go, unless they hold the article or nearly all of the text. Null or empty html, and
+    pages without text outside of dropped parts, give an empty text. Pages without a
     host vote together. Repeated rows come out as often as they came in.
     """
     paths = write_stage(host_paths(pages), "paths")
