@@ -1,7 +1,60 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
+from __future__ import annotations
+
+from codeloom.llm.ledger import BASE, ISSUED
+
 SQL: dict[str, str] = {}
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# The shingle sets as they are, all pairs that share one, and the components by spreading along the links.
+SQL["op3_ngram_jaccard"] = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT r, doc_id, array_to_string(w[s:s + 4], ' ') AS shingle
+  FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT r, doc_id, count(*) AS n FROM shingles GROUP BY r, doc_id
+), links AS (
+  SELECT a.r AS x, b.r AS y FROM shingles a JOIN shingles b USING (shingle)
+  JOIN sizes m ON m.r = a.r JOIN sizes n ON n.r = b.r
+  WHERE a.r <> b.r GROUP BY a.r, b.r, m.n, n.n HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))
+), reached(x, y) AS (
+  SELECT r, r FROM sizes UNION SELECT reached.x, links.y FROM reached JOIN links ON links.x = reached.y
+), named AS (
+  SELECT x AS r, min(sizes.doc_id) AS component_id FROM reached JOIN sizes ON sizes.r = reached.y GROUP BY x
+)
+SELECT docs.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, docs.doc_id) AS component_id
+FROM docs LEFT JOIN sizes USING (r) LEFT JOIN named USING (r)
+"""
+
+_MATCHES = " UNION ALL ".join(
+    f"""SELECT r, {i} AS place, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, '{rule.pattern.replace("'", "''")}') AS gaps,
+    regexp_extract_all(t, '{rule.pattern.replace("'", "''")}', 0) AS hits, regexp_extract_all(t, '{rule.pattern.replace("'", "''")}', {rule.group}) AS checked FROM texts"""
+    for i, rule in enumerate([*BASE, *ISSUED])
+)
+
+SQL["op8_secret_ledger"] = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), matches AS ({_MATCHES}), spans AS (
+  SELECT r, place, kind, length(hits[i]) AS size, list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM matches) WHERE length(checked[i]) >= least
+), told AS (
+  SELECT r, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+    string_agg(kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start + size AS BIGINT) AS VARCHAR), ',' ORDER BY start, place) AS spans,
+    string_agg(kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start + size AS BIGINT) AS VARCHAR), ',' ORDER BY start, place)
+      FILTER (place < {len(BASE)}) AS base
+  FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob
+FROM texts LEFT JOIN told USING (r)
+"""
+
 SQL["op12_fill_in_middle"] = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,

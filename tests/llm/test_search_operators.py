@@ -9,13 +9,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann
+from codeloom.llm import ann, jaccard
 from codeloom.llm.ann import nearest_vectors
 from codeloom.llm.components import components
 from codeloom.llm.jaccard import divide_skip, jaccard_components, keep_one
-from codeloom.llm.ledger import BASE, find_secrets, redact_secrets, scan_unseen, update_ledger
+from codeloom.llm.ledger import find_secrets, redact_secrets, scan_unseen, update_ledger
 from codeloom.llm.pieces import decode_documents, encode_documents
-from codeloom.llm.web import extract, extract_pages, host_paths
+from codeloom.llm.web import best_path, extract, extract_pages, host_paths
 
 from .conftest import FOLDER, MODEL, TEXTS, needs_model, needs_tables
 
@@ -50,6 +50,16 @@ def test_components_equal_brute_force(documents, block):
     assert found == plain_components([(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()])
 
 
+def test_words_with_equal_linear_hashes_do_not_link(spark):
+    words = ["a"]
+    for _ in range(10):
+        words = [words[0] + words[-1].translate(str.maketrans("ab", "ba"))]
+    one, other = words[0], words[0].translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join(f"{one} {i}" for i in range(20))), (2, " ".join(f"{other} {i}" for i in range(20)))]
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2}
+
+
 def test_near_copies_in_a_large_group(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
@@ -65,6 +75,51 @@ def test_near_copies_in_a_large_group(spark):
         assert {r[0]: (r[1], r[2]) for r in jaccard_components(docs, block).collect()} == expected
 
 
+@pytest.mark.parametrize("shingles", [3000, 100_000])
+def test_long_documents_in_one_neighbourhood_are_cut_by_shingles(spark, shingles):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(300, 1 + i % 7, replace=False):
+            words[at] = f"x{rng.integers(9)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    described = jaccard.describe_sets(docs)
+    found = jaccard.linked_classes(docs, described, shingles_most=shingles).join(described, "set_id").select("doc_id", "root").collect()
+    expected = plain_components(rows)
+    roots = {r["doc_id"]: r["root"] for r in found}
+    assert all((roots.get(i, -i - 1) == roots.get(j, -j - 1)) == (expected[i][1] == expected[j][1]) for i in range(60) for j in range(60))
+
+
+def test_a_shingle_of_all_documents_is_kept_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        keys = rng.integers(-(1 << 62), 1 << 62, 6)
+        rows = [(int(rng.integers(0, 4)), None if rng.random() < 0.2 else int(rng.choice(keys)), 0) for _ in range(rng.integers(0, 60))]
+        rows += [(int(rng.integers(0, 4)), int(rng.choice(keys)), 3) for _ in range(3)]
+        rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+        kinds = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("own", pa.int64())])
+        cuts = sorted(rng.integers(0, len(rows) + 1, 7).tolist())
+        batches = [
+            pa.record_batch([pa.array([r[i] for r in rows[a:b]], pa.int64()) for i in range(3)], schema=kinds) for a, b in zip([0, *cuts], [*cuts, len(rows)])
+        ]
+        met, own = Counter(), Counter()
+        for batch in jaccard._meet(iter(batches)):
+            for key, o, m in zip(*[c.to_pylist() for c in batch.columns]):
+                met[key] += m
+                own[key] += o
+        holders = defaultdict(set)
+        for h, key, o in rows:
+            if not o:
+                holders[h].add(key)
+        expected = Counter(k for ks in holders.values() if len(ks) > 1 for k in ks if k is not None)
+        assert +met == expected and sum(own.values()) == 9
+
+
 def test_divide_skip_counts_weighted_lists():
     rng = np.random.default_rng(6)
     for _ in range(60):
@@ -93,12 +148,19 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert jaccard_components(none).collect() == [] and keep_one(none).collect() == []
 
 
+# As they are asked for: kind, pattern, the group that is measured, its least length.
+KINDS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24),
+]
+
+
 def plain_spans(text):
     found = []
-    for place, rule in enumerate(BASE):
-        for m in re.finditer(rule.pattern, text or "", re.A):
-            if len(m.group(rule.group)) >= rule.least:
-                found.append((m.start(), place, m.end(), rule.kind))
+    for place, (kind, pattern, group, least) in enumerate(KINDS):
+        for m in re.finditer(pattern, text or ""):
+            if len(m.group(group)) >= least:
+                found.append((m.start(), place, m.end(), kind))
     return sorted(found)
 
 
@@ -119,7 +181,7 @@ def test_secrets_equal_brute_force(spark, odd, none):
     for i, text in rows:
         spans, r = plain_spans(text), found[i]
         assert r["base_sha256"] == hashlib.sha256(told(spans).encode()).hexdigest()
-        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[3] == b.kind for s in spans) for b in BASE)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[3] == kind[0] for s in spans) for kind in KINDS)
         assert set(told(spans).split(",")) - {""} <= set(r["spans"].split(","))
     assert "github:0:40" in found[6]["spans"]
     assert find_secrets(odd).count() == len(TEXTS) and find_secrets(none).collect() == []
@@ -134,6 +196,30 @@ def test_redaction_takes_out_every_span(spark, odd):
     assert redact_secrets(odd).columns == odd.columns
 
 
+@needs_tables
+def test_secrets_of_all_documents_equal_brute_force(documents):
+    rows = documents.select("doc_id", "text").collect()
+    found = {r["doc_id"]: r for r in find_secrets(documents).collect()}
+    assert len(found) == len(rows)
+    for doc_id, text in rows:
+        spans, r = plain_spans(text), found[doc_id]
+        assert r["base_sha256"] == hashlib.sha256(told(spans).encode()).hexdigest()
+        assert [r[f"n_{kind[0]}"] for kind in KINDS] == [sum(s[3] == kind[0] for s in spans) for kind in KINDS]
+
+
+def test_a_hundred_thousand_secrets_in_one_text(spark):
+    import time
+
+    text = "".join(f"password=abc{i:06d} é " for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    start = time.perf_counter()
+    found = {r["doc_id"]: r for r in find_secrets(docs).collect()}
+    assert found[1]["n_assign"] == 100_000 and found[1]["spans"].startswith("assign:0:18,assign:21:39,") and found[2]["spans"] == ""
+    clean = {r["doc_id"]: r["text"] for r in redact_secrets(docs).collect()}
+    assert clean[1] == "[REDACTED] é " * 100_000 and clean[2] == "none"
+    assert time.perf_counter() - start < 90
+
+
 def test_the_ledger_scans_only_what_it_has_not_seen(spark, tmp_path):
     path = str(tmp_path / "ledger")
     first = spark.createDataFrame([(1, "token=abcdef"), (2, "nothing"), (3, "token=abcdef")], "doc_id long, text string")
@@ -189,6 +275,36 @@ def test_layout_wrappers_keep_the_article(name, inner):
     assert extract(page, None) == TOLD
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><svg class='i'/>{}</article>", "<svg/><div>{}</div>", "<div><svg><svg><text>label</text></svg><text>more</text></svg>{}</div>",
+        "<div><svg><path d=x><g>{}</div>", "<div><math/><svg><title/><path/></svg>{}</div>", "<form id=aspnetForm><header>Top</header><div>{}</div></form>",
+        "<body><form><div class=nav>Menu</div><article>{}</article><select><option>x</select></form><form>Your mail <input></form>",
+        "<body><fieldset>{}</fieldset></body>", "<div role=form>{}</div>", "<svg><foreignObject><p>in a picture</p></foreignObject></svg><div>{}</div>",
+    ],
+)
+def test_pictures_and_forms_do_not_take_the_article(page):
+    assert extract(page.format(STORY), None) == TOLD
+
+
+def test_small_forms_go():
+    assert extract(f"<div>{STORY}<form>Your name <input> and some more words</form></div>", None) == TOLD
+    assert extract(f"<article>{STORY}</article><form>{'Many words in a form. ' * 20}</form>", None) == TOLD
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    start = time.perf_counter()
+    for page in ("<font>" * 50_000 + STORY, "<div><p><button>" + "<font>" * 25_000 + "</b><div></x>" * 25_000 + "</div></button>" + STORY, "<ul><li>" * 25_000 + STORY):
+        assert TOLD in extract(page, None) and best_path(page)[0]
+    assert time.perf_counter() - start < 60 and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
 def test_names_drop_what_is_not_the_article():
     talk = "<div id=comments class=comments><article class=comment-body><p>" + "More words than the story has. " * 9 + "</p></article></div>"
     assert extract(f"<body><div id=content>{STORY}{talk}</div>", None) == TOLD
