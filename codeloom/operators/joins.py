@@ -19,15 +19,15 @@ def table_bytes(df: DataFrame) -> int:
 
 
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", broadcast_bytes: int = BROADCAST_BYTES
+    rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", broadcast_bytes: int = BROADCAST_BYTES, stored: bool = False
 ) -> DataFrame:
     """Join ``rows`` to a lookup table with (at most) one row per key.
 
     The lookup table is measured. A small one is broadcast, and the rows stay where
     they are however unevenly their keys are spread. A large one is written out first:
     both inputs of the shuffle join are then plain reads, which is what adaptive
-    execution needs to split the partition of a frequent key.
+    execution needs to split the partition of a frequent key. One that is ``stored`` is read as it is.
     """
     if table_bytes(lookup) <= broadcast_bytes:
         return rows.join(F.broadcast(lookup), on, how)
-    return rows.join(write_stage(lookup, "lookup"), on, how)
+    return rows.join(lookup if stored else write_stage(lookup, "lookup"), on, how)

@@ -7,21 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.errors import InvalidInput
-from codeloom.schema import REVERSE_INPUT, require_positive, validate
+from codeloom.operators.joins import lookup_join
+from codeloom.schema import REVERSE_INPUT, named, require_positive, validate
 from codeloom.session import write_stage
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-# Parts that a frequent code is dealt to before its first rows are chosen.
-PARTS = 64
+# Rows of one key that are cut by one task at once: keys with more are dealt to so many parts.
+PART_ROWS = 250_000
 
 
-def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int, part_rows: int | None = None) -> DataFrame:
     """The first ``n`` rows per key, chosen in two steps, so that no key meets in one task before it is cut.
 
-    Spark cuts within the map tasks by itself up to a threshold; above it the first rows of
-    ``PARTS`` parts of every key are chosen before those of the key.
+    Spark cuts within the map tasks by itself up to a threshold. Above it keys are counted, and
+    the first rows of each part of a frequent key are chosen before those of the key: the more
+    rows it has, the more parts.
     """
 
     def cut(rows: DataFrame, by: list) -> DataFrame:
@@ -29,10 +31,18 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> Data
         return rows.withColumn("_cut", place).where(F.col("_cut") <= n).drop("_cut")
 
     if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        df = cut(df.withColumn("_deal", F.pmod(F.xxhash64(*order), F.lit(PARTS))), [*keys, "_deal"]).drop("_deal")
+        df = cut(deal_parts(df, keys, part_rows or PART_ROWS), [*keys, "_deal"]).select(*[named(c) for c in df.columns])
     return cut(df, keys)
 
 
+def deal_parts(df: DataFrame, keys: list[str], part_rows: int) -> DataFrame:
+    """``df`` with the part of its key, ``_deal``, that each row goes to. Counts combine in the map tasks."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > part_rows)
+    frequent = counts.select(*keys, F.ceil(F.col("_rows") / part_rows).alias("_parts"))
+    rows = lookup_join(df, frequent, keys)
+    return rows.withColumn("_deal", F.pmod(F.xxhash64(*[named(c) for c in df.columns]), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+
+
 def reverse_search(
     queries: DataFrame,
     catalogue: DataFrame,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import classifier_base, code_key
 from codeloom.operators.joins import lookup_join
+from codeloom.schema import named
 from codeloom.session import write_stage
 
 # Fixed value: the language looked up when the one asked for has no entry.
@@ -32,27 +33,28 @@ def add_description(
     Tried in turn: the language asked for, the default language, then the
     alphabetically first language that has the code. ``dictionary`` has one row per
     ``classifier, lang, code``, with codes as ``code_key`` makes them. It is folded to
-    one row per code, so each row of ``df`` is joined once whatever the fallback. It is
-    written out first, since it is measured and then joined.
+    one row per code, so each row of ``df`` is joined once whatever the fallback. What is folded is
+    written out, since it is measured and then joined.
     """
     base = classifier_base(classifier if classifier is not None else F.col("classifier"))
     key = code_key(code if code is not None else F.col("doc_id"))
     keyed = df.withColumns({"_base": base, "_key": key})
-    entries = dictionary.select(F.col("classifier").alias("_base"), F.col("code").alias("_key"), "lang", "text")
-    entries = write_stage(entries, "dictionary")
 
     def in_lang(wanted: str) -> Column:
         return F.max(F.when(F.col("lang") == wanted, F.col("text")))
 
     choices = [in_lang(DEFAULT_LANG), F.min_by("text", "lang")]
+    entries = dictionary.groupBy(F.col("classifier").alias("_base"), F.col("code").alias("_key"))
     if isinstance(lang, str):
-        folded = entries.groupBy("_base", "_key").agg(F.coalesce(in_lang(lang), *choices).alias(out))
-        return lookup_join(keyed, folded, ["_base", "_key"]).select(*df.columns, out)
-    folded = entries.groupBy("_base", "_key").agg(F.coalesce(*choices).alias("_other"))
-    exact = entries.select("_base", "_key", F.col("lang").alias("_lang"), F.col("text").alias("_exact"))
-    with_exact = lookup_join(keyed.withColumn("_lang", lang), exact, ["_base", "_key", "_lang"])
-    described = lookup_join(with_exact, folded, ["_base", "_key"])
-    return described.select(*df.columns, F.coalesce("_exact", "_other").alias(out))
+        folded = entries.agg(F.coalesce(in_lang(lang), *choices).alias("_found"))
+        found = F.col("_found")
+    else:  # a row has its own language: all texts of a code come along
+        texts = F.map_from_entries(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "text"))))
+        folded = entries.agg(texts.alias("_texts"), F.coalesce(*choices).alias("_other"))
+        keyed = keyed.withColumn("_lang", lang)
+        found = F.coalesce(F.try_element_at("_texts", "_lang"), "_other")
+    described = lookup_join(keyed, write_stage(folded, "dictionary"), ["_base", "_key"], stored=True)
+    return described.select(*[named(c) for c in df.columns], found.alias(out))
 
 
 def translate_catalogue(catalogue: DataFrame, dictionary: DataFrame, lang: str, classifier: Column) -> DataFrame:

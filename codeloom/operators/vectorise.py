@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.errors import InvalidInput, VectorProblem
+from codeloom.operators.joins import lookup_join
+from codeloom.session import write_stage
 
 # Fixed value: the least divisor when token vectors are averaged.
 MASK_FLOOR = 1e-9
@@ -118,14 +120,47 @@ def vectoriser_name(vectoriser) -> str:
     return getattr(vectoriser, "name", None) or type(vectoriser).__name__
 
 
-def with_vectors(df: DataFrame, vectoriser, text: str = "text", out: str = "embedding") -> DataFrame:
-    """Add the vectors of a text column. Any object with ``transform`` will do."""
+# Texts that make up more than one in so many rows are joined where their rows lie.
+HOT_SHARE = 1024
+
+
+def with_vectors(df: DataFrame, vectoriser, text: str = "text", out: str = "embedding", once: bool = False) -> DataFrame:
+    """Add the vectors of a text column. Any object with ``transform`` will do.
+
+    Without ``once`` every batch is embedded where it lies, each different text of a batch once. With it every
+    different text of the whole table is embedded once, by content, and joined back: worth a shuffle where a text
+    costs more than that. Vectorisers that run within Spark's own functions have no use for it.
+    """
     check_vectoriser(vectoriser)
+    if once and not hasattr(vectoriser, "with_vectors"):
+        return _embed_once(df, vectoriser, text, out)
     if hasattr(vectoriser, "with_vectors"):
         return vectoriser.with_vectors(df, text, out)
     return df.withColumn(out, _vector_column(vectoriser, text))
 
 
+def _embed_once(df: DataFrame, vectoriser, text: str, out: str) -> DataFrame:
+    """Different texts, counted and embedded, and their vectors joined to the rows by content.
+
+    Of the texts in the shuffle none has more than a small share of the rows: the few that do, ``HOT_SHARE`` at most, are broadcast.
+    """
+    rows = write_stage(df, "texts")
+    texts = rows.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_rows"))
+    # A text is one row here, so the partitions are even; the text is the key, so that no two are taken for one.
+    embedded = texts.withColumn(out, _vector_column(vectoriser, "_text"))
+    embedded = write_stage(embedded.select("_text", "_rows", F.col(out).alias("_vector")), "vectors")
+    limit = embedded.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first()["n"] // HOT_SHARE
+    hot = embedded.where(F.col("_rows") > limit).select("_text", "_vector")
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    if not limit:  # a table of fewer rows than hot texts could be
+        return lookup_join(rows.withColumn("_text", F.col(text)), hot, ["_text"], stored=True).select(*kept, F.col("_vector").alias(out))
+    first = rows.withColumn("_text", F.col(text)).join(F.broadcast(hot), "_text", "left")
+    done = first.where(F.col("_vector").isNotNull() | F.col("_text").isNull()).select(*kept, F.col("_vector").alias(out))
+    rest = first.where(F.col("_vector").isNull() & F.col("_text").isNotNull()).drop("_vector")
+    cold = embedded.where(F.col("_rows") <= limit).select("_text", "_vector")
+    return done.unionByName(rest.join(cold, "_text").select(*kept, F.col("_vector").alias(out)))
+
+
 def mean_pool(
     tokens: DataFrame, by: list[str], vector: str = "embedding", mask: str = "mask", out: str = "embedding"
 ) -> DataFrame:

@@ -37,6 +37,7 @@ class Engine:
     ``catalogue`` has ``id, text, uuid, embeddings`` and metadata columns. With ``by``
     (usually ``classifier``) it holds several catalogues and queries name theirs. ``spread``
     deals the query rows to that many tasks; without it small tables go to all tasks that can run at once.
+    ``once`` embeds every different text of a table once (``with_vectors``).
     """
 
     catalogue: DataFrame
@@ -45,6 +46,7 @@ class Engine:
     hooks: dict[str, Hook] = field(default_factory=dict)
     normalise_docs: bool = False
     spread: int | None = None
+    once: bool = False
 
     def __post_init__(self) -> None:
         check_vectoriser(self.vectoriser)
@@ -58,7 +60,7 @@ class Engine:
     def _hits(self, queries: DataFrame, n_results: int) -> DataFrame:
         named = queries.withColumnsRenamed({"id": "query_id", "query": "query_text"})
         named = named.repartition(self.spread) if self.spread else spread_out(named)
-        embedded = with_vectors(named, self.vectoriser, "query_text", "_query_vector")
+        embedded = with_vectors(named, self.vectoriser, "query_text", "_query_vector", self.once)
         return self.searcher.hits(embedded, n_results, "_query_vector", spread=False).drop("_query_vector")
 
     def _prepared(self, queries: DataFrame, n_results: int) -> DataFrame:
@@ -110,7 +112,7 @@ class Engine:
     def embed(self, texts: DataFrame) -> DataFrame:
         """``id, text, embedding`` for a table ``id, text``."""
         prepared = run_hook(self.hooks, "embed_preprocess", validate(texts, EMBED_INPUT), EMBED_INPUT)
-        found = validate(with_vectors(prepared, self.vectoriser), EMBED_OUTPUT)
+        found = validate(with_vectors(prepared, self.vectoriser, once=self.once), EMBED_OUTPUT)
         return run_hook(self.hooks, "embed_postprocess", found, EMBED_OUTPUT)
 
 

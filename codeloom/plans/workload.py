@@ -26,7 +26,7 @@ from codeloom.plans.survey import code_survey, code_vectors, survey_searcher
 from codeloom.session import new_folder, write_stage
 from codeloom.sources.catalogue import described_rows, read_dictionaries
 from codeloom.sources.index_files import index_stats
-from codeloom.sources.survey_files import read_surveys, write_coded
+from codeloom.sources.survey_files import read_surveys, write_cases, write_coded
 from codeloom.streaming.incremental import batch_progress, code_new_files
 from codeloom.streaming.status import COMPLETED, FAILED, PENDING, PROCESSING, latest_status
 
@@ -120,6 +120,24 @@ def search_scaled_documents(spark, sf_dir):
     return scaled.withColumn("score", six_score("score"))
 
 
+@query
+def search_mixed_lengths(spark, sf_dir):
+    """One vector, and one of two catalogues, are longer than the others by far: no other rank changes, in any plan."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("classifier", F.col("vec_id") % 2)
+    factor = F.when((F.col("vec_id") == 0) | (F.col("classifier") == 1), 1e11).otherwise(1.0)
+    docs = vectors.select(
+        text_of("vec_id").alias("id"), text_of("classifier").alias("classifier"), factor.alias("factor"),
+        F.transform("embedding", lambda x: x.cast("double") * factor).alias("embeddings"),
+    )
+    asked = vectors.select(text_of("vec_id").alias("query_id"), text_of("classifier").alias("classifier"), F.col("embedding").alias("_query_vector"))
+    parts = []
+    for plan, how in (("broadcast", {}), ("blocks", {"broadcast_bytes": 0}), ("joined", {"broadcast_bytes": 0, "carried_bytes": 0})):
+        found = search_hits(asked, docs, 10, by="classifier", columns=["factor"], vector="_query_vector", **how)
+        parts.append(flatten_hits(found.drop("_query_vector")).withColumn("plan", F.lit(plan)))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("score", F.col("score") / F.col("factor"))
+    return rows.select("plan", "classifier", "query_id", "doc_id", "rank", six_score("score"))
+
+
 @query
 def search_with_metadata(spark, sf_dir):
     found = top(spark, sf_dir, 10, columns=("text", "label"))
@@ -257,6 +275,14 @@ def embed_texts_in_batches(spark, sf_dir):
     return found.select("id", _bits("embedding").alias("presence"))
 
 
+@query
+def embed_texts_once(spark, sf_dir):
+    """Every different text of the table is embedded once, however its copies are spread."""
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = Engine(documents, TransformOnly(VOCABULARY), once=True).embed(documents)
+    return found.select("id", _bits("embedding").alias("presence"))
+
+
 # --- vectors --------------------------------------------------------------------------
 
 
@@ -437,7 +463,7 @@ def auto_ids(spark, sf_dir):
 @query
 def job_progress(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id")
-    total = F.lit(documents.count())
+    total = documents.agg(F.count("*")).scalar()
     per_chunk = number_rows(documents, ["doc_id"], stored=True).groupBy(F.floor(F.col("ordinal") / CHUNK).alias("chunk")).agg(
         F.count("*").alias("chunk_rows")
     )
@@ -585,6 +611,28 @@ def stream_code_files(spark, sf_dir):
     return spark.read.parquet(f"{_stream(spark, sf_dir)}/coded").drop("batch_id")
 
 
+@query
+def stream_mixed_files(spark, sf_dir):
+    """Documents arrive as CSV files: half of them with other columns in front and in Latin-1. Line breaks stay within their fields."""
+    folder, out = new_folder(spark, "arriving"), new_folder(spark, "stream")
+    documents = table(spark, sf_dir, "documents")
+    narrow = F.regexp_replace("text", r"[^\x00-\x7F\xA0-\xFF]", "?")
+    sets = {
+        "UTF-8": documents.where("doc_id % 2 = 0").select(text_of("doc_id").alias("id"), F.col("text").alias("literal")),
+        "ISO-8859-1": documents.where("doc_id % 2 = 1").select("source", narrow.alias("literal"), text_of("doc_id").alias("id"), "lang"),
+    }
+    for encoding, rows in sets.items():
+        rows.write.mode("append").options(
+            header=True, escape='"', encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(folder)
+    kind = spark.createDataFrame([], "id bigint, literal string").schema
+
+    def code(rows: DataFrame) -> DataFrame:
+        return rows.select("id", F.length("literal").cast("long").alias("n_chars"), F.md5("literal").alias("digest"))
+
+    return spark.read.parquet(code_new_files(spark, folder, kind, code, out, files_per_batch=3)).drop("batch_id")
+
+
 @query
 def stream_progress(spark, sf_dir):
     return batch_progress(spark.read.parquet(f"{_stream(spark, sf_dir)}/status"))
@@ -648,6 +696,14 @@ def accuracy_by_group(spark, sf_dir):
     return _rounded(accuracy(_judged(spark, sf_dir), ["label"]))
 
 
+@query
+def accuracy_case_file(spark, sf_dir):
+    """The judgement of every case, written as CSV and read back."""
+    folder = new_folder(spark, "cases")
+    write_cases(_judged(spark, sf_dir), folder)
+    return read_surveys(spark, folder).select("query_id", "label", "correct_code", "top1_code", "top1_score", "hit_top1", "hit_top3")
+
+
 @query
 def accuracy_multi_truth(spark, sf_dir):
     return _judged(spark, sf_dir, several=True).select(

@@ -230,6 +230,17 @@ SQL: dict[str, str] = {
     "search_topk": TOP10,
     "search_topk_blocks": TOP10,
     "search_scaled_documents": f"SELECT plan, query_id, doc_id, rank, score FROM ({TOP10}) CROSS JOIN (VALUES ('broadcast'), ('blocks')) plans(plan)",
+    "search_mixed_lengths": f"""WITH {UNITS},
+scored AS (
+  SELECT CAST(q.vec_id % 2 AS VARCHAR) AS classifier, q.vec AS query_id, d.vec AS doc_id, list_inner_product(q.unit, d.v) AS part,
+         list_inner_product(q.unit, d.v) * CASE WHEN d.vec_id = 0 OR d.vec_id % 2 = 1 THEN 1e11 ELSE 1.0 END AS score
+  FROM units q, units d WHERE q.vec_id % 2 = d.vec_id % 2
+),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored
+)
+SELECT plan, classifier, query_id, doc_id, rank, round(round(part, 9), 6) AS score
+FROM ranked CROSS JOIN (VALUES ('broadcast'), ('blocks'), ('joined')) plans(plan) WHERE rank <= 10""",
     "search_with_metadata": f"""{BY_VEC}
 SELECT query_id, doc_id, doc_text, rank, round(score, 6) AS score, doc_label AS label FROM ranked WHERE rank <= 10""",
     "search_long_documents": long_vectors("d.v"),
@@ -284,6 +295,8 @@ tokens AS (SELECT id, text, {WORDS.format("text")} AS words FROM plain),
 marked AS (SELECT id, text, {PRESENCE} AS presence FROM tokens)
 SELECT id, text, presence, CAST(length(replace(presence, '0', '')) AS INTEGER) AS n_words FROM marked""",
     "embed_texts_in_batches": f"""WITH tokens AS (SELECT CAST(doc_id AS VARCHAR) AS id, {WORDS.format("text")} AS words FROM documents)
+SELECT id, {PRESENCE} AS presence FROM tokens""",
+    "embed_texts_once": f"""WITH tokens AS (SELECT CAST(doc_id AS VARCHAR) AS id, {WORDS.format("text")} AS words FROM documents)
 SELECT id, {PRESENCE} AS presence FROM tokens""",
     "code_survey_file": f"""{text_ranked("CAST(doc_id AS VARCHAR)", CLEAN.format("text"))},
 described AS (
@@ -432,9 +445,18 @@ SELECT a.doc_id, coalesce(e.text, f.other) AS description
 FROM asked a LEFT JOIN entries e ON e.code = a.code AND e.lang = 'de' LEFT JOIN folded f ON f.code = a.code""",
     "code_survey_wide": SURVEY,
     "stream_code_files": SURVEY,
+    "stream_mixed_files": r"""WITH arrived AS (
+  SELECT doc_id AS id, nullif(regexp_replace(
+    CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\x00-\x7F\x{A0}-\x{FF}]', '?', 'g') END, '\r\n?', chr(10), 'g'), '') AS literal
+  FROM documents
+)
+SELECT id, CAST(length(literal) AS BIGINT) AS n_chars, md5(literal) AS digest FROM arrived""",
     "accuracy_by_group": f"""{ONE_TRUTH}
 SELECT label, total_cases, round(top1_acc, 6) AS top1_acc, round(top3_acc, 6) AS top3_acc, round(mean_score, 6) AS mean_score
 FROM groups""",
+    "accuracy_case_file": f"""{ONE_TRUTH}
+SELECT query_id, array_to_string(truths, '|') AS label, array_to_string(truths, '|') AS correct_code, top1_code,
+       CAST(top1_score AS VARCHAR) AS top1_score, CAST(hit_top1 AS VARCHAR) AS hit_top1, CAST(hit_top3 AS VARCHAR) AS hit_top3 FROM judged""",
     "accuracy_multi_truth": f"""{TWO_TRUTHS}
 SELECT query_id, array_to_string(truths, '|') AS correct_code, top1_code, top1_score, hit_top1, hit_top3 FROM judged""",
     "accuracy_macro": f"""{ONE_TRUTH}

@@ -36,6 +36,12 @@ def write_coded(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("escape", '"').csv(path)
 
 
+def write_cases(judged: DataFrame, path: str) -> None:
+    """The judgement of every benchmark case as CSV: its columns, best code and score, and hits."""
+    lists = [c for c, kind in judged.dtypes if kind.startswith("array")]
+    write_coded(judged.drop(*lists), path)
+
+
 def write_report(per_group: DataFrame, overall: DataFrame, path: str, group: str = "classifier") -> None:
     """Accuracy as a Markdown table: one line per group and one for all.
 

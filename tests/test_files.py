@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.errors import HookFailed, IndexProblem, InvalidInput
 from codeloom.operators.hooks import chain
+from codeloom.operators import vectorise
 from codeloom.operators.joins import BROADCAST_BYTES, lookup_join
 from codeloom.operators.results import drop_duplicate_docs, punctuation_free, rerank_from_zero
 from codeloom.operators.translate import add_description
@@ -126,6 +127,31 @@ class Broken(Plain):
         return self.inner.transform(texts)[:-1]
 
 
+class Counting(Plain):
+    """Notes every text that it is given, in a file."""
+
+    def __init__(self, words, path):
+        super().__init__(words)
+        self.path = path
+
+    def transform(self, texts):
+        with open(self.path, "a") as file:
+            file.writelines(f"{t}\n" for t in texts)
+        return super().transform(texts)
+
+
+@pytest.mark.parametrize("share", [1024, 3])
+def test_every_text_is_embedded_once(spark, tmp_path, monkeypatch, share):
+    monkeypatch.setattr(vectorise, "HOT_SHARE", share)
+    texts = ["pan"] * 300 + [f"leche {i % 50}" for i in range(200)] + [None, None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, text string, `a.b` string").repartition(16)
+    seen = tmp_path / "seen"
+    found = with_vectors(df, Counting(WORDS, str(seen)), once=True).collect()
+    assert sorted(seen.read_text().splitlines()) == sorted({t for t in texts if t is not None})
+    plain = {r["id"]: r["embedding"] for r in with_vectors(df, Plain(WORDS)).collect()}
+    assert {r["id"]: r["embedding"] for r in found} == plain and len(found) == len(texts) and found[0]["a.b"] == "x"
+
+
 def test_vectorisers_agree(spark):
     df = spark.createDataFrame(
         [("Pan, PAN y leche!",), ("x pa panes",), ("ni" + N_TILDE + "o_1 NI" + N_TILDE.upper() + "O",), ("",), (None,), ("pan",), ("pan",)], "text string"

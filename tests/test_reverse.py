@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.errors import InvalidInput
 from codeloom.operators import reverse as V
 from codeloom.operators.results import block_rows, nest_reverse_results
+from codeloom.operators.reverse import deal_parts, first_rows
 from codeloom.plans.engine import reverse_queries
 
 
@@ -72,3 +74,18 @@ def test_limits_beyond_the_window_threshold(spark, broadcast_bytes):
     found = V.reverse_search(asked, docs, 1500, partial_match=True, broadcast_bytes=broadcast_bytes).collect()
     of = lambda name: sorted(r["doc_id"] for r in found if r["id"] == name)
     assert of("all") == [f"{i:05d}" for i in range(1500)] and of("some") == [f"{i:05d}" for i in range(1000)]
+
+
+def test_frequent_keys_get_more_parts(spark):
+    rows = spark.range(6000).select(
+        F.when(F.col("id") < 5000, "hot").when(F.col("id") < 5200, "warm").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), "id"
+    )
+    parts = {r["k"]: r["n"] for r in deal_parts(rows, ["k"], 100).groupBy("k").agg(F.countDistinct("_deal").alias("n")).collect()}
+    assert parts["hot"] == 50 and parts["warm"] == 2 and {n for k, n in parts.items() if k.startswith("k")} == {1}
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+    try:
+        found = first_rows(rows, ["k"], ["id"], 40, part_rows=100)
+        kept = {r["k"]: (r["n"], r["most"]) for r in found.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most")).collect()}
+        assert found.columns == rows.columns and kept["hot"] == (40, 39) and kept["warm"] == (40, 5039) and kept["k5999"] == (1, 5999)
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
