@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.arrays import LOWER, Piece, pieces, sample_below
+from codeloom.llm.columns import spare_name
 
 BUCKETS = 1 << 12
 SAMPLE = 4000  # training documents at most, shared out evenly over the languages
@@ -178,9 +179,10 @@ def identify_languages(docs: DataFrame, model: Model | None) -> DataFrame:
 
     kind = "struct<lang_pred: string, score: double>"
     guessed = F.arrow_udf(_typed(guess), kind).asNondeterministic()
-    return docs.withColumn("_guess", guessed(F.col("text"))).withColumns(
-        {"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}
-    ).drop("_guess")
+    name = spare_name(docs.columns, "guess")
+    return docs.withColumn(name, guessed(F.col("text"))).withColumns(
+        {"lang_pred": F.col(f"{name}.lang_pred"), "score": F.col(f"{name}.score")}
+    ).drop(name)
 
 
 def _typed(function):
@@ -201,7 +203,11 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` without texts of unknown language, which have no letter, and without scores below ``least``."""
+    """``docs`` without texts of unknown language, which have no letter, and without scores below ``least``.
+
+    Null and empty texts have no letter and go; rows that are repeated stay or go together, all columns stay whatever their names, and an
+    empty table, or one without labelled texts, has no row left.
+    """
     model = fit_languages(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
     found = identify_languages(inner, model)

@@ -146,7 +146,11 @@ def mix_report(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it."""
+    """``docs`` with every row as often as the mix takes it.
+
+    Null and empty texts have no words and go with the epochs of their source; rows that are repeated are taken alike, rows without a
+    source are a source of their own, all columns stay whatever their names, and an empty table stays empty.
+    """
     found = _times(docs, mixing_plan(docs, seed), seed)
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))
     return found.where("times > 0").select("doc", times).select("doc.*")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.arrays import Piece, pieces, tokens
+from codeloom.llm.arrays import Piece, give_back, pieces, tokens
 from codeloom.session import new_folder, write_stage
 
 WINDOW_WORDS = 10
@@ -112,7 +112,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = batch["doc_id"].slice(piece.first, piece.n)
             lists = pa.ListArray.from_arrays(pa.array([0, piece.n], pa.int32()), ids)
             yield pa.record_batch([*[pa.array([x], pa.binary()) for x in packed], lists], schema=_SEGMENT)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:

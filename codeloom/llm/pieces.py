@@ -22,7 +22,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.arrays import pieces, tokens
+from codeloom.llm.arrays import give_back, pieces, tokens
+from codeloom.llm.columns import spare_name
 
 MARK = "▁"
 # Kinds of pieces and of models in the SentencePiece format.
@@ -212,8 +213,11 @@ class Coder:
         if not hashes:
             return pa.array([[]] * len(texts), pa.list_(pa.int32())), np.ones(len(texts), bool)
         _, at, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        different, place = pa.concat_arrays(spans).take(pa.array(at)), place.astype(np.int32)
-        del hashes, spans, at
+        every, place = pa.concat_arrays(spans), place.astype(np.int32)
+        different = every.take(pa.array(at))
+        if not pc.all(pc.equal(every, different.take(pa.array(place)))).as_py():  # different units with the same hash
+            return self._encode_whole(texts, threads)
+        del hashes, spans, at, every
         sizes, flats, wrongs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
         for lo in range(0, len(different), UNITS):
             lot = different.slice(lo, UNITS)
@@ -272,12 +276,12 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> Data
     do unless the model's normaliser changes it. A null text has null ids, no tokens, and both are true; an empty one has
     an empty list. Columns of these names are replaced.
     """
-    name = _file(docs.sparkSession, model_path)
+    file = _file(docs.sparkSession, model_path)
 
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        coder = load(SparkFiles.get(name))
+        coder = load(SparkFiles.get(file))
         for column in columns:
             column = column.cast(pa.string())
             for piece in pieces(column, GROUP_BYTES):
@@ -290,17 +294,18 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> Data
                 yield pa.StructArray.from_arrays(
                     [ids, pa.array(parity), pa.array(back, pa.bool_())], names=["ids", "parity", "round_trip"]
                 )
-                pa.default_memory_pool().release_unused()
+            give_back()
 
     encode.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     told = F.arrow_udf(encode, "struct<ids: array<int>, parity: boolean, round_trip: boolean>").asNondeterministic()
-    found = docs.withColumn("_told", told(F.col("text")))
+    name = spare_name(docs.columns, "told")
+    found = docs.withColumn(name, told(F.col("text")))
     return found.withColumns(
         {
-            "ids": F.col("_told.ids"), "n_tokens": F.coalesce(F.size("_told.ids"), F.lit(0)).cast("long"),
-            "parity": F.col("_told.parity"), "round_trip": F.col("_told.round_trip"),
+            "ids": F.col(f"{name}.ids"), "n_tokens": F.coalesce(F.size(f"{name}.ids"), F.lit(0)).cast("long"),
+            "parity": F.col(f"{name}.parity"), "round_trip": F.col(f"{name}.round_trip"),
         }
-    ).drop("_told")
+    ).drop(name)
 
 
 def decode_documents(rows: DataFrame, model_path: str) -> DataFrame:

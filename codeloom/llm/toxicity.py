@@ -134,6 +134,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> lis
     )
     few = write_stage(few, "labelled")
     rows = lookup_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), few, ["doc_id"], "inner", LOOKUP_BYTES)
+    # One row for each id, the first text by value, so that the bound holds however often an id is repeated.
+    rows = rows.groupBy("doc_id", *names).agg(F.min("text").alias("text"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

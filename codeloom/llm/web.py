@@ -337,7 +337,10 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, path``: the container path with the most votes of the host's pages; by score, then by name on a tie."""
+    """``host, path``: the container path with the most votes of the host's pages; by score, then by name on a tie.
+
+    Pages without text have no vote, repeated rows vote as often as they come, pages without a host vote together; an empty table has no host.
+    """
     rows = pages.select(host_of(F.col("url")).alias("host"), "html")
     votes = rows.mapInArrow(_vote, "host string, path string, score double").where("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score", 3).cast("decimal(30,3)")).alias("score"))

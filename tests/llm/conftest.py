@@ -11,7 +11,7 @@ SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, size long, target double, score double, votes long, "
     "`key` string, `a.b` string, doc string, times int, bucket int"
 )
-LONG = " ".join(f"word{i % 977} and{i}" for i in range(30_000)) + " password=hunter22 end"
+LONG = " ".join(f"word{i % 977} and{i}" for i in range(180_000)) + " password=hunter22 end"  # more than 3 MB
 TEXTS = [
     (None, None, None, None), (1, "", "en", "a"), (1, "", "en", "a"), (2, " \n\t ", "en", None), (3, "!!! ###", "en", "b"),
     (4, LONG, "en", "a"), (5, LONG, "en", "b"), (6, "one two", "de", "a"), (7, "One TWO", "de", "a"), (8, None, "fr", "c"),

@@ -1,6 +1,7 @@
 """The registered queries and the pipeline, stage by stage."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -55,3 +56,19 @@ def test_pipeline_stages(spark, documents):
     assert sorted(tuple(r[c] for c in ("doc_id", "n_tokens")) for r in corpus_pipeline.run(spark, FOLDER).collect()) == sorted(
         (r["doc_id"], r["n_tokens"]) for r in done.collect()
     )
+
+
+@needs_model
+def test_stages_of_odd_rows(spark, odd, none):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, FOLDER).collect() == []
+    docs = odd.withColumns({"told": F.lit("a"), "guess": F.lit("b"), "_told": F.lit("c"), "_guess": F.lit("d")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r["doc_id"] for r in docs.collect()}
+        docs = spark.createDataFrame(stage(spark, docs, FOLDER).toArrow())
+        assert set(odd.columns) <= set(docs.columns) and {r["doc_id"] for r in docs.collect()} <= before
+        assert docs.where("told <> 'a' or guess <> 'b' or _told <> 'c' or _guess <> 'd'").count() == 0
+    assert {r["doc_id"] for r in docs.collect()} <= {4, 6, 8, 9} and docs.where("doc_id = 4").count() == 1
+    done = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert done.count() == docs.count() and done.where("not parity").count() == 0 and "_told" in done.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, none, FOLDER).collect() == []

@@ -1,5 +1,7 @@
 """Quality rules, mixing, resampling, language and toxicity: against plain versions, and on odd tables."""
 
+import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -13,7 +15,7 @@ from codeloom.llm.mixing import mix_documents, mix_report
 from codeloom.llm.quality import fit_rules, rate_quality
 from codeloom.llm.toxicity import rate_toxicity, train_chain
 
-from .conftest import TEXTS, needs_tables
+from .conftest import FOLDER, TEXTS, needs_tables
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,6 +51,17 @@ def test_em_tells_reliable_rules_from_noise():
     assert abs(shares[1, 0, 2] - 0.9) < 0.05 and abs(shares[1, 3, 2] - 1 / 3) < 0.08
 
 
+def test_words_and_lines_with_equal_linear_hashes_differ(spark):
+    """The well-known pattern has one hash, and so do its mirror image's, for any sum of bytes times powers."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    text = f"{one}\n{other}\n" + " ".join([one] * 8) + " x " + " ".join([other] * 8)
+    (row,) = rate_quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert tuple(row[1:6]) == figures(text)
+
+
 def test_quality_of_odd_rows(odd, none):
     rows = rate_quality(odd).collect()
     assert sorted((r["doc_id"] or 0, *r[1:6]) for r in rows) == sorted((i or 0, *figures(t)) for i, t, *_ in TEXTS)
@@ -94,6 +107,34 @@ def test_mixing_targets_and_takes(spark):
     assert all(times[r["doc_id"]] == r["taken"] // r["size"] for r in found)
 
 
+def sampling_key(doc_id, text):
+    """Keys as the operator documents them, by Python's own hash and logarithm."""
+    share = sum(c in "#*$%&|<>!" for c in text) / len(text) if text else 0.0
+    quality = 1.0 if share <= 0.01 else 0.5 if share <= 0.05 else 0.25
+    number = int(hashlib.md5(f"7|{doc_id}|{text}".encode()).hexdigest()[:13], 16)
+    return -math.log((number + 0.5) / (1 << 52)) / quality
+
+
+@needs_tables
+def test_mixing_takes_the_documents_with_the_smallest_keys(documents):
+    texts = {r["doc_id"]: (r["text"] or "", r["source"]) for r in documents.collect()}
+    by_source = defaultdict(list)
+    for r in mix_report(documents).collect():
+        by_source[texts[r["doc_id"]][1]].append(r)
+    partly = 0
+    for rows in by_source.values():
+        rows.sort(key=lambda r: (sampling_key(r["doc_id"], texts[r["doc_id"]][0]), r["doc_id"]))
+        size, target = rows[0]["source_size"], rows[0]["target"]
+        epochs = int(target // size)
+        rest, words = target - epochs * size, 0
+        for r in rows:
+            words += r["size"]
+            again = rest > 0 and words - r["size"] / 2 <= rest
+            assert r["taken"] == r["size"] * (epochs + again)
+            partly += again
+    assert partly > 10
+
+
 def test_better_documents_are_drawn_more_often(spark):
     rows = [(i, ("a b c d " * 5) + ("## %% " * 20 if i % 2 else ""), f"s{i % 2 * 0}") for i in range(2000)] + [(9999, "x " * 60000, "t")]
     found = mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id < 2000").collect()
@@ -176,6 +217,29 @@ def test_toxicity_on_its_labels(documents, labels):
     assert np.mean([r["told"] == (r["toxic"] == 1) for r in rows]) > 0.9
 
 
+@needs_tables
+def test_toxicity_on_labels_held_out(spark):
+    """Learned from the labels of even ids, held against those of odd ones, on a table large enough for both."""
+    folder = FOLDER.replace("sf0.001", "sf0.1")
+    documents, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    chain = train_chain(documents, labels.where("doc_id % 2 = 0"))
+    unseen = {r["doc_id"]: r["toxic"] == 1 for r in labels.where("doc_id % 2 = 1").collect()}
+    rated = [(unseen[r["doc_id"]], r["p_toxic"] >= 0.5) for r in rate_toxicity(documents, chain).collect() if r["doc_id"] in unseen]
+    caught, spared = [r for known, r in rated if known], [not r for known, r in rated if not known]
+    print("held out:", len(caught), np.mean(caught), len(spared), np.mean(spared))
+    assert np.mean(caught) > 0.85 and np.mean(spared) > 0.98
+
+
+def test_an_id_that_is_repeated_is_learned_from_once(spark):
+    rows = [(i, "vile trash scum " * 5 if i % 2 else "a fine day out " * 5) for i in range(40)]
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = once.union(once.where("doc_id = 1")).union(spark.createDataFrame([(1, "vile trash scum " * 5)] * 500, once.schema))
+    plain = {r["doc_id"]: r["p_toxic"] for r in rate_toxicity(once, train_chain(once, labels)).collect()}
+    found = {r["doc_id"]: r["p_toxic"] for r in rate_toxicity(once, train_chain(often, labels)).collect()}
+    assert found == plain
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(9, 1, 0), (4, 0, 1), (None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
     chain = train_chain(odd, labels)
