@@ -90,14 +90,11 @@ def _whole(matrix: np.ndarray, length: float) -> bool:
 
 
 class Vectors:
-    """Rows made ready to be searched; what a search needs is worked out once and is not stored or sent along."""
+    """Rows made ready to be searched; what a search needs is worked out once."""
 
     def __init__(self, matrix: np.ndarray):
         self.matrix = matrix
 
-    def __getstate__(self) -> dict:
-        return {"matrix": self.matrix}
-
     def __len__(self) -> int:
         return len(self.matrix)
 

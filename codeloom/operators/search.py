@@ -47,6 +47,18 @@ class Shelf:
     def __init__(self, parts: dict[str, tuple[int, Vectors]], rows: pa.Table):
         self.parts, self.rows = parts, rows
 
+    def packed(self) -> tuple[dict[str, tuple[int, np.ndarray]], pa.Table]:
+        """Plain values only: workers need not have this library."""
+        return {name: (start, vectors.matrix) for name, (start, vectors) in self.parts.items()}, self.rows
+
+
+def shelf_on_worker(shared) -> Shelf:
+    """The shelf of a broadcast, made ready once per worker: it is kept with what the worker holds of the broadcast."""
+    if "_shelf" not in shared.__dict__:
+        parts, rows = shared.value
+        shared._shelf = Shelf({name: (start, Vectors(matrix)) for name, (start, matrix) in parts.items()}, rows)
+    return shared._shelf
+
 
 def make_shelf(table: pa.Table, tie: list[str], normalise: bool) -> Shelf:
     """Order collected catalogue rows and stack their vectors."""
@@ -191,7 +203,7 @@ class Searcher:
             shelf.rows = shelf.rows.select(self.carried)
             self.widest = widest_row(shelf.rows)
             self.longest = max((len(v) for _, v in shelf.parts.values()), default=1)
-            self.shared = context.broadcast(shelf)
+            self.shared = context.broadcast(shelf.packed())
             return
         # The place in tie order stands for the document until the best k are known.
         open_folder(shared_dir(catalogue.sparkSession))
@@ -259,7 +271,7 @@ def _search_broadcast(
     def hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for keys, vectors in batches:
             for lo in range(0, len(vectors), piece):
-                yield hits_of(keys.slice(lo, piece), vectors.slice(lo, piece), shared.value, k)
+                yield hits_of(keys.slice(lo, piece), vectors.slice(lo, piece), shelf_on_worker(shared), k)
 
     # Declared non-deterministic, so that the optimiser does not score a second time when
     # it derives a filter from an explode or pushes one down.
