@@ -7,10 +7,9 @@ batch. A null text counts as an empty one.
 from __future__ import annotations
 
 import ctypes
-import functools
 import hashlib
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -68,17 +67,12 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-@functools.cache
-def _trimmer() -> Callable[[int], int] | None:
-    """What returns freed memory to the system, where the C library has it."""
-    return getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
-
-
 def give_back() -> None:
-    """Return memory that Arrow and numpy have freed, so that a worker kept for later holds none of it."""
+    """Return memory that Arrow and numpy have freed to the system, so that a worker kept for later holds none of it."""
     pa.default_memory_pool().release_unused()
-    if _trimmer() is not None:
-        _trimmer()(0)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
 
 
 class Piece(NamedTuple):

@@ -1,5 +1,9 @@
 """The registered queries and the pipeline, stage by stage."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -72,3 +76,24 @@ def test_stages_of_odd_rows(spark, odd, none):
     done = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert done.count() == docs.count() and done.where("not parity").count() == 0 and "_told" in done.columns
     assert corpus_pipeline.STAGES[-1][1](spark, none, FOLDER).collect() == []
+
+
+@needs_tables
+@needs_model
+def test_workers_need_not_have_the_library(tmp_path):
+    """Every query, started in another folder: workers get all they need with their tasks."""
+    script = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.abspath(entry.__file__))!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config(
+    "spark.codeloom.stageDir", {str(tmp_path)!r}).getOrCreate()
+for name, query in entry.queries().items():
+    if name.startswith("op"):
+        query(spark, {FOLDER!r}).write.format("noop").mode("overwrite").save()
+        print("done", name)
+"""
+    plain = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=plain, capture_output=True, text=True, timeout=900)
+    assert done.stdout.count("done op") == 13, done.stderr[-2000:]
