@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import tracemalloc
 from fractions import Fraction
 
@@ -292,3 +295,21 @@ def test_both_plans_give_bit_equal_scores(tables):
         rows = S.flatten_hits(S.search_hits(q, d, 4, vector="v", **how).drop("v")).collect()
         bits.append(sorted((r["query_id"], r["rank"], r["doc_id"], r["score"].hex()) for r in rows))
     assert bits[0] == bits[1] == bits[2]
+
+
+def test_workers_need_not_have_the_library(tmp_path):
+    """Started elsewhere, workers get all they need with their tasks."""
+    script = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+from codeloom.operators.search import search_hits
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.codeloom.stageDir", {str(tmp_path)!r}).getOrCreate()
+docs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, embeddings array<double>")
+asked = spark.createDataFrame([("q", [0.0, 2.0])], "query_id string, embedding array<double>")
+for how in ({{}}, {{"broadcast_bytes": 0}}, {{"broadcast_bytes": 0, "carried_bytes": 0}}):
+    print("best", search_hits(asked, docs, 1, **how).first()["hits"][0]["doc_id"])
+"""
+    plain = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=plain, capture_output=True, text=True, timeout=300)
+    assert done.stdout.split("\n")[:3] == ["best b"] * 3, done.stderr[-2000:]
