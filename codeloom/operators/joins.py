@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.session import write_stage
@@ -10,12 +10,16 @@ from codeloom.session import write_stage
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of a table's values as text, plus eight bytes each: an upper bound for what a row holds."""
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row's values as text, plus eight bytes each: an upper bound for what it holds."""
     size = F.lit(0)
     for c in df.columns:
         size = size + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8
-    return df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
+    return size
+
+
+def table_bytes(df: DataFrame) -> int:
+    return df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
 def lookup_join(

@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.errors import InvalidInput
 from codeloom.functions.text import code_key, stem_parts
 from codeloom.operators.translate import last_entry_wins
 from codeloom.sources.csv_files import LATIN1, UTF8, CsvFiles
@@ -25,7 +24,7 @@ def read_catalogues(
     """Every ``*.csv`` in the folder as one catalogue named by its file stem.
 
     Returns the rows ``classifier, id, text, <meta>`` and a report with one row per
-    file. Files without the needed columns are reported and left out; the others are read.
+    file. Files without the needed columns are reported and left out; the others are read. There must be one at least.
     """
     needed = ["id", "text", *meta]
     files = CsvFiles(spark, folder)
@@ -36,10 +35,7 @@ def read_catalogues(
         F.when(F.col("utf8"), UTF8).otherwise(LATIN1).alias("encoding"), (F.size(missing) == 0).alias("ok"),
         F.when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", "))).otherwise("").alias("message"),
     )
-    good = heads.where(files.with_columns(needed))
-    if good.isEmpty():
-        raise InvalidInput(f"no catalogue with columns {needed} in {folder}")
-    rows = files.records(good).select(F.col("stem").alias("classifier"), *[F.col("record")[c].alias(c) for c in needed])
+    rows = files.records(heads.where(files.with_columns(needed))).select(F.col("stem").alias("classifier"), *[F.col("record")[c].alias(c) for c in needed])
     return rows, report
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from codeloom.errors import InvalidInput
 from codeloom.functions.text import file_stem
-from codeloom.operators.joins import lookup_join
+from codeloom.operators.joins import BROADCAST_BYTES, row_bytes
 from codeloom.session import Stages, write_stage
 
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
@@ -105,11 +105,14 @@ class CsvFiles:
         """
         heads = self.heads if chosen is None else chosen
         # One number for the whole folder; what it bounds is the width of a row.
-        told = heads.agg(F.max(F.size("columns")).alias("width"), F.bool_or("odd").alias("odd")).first()
+        told = heads.agg(
+            F.max(F.size("columns")).alias("width"), F.bool_or("odd").alias("odd"), F.sum(row_bytes(heads)).alias("bytes")
+        ).first()
         if told["width"] is None:
             raise InvalidInput(f"no readable files in {self.paths}")
         kept = [c for c in heads.columns if c not in ("file", "odd", "columns", "utf8", "head_block", "head_at")]
-        rows = lookup_join(self._raw_records(told["odd"]), heads.drop("odd"), ["file"], "inner")
+        own = F.broadcast(heads) if told["bytes"] <= BROADCAST_BYTES else heads
+        rows = self._raw_records(told["odd"]).join(own.drop("odd"), "file")
         rows = rows.where((F.col("block") != F.col("head_block")) | (F.col("at") != F.col("head_at")))
         fields = ", ".join(f"c{i} string" for i in range(told["width"]))
         values = F.from_csv(decoded(F.col("raw"), F.col("utf8")), fields, _CSV)

@@ -8,6 +8,7 @@ before its manifest is written changes nothing that a reader sees.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable
 
@@ -42,9 +43,10 @@ def _manifest(spark: SparkSession, path: str) -> tuple[int, list]:
     stored = _there(spark, f"{path}/manifest", MANIFEST_SCHEMA + ", version bigint")  # a key of the folders
     if stored is None:
         return 0, []
-    last = stored.agg(F.max("version").alias("version")).first()["version"]
-    if last is None:
+    versions = [int(v) for file in stored.inputFiles() for v in re.findall(r"/version=(\d+)/", file)]
+    if not versions:
         return 0, []
+    last = max(versions)
     rows = stored.where(F.col("version") == last).drop("version").collect()
     # A row without a name stands for an index without catalogues.
     return last, [r for r in rows if r["classifier"] is not None]
