@@ -15,6 +15,7 @@ centres of ``VIEW`` blocks.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -111,7 +112,7 @@ def store_blocks(
     dealt.mapInArrow(lambda batches: _cut(batches, normalise, block_bytes), _BLOCK_DDL).write.options(**_FILES).parquet(path)
     if stages is not None:
         stages.paths.append(path)
-    return path
+    return absolute(path)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], normalise: bool, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -170,9 +171,14 @@ class Sketch(NamedTuple):
     radius: float
 
 
+def absolute(path: str) -> str:
+    """A relative path as the driver understands it; tasks run in other folders."""
+    return path if ":" in path or path.startswith("/") else os.path.abspath(path)
+
+
 def open_folder(path: str) -> tuple[fs.FileSystem, str]:
     try:
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri(absolute(path))
     except (pa.ArrowInvalid, OSError) as e:
         raise InvalidInput(f"searching stored blocks needs a shared folder that pyarrow can open: {e}") from e
 
