@@ -591,7 +591,7 @@ def code_survey_wide(spark, sf_dir):
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> str:
-    """Code the vectors as a stream over the files of the folder; returns where the output is."""
+    """Code the vectors as a stream over their files; returns where the output is."""
     catalogue, dictionary = _survey_parts(spark, sf_dir)
     searcher = survey_searcher(catalogue, classifier="vec_es", dictionary=dictionary, lang="en")
 
@@ -599,9 +599,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> str:
         return code_vectors(rows.select("vec_id", "embedding"), searcher)
 
     out = new_folder(spark, "stream")
+    # A pattern, so that the table can be one file or a folder of them.
     code_new_files(
-        spark, sf_dir, table(spark, sf_dir, "embeddings").schema, code, out,
-        file_format="parquet", classifier="vec_es", options={"pathGlobFilter": "embeddings.parquet"},
+        spark, f"{sf_dir}/[e]mbeddings.parquet", table(spark, sf_dir, "embeddings").schema, code, out,
+        file_format="parquet", classifier="vec_es",
     )
     return out
 

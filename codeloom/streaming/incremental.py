@@ -33,6 +33,8 @@ def code_new_files(
 ) -> str:
     """Code all files not seen before and return the folder of the coded rows.
 
+    ``source`` is a folder, or a pattern of files and folders.
+
     ``code`` is the batch job (a function of the rows), so stream and batch agree. Each
     micro-batch replaces its own ``batch_id`` folder: one that is repeated after a
     failure does not add rows twice. Run it again to pick up later files.
