@@ -241,7 +241,8 @@ def search_lot(
             raise ValueError(f"query vectors have {own.shape[1]} values, catalogue {max(map(len, centres))}")
         radius, middle = np.array([s.radius for s in view]), np.stack(centres)
         far = norms[:, None] * (radius + 1e-12 * (radius + lengths(middle)))
-        reach = own @ middle.T + far
+        reach = own @ middle.T
+        reach += far
         mine = codes[:, None] == np.array([code_of.get(s.name, -1) for s in view])
         reach[~mine] = -np.inf
         for at in np.argsort(-reach.max(axis=0, initial=-np.inf), kind="stable"):

@@ -17,6 +17,8 @@ from codeloom.functions.vectors import NORM_FLOOR
 
 # Score cells held at once by one task.
 CELLS = 4_000_000
+# Rows of a large set that are made ready at once.
+PIECE_BYTES = 8 << 20
 _SPLIT = 134217729.0  # 2 ** 27 + 1: cuts a number into halves whose products are exact
 _EPS32, _EPS64 = float(np.finfo(np.float32).eps), float(np.finfo(np.float64).eps)
 _TINY32 = 2.0**-140  # beyond what single precision loses in one product near its lower end
@@ -227,3 +229,28 @@ def merged(places: np.ndarray, dots: np.ndarray, more_places: np.ndarray, more_d
     places, dots = np.concatenate([places, more_places], axis=1), np.concatenate([dots, more_dots], axis=1)
     order = np.lexsort((places, -dots), axis=1)[:, :k]
     return np.take_along_axis(places, order, axis=1), np.take_along_axis(dots, order, axis=1)
+
+
+class Pieces:
+    """Rows of any number, searched some at a time: besides the rows themselves a search holds what it needs for ``PIECE_BYTES`` of them."""
+
+    def __init__(self, matrix: np.ndarray):
+        self.matrix = matrix
+
+    def __len__(self) -> int:
+        return len(self.matrix)
+
+    @cached_property
+    def _one(self) -> Vectors:
+        return Vectors(self.matrix)
+
+    def best(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``Vectors.best``."""
+        if self.matrix.nbytes <= PIECE_BYTES:
+            return self._one.best(queries, k)
+        step = max(1, PIECE_BYTES // (self.matrix.shape[1] * self.matrix.itemsize))
+        places, dots = np.empty((len(queries), 0), np.int64), np.empty((len(queries), 0))
+        for lo in range(0, len(self.matrix), step):
+            found, level = Vectors(self.matrix[lo : lo + step]).best(queries, k)
+            places, dots = merged(places, dots, found + lo, level, k)
+        return places, dots

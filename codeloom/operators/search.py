@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from codeloom.errors import InvalidInput
 from codeloom.functions.vectors import NORM_FLOOR
 from codeloom.operators.blocks import BLOCK_BYTES, LAST, StoredBlocks, as_matrix, is_wide, lots, open_folder, search_lot, store_blocks
-from codeloom.operators.ranking import Vectors, distinct_rows, lengths, unit_rows
+from codeloom.operators.ranking import Pieces, distinct_rows, lengths, unit_rows
 from codeloom.operators.rows import number_rows
 from codeloom.schema import named, require_positive
 from codeloom.session import Stages, shared_dir, write_stage
@@ -44,7 +44,7 @@ SPREAD_BYTES = 32 * 1024 * 1024
 class Shelf:
     """Catalogue rows in tie order: the vectors of each catalogue with the place of its first row, and the columns."""
 
-    def __init__(self, parts: dict[str, tuple[int, Vectors]], rows: pa.Table):
+    def __init__(self, parts: dict[str, tuple[int, Pieces]], rows: pa.Table):
         self.parts, self.rows = parts, rows
 
     def packed(self) -> tuple[dict[str, tuple[int, np.ndarray]], pa.Table]:
@@ -56,7 +56,7 @@ def shelf_on_worker(shared) -> Shelf:
     """The shelf of a broadcast, made ready once per worker: it is kept with what the worker holds of the broadcast."""
     if "_shelf" not in shared.__dict__:
         parts, rows = shared.value
-        shared._shelf = Shelf({name: (start, Vectors(matrix)) for name, (start, matrix) in parts.items()}, rows)
+        shared._shelf = Shelf({name: (start, Pieces(matrix)) for name, (start, matrix) in parts.items()}, rows)
     return shared._shelf
 
 
@@ -70,7 +70,7 @@ def make_shelf(table: pa.Table, tie: list[str], normalise: bool) -> Shelf:
         names = table["_by"].combine_chunks().dictionary_encode()
         code = names.indices.to_numpy()
         starts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
-        parts = {names.dictionary[int(code[a])].as_py(): (a, Vectors(matrix[a:b])) for a, b in zip(starts, starts[1:])}
+        parts = {names.dictionary[int(code[a])].as_py(): (a, Pieces(matrix[a:b])) for a, b in zip(starts, starts[1:])}
         for _, vectors in parts.values():
             if not np.isfinite(lengths(vectors.matrix)).all():
                 raise ValueError("vectors must not hold nulls, NaN or infinite values")
