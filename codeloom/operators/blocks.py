@@ -251,8 +251,16 @@ def search_lot(
             if not len(asked):
                 continue
             vectors, where = stored.read(view[at])
-            found, level = vectors.best(queries[asked], k)
-            places[asked], dots[asked] = merged(places[asked], dots[asked], where[found], level, k)
+            floor = dots[asked, -1]
+            if np.isfinite(floor).all():
+                found, level = vectors.beyond(queries[asked], k, floor)
+                better = found[:, 0] >= 0
+                asked, found, level = asked[better], found[better], level[better]
+                more = np.where(found >= 0, where[found], LAST)
+            else:
+                found, level = vectors.best(queries[asked], k)
+                more = where[found]
+            places[asked], dots[asked] = merged(places[asked], dots[asked], more, level, k)
     return places, dots
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.schema import named
 from codeloom.session import write_stage
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -35,3 +36,33 @@ def lookup_join(
     if table_bytes(lookup) <= broadcast_bytes:
         return rows.join(F.broadcast(lookup), on, how)
     return rows.join(lookup if stored else write_stage(lookup, "lookup"), on, how)
+
+
+def joined_rows(docs: DataFrame, asked: DataFrame, on: list[str], limit: int = -1) -> DataFrame:
+    """``_docs``, ``_asked`` and the rows of their join, ``_rows``, for each key that both have. Counts combine in the map tasks."""
+    count = F.count("*")
+    held = docs.groupBy(*on).agg((count if limit == -1 else F.least(count, F.lit(limit))).alias("_docs"))
+    return held.join(asked.groupBy(*on).agg(count.alias("_asked")), on).withColumn("_rows", F.col("_docs") * F.col("_asked"))
+
+
+def dealt_join(docs: DataFrame, asked: DataFrame, on: list[str], loads: DataFrame, task_rows: int) -> DataFrame:
+    """``docs`` and ``asked`` joined by a shuffle, dealt by what comes out and not by what goes in.
+
+    A key with more than ``task_rows`` rows in the result is dealt to so many parts: the larger of its two sides
+    is split, the other goes to all of them.
+    """
+    parts = F.ceil(F.col("_rows") / task_rows)
+    loads = write_stage(loads.select(*on, parts.alias("_parts"), (F.col("_docs") >= F.col("_asked")).alias("_cut_docs"), "_docs", "_asked", "_rows"), "loads")
+    told = loads.agg(F.sum(F.col("_rows") + F.col("_docs") + F.col("_asked")).alias("rows")).first()["rows"] or 0
+    # Fewer than this Spark would deal a second time.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-told // task_rows))
+    loads = loads.select(*on, "_parts", "_cut_docs")
+
+    def dealt(side: DataFrame, cut) -> DataFrame:
+        rows = lookup_join(side, loads, on, "inner", stored=True)
+        own = F.pmod(F.xxhash64(*[named(c) for c in side.columns]), F.col("_parts"))
+        every = F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)
+        rows = rows.withColumn("_part", F.explode(F.when(cut, F.array(own)).otherwise(every)))
+        return rows.select(*[named(c) for c in side.columns], "_part").repartition(tasks, *on, "_part")
+
+    return dealt(docs, F.col("_cut_docs")).join(dealt(asked, ~F.col("_cut_docs")), [*on, "_part"]).drop("_part")

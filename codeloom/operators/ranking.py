@@ -160,6 +160,67 @@ class Vectors:
             places[at], dots[at] = done
         return (places, dots) if self._copies is None else self._spread(places, dots, k)
 
+    def beyond(self, queries: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``best``, without rows that score less than the query's finite ``floor``: -1 and -inf fill up.
+
+        The floor takes the place of the search for the k-th best. Pieces where too many rows reach it go to ``best``.
+        """
+        own = queries.astype(np.float64)
+        norms = lengths(own)
+        if not np.isfinite(norms).all():
+            raise ValueError("vectors must not hold nulls, NaN or infinite values")
+        short = queries.dtype == np.float32 and self.rows.dtype == np.float32
+        places, dots = np.full((len(own), k), -1, np.int64), np.full((len(own), k), -np.inf)
+        rows, slack = self.coarse
+        long = np.maximum(norms, NORM_FLOOR)
+        with np.errstate(over="ignore"):  # a floor out of this set's reach
+            edges = (floor / long / self.unit).astype(np.float32)[:, None]
+        step = max(1, CELLS // max(1, len(self.rows)))
+        for lo in range(0, len(own), step):
+            at = slice(lo, lo + step)
+            level = (own[at] / long[at, None]).astype(np.float32) @ rows
+            level += slack
+            near = level >= edges[at]
+            many = np.count_nonzero(near, axis=1) > 4 * k + 64
+            if 2 * np.count_nonzero(many) > len(near):  # so will the next ones
+                many, near, at = np.ones(len(own) - lo, bool), near[:0], slice(lo, None)
+            else:
+                near[many] = False
+                self._fill(own[at], near, floor[at], short, places[at], dots[at])
+            if many.any():
+                found, sums = self.best(queries[at][many], k)
+                places[at][many, : found.shape[1]], dots[at][many, : found.shape[1]] = self._kept(found, sums, floor[at][many])
+            if at.stop is None:
+                break
+        return places, dots
+
+    @staticmethod
+    def _kept(places: np.ndarray, dots: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        enough = dots >= floor[:, None]
+        return np.where(enough, places, -1), np.where(enough, dots, -np.inf)
+
+    def _fill(self, queries: np.ndarray, near: np.ndarray, floor: np.ndarray, short: bool, places: np.ndarray, dots: np.ndarray) -> None:
+        """Put each query's best candidates that reach its floor, with their copies, into ``places`` and ``dots``."""
+        k = places.shape[1]
+        row, place = np.nonzero(near)
+        sums = np.empty(len(row))
+        lot = max(1, CELLS // (4 * max(1, queries.shape[1])))
+        for lo in range(0, len(row), lot):
+            at = slice(lo, lo + lot)
+            sums[at] = exact_dots(queries[row[at]], self.rows[place[at]], short)
+        kept = sums >= floor[row]
+        row, place, sums = row[kept], place[kept], sums[kept]
+        if self._copies is not None:
+            begin, every = self._copies
+            count = np.minimum(begin[place + 1] - begin[place], k)
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[place], count)
+            row, place, sums = np.repeat(row, count), every[at], np.repeat(sums, count)
+        order = np.lexsort((place, -sums, row))
+        row, place, sums = row[order], place[order], sums[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        first = rank < k
+        places[row[first], rank[first]], dots[row[first], rank[first]] = place[first], sums[first]
+
     def _near(self, queries: np.ndarray, norms: np.ndarray, k: int, short: bool) -> tuple[np.ndarray, np.ndarray] | None:
         """From single precision; None if most queries have many more candidates than results."""
         rows, slack = self.coarse

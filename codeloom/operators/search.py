@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from codeloom.errors import InvalidInput
 from codeloom.functions.vectors import NORM_FLOOR
 from codeloom.operators.blocks import BLOCK_BYTES, LAST, StoredBlocks, as_matrix, is_wide, lots, open_folder, search_lot, store_blocks
+from codeloom.operators.joins import dealt_join, joined_rows
 from codeloom.operators.ranking import Pieces, distinct_rows, lengths, unit_rows
 from codeloom.operators.rows import number_rows
 from codeloom.schema import named, require_positive
@@ -37,6 +38,8 @@ from codeloom.session import Stages, shared_dir, write_stage
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Catalogue columns given out at once, at most (unless one query's hits are larger).
 HITS_BYTES = 64 * 1024 * 1024
+# Hits that one task joins to the catalogue's other columns, about.
+JOINED_ROWS = 5_000
 # Query tables of fewer bytes for each task that the cluster can run at once are dealt out to that many tasks.
 SPREAD_BYTES = 32 * 1024 * 1024
 
@@ -235,11 +238,11 @@ class Searcher:
         best = _search_blocks(queries, self.blocks, None, k, self.by, vector, 8, places)
         rows = write_stage(best.withColumnRenamed("hits", "_best").withColumn("_row", F.monotonically_increasing_id()), "queries", self.stages)
         chosen = rows.select("_row", F.explode("_best").alias("_hit")).select("_row", "_hit.*")
-        # The documents come from a table in storage, so adaptive execution can split the
-        # shuffle at one that is among the best of very many queries.
+        # Dealt by what comes out: a document can be among the best of very many queries.
         entry = F.struct("rank", "score", *[named(c) for c in self.carried])
         hits = F.array_sort(F.collect_list(entry), lambda a, b: a["rank"] - b["rank"]).cast(self.kind)
-        found = chosen.join(self.docs, "_place").groupBy("_row").agg(hits.alias("hits"))
+        told = dealt_join(self.docs, chosen, ["_place"], joined_rows(self.docs, chosen, ["_place"]), JOINED_ROWS)
+        found = told.groupBy("_row").agg(hits.alias("hits"))
         return rows.join(found, "_row", "left").select(
             *[named(c) for c in queries.columns], F.coalesce("hits", F.array().cast(self.kind)).alias("hits")
         )
