@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.arrays import give_back, pieces, tokens
+from codeloom.llm.arrays import Piece, give_back, pieces
 from codeloom.llm.columns import spare_name
 
 MARK = "▁"
@@ -31,9 +31,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 GROUP_BYTES = 5 << 20
 UNITS = 1 << 14  # that go through the tokenizers at once
-# Spaces against all other bytes.
-_SPACES = np.full(256, 2, np.uint8)
-_SPACES[0x20] = 1
+JOINED = 64  # of them in one call's text
 
 
 class Model(NamedTuple):
@@ -152,6 +150,15 @@ def build_tokenizer(model: Model, core_only: bool = False):
     return tokenizer
 
 
+def _unit_starts(piece: Piece) -> np.ndarray:
+    """Where units start, in texts that start with a space themselves: at every text and every run of spaces."""
+    space = piece.data == 0x20
+    begin = space.copy()
+    begin[1:] &= ~space[:-1]
+    begin[piece.offsets[piece.offsets < len(piece.data)]] = True
+    return np.flatnonzero(begin)
+
+
 class Coder:
     """A model's tokenizers, and SentencePiece's own processor to check them against."""
 
@@ -161,9 +168,11 @@ class Coder:
         self.model = model = parse_model(data)
         self.units = build_tokenizer(model, core_only=True) if in_units(model) else None
         self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.bytes = [
-            bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(MARK, " ").encode() for text, _, kind in model.pieces
-        ]
+        self.bytes = pa.array(
+            [bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(MARK, " ").encode() for text, _, kind in model.pieces],
+            pa.large_binary(),
+        )
+        self.lengths = pc.binary_length(self.bytes).to_numpy()
         self.prefix = model.add_dummy_prefix
 
     @functools.cached_property
@@ -194,62 +203,70 @@ class Coder:
 
     def _encode_units(self, texts: pa.Array, threads: int) -> tuple[pa.ListArray, np.ndarray]:
         texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
-        hashes, owners, spans = [], [], []
+        spans, first, n = [], [np.zeros(1, np.int64)], 0
         for piece in pieces(texts):
-            runs = tokens(piece, _SPACES)
-            lead = piece.data[runs.start] == 0x20 if len(runs.start) else np.zeros(0, bool)
-            # Spaces go with the run behind them, unless their text ends there.
-            behind = np.zeros(len(lead), bool)
-            behind[:-1] = lead[:-1] & ~lead[1:] & (runs.doc[1:] == runs.doc[:-1])
-            follows = np.zeros(len(lead), bool)
-            follows[1:] = behind[:-1]
-            mixed = runs.hash.copy()
-            mixed[:-1][behind[:-1]] = runs.hash[:-1][behind[:-1]] * np.uint64(0x9E3779B97F4A7C15) + runs.hash[1:][behind[:-1]]
-            hashes.append(mixed[~follows])
-            owners.append(runs.doc[~follows] + piece.first)
+            starts = _unit_starts(piece)
             # Every byte is in a unit, so where one ends the next starts.
-            bounds = np.append(runs.start[~follows], len(piece.data))
-            spans.append(pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(piece.data)))
-        if not hashes:
+            bounds = np.append(starts, len(piece.data))
+            spans.append(pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(piece.data)))
+            first.append(n + np.searchsorted(starts, piece.offsets[1:]))
+            n += len(starts)
+        if not n:
             return pa.array([[]] * len(texts), pa.list_(pa.int32())), np.ones(len(texts), bool)
-        _, at, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        every, place = pa.concat_arrays(spans), place.astype(np.int32)
-        different = every.take(pa.array(at))
-        if not pc.all(pc.equal(every, different.take(pa.array(place)))).as_py():  # different units with the same hash
-            return self._encode_whole(texts, threads)
-        del hashes, spans, at, every
-        sizes, flats, wrongs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
-        for lo in range(0, len(different), UNITS):
-            lot = different.slice(lo, UNITS)
-            part = pc.replace_substring(lot, " ", MARK).to_pylist()
-            found = [e.ids for e in self.units.encode_batch_fast(part, add_special_tokens=False)]
-            # Every unit starts with a space, which SentencePiece puts in front by itself.
-            own = self.check.encode(pc.utf8_slice_codeunits(lot, 1).to_pylist(), num_threads=threads)
-            # A unit of one space alone is the prefix of nothing: SentencePiece gives no ids for an empty text.
-            wrongs.append(np.fromiter((x != y and u != MARK for x, y, u in zip(found, own, part)), bool, len(part)))
-            sizes.append(np.fromiter(map(len, found), np.int64, len(part)))
-            flats.append(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
-        size, flat, wrong = np.concatenate(sizes), np.concatenate(flats), np.concatenate(wrongs)
+        units, first = pa.concat_arrays(spans).dictionary_encode(), np.concatenate(first)
+        different, place = units.dictionary, units.indices.to_numpy()
+        del spans, units
+        told = [self._encode_lot(different.slice(lo, UNITS), threads) for lo in range(0, len(different), UNITS)]
+        size, flat, wrong = map(np.concatenate, zip(*told))
         begin, long = (np.cumsum(size) - size).astype(np.int32), size[place].astype(np.int32)
         ends = np.cumsum(long, dtype=np.int32)  # a group's tokens are fewer than its bytes
         ids = np.repeat(begin[place] - (ends - long), long)
         ids += np.arange(len(ids), dtype=np.int32)
         ids = flat[ids]
-        owner = np.concatenate(owners)
-        by_text = np.bincount(owner, weights=long, minlength=len(texts)).astype(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(by_text)]).astype(np.int32)
-        same = np.bincount(owner[wrong[place]], minlength=len(texts)) == 0
+        offsets = np.concatenate([np.zeros(1, np.int32), ends])[first]
+        same = np.diff(np.concatenate([[0], np.cumsum(wrong[place])])[first]) == 0
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), same
 
-    def returns(self, texts: list[str], ids: pa.ListArray) -> list[bool]:
+    def _encode_lot(self, units: pa.LargeStringArray, threads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each unit's number of ids, all ids in a row, and the units for which SentencePiece has others.
+
+        No piece goes on beyond a unit, so units are encoded one behind the other in texts of many, by both libraries,
+        and cut by the bytes that the ids stand for. Where the two differ or a cut fails, every unit goes by itself.
+        """
+        _, offsets, data = units.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[units.offset : units.offset + len(units) + 1]
+        cut = np.arange(len(units)) % JOINED == 0
+        # Spaces alone would run into the spaces of the next unit.
+        cut[1:] |= np.frombuffer(data, np.uint8)[offsets[1:-1] - 1] == 0x20
+        bounds = np.append(offsets[:-1][cut], offsets[-1])
+        size, flat, wrong = self._encode_both(pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), data), threads)
+        at, ends = np.cumsum(self.lengths[flat]), offsets[1:] - offsets[0]
+        if len(at) and at[-1] == ends[-1] and not wrong.any() and not (flat == self.model.unk_id).any():
+            last = np.searchsorted(at, ends)
+            if (at[last] == ends).all():
+                return np.diff(last, prepend=-1), flat, np.zeros(len(units), bool)
+        return self._encode_both(units, threads)
+
+    def _encode_both(self, texts: pa.LargeStringArray, threads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_encode_lot``, for units or texts of several."""
+        marked = pc.replace_substring(texts, " ", MARK).to_pylist()
+        found = [e.ids for e in self.units.encode_batch_fast(marked, add_special_tokens=False)]
+        # Every unit starts with a space, which SentencePiece puts in front by itself.
+        own = self.check.encode(pc.utf8_slice_codeunits(texts, 1).to_pylist(), num_threads=threads)
+        # A unit of one space alone is the prefix of nothing: SentencePiece gives no ids for an empty text.
+        wrong = np.fromiter((x != y and u != MARK for x, y, u in zip(found, own, marked)), bool, len(marked))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return size, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum())), wrong
+
+    def returns(self, texts: pa.Array, ids: pa.ListArray) -> pa.BooleanArray:
         """Whether the ids' bytes are the text's."""
-        cut = int(self.prefix)
-        return [b"".join([self.bytes[i] for i in x.tolist()])[cut:] == t.encode() for t, x in zip(texts, _arrays(ids))]
-
-
-def _arrays(lists: pa.ListArray) -> Iterator[np.ndarray]:
-    flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return (flat[a:b] for a, b in zip(bounds, bounds[1:]))
+        told = self.bytes.take(ids.values)
+        _, offsets, data = told.buffers()
+        ends = np.frombuffer(offsets, np.int64)[told.offset : told.offset + len(told) + 1][ids.offsets.to_numpy()]
+        # What is put in front of each text and the text itself, in turn.
+        cuts = np.append(np.column_stack([ends[:-1], np.minimum(ends[:-1] + self.prefix, ends[1:])]), ends[-1])
+        back = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * len(ids), [None, pa.py_buffer(cuts), data])
+        return pc.equal(back.take(pa.array(np.arange(len(ids)) * 2 + 1)), texts.cast(pa.large_binary()))
 
 
 _loaded: dict[str, Coder] = {}
@@ -288,11 +305,11 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> Data
                 own = column.slice(piece.first, piece.n)
                 texts = own.fill_null("")
                 ids, parity = coder.encode(texts, threads)
-                back = coder.returns(texts.to_pylist(), ids)
+                back = coder.returns(texts, ids)
                 if own.null_count:
                     ids = pc.if_else(own.is_valid(), ids, pa.scalar(None, ids.type))
                 yield pa.StructArray.from_arrays(
-                    [ids, pa.array(parity), pa.array(back, pa.bool_())], names=["ids", "parity", "round_trip"]
+                    [ids, pa.array(parity), back], names=["ids", "parity", "round_trip"]
                 )
             give_back()
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import html
+import io
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from codeloom.llm.ann import nearest_vectors
 from codeloom.llm.components import components
 from codeloom.llm.jaccard import divide_skip, jaccard_components, keep_one
 from codeloom.llm.ledger import find_secrets, redact_secrets, scan_unseen, update_ledger
-from codeloom.llm.pieces import decode_documents, encode_documents
+from codeloom.llm.pieces import JOINED, Coder, decode_documents, encode_documents
 from codeloom.llm.web import best_path, extract, extract_pages, host_paths
 
 from .conftest import FOLDER, MODEL, TEXTS, needs_model, needs_tables
@@ -340,6 +342,55 @@ def test_tokens_equal_sentencepiece_and_decode_to_the_text(spark, odd, none):
     assert encode_documents(odd, MODEL).where("parity and round_trip").count() == len(TEXTS) and encode_documents(none, MODEL).collect() == []
 
 
+class _Counting:
+    """SentencePiece that counts the texts it gets and has other ids for those with a certain word."""
+
+    def __init__(self, own, word):
+        self.own, self.word, self.texts = own, word, 0
+
+    def encode(self, texts, **settings):
+        self.texts += len(texts)
+        return [ids + [0] if self.word in t else ids for t, ids in zip(texts, self.own.encode(texts, **settings))]
+
+
+def _spaced(n):
+    """Texts of n different words, with spaces of all lengths between, before and behind them."""
+    words = [f"w{i * i}é\n{i}" for i in range(n)]
+    return ["".join(" " * (i % 4 != 3) * (i % 5) + w for i, w in enumerate(words[lo : lo + 9])) + " " * (lo % 4) for lo in range(0, n, 9)]
+
+
+@needs_model
+def test_units_go_through_the_tokenizers_in_few_texts():
+    with open(MODEL, "rb") as file:
+        coder = Coder(file.read())
+    texts = [*_spaced(9000), "", " ", "  ", "a ", "   a", "a    b  "]
+    own = coder.check.encode(texts)
+    coder.check = _Counting(coder.check, "never")
+    ids, same = coder.encode(pa.array(texts))
+    assert ids.to_pylist() == own and same.all()
+    assert coder.check.texts < 3 * 9000 / JOINED
+    assert coder.returns(pa.array(texts), ids).to_pylist() == [True] * len(texts)
+    assert coder.returns(pa.array(["x", *texts[1:]]), ids).to_pylist() == [False] + [True] * (len(texts) - 1)
+    coder.check = _Counting(coder.check.own, "other")  # only texts with that unit differ
+    ids, same = coder.encode(pa.array([*texts, "one other unit", "one more"]))
+    assert ids.to_pylist()[: len(texts)] == own and same.tolist() == [True] * len(texts) + [False, True]
+
+
+def test_units_of_a_model_without_byte_fallback():
+    import sentencepiece
+
+    texts, made = _spaced(900), io.BytesIO()
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(texts), model_writer=made, vocab_size=60, model_type="bpe", hard_vocab_limit=False,
+        normalization_rule_name="identity", remove_extra_whitespaces=False, minloglevel=3,
+    )
+    coder, odd = Coder(made.getvalue()), [*texts, "☃☃ ☃w1 𝄞", "☃ ☃", "w4☃"]
+    assert coder.units is not None
+    ids, same = coder.encode(pa.array(odd))
+    assert ids.to_pylist() == coder.check.encode(odd) and same.all()
+    assert coder.returns(pa.array(odd), ids).to_pylist()[-3:] == [False] * 3
+
+
 @needs_tables
 def test_neighbours_against_brute_force(spark):
     vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
